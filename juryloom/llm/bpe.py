@@ -166,11 +166,12 @@ class BacktrackingBpe:
         if self._split and any(s in text for s in self.special):
             parts = self._split.split(text)
             return b"".join(
-                np.array([self.special[p]], "<u4").tobytes() if i % 2 else self._ordinary(p) for i, p in enumerate(parts) if p
+                np.array([self.special[p]], "<u4").tobytes() if i % 2 else self.encode_ordinary(p) for i, p in enumerate(parts) if p
             )
-        return self._ordinary(text)
+        return self.encode_ordinary(text)
 
-    def _ordinary(self, text: str) -> bytes:
+    def encode_ordinary(self, text: str) -> bytes:
+        """As encode, with special tokens' strings taken as ordinary text."""
         known, make = self.known.get, self._piece
         return b"".join([known(p) or make(p) for p in self.pieces(text)])
 
