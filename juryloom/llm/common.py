@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,58 @@ def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+#: Bits of a membership filter: 1 MiB, whatever the number of keys.
+FILTER_BITS = 1 << 23
+
+
+def _filter_bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def membership_filter(keys: DataFrame) -> bytes:
+    """A bitmap of fixed size that has the bit of every key of a one-column frame."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, bits in zip(batch["page"], batch["bits"], strict=True):
+                new = np.frombuffer(bits, np.uint8)
+                pages[page] = pages[page] | new if page in pages else new
+        if pages:
+            yield pd.DataFrame({"page": list(pages), "bits": [x.tobytes() for x in pages.values()]})
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(FILTER_BITS, np.uint8)
+        for batch in batches:
+            bits[batch["bit"].to_numpy()] = 1
+        packed = np.packbits(bits).reshape(-1, 4096)
+        used = np.flatnonzero(packed.any(axis=1))
+        if len(used):
+            yield pd.DataFrame({"page": used, "bits": [packed[i].tobytes() for i in used]})
+
+    key = keys.columns[0]
+    ddl = "page int, bits binary"
+    pages = keys.select(_filter_bit(F.col(key)).alias("bit")).mapInPandas(mark, ddl)
+    whole = np.zeros((FILTER_BITS // 8 // 4096, 4096), np.uint8)
+    for r in pages.repartition(8, "page").mapInPandas(merge, ddl).collect():  # FILTER_BITS / 8 / 4096 rows at most
+        whole[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return whole.tobytes()
+
+
+def maybe_member(key: Column, mask: bytes) -> Column:
+    """True for every key of the filter, and for few others: thins rows out before they are shuffled for a join."""
+    bit = _filter_bit(key)
+    byte = F.conv(F.hex(F.substring(F.lit(mask), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    flags = F.array(*[F.lit(128 >> i) for i in range(8)])
+    return byte.bitwiseAND(F.element_at(flags, (bit % 8).cast("int") + 1)) != 0
+
+
+def thinned_semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows whose key is among ids, a one-column frame: only rows that pass a filter of the ids are shuffled."""
+    mask = membership_filter(ids)
+    return rows.filter(maybe_member(F.col(key), mask)).join(ids, key, "left_semi")
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shared_dir, shingle_set, text_of
+from .common import materialize, maybe_member, membership_filter, mix64, shared_dir, shingle_set, text_of, thinned_semi_join
 from .components import connected_components
 
 #: 32 bands of 4 minima find a pair of similarity 0.85 with probability 1 - 6e-11, one of 0.8 with 1 - 5e-8.
@@ -90,7 +90,7 @@ def _sets(rows: DataFrame, ids: DataFrame, key: str, text: Column, width: int) -
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t.encode("utf-8"), width).tobytes() for t in batch["text"]]})
 
-    wanted = rows.select(F.col(key).cast("long").alias("id"), text.alias("text")).join(ids, "id", "left_semi")
+    wanted = thinned_semi_join(rows.select(F.col(key).cast("long").alias("id"), text.alias("text")), ids, "id")
     return wanted.mapInPandas(shingles, "id long, set binary")
 
 
@@ -99,13 +99,18 @@ def agreement_floor(threshold: float) -> int:
     return int(MINIMA * threshold - SIGNATURE_ERRORS * (MINIMA * threshold * (1 - threshold)) ** 0.5)
 
 
-def _star_candidates(reps: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def _star_candidates(reps: DataFrame, floor: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """Members of the buckets that have several, and their signature-verified pairs with the bucket's first."""
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     several = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    members = banded.join(several, "bucket")
-    sig = reps.select("id", "sig")
+    members = materialize(banded.join(several, "bucket"), folder, "members")
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(pairs, folder, "candidates")
+    sig = thinned_semi_join(reps.select("id", "sig"), _ids(pairs), "id")
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
 
@@ -120,38 +125,61 @@ def _star_candidates(reps: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]
     return members, pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a long, b long")
 
 
-def _rest_candidates(members: DataFrame, reps: DataFrame, component: DataFrame, floor: int) -> DataFrame:
-    """Pairs within a bucket, of different components and not yet compared, whose signatures agree.
-
-    A bucket's members are dealt over blocks; a task compares two blocks. A pair that shares several buckets is
-    taken in the first band in which its minima agree.
-    """
+def _mixed_members(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(bucket, pivot, size, id, component) of the buckets whose members are still in several components."""
     labelled = members.filter("size > 2").join(component, "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    labelled = labelled.join(mixed.select("bucket"), "bucket", "left_semi")
-    labelled = labelled.join(reps.select("id", "sig", "bands"), "id")
+    return labelled.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _rest_candidates(mixed: DataFrame, reps: DataFrame, sets: DataFrame, floor: int, percent: int) -> DataFrame:
+    """Pairs within a bucket, of different components and not yet compared, whose signatures and sets agree.
+
+    A bucket's members are dealt over blocks; a task compares two blocks. A pair that shares several buckets is
+    taken in the first band in which its minima agree. Sets are compared by 32-bit halves of their hashes here,
+    so that only what will be a link, but for a chance of about 1e-6, leaves the task.
+    """
+    sig = thinned_semi_join(reps, mixed.select("id").distinct(), "id")
+    labelled = mixed.join(sig, "id")
     labelled = labelled.withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1).drop("bands")
+
+    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            half = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch["set"]]
+            yield pd.DataFrame({"id": batch["id"], "half": half})
+
+    labelled = labelled.join(sets.mapInPandas(halves, "id long, half binary"), "id")
     blocks = (F.col("size") / BLOCK).cast("int") + 1
     labelled = labelled.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = labelled.select("*", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    dealt = dealt.select("bucket", "band", "pivot", "id", "component", "sig", "block", "x", "y")
+    dealt = dealt.select("bucket", "band", "pivot", "id", "component", "sig", "half", "block", "x", "y")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack([np.frombuffer(s, np.uint32) for s in group["sig"]])
+        half = [np.frombuffer(s, np.uint32) for s in group["half"]]
+        size = np.array([len(h) for h in half])
         ids, comp, block = (group[c].to_numpy() for c in ("id", "component", "block"))
-        band, pivot = int(group["band"].iat[0]), group["pivot"].iat[0]
-        first = group["x"].iat[0] != group["y"].iat[0]
+        before = int(group["band"].iat[0]) * BAND_ROWS
         lo, hi = group["x"].iat[0], group["y"].iat[0]
-        left = np.flatnonzero((block == lo) & (ids != pivot))
-        right = np.flatnonzero((block == hi) & (ids != pivot))
+        members = ids != group["pivot"].iat[0]
+        left, right = np.flatnonzero((block == lo) & members), np.flatnonzero((block == hi) & members)
         out = []
         for i in left:
-            js = right if first else right[ids[right] > ids[i]]
-            js = js[comp[js] != comp[i]]
+            js = right if lo != hi else right[ids[right] > ids[i]]
+            small, large = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
+            js = js[(comp[js] != comp[i]) & (100 * (small + 1) >= percent * large)]
             equal = sig[js] == sig[i]
-            js = js[(equal.sum(axis=1) >= floor) & ~equal[:, : band * BAND_ROWS].reshape(len(js), band, BAND_ROWS).all(axis=2).any(axis=1)]
+            first = ~equal[:, :before].reshape(len(js), before // BAND_ROWS, BAND_ROWS).all(axis=2).any(axis=1)
+            js = js[(equal.sum(axis=1) >= floor) & first]
+            if not len(js):
+                continue
+            # How many of each one's hashes are in i's set, two collisions allowed.
+            every = np.concatenate([half[j] for j in js])
+            at = np.minimum(np.searchsorted(half[i], every), size[i] - 1)
+            both = np.add.reduceat((half[i][at] == every).astype(np.int64), np.cumsum(size[js]) - size[js]) + 2
+            js = js[100 * both >= percent * (size[js] + size[i] - both)]
             out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -171,29 +199,37 @@ def near_duplicates(rows: DataFrame, percent: int = 85, width: int = 5, key: str
     floor = agreement_floor(percent / 100)
     signed = materialize(sign(rows, key, text, width).withColumnRenamed(key, "id"), folder, "signed")
     full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("set_key").agg(F.min("id").cast("long").alias("rep"))
+    classes = full.groupBy("set_key").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("size"))
     classes = materialize(classes, folder, "classes")
-    reps = materialize(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig", "bands"), folder, "reps")
+    shared = membership_filter(classes.filter("size > 1").select("set_key"))
+    repeated = maybe_member(F.col("set_key"), shared)
+    firsts = full.filter(repeated).join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = full.filter(~repeated).unionByName(firsts)
+    reps = materialize(reps.select(F.col("id").cast("long").alias("id"), "sig", "bands"), folder, "reps")
 
-    members, star = _star_candidates(reps, floor)
-    members = materialize(members, folder, "members")
+    members, star = _star_candidates(reps, floor, folder)
     star = materialize(star, folder, "star")
-    linked = "100 * both >= {0} * (size_a + size_b - both)".format(int(percent))
+    linked = f"100 * both >= {int(percent)} * (size_a + size_b - both)"
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        found = _intersections(pairs, _sets(rows, ids, key, text, width)).filter(linked).select("a", "b")
-        return materialize(found, folder, name)
+    def links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        return materialize(_intersections(pairs, sets).filter(linked).select("a", "b"), folder, name)
 
-    first = links(star, "links-1")
+    first = links(star, _sets(rows, _ids(star), key, text, width), "links-1")
     component = connected_components(first, folder, "first").select(F.col("node").alias("id"), "component")
-    rest = materialize(_rest_candidates(members, reps, component, floor), folder, "rest")
-    edges = first if rest.isEmpty() else first.unionByName(links(rest, "links-2"))
-    final = component if edges is first else connected_components(edges, folder, "final").select(F.col("node").alias("id"), "component")
+    mixed = materialize(_mixed_members(members, component), folder, "mixed")
+    final = component
+    if not mixed.isEmpty():
+        sets = materialize(_sets(rows, mixed.select("id").distinct(), key, text, width), folder, "sets")
+        rest = materialize(_rest_candidates(mixed, reps, sets, floor, percent), folder, "rest")
+        second = links(rest, sets, "links-2")
+        if not second.isEmpty():
+            final = connected_components(first.unionByName(second), folder, "final").select(F.col("node").alias("id"), "component")
 
     classes = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = classes.filter("size > 1 or component is not null")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = full.select("id", "n_shingles", "set_key").join(classes, "set_key").select("id", "n_shingles", "component_id")
+    out = full.select("id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    out = out.select("id", "n_shingles", F.coalesce("component_id", F.col("id").cast("long")).alias("component_id"))
     empty = signed.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").cast("long").alias("component_id"))
     out = out.unionByName(empty)
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
