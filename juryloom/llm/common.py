@@ -90,12 +90,21 @@ def membership_filter(keys: DataFrame) -> bytes:
     return whole.tobytes()
 
 
+def bit_is_set(bit: Column, mask: bytes) -> Column:
+    """Whether a bitmap of fixed size has the bit; the bitmap goes to each executor once."""
+    held = SparkSession.getActiveSession().sparkContext.broadcast(mask)
+
+    @F.pandas_udf("boolean")
+    def test(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy()
+        return pd.Series((np.frombuffer(held.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    return test(bit)
+
+
 def maybe_member(key: Column, mask: bytes) -> Column:
     """True for every key of the filter, and for few others: thins rows out before they are shuffled for a join."""
-    bit = _filter_bit(key)
-    byte = F.conv(F.hex(F.substring(F.lit(mask), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    flags = F.array(*[F.lit(128 >> i) for i in range(8)])
-    return byte.bitwiseAND(F.element_at(flags, (bit % 8).cast("int") + 1)) != 0
+    return bit_is_set(_filter_bit(key), mask)
 
 
 def thinned_semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

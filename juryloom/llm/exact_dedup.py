@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, shared_dir, text_of
+from .common import SPACE, bit_is_set, materialize, shared_dir, text_of
 
 #: Entries of a memtable before it is flushed.
 MEMTABLE_ROWS = 100_000
@@ -99,9 +99,7 @@ def merge_filters(runs: DataFrame) -> bytes:
 
 
 def maybe_repeated(digest: Column, mask: bytes) -> Column:
-    bit = F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long") % FILTER_BITS
-    byte = F.conv(F.hex(F.substring(F.lit(mask), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(128 >> i) for i in range(8)]), (bit % 8).cast("int") + 1)) != 0
+    return bit_is_set(F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long") % FILTER_BITS, mask)
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
