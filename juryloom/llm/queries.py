@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, token_count, topk
+from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, substring_dedup, token_count, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_topk_search": op5_topk_search,
