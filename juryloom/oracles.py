@@ -171,9 +171,9 @@ _CELLS = f"{_HUMAN}, g AS (SELECT {_PLACE.format('truth')} AS t, {_PLACE.format(
 _LABELS = (
     "lb AS (SELECT file_id, "
     + ", ".join(f"CASE WHEN num % 3 = 0 AND num % 8 = {i} THEN NULL ELSE string_split(scores, ',')[{i + 1}]::INT END AS {x}" for i, x in enumerate(ITEMS))
-    + ", total + (num % 7 = 0)::INT AS total, (total0 >= 10)::INT AS "binary" FROM (SELECT *, total AS total0, regexp_replace(file_id, 'conv', '')::INT AS num FROM ft)), "
+    + ", total + (num % 7 = 0)::INT AS total, (total0 >= 10)::INT AS \"binary\" FROM (SELECT *, total AS total0, regexp_replace(file_id, 'conv', '')::INT AS num FROM ft)), "
     + "lc2 AS (SELECT *, " + " + ".join(f"({x} IS NULL)::INT" for x in ITEMS) + " AS missing, total - (" + " + ".join(f"coalesce({x}, 0)" for x in ITEMS) + ") AS lack FROM lb), "
-    + "lp AS (SELECT *, CASE WHEN missing > 1 THEN 'several items missing' WHEN missing = 1 AND lack NOT BETWEEN 0 AND 3 THEN 'missing item out of range' WHEN missing = 0 AND lack <> 0 THEN 'items do not sum to the total' WHEN "binary" <> (total >= 10)::INT THEN 'binary label does not match' END AS problem FROM lc2)"
+    + "lp AS (SELECT *, CASE WHEN missing > 1 THEN 'several items missing' WHEN missing = 1 AND lack NOT BETWEEN 0 AND 3 THEN 'missing item out of range' WHEN missing = 0 AND lack <> 0 THEN 'items do not sum to the total' WHEN \"binary\" <> (total >= 10)::INT THEN 'binary label does not match' END AS problem FROM lc2)"
 )
 
 ORACLES: dict[str, str] = {
