@@ -58,7 +58,7 @@ def flush_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if both.any():
                 rows.append((None, None, None, None, page, both.tobytes()))
         memtable.clear()
-        return pd.DataFrame(rows, columns=["digest", "keep_points", "keep_id", "n", "page", "bits"]).astype(
+        return pd.DataFrame(rows, columns=["digest", "keep_points", "keep_id", "n", "page", "bits"], dtype=object).astype(
             {"keep_points": "Int64", "keep_id": "Int64", "n": "Int64", "page": "Int32"}
         )
 

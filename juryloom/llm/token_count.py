@@ -113,7 +113,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, sh
             return out
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["shard", "block", "tokens", "doc_no", "doc_id"])
+            out = pd.DataFrame(rows, columns=["shard", "block", "tokens", "doc_no", "doc_id"], dtype=object)
             return out.astype({"block": "Int64", "doc_no": "Int64", "doc_id": "Int64"})
 
         for batch in batches:
