@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, substring_dedup, token_count, topk
+from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, token_count, topk
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors["vec_id"] % 50 == 0)
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.remove_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_topk_search": op5_topk_search,
+    "op6_paragraph_dedup": op6_paragraph_dedup,
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ CHUNK_DOCS = 4_096
 BUCKET_CHARS = 16_000_000
 #: Bytes of a shard.
 SHARD_BYTES = 4_000_000
+#: Anchors whose surroundings are looked at together.
+ANCHOR_BLOCK = 1_048_576
 
 _P = 0x9E3779B97F4A7C15
 
@@ -76,12 +78,15 @@ def anchors(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def anchor_runs(x: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last starts of the strings whose anchor each of the positions is (last < first: none)."""
     around = np.concatenate([np.full(SPAN, 2**64 - 1, np.uint64), x, np.full(SPAN, 2**64 - 1, np.uint64)])
-    view = np.lib.stride_tricks.sliding_window_view(around, 2 * SPAN + 1)[at]
-    own = x[at][:, None]
-    earlier = view[:, 1:SPAN] <= own  # positions at - (SPAN - 1) ... at - 1
-    back = np.where(earlier.any(axis=1), np.argmax(earlier[:, ::-1], axis=1), SPAN - 1)
-    later = view[:, SPAN + 1 : 2 * SPAN] < own  # positions at + 1 ... at + SPAN - 1
-    ahead = np.where(later.any(axis=1), np.argmax(later, axis=1), SPAN - 1)
+    windows = np.lib.stride_tricks.sliding_window_view(around, 2 * SPAN + 1)
+    back, ahead = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for i in range(0, len(at), ANCHOR_BLOCK):
+        some = slice(i, i + ANCHOR_BLOCK)
+        view, own = windows[at[some]], x[at[some]][:, None]
+        earlier = view[:, 1:SPAN] <= own  # positions at - (SPAN - 1) ... at - 1
+        back[some] = np.where(earlier.any(axis=1), np.argmax(earlier[:, ::-1], axis=1), SPAN - 1)
+        later = view[:, SPAN + 1 : 2 * SPAN] < own  # positions at + 1 ... at + SPAN - 1
+        ahead[some] = np.where(later.any(axis=1), np.argmax(later, axis=1), SPAN - 1)
     return np.maximum(at - back, 0), np.minimum(at - (SPAN - 1) + ahead, n - WIDTH)
 
 
@@ -89,41 +94,49 @@ def _bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8"), np.uint8)
 
 
-def _chunked_anchors(buckets: int):
-    """Per chunk and bucket: the anchors, and those that several documents of the chunk have."""
+def parts_by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its entries), for the buckets that occur."""
+    order = np.argsort(bucket, kind="stable")
+    present, start = np.unique(bucket[order], return_index=True)
+    for b, own in zip(present.tolist(), np.split(order, start[1:]), strict=True):
+        yield b, own
+
+
+def anchor_keys(text: str) -> np.ndarray:
+    x, at = anchors(_bytes_of(text))
+    return np.unique(x[at])
+
+
+def chunked_keys(buckets: int, keys_of: Callable[[str], np.ndarray]):
+    """Per chunk and bucket: the keys, and those that several documents of the chunk have."""
 
     def rows(chunk: int, found: list[np.ndarray]) -> pd.DataFrame:
-        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        every, n = np.unique(every, return_counts=True)
-        bucket = (every % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = []
-        for b in range(buckets):
-            own = order[cut[b] : cut[b + 1]]
-            if len(own):
-                out.append((chunk, b, every[own].tobytes(), every[own][n[own] > 1].tobytes()))
+        every, n = np.unique(np.concatenate(found), return_counts=True)
+        out = [
+            (chunk, b, every[own].tobytes(), every[own][n[own] > 1].tobytes())
+            for b, own in parts_by_bucket((every % np.uint64(buckets)).astype(np.int64))
+        ]
         return pd.DataFrame(out, columns=["chunk", "bucket", "hashes", "repeated"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, found = None, []
         for batch in batches:
             for chunk, text in zip(batch["chunk"], batch["text"], strict=True):
-                if current is not None and chunk != current:
+                if chunk != current and found:
                     yield rows(current, found)
                     found = []
                 current = chunk
-                x, at = anchors(_bytes_of(text))
-                if len(at):
-                    found.append(np.unique(x[at]))
+                keys = keys_of(text)
+                if len(keys):
+                    found.append(keys)
         if found:
             yield rows(current, found)
 
     return find
 
 
-def _shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
-    """Which anchors of a bucket several documents have, told to each chunk that has them."""
+def shared_keys(group: pd.DataFrame) -> pd.DataFrame:
+    """Which keys of a bucket several documents have, told to each chunk that has them."""
     parts = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
     repeated = [np.frombuffer(h, np.uint64) for h in group["repeated"]]
     every, n = np.unique(np.concatenate([*parts, *repeated]), return_counts=True)
@@ -180,16 +193,13 @@ def _collect_runs(buckets: int):
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        strings, least_of, bucket_of = list(known), np.array(least, np.int64), np.array(bucket)
-        cut = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
+        strings, least_of = list(known), np.array(least, np.int64)
         chunk = docs["chunk"].iat[0]
         out = []
-        for b in range(buckets):
-            own = order[cut[b] : cut[b + 1]]
-            if len(own):
-                some = [strings[i] for i in own]
-                sizes = np.array([len(s) for s in some], np.uint8)
-                out.append((chunk, b, b"".join(some), sizes.tobytes(), least_of[own].tobytes(), None, None, None))
+        for b, own in parts_by_bucket(np.array(bucket)):
+            some = [strings[i] for i in own]
+            sizes = np.array([len(s) for s in some], np.uint8)
+            out.append((chunk, b, b"".join(some), sizes.tobytes(), least_of[own].tobytes(), None, None, None))
         places = (np.concatenate(row_of), np.concatenate(at_of).astype(np.int64), place[np.concatenate(run_of)])
         out.append((chunk, -1, None, None, None, *(x.astype(np.int64).tobytes() for x in places)))
         return pd.DataFrame(out, columns=cols)
@@ -348,7 +358,7 @@ def _remove(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=cols)
 
 
-def _by_chunk(docs: DataFrame, folder: str) -> DataFrame:
+def by_chunk(docs: DataFrame, folder: str) -> DataFrame:
     """Rows (chunk, row, doc_id, text) in a table bucketed by chunk, so that joins by chunk do not move texts."""
     row = F.monotonically_increasing_id()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), row.alias("row"))
@@ -370,11 +380,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     be null.
     """
     folder = shared_dir(docs.sparkSession)
-    rows = _by_chunk(docs, folder)
+    rows = by_chunk(docs, folder)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / BUCKET_CHARS))
-    found = rows.select("chunk", "text").mapInPandas(_chunked_anchors(buckets), "chunk long, bucket int, hashes binary, repeated binary")
-    shared = found.groupBy("bucket").applyInPandas(_shared_anchors, "chunk long, shared binary")
+    found = rows.select("chunk", "text").mapInPandas(chunked_keys(buckets, anchor_keys), "chunk long, bucket int, hashes binary, repeated binary")
+    shared = found.groupBy("bucket").applyInPandas(shared_keys, "chunk long, shared binary")
     ddl = "chunk long, bucket int, runs binary, sizes binary, least binary, row binary, at binary, run binary"
     runs = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_collect_runs(buckets), ddl)
     runs = materialize(runs, folder, "runs")

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from juryloom.llm import bpe, components, exact_dedup, gru, langid, lm_score, minhash, mixing, substring_dedup, suffix, token_count, topk
+from juryloom.llm import bpe, components, exact_dedup, gru, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, suffix, token_count, topk
 
 from .fixtures import DDL, components as plain_components, crc, frame, rows, shingles, texts, words
 
@@ -114,6 +114,65 @@ def test_substring_removal_of_nothing(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+# --- paragraphs ------------------------------------------------------------------------------------------------
+
+
+def brute_paragraphs(docs: dict[int, str | None]) -> dict[int, tuple[int, int]]:
+    """(repeated paragraphs, smallest document) by comparing all paragraphs' exact shingle sets."""
+    from juryloom.llm.common import word_hashes
+
+    pars = []
+    for k, t in docs.items():
+        begin, end = paragraph_dedup.paragraphs(word_hashes((t or "").encode())[0])
+        w = words(t)
+        assert not w or (begin[0] == 0 and end[-1] == len(w) and (begin[1:] <= end[:-1]).all())
+        pars += [(k, {tuple(w[i : i + 5]) for i in range(a, b - 4)}) for a, b in zip(begin, end, strict=True)]
+    full = [i for i, p in enumerate(pars) if p[1]]
+    edges = [(i, j) for n, i in enumerate(full) for j in full[n + 1 :] if 100 * len(pars[i][1] & pars[j][1]) >= 80 * len(pars[i][1] | pars[j][1])]
+    comp = plain_components(full, edges)
+    first: dict[int, int] = {}
+    for i in full:
+        first[comp[i]] = min(first.get(comp[i], pars[i][0]), pars[i][0])
+    out = {k: (0, k) for k in docs}
+    for i in full:
+        k, least = pars[i][0], first[comp[i]]
+        if least < k:
+            out[k] = (out[k][0] + 1, min(out[k][1], least))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4096, 8])
+def test_paragraph_removal_matches_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK_DOCS", chunk)
+    monkeypatch.setattr(paragraph_dedup, "BUCKET_CHARS", 4_000)
+    some = [t for t in texts() if len(t or "") < 10_000]
+    random.Random(3).shuffle(some)
+    docs = plain(some)
+    got = by_id(paragraph_dedup.remove_paragraphs(frame(spark, some)))
+    assert {k: (r["n_repeated"], r["class_id"]) for k, r in got.items()} == brute_paragraphs(docs)
+    for k, r in got.items():
+        data = (docs[k] or "").encode()
+        assert r["n_bytes"] == len(data) and (r["n_removed"] > 0) == (r["n_repeated"] > 0) == (r["n_spans"] > 0)
+        if not r["n_removed"]:
+            assert r["kept_sha256"] == hashlib.sha256(data).hexdigest()
+
+
+def test_planted_passages_are_found_wherever_they_stand(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    some, planted = [], 150
+    for _ in range(planted):
+        passage = prose(60)
+        some += [f"{prose(rng.randrange(40, 90))} {passage} {prose(rng.randrange(40, 90))}" for _ in range(2)]
+    some += [prose(120) for _ in range(100)]
+    got = by_id(paragraph_dedup.remove_paragraphs(frame(spark, some)))
+    flagged = {k for k, r in got.items() if r["n_removed"]}
+    assert flagged <= {i * 3 + 1 for i in range(1, 2 * planted, 2)}
+    assert len(flagged) >= 0.97 * planted
+    assert paragraph_dedup.remove_paragraphs(empty(spark)).count() == 0
+
+
 # --- language model -------------------------------------------------------------------------------------------
 
 
@@ -193,6 +252,14 @@ def test_exact_dedup_compacts_many_runs(spark, monkeypatch):
     assert Counter(r["keep_id"] for r in got.values()) == {4: 60, 7: 30}
 
 
+def test_ids_beyond_double_precision(spark):
+    big = 2**60
+    docs = spark.createDataFrame([(big + i, "same" if i % 2 else f"own {i}") for i in range(6)], "doc_id long, text string")
+    got = by_id(exact_dedup.exact_dedup(docs))
+    assert {k - big: r["keep_id"] - big for k, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 4, 5: 1}
+    assert sorted(by_id(token_count.count_documents(docs))) == [big + i for i in range(6)]
+
+
 # --- top-k search ---------------------------------------------------------------------------------------------
 
 
