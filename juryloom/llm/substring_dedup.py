@@ -29,11 +29,11 @@ SPAN = WIDTH - ANCHOR + 1
 #: Documents of a chunk.
 CHUNK_DOCS = 4_096
 #: Characters of the corpus for each bucket.
-BUCKET_CHARS = 16_000_000
+BUCKET_CHARS = 4_000_000
 #: Bytes of a shard.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 #: Anchors whose surroundings are looked at together.
-ANCHOR_BLOCK = 1_048_576
+ANCHOR_BLOCK = 16_384
 
 _P = 0x9E3779B97F4A7C15
 
