@@ -69,8 +69,8 @@ def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
-    n = len(words) - WIDTH + 1
-    out = np.zeros(max(0, n), np.uint64)
+    n = max(0, len(words) - WIDTH + 1)
+    out = np.zeros(n, np.uint64)
     for i in range(WIDTH):
         out = mix64(out ^ words[i : n + i])
     return out

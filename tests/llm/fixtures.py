@@ -28,7 +28,7 @@ def texts(seed: int = 1) -> list[str | None]:
     out: list[str | None] = [*base, *near, *base[:5], base[3].replace(" ", "  \n"), base[4].upper().lower()]
     out += [" ".join(chain[: len(chain) - k]) for k in (1, 2, 3)]
     out += [f"{b[:60]} {passage} {b[60:]}" for b in base[20:26]]
-    out += [None, "", " \t\n", "one two", "one two", "ONE two", "a b c d e f", "😀 emoji " * 12, "x" * 300, "x" * 300, "<|endoftext|> inside", "12345 !!"]
+    out += [None, "", " \t\n", "one two", "one two", "ONE two", "one two three", "one two three four", "a b c d e f", "😀 emoji " * 12, "x" * 300, "x" * 300, "<|endoftext|> inside", "12345 !!"]
     out.append(" ".join(sentence(rng, 40) for _ in range(150)) + "\n" + passage)
     return out
 
