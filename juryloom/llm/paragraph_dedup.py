@@ -5,9 +5,9 @@ the hash of it and its neighbours is the least around; a paragraph runs from eac
 first cut PARAGRAPH_WORDS further on, so that equal passages hold equal paragraphs wherever they stand. Paragraphs
 overlap and together cover the text.
 
-Every paragraph has BANDS keys of BAND_ROWS minima of its word shingles. Which keys several documents have is found
-on packed arrays of keys; only paragraphs with such a key go on. Equal ones are put together; those that share a key
-with a different one are compared exactly, and linked ones form components. Of each component the paragraphs of the
+Every paragraph has MEETING minima of its word shingles. Which of these several documents have is found on packed
+arrays; only paragraphs with such a minimum go on. Equal ones are put together; those that share a band of BAND_ROWS
+further minima with a different one are compared exactly, and linked ones form components. Of each component the paragraphs of the
 document with the smallest doc_id stay, all others are removed.
 """
 
@@ -26,8 +26,11 @@ from . import minhash
 from .common import materialize, mix64, shared_dir, word_hashes
 from .substring_dedup import by_chunk, chunked_keys, shared_keys
 
-#: 8 bands of 2 minima find a pair of similarity 0.8 with probability 1 - 3e-4, one of 0.9 with 1 - 2e-6.
-BANDS, BAND_ROWS = 8, 2
+#: Minima by which documents meet: 5 find a pair of similarity 0.8 with probability 1 - 3e-4, one of 0.9 with 1 - 1e-5.
+MEETING = 5
+#: Bands by which contents are chosen for comparison: 12 of 4 minima find a pair of 0.8 with probability 0.998, one of
+#: 0.9 with 1 - 3e-6, and leave out most paragraphs that only overlap.
+BANDS, BAND_ROWS = 12, 4
 #: Words on either side that a cut's hash must beat, and the least words of a paragraph.
 REACH, PARAGRAPH_WORDS = 4, 16
 WIDTH, PERCENT = 5, 80
@@ -35,8 +38,8 @@ WIDTH, PERCENT = 5, 80
 BUCKET_CHARS = 4_000_000
 
 _rng = np.random.Generator(np.random.PCG64(606))
-_A = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, MEETING + BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, MEETING + BANDS * BAND_ROWS, dtype=np.uint64)
 
 
 def cuts(words: np.ndarray) -> np.ndarray:
@@ -76,30 +79,41 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys_of_paragraphs(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """paragraphs x BANDS keys; paragraphs with fewer words than a shingle have none, and a zero row stands for them."""
+def _minima(words: np.ndarray, begin: np.ndarray, end: np.ndarray, which: range) -> Iterator[np.ndarray]:
+    """For each hash function the minima over the paragraphs, which have a shingle at least."""
+    # Over begin ... end - WIDTH, taken of both ends of each stretch by one reduceat.
+    edge = np.stack([begin, end - WIDTH + 1], axis=1).ravel()
+    padded = np.append(_shingles(words), np.uint64(2**64 - 1))
+    for i in which:
+        yield np.minimum.reduceat((padded * _A[i] + _B[i]) >> np.uint64(16), edge)[::2]
+
+
+def meeting_keys(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """paragraphs x MEETING keys, never 0."""
+    found = _minima(words, begin, end, range(MEETING))
+    return np.stack([mix64(m + (np.uint64(i) << np.uint64(50))) | np.uint64(1) for i, m in enumerate(found)], axis=1)
+
+
+def band_keys(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """paragraphs x BANDS keys."""
     out = np.zeros((len(begin), BANDS), np.uint64)
-    some = np.flatnonzero(end - begin >= WIDTH)
-    s = _shingles(words)
-    if not len(some):
-        return out
-    # Minima over begin ... end - WIDTH, taken of both ends of each stretch by one reduceat.
-    edge = np.stack([begin[some], end[some] - WIDTH + 1], axis=1).ravel()
-    padded = np.append(s, np.uint64(2**64 - 1))
-    band = np.zeros(len(some), np.uint64)
-    for i in range(BANDS * BAND_ROWS):
-        least = np.minimum.reduceat((padded * _A[i] + _B[i]) >> np.uint64(16), edge)[::2]
-        band = mix64(band + least + np.uint64(i // BAND_ROWS + 1))
-        if i % BAND_ROWS == BAND_ROWS - 1:
-            out[some, i // BAND_ROWS] = band | np.uint64(1)
-            band = np.zeros(len(some), np.uint64)
+    for i, m in enumerate(_minima(words, begin, end, range(MEETING, MEETING + BANDS * BAND_ROWS))):
+        band = i // BAND_ROWS
+        out[:, band] = mix64(out[:, band] + m + np.uint64(band + 1))
     return out
 
 
+def long_paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The paragraphs that have a shingle."""
+    begin, end = paragraphs(words)
+    some = end - begin >= WIDTH
+    return begin[some], end[some]
+
+
 def text_keys(text: str) -> np.ndarray:
     words, *_ = word_hashes(text.encode("utf-8"))
-    keys = np.unique(keys_of_paragraphs(words, *paragraphs(words)))
-    return keys[keys > 0]
+    begin, end = long_paragraphs(words)
+    return np.unique(meeting_keys(words, begin, end)) if len(begin) else np.zeros(0, np.uint64)
 
 
 _CANDIDATE = "chunk long, doc_id long, begin long, finish long, digest binary, par_id long, keys array<long>, text string"
@@ -118,22 +132,28 @@ def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
         data = text.encode("utf-8")
         words, first, last = word_hashes(data)
-        begin, end = paragraphs(words)
+        begin, end = long_paragraphs(words)
         if not len(begin):
             continue
-        keys = keys_of_paragraphs(words, begin, end)
+        keys = meeting_keys(words, begin, end)
         at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
-        hit = np.flatnonzero(((shared[at] == keys) & (keys > 0)).any(axis=1))
+        hit = np.flatnonzero((shared[at] == keys).any(axis=1))
+        fresh = []
         for i in hit.tolist():
             a, b = int(begin[i]), int(end[i])
             digest = hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest()
-            new = digest not in seen
-            if new:
-                seen.add(digest)
-                number += 1
             lo, hi = int(first[a]), int(last[b - 1])
-            own = keys[i].astype(np.int64) if new else None
-            out.append((chunk, doc_id, lo, hi, digest, number if new else None, own, data[lo:hi].decode("utf-8") if new else None))
+            if digest in seen:
+                out.append([chunk, doc_id, lo, hi, digest, None, None, None])
+                continue
+            seen.add(digest)
+            number += 1
+            fresh.append((i, len(out)))
+            out.append([chunk, doc_id, lo, hi, digest, number, None, data[lo:hi].decode("utf-8")])
+        if fresh:
+            own = np.array([i for i, _ in fresh])
+            for (_, place), bands in zip(fresh, band_keys(words, begin[own], end[own]).astype(np.int64), strict=True):
+                out[place][6] = bands
     if len(seen) >= 1 << 24:
         raise ValueError("a chunk of documents has too many paragraphs; make CHUNK_DOCS smaller")
     return pd.DataFrame(out, columns=cols, dtype=object).astype({"chunk": "int64", "doc_id": "int64", "begin": "int64", "finish": "int64", "par_id": "Int64"})
@@ -175,7 +195,7 @@ def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
     reps = candidates.filter("par_id is not null").select("par_id", "keys", "text").join(classes.select(F.col("rep").alias("par_id")), "par_id", "left_semi")
     reps = materialize(reps, folder, "reps")
     # Only contents that share a key with another content are compared.
-    keyed = reps.select("par_id", F.explode("keys").alias("k")).filter("k <> 0")
+    keyed = reps.select("par_id", F.explode("keys").alias("k"))
     several = keyed.groupBy("k").agg(F.min("par_id").alias("lo"), F.max("par_id").alias("hi")).filter("lo < hi").select("k")
     near = keyed.join(several, "k", "left_semi").select("par_id").distinct()
     compared = materialize(reps.join(near, "par_id", "left_semi").select("par_id", "text"), folder, "near")
