@@ -103,6 +103,12 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
+def exact_links(pairs: DataFrame, rows: DataFrame, percent: int, width: int, key: str, text: Column) -> DataFrame:
+    """The pairs (a, b) of keys whose full shingle sets are similar."""
+    sets = _sets(rows, _ids(pairs), key, text, width)
+    return _intersections(pairs, sets).filter(f"100 * both >= {int(percent)} * (size_a + size_b - both)").select("a", "b")
+
+
 def _star_candidates(reps: DataFrame, floor: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """Members of the buckets that have several, and their signature-verified pairs with the bucket's first."""
     banded = reps.select("id", F.explode("bands").alias("bucket"))
@@ -210,18 +216,14 @@ def near_duplicates(rows: DataFrame, percent: int = 85, width: int = 5, key: str
     members, star = _star_candidates(reps, floor, folder)
     star = materialize(star, folder, "star")
     linked = f"100 * both >= {int(percent)} * (size_a + size_b - both)"
-
-    def links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        return materialize(_intersections(pairs, sets).filter(linked).select("a", "b"), folder, name)
-
-    first = links(star, _sets(rows, _ids(star), key, text, width), "links-1")
+    first = materialize(exact_links(star, rows, percent, width, key, text), folder, "links-1")
     component = connected_components(first, folder, "first").select(F.col("node").alias("id"), "component")
     mixed = materialize(_mixed_members(members, component), folder, "mixed")
     final = component
     if not mixed.isEmpty():
         sets = materialize(_sets(rows, mixed.select("id").distinct(), key, text, width), folder, "sets")
         rest = materialize(_rest_candidates(mixed, reps, sets, floor, percent), folder, "rest")
-        second = links(rest, sets, "links-2")
+        second = materialize(_intersections(rest, sets).filter(linked).select("a", "b"), folder, "links-2")
         if not second.isEmpty():
             final = connected_components(first.unionByName(second), folder, "final").select(F.col("node").alias("id"), "component")
 

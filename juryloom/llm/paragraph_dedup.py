@@ -6,9 +6,11 @@ first cut PARAGRAPH_WORDS further on, so that equal passages hold equal paragrap
 overlap and together cover the text.
 
 Every paragraph has MEETING minima of its word shingles. Which of these several documents have is found on packed
-arrays; only paragraphs with such a minimum go on. Equal ones are put together; those that share a band of BAND_ROWS
-further minima with a different one are compared exactly, and linked ones form components. Of each component the paragraphs of the
-document with the smallest doc_id stay, all others are removed.
+arrays; only paragraphs with such a minimum go on. Equal ones are put together; different ones meet in buckets, one
+for each band of BAND_ROWS further minima, where their shingle sets are compared as 32-bit hashes. What agrees there is
+compared exactly, and linked ones form components. Of each component the paragraphs of the document with the smallest
+doc_id stay, all others are removed. A bucket is dealt over blocks, and a task compares two blocks; within it only
+paragraphs that no links connect yet are compared.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .common import materialize, mix64, shared_dir, word_hashes
+from .components import connected_components
 from .substring_dedup import by_chunk, chunked_keys, shared_keys
 
 #: Minima by which documents meet: 5 find a pair of similarity 0.8 with probability 1 - 3e-4, one of 0.9 with 1 - 1e-5.
 MEETING = 5
-#: Bands by which contents are chosen for comparison: 12 of 4 minima find a pair of 0.8 with probability 0.998, one of
-#: 0.9 with 1 - 3e-6, and leave out most paragraphs that only overlap.
-BANDS, BAND_ROWS = 12, 4
+#: Bands in which contents meet for comparison: 8 of 3 minima find a pair of 0.8 with probability 0.997, one of 0.9
+#: with 1 - 3e-5, and leave out most paragraphs that only overlap.
+BANDS, BAND_ROWS = 8, 3
+#: Paragraphs of a bucket that are compared with as many others in one task.
+BLOCK = 512
 #: Words on either side that a cut's hash must beat, and the least words of a paragraph.
 REACH, PARAGRAPH_WORDS = 4, 16
 WIDTH, PERCENT = 5, 80
@@ -79,27 +84,30 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _minima(words: np.ndarray, begin: np.ndarray, end: np.ndarray, which: range) -> Iterator[np.ndarray]:
+def _minima(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray, which: range) -> Iterator[np.ndarray]:
     """For each hash function the minima over the paragraphs, which have a shingle at least."""
     # Over begin ... end - WIDTH, taken of both ends of each stretch by one reduceat.
     edge = np.stack([begin, end - WIDTH + 1], axis=1).ravel()
-    padded = np.append(_shingles(words), np.uint64(2**64 - 1))
+    padded = np.append(shingles, np.uint64(2**64 - 1))
     for i in which:
         yield np.minimum.reduceat((padded * _A[i] + _B[i]) >> np.uint64(16), edge)[::2]
 
 
-def meeting_keys(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def meeting_keys(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """paragraphs x MEETING keys, never 0."""
-    found = _minima(words, begin, end, range(MEETING))
+    found = _minima(shingles, begin, end, range(MEETING))
     return np.stack([mix64(m + (np.uint64(i) << np.uint64(50))) | np.uint64(1) for i, m in enumerate(found)], axis=1)
 
 
-def band_keys(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """paragraphs x BANDS keys."""
-    out = np.zeros((len(begin), BANDS), np.uint64)
-    for i, m in enumerate(_minima(words, begin, end, range(MEETING, MEETING + BANDS * BAND_ROWS))):
-        band = i // BAND_ROWS
-        out[:, band] = mix64(out[:, band] + m + np.uint64(band + 1))
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """paragraphs x BANDS keys, of the paragraphs' shingles."""
+    size = np.array([len(s) for s in sets])
+    together, start = np.concatenate(sets), np.cumsum(size) - size
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for i in range(BANDS * BAND_ROWS):
+        band, own = i // BAND_ROWS, MEETING + i
+        least = np.minimum.reduceat((together * _A[own] + _B[own]) >> np.uint64(16), start)
+        out[:, band] = mix64(out[:, band] + least + np.uint64(band + 1))
     return out
 
 
@@ -113,10 +121,10 @@ def long_paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def text_keys(text: str) -> np.ndarray:
     words, *_ = word_hashes(text.encode("utf-8"))
     begin, end = long_paragraphs(words)
-    return np.unique(meeting_keys(words, begin, end)) if len(begin) else np.zeros(0, np.uint64)
+    return np.unique(meeting_keys(_shingles(words), begin, end)) if len(begin) else np.zeros(0, np.uint64)
 
 
-_CANDIDATE = "chunk long, doc_id long, begin long, finish long, digest binary, par_id long, keys array<long>, text string"
+_CANDIDATE = "chunk long, doc_id long, begin long, finish long, digest binary, par_id long, keys array<long>, small binary, text string"
 
 
 def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +143,8 @@ def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         begin, end = long_paragraphs(words)
         if not len(begin):
             continue
-        keys = meeting_keys(words, begin, end)
+        shingles = _shingles(words)
+        keys = meeting_keys(shingles, begin, end)
         at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
         hit = np.flatnonzero((shared[at] == keys).any(axis=1))
         fresh = []
@@ -144,21 +153,67 @@ def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
             digest = hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest()
             lo, hi = int(first[a]), int(last[b - 1])
             if digest in seen:
-                out.append([chunk, doc_id, lo, hi, digest, None, None, None])
+                out.append([chunk, doc_id, lo, hi, digest, None, None, None, None])
                 continue
             seen.add(digest)
             number += 1
-            fresh.append((i, len(out)))
-            out.append([chunk, doc_id, lo, hi, digest, number, None, data[lo:hi].decode("utf-8")])
+            fresh.append((len(out), shingles[a : b - WIDTH + 1]))
+            small = (fresh[-1][1] >> np.uint64(32)).astype(np.uint32).tobytes()
+            out.append([chunk, doc_id, lo, hi, digest, number, None, small, data[lo:hi].decode("utf-8")])
         if fresh:
-            own = np.array([i for i, _ in fresh])
-            for (_, place), bands in zip(fresh, band_keys(words, begin[own], end[own]).astype(np.int64), strict=True):
+            for (place, _), bands in zip(fresh, band_keys([x for _, x in fresh]).astype(np.int64), strict=True):
                 out[place][6] = bands
     if len(seen) >= 1 << 24:
         raise ValueError("a chunk of documents has too many paragraphs; make CHUNK_DOCS smaller")
     return pd.DataFrame(out, columns=cols, dtype=object).astype({"chunk": "int64", "doc_id": "int64", "begin": "int64", "finish": "int64", "par_id": "Int64"})
 
 
+def bucket_links(ids: list[int], sets: list[frozenset[int]]) -> list[tuple[int, int]]:
+    """Links that connect whatever similar sets connect; a pair that links already connect is not compared."""
+    n = len(ids)
+    comp = list(range(n))
+    out = []
+    for i in range(n):
+        one, size = sets[i], len(sets[i])
+        for j in range(i + 1, n):
+            if comp[j] == comp[i]:
+                continue
+            both = len(one & sets[j])
+            if 100 * both >= PERCENT * (size + len(sets[j]) - both):
+                out.append((ids[i], ids[j]))
+                old, new = comp[j], comp[i]
+                comp = [new if c == old else c for c in comp]
+    return out
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links within groups of equal (k, x, y), whose rows follow each other."""
+    group, ids, sets = None, [], []
+    for batch in batches:
+        out = []
+        for *key, i, small in zip(batch["k"], batch["x"], batch["y"], batch["par_id"], batch["small"], strict=True):
+            if key != group:
+                out += bucket_links(ids, sets)
+                group, ids, sets = key, [], []
+            ids.append(i)
+            sets.append(frozenset(np.frombuffer(small, np.uint32).tolist()))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    yield pd.DataFrame(bucket_links(ids, sets), columns=["a", "b"], dtype="int64")
+
+
+def similar_contents(reps: DataFrame, folder: str) -> DataFrame:
+    """(a, b) of reps (par_id, keys, small) that share a bucket and whose 32-bit shingle sets are similar."""
+    keyed = reps.select("par_id", F.explode("keys").alias("k"))
+    several = keyed.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialize(keyed.join(several, "k"), folder, "members")
+    blocks = F.floor((F.col("size") - 1) / BLOCK) + 1
+    block = F.pmod(F.xxhash64("par_id"), blocks)
+    dealt = members.select("k", "par_id", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("k", "par_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    dealt = dealt.join(reps.select("par_id", "small"), "par_id").repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "par_id")
+    return dealt.select("k", "x", "y", "par_id", "small").mapInPandas(_compare, "a long, b long").distinct()
+
+
 def _remove(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
     cols = ["doc_id", "n_bytes", "n_paragraphs", "n_repeated", "n_removed", "n_spans", "class_id", "kept_sha256"]
     by = {k: g for k, g in gone.groupby("doc_id")} if len(gone) else {}
@@ -192,16 +247,13 @@ def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
     classes = candidates.filter("par_id is not null").groupBy("digest").agg(F.min("par_id").alias("rep"))
     least = candidates.groupBy("digest").agg(F.min("doc_id").alias("least"))
     classes = materialize(classes.join(least, "digest"), folder, "classes")
-    reps = candidates.filter("par_id is not null").select("par_id", "keys", "text").join(classes.select(F.col("rep").alias("par_id")), "par_id", "left_semi")
+    contents = candidates.filter("par_id is not null")
+    reps = contents.select("par_id", "keys", "small").join(classes.select(F.col("rep").alias("par_id")), "par_id", "left_semi")
     reps = materialize(reps, folder, "reps")
-    # Only contents that share a key with another content are compared.
-    keyed = reps.select("par_id", F.explode("keys").alias("k"))
-    several = keyed.groupBy("k").agg(F.min("par_id").alias("lo"), F.max("par_id").alias("hi")).filter("lo < hi").select("k")
-    near = keyed.join(several, "k", "left_semi").select("par_id").distinct()
-    compared = materialize(reps.join(near, "par_id", "left_semi").select("par_id", "text"), folder, "near")
-    linked = minhash.near_duplicates(compared, PERCENT, WIDTH, "par_id", F.col("text"))
-    linked = linked.filter("par_id <> component_id").select(F.col("par_id").alias("rep"), "component_id")
-    known = classes.join(linked, "rep", "left").withColumn("component", F.coalesce("component_id", "rep"))
+    links = materialize(similar_contents(reps, folder), folder, "similar")
+    links = materialize(minhash.exact_links(links, contents, PERCENT, WIDTH, "par_id", contents["text"]), folder, "links")
+    linked = connected_components(links, folder, "paragraphs").select(F.col("node").alias("rep"), "component")
+    known = classes.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = materialize(known.select("digest", "component", "least"), folder, "known")
     first = known.groupBy("component").agg(F.min("least").alias("first"))
     known = known.join(first, "component").select("digest", F.col("first").alias("least"))
