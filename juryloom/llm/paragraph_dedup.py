@@ -34,6 +34,8 @@ MEETING = 5
 #: Bands in which contents meet for comparison: 8 of 3 minima find a pair of 0.8 with probability 0.997, one of 0.9
 #: with 1 - 3e-5, and leave out most paragraphs that only overlap.
 BANDS, BAND_ROWS = 8, 3
+#: Shingles whose band keys are found together.
+BATCH_SHINGLES = 1 << 18
 #: Paragraphs of a bucket that are compared with as many others in one task.
 BLOCK = 512
 #: Words on either side that a cut's hash must beat, and the least words of a paragraph.
@@ -128,13 +130,24 @@ _CANDIDATE = "chunk long, doc_id long, begin long, finish long, digest binary, p
 
 
 def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-    """Paragraphs of a chunk that have a shared key; their text once for each chunk and content."""
+    """Paragraphs of a chunk that have a shared key; par_id, keys and texts once for each chunk and content, else 0 and null."""
     cols = [c.split(" ")[0] for c in _CANDIDATE.split(", ")]
     if not len(docs) or not len(info):
         return pd.DataFrame([], columns=cols)
     shared = np.sort(np.concatenate([np.frombuffer(s, np.uint64) for s in info["shared"]]))
     seen: set[bytes] = set()
-    out = []
+    ids, los, his, digests, numbers, smalls, texts = [], [], [], [], [], [], []
+    bands: list[np.ndarray | None] = []
+    pending: list[np.ndarray] = []
+    places: list[int] = []
+    n_pending = 0
+
+    def flush() -> None:
+        for place, keys in zip(places, band_keys(pending).astype(np.int64), strict=True):
+            bands[place] = keys
+        pending.clear()
+        places.clear()
+
     chunk = int(docs["chunk"].iat[0])
     number = chunk << 24
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
@@ -146,26 +159,35 @@ def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         shingles = _shingles(words)
         keys = meeting_keys(shingles, begin, end)
         at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
-        hit = np.flatnonzero((shared[at] == keys).any(axis=1))
-        fresh = []
-        for i in hit.tolist():
-            a, b = int(begin[i]), int(end[i])
+        hit = (shared[at] == keys).any(axis=1)
+        begin, end = begin[hit], end[hit]
+        halves = (shingles >> np.uint64(32)).astype(np.uint32)
+        for a, b, lo, hi in zip(begin.tolist(), end.tolist(), first[begin].tolist(), last[end - 1].tolist(), strict=True):
             digest = hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest()
-            lo, hi = int(first[a]), int(last[b - 1])
-            if digest in seen:
-                out.append([chunk, doc_id, lo, hi, digest, None, None, None, None])
-                continue
-            seen.add(digest)
-            number += 1
-            fresh.append((len(out), shingles[a : b - WIDTH + 1]))
-            small = (fresh[-1][1] >> np.uint64(32)).astype(np.uint32).tobytes()
-            out.append([chunk, doc_id, lo, hi, digest, number, None, small, data[lo:hi].decode("utf-8")])
-        if fresh:
-            for (place, _), bands in zip(fresh, band_keys([x for _, x in fresh]).astype(np.int64), strict=True):
-                out[place][6] = bands
+            fresh = digest not in seen
+            if fresh:
+                seen.add(digest)
+                number += 1
+                places.append(len(ids))
+                pending.append(shingles[a : b - WIDTH + 1])
+                n_pending += b - a
+            ids.append(doc_id)
+            los.append(lo)
+            his.append(hi)
+            digests.append(digest)
+            numbers.append(number if fresh else 0)
+            bands.append(None)
+            smalls.append(halves[a : b - WIDTH + 1].tobytes() if fresh else None)
+            texts.append(data[lo:hi].decode("utf-8") if fresh else None)
+        if n_pending >= BATCH_SHINGLES:
+            flush()
+            n_pending = 0
+    if pending:
+        flush()
     if len(seen) >= 1 << 24:
         raise ValueError("a chunk of documents has too many paragraphs; make CHUNK_DOCS smaller")
-    return pd.DataFrame(out, columns=cols, dtype=object).astype({"chunk": "int64", "doc_id": "int64", "begin": "int64", "finish": "int64", "par_id": "Int64"})
+    columns = (np.full(len(ids), chunk), ids, los, his, digests, numbers, bands, smalls, texts)
+    return pd.DataFrame(dict(zip(cols, columns, strict=True)))
 
 
 def bucket_links(ids: list[int], sets: list[frozenset[int]]) -> list[tuple[int, int]]:
@@ -216,20 +238,21 @@ def similar_contents(reps: DataFrame, folder: str) -> DataFrame:
 
 def _remove(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
     cols = ["doc_id", "n_bytes", "n_paragraphs", "n_repeated", "n_removed", "n_spans", "class_id", "kept_sha256"]
-    by = {k: g for k, g in gone.groupby("doc_id")} if len(gone) else {}
+    gone = gone.sort_values("doc_id", kind="stable")
+    owner, begins, finishes, leasts = (gone[c].to_numpy(np.int64) for c in ("doc_id", "begin", "finish", "least"))
     out = []
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
         data = text.encode("utf-8")
         begin, _ = paragraphs(word_hashes(data)[0])
         n_removed = n_spans = n_repeated = 0
         least, kept = doc_id, data
-        if doc_id in by:
-            g = by[doc_id]
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, g["begin"].to_numpy(np.int64), 1)
-            np.add.at(edge, g["finish"].to_numpy(np.int64), -1)
+        own = slice(*np.searchsorted(owner, [doc_id, doc_id + 1]).tolist())
+        if own.start < own.stop:
+            edge = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edge, begins[own], 1)
+            np.add.at(edge, finishes[own], -1)
             mask = np.cumsum(edge)[: len(data)] > 0
-            n_removed, n_repeated, least = int(mask.sum()), len(g), int(g["least"].min())
+            n_removed, n_repeated, least = int(mask.sum()), own.stop - own.start, int(leasts[own].min())
             n_spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0])
             kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
         out.append((doc_id, len(data), len(begin), n_repeated, n_removed, n_spans, least, hashlib.sha256(kept).hexdigest()))
@@ -244,10 +267,10 @@ def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
     shared = found.groupBy("bucket").applyInPandas(shared_keys, "chunk long, shared binary")
     found = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_candidates, _CANDIDATE)
     candidates = materialize(found, folder, "candidates")
-    classes = candidates.filter("par_id is not null").groupBy("digest").agg(F.min("par_id").alias("rep"))
+    classes = candidates.filter("par_id > 0").groupBy("digest").agg(F.min("par_id").alias("rep"))
     least = candidates.groupBy("digest").agg(F.min("doc_id").alias("least"))
     classes = materialize(classes.join(least, "digest"), folder, "classes")
-    contents = candidates.filter("par_id is not null")
+    contents = candidates.filter("par_id > 0")
     reps = contents.select("par_id", "keys", "small").join(classes.select(F.col("rep").alias("par_id")), "par_id", "left_semi")
     reps = materialize(reps, folder, "reps")
     links = materialize(similar_contents(reps, folder), folder, "similar")
