@@ -9,6 +9,8 @@ from juryloom.llm.common import materialize, shared_dir, table
 
 #: Below it a text's n-grams stand like those of no learned language.
 LEAST_LANGUAGE_SCORE = 0.05
+#: Least similarity of near copies on word shingles; op7_minhash alone has its own, 85.
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
+    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -59,3 +59,21 @@ def test_stages(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in seen[4][2]) == sorted((r["doc_id"], len(enc.encode(r["text"])) // 4) for r in seen[4][1])
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     assert all(list(rows[0].asDict()) == columns for _, rows, _ in seen)
+
+
+def test_near_copies_from_080_on_go(spark):
+    rng = random.Random(80)
+    texts = {i: [f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(60)] for i in range(30)}
+    for i in range(12):  # one word changed: 51 of 61 shingles, 0.836
+        texts[100 + i] = [*texts[i][:30], "changed", *texts[i][31:]]
+    for i in range(12, 20):  # two words changed: below 0.8
+        texts[100 + i] = [*texts[i][:15], "changed", *texts[i][16:45], "twice", *texts[i][46:]]
+    docs = spark.createDataFrame([(k, " ".join(w), "en") for k, w in texts.items()], "doc_id long, text string, lang string")
+    sets = {k: shingles(" ".join(w)) for k, w in texts.items()}
+    ids = sorted(sets)
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    assert sum(0.8 <= s < 0.85 for s in share.values()) == 12
+    comp = components(ids, [p for p, s in share.items() if s >= 0.8])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, c in comp.items() if k == c}
+    assert kept.columns == docs.columns
