@@ -1,15 +1,16 @@
 """Removal of repeated paragraphs: MinHash banding, exact Jaccard, components of paragraphs.
 
-Passages repeat at any place of a text, seldom at line ends, so paragraphs are cut by content: a word is a cut where
-the hash of it and its neighbours is the least around; a paragraph runs from each cut (and the text's start) to the
-first cut PARAGRAPH_WORDS further on, so that equal passages hold equal paragraphs wherever they stand. Paragraphs
-overlap and together cover the text.
+Lines and stretches between blank lines are paragraphs. Passages also repeat at any other place of a text, so further
+paragraphs are cut by content: a word is a cut where the hash of it and its neighbours is the least around; a paragraph
+runs from each cut (and the text's start) to the first cut PARAGRAPH_WORDS further on, so that equal passages hold
+equal paragraphs wherever they stand. Paragraphs overlap and together cover the text.
 
 Every paragraph has MEETING minima of its word shingles. Which of these several documents have is found on packed
 arrays; only paragraphs with such a minimum go on. Equal ones are put together; different ones meet in buckets, one
 for each band of BAND_ROWS further minima, where their shingle sets are compared as 32-bit hashes. What agrees there is
 compared exactly, and linked ones form components. Of each component the paragraphs of the document with the smallest
-doc_id stay, all others are removed. A bucket is dealt over blocks, and a task compares two blocks; within it only
+doc_id stay, all others are removed, with the words on either side that are also those beside the one that stays: a
+passage's edges lie outside its cuts. A bucket is dealt over blocks, and a task compares two blocks; within it only
 paragraphs that no links connect yet are compared.
 """
 
@@ -39,7 +40,11 @@ BATCH_SHINGLES = 1 << 18
 #: Paragraphs of a bucket that are compared with as many others in one task.
 BLOCK = 512
 #: Words on either side that a cut's hash must beat, and the least words of a paragraph.
-REACH, PARAGRAPH_WORDS = 4, 16
+REACH, PARAGRAPH_WORDS = 2, 8
+#: Words on either side of a removed paragraph that are compared with those beside the one that stays.
+AROUND = 24
+#: Words of the paragraph that stays, at either end, in which a removed one's shingles are looked for.
+EDGE = 12
 WIDTH, PERCENT = 5, 80
 #: Characters of the corpus for each bucket of keys.
 BUCKET_CHARS = 4_000_000
@@ -62,8 +67,24 @@ def cuts(words: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least) + REACH + 1
 
 
-def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and ends of the paragraphs; the text's start and end are cuts too."""
+def natural(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(first word, end) of the lines and of the stretches between blank lines; first and last are the words' bytes."""
+    n = len(first)
+    buf = np.frombuffer(data, np.uint8)
+    newline = buf == 10
+    newline[:-1] |= (buf[:-1] == 13) & (buf[1:] != 10)
+    before = np.append(0, np.cumsum(newline))
+    gap = before[first[1:]] - before[last[:-1]]
+    out = []
+    for least in (1, 2):
+        at = np.concatenate([[0], np.flatnonzero(gap >= least) + 1, [n]])
+        out.append(np.stack([at[:-1], at[1:]], axis=1))
+    return np.concatenate(out)
+
+
+def paragraphs(words: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the paragraphs, in order: own as natural gives them (by default the whole text) if they
+    have a shingle, and those between cuts; the text's start and end are cuts too."""
     n = len(words)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,7 +96,10 @@ def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = np.flatnonzero(end == n)
     keep = np.ones(len(begin), bool)
     keep[last[1:]] = False
-    return begin[keep], end[keep]
+    own = np.array([[0, n]]) if own is None else own
+    own = own[own[:, 1] - own[:, 0] >= WIDTH]
+    both = np.unique(np.concatenate([begin[keep], own[:, 0]]) * (n + 1) + np.concatenate([end[keep], own[:, 1]]))
+    return both // (n + 1), both % (n + 1)
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -113,16 +137,21 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def long_paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The paragraphs that have a shingle."""
-    begin, end = paragraphs(words)
+def text_paragraphs(data: bytes) -> tuple[np.ndarray, ...]:
+    """Hashes, first and last bytes of the words; first words and ends of the paragraphs."""
+    words, first, last = word_hashes(data)
+    return words, first, last, *paragraphs(words, natural(data, first, last) if len(words) else None)
+
+
+def long_paragraphs(data: bytes) -> tuple[np.ndarray, ...]:
+    """As text_paragraphs, with the paragraphs that have a shingle."""
+    words, first, last, begin, end = text_paragraphs(data)
     some = end - begin >= WIDTH
-    return begin[some], end[some]
+    return words, first, last, begin[some], end[some]
 
 
 def text_keys(text: str) -> np.ndarray:
-    words, *_ = word_hashes(text.encode("utf-8"))
-    begin, end = long_paragraphs(words)
+    words, _, _, begin, end = long_paragraphs(text.encode("utf-8"))
     return np.unique(meeting_keys(_shingles(words), begin, end)) if len(begin) else np.zeros(0, np.uint64)
 
 
@@ -152,8 +181,7 @@ def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
     number = chunk << 24
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
         data = text.encode("utf-8")
-        words, first, last = word_hashes(data)
-        begin, end = long_paragraphs(words)
+        words, first, last, begin, end = long_paragraphs(data)
         if not len(begin):
             continue
         shingles = _shingles(words)
@@ -236,14 +264,47 @@ def similar_contents(reps: DataFrame, folder: str) -> DataFrame:
     return dealt.select("k", "x", "y", "par_id", "small").mapInPandas(_compare, "a long, b long").distinct()
 
 
+def _surroundings(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """The hashes of up to AROUND words before and after each of the places, with up to EDGE of its own beside them."""
+    out = []
+    of = {k: group for k, group in places.groupby("doc_id")} if len(docs) else {}
+    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+        if doc_id not in of:
+            continue
+        words, first, last = word_hashes(text.encode("utf-8"))
+        own = of[doc_id]
+        begin, end = np.searchsorted(first, own["begin"].to_numpy()), np.searchsorted(last, own["finish"].to_numpy()) + 1
+        for like, a, b in zip(own["like"], begin.tolist(), end.tolist(), strict=True):
+            out.append((like, words[max(0, a - AROUND) : min(b, a + EDGE)].tobytes(), words[max(a, b - EDGE) : b + AROUND].tobytes()))
+    return pd.DataFrame(out, columns=["like", "before", "after"])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _beyond(outside: np.ndarray, own: np.ndarray, stays: np.ndarray) -> int:
+    """How many words of outside, which goes on after own, are those of stays after the last shingle of both."""
+    for t in range(len(own), max(WIDTH, len(own) - EDGE + WIDTH) - 1, -1):
+        some = own[t - WIDTH : t]
+        for at in np.flatnonzero(stays == some[0]).tolist():
+            if len(stays) >= at + WIDTH and (stays[at : at + WIDTH] == some).all():
+                return max(0, _common(np.concatenate([own[t:], outside]), stays[at + WIDTH :]) - (len(own) - t))
+    return 0
+
+
 def _remove(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
     cols = ["doc_id", "n_bytes", "n_paragraphs", "n_repeated", "n_removed", "n_spans", "class_id", "kept_sha256"]
     gone = gone.sort_values("doc_id", kind="stable")
     owner, begins, finishes, leasts = (gone[c].to_numpy(np.int64) for c in ("doc_id", "begin", "finish", "least"))
+    befores, afters = gone["before"].to_numpy(object), gone["after"].to_numpy(object)
     out = []
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
         data = text.encode("utf-8")
-        begin, _ = paragraphs(word_hashes(data)[0])
+        words, first, last, begin, _ = text_paragraphs(data)
         n_removed = n_spans = n_repeated = 0
         least, kept = doc_id, data
         own = slice(*np.searchsorted(owner, [doc_id, doc_id + 1]).tolist())
@@ -252,6 +313,16 @@ def _remove(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
             np.add.at(edge, begins[own], 1)
             np.add.at(edge, finishes[own], -1)
             mask = np.cumsum(edge)[: len(data)] > 0
+            i, j = np.searchsorted(first, begins[own]), np.searchsorted(last, finishes[own]) + 1
+            for a, b, left, right in zip(i.tolist(), j.tolist(), befores[own], afters[own], strict=True):
+                if a and not mask[first[a - 1]]:
+                    same = _beyond(words[max(0, a - AROUND) : a][::-1], words[a:b][::-1], np.frombuffer(left, np.uint64)[::-1])
+                    mask[first[a - same] : first[a]] = True
+                if b < len(words) and not mask[first[b]]:
+                    same = _beyond(words[b : b + AROUND], words[a:b], np.frombuffer(right, np.uint64))
+                    mask[last[b - 1] : last[b + same - 1]] = True
+            for k in np.flatnonzero(mask[first[:-1]] & mask[first[1:]] & ~mask[last[:-1]]).tolist():
+                mask[last[k] : first[k + 1]] = True
             n_removed, n_repeated, least = int(mask.sum()), own.stop - own.start, int(leasts[own].min())
             n_spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0])
             kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
@@ -260,7 +331,8 @@ def _remove(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
-    """(chunk, doc_id, begin, finish, least): byte ranges whose component has a document of smaller id; rows as by_chunk gives."""
+    """(chunk, doc_id, begin, finish, least, before, after): byte ranges whose component has a document of smaller id, and
+    the words around the first equal one, or else the component's first; rows as by_chunk gives."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / BUCKET_CHARS))
     found = rows.select("chunk", "text").mapInPandas(chunked_keys(buckets, text_keys), "chunk long, bucket int, hashes binary, repeated binary")
@@ -278,14 +350,25 @@ def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
     linked = connected_components(links, folder, "paragraphs").select(F.col("node").alias("rep"), "component")
     known = classes.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = materialize(known.select("digest", "component", "least"), folder, "known")
-    first = known.groupBy("component").agg(F.min("least").alias("first"))
-    known = known.join(first, "component").select("digest", F.col("first").alias("least"))
-    return candidates.select("chunk", "doc_id", "begin", "finish", "digest").join(known, "digest").filter("doc_id > least").select("chunk", "doc_id", "begin", "finish", "least")
+    first = known.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("first"))
+    known = known.withColumnRenamed("least", "own").join(first, "component")
+    known = known.select("digest", "own", F.col("first.least").alias("least"), F.col("first.digest").alias("first"))
+    placed = candidates.select("chunk", "doc_id", "begin", "finish", "digest").join(known, "digest")
+    like = F.when(F.col("doc_id") > F.col("own"), F.col("digest")).otherwise(F.col("first")).alias("like")
+    gone = placed.filter("doc_id > least").select("chunk", "doc_id", "begin", "finish", "least", like)
+    gone = materialize(gone, folder, "found")
+    stay = placed.filter("doc_id = own").join(gone.select(F.col("like").alias("digest")).distinct(), "digest", "left_semi")
+    stay = stay.groupBy(F.col("digest").alias("like")).agg(F.min(F.struct("doc_id", "begin", "finish", "chunk")).alias("at"))
+    stay = stay.select("like", "at.*")
+    around = rows.groupBy("chunk").cogroup(stay.groupBy("chunk")).applyInPandas(_surroundings, "like binary, before binary, after binary")
+    return gone.join(around, "like").select("chunk", "doc_id", "begin", "finish", "least", "before", "after")
 
 
 def remove_paragraphs(docs: DataFrame) -> DataFrame:
     """Take out of each document the paragraphs that are near-duplicates of one in a document of smaller doc_id.
 
+    With a paragraph go the words beside it, up to AROUND on either side, that equal those beside the first equal
+    paragraph (else the component's first), and the separators between removed words.
     Two paragraphs are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; links
     form components. Returns per document: doc_id, n_bytes, n_paragraphs, n_repeated (paragraphs taken out),
     n_removed (bytes), n_spans (maximal removed stretches), class_id (the smallest doc_id that holds one of its

@@ -173,6 +173,29 @@ def test_planted_passages_are_found_wherever_they_stand(spark):
     assert paragraph_dedup.remove_paragraphs(empty(spark)).count() == 0
 
 
+def test_short_passages_lines_and_changed_paragraphs_go_whole(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    some, size = [], []
+    for i in range(90):
+        kind, passage = ("within", "line", "paragraph")[i // 30], prose([rng.randrange(20, 56), rng.randrange(5, 13), 60][i // 30])
+        between = {"within": " ", "line": "\n", "paragraph": "\n\n"}[kind]
+        some.append(f"{prose(40)}{between}{passage}{between}{prose(40)}")
+        if kind == "paragraph":  # 51 of 61 shingles, in two lines
+            w = passage.split(" ")
+            passage = " ".join(w[:30]) + "\nchanged " + " ".join(w[31:])
+        some.append(f"{prose(40)}{between}{passage}{between}{prose(40)}")
+        size.append(len(passage))
+    got = by_id(paragraph_dedup.remove_paragraphs(frame(spark, some)))
+    removed = [got[(2 * i + 1) * 3 + 1]["n_removed"] for i in range(90)]
+    assert not any(got[2 * i * 3 + 1]["n_removed"] for i in range(90))
+    # A paragraph that ends a word or two outside a passage is similar too.
+    whole = [n <= r <= n + 30 for r, n in zip(removed, size, strict=True)]
+    off = [(i, r, n) for i, (r, n) in enumerate(zip(removed, size, strict=True)) if not n <= r <= n + 30]
+    assert sum(whole[:30]) >= 29 and all(whole[30:60]) and sum(whole[60:]) >= 29, str(off)
+
+
 # --- language model -------------------------------------------------------------------------------------------
 
 
