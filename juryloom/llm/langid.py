@@ -110,18 +110,14 @@ def learn(docs: DataFrame) -> Profiles:
     return Profiles({lang: [code for _, code in sorted(x)[:PROFILE]] for lang, x in by.items()})
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score; keep names the columns of docs to carry along (all by default)."""
-    rows = docs.select(*(keep if keep is not None else docs.columns), F.col("text").alias("__text"))
-    out = rows.drop("__text").schema
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.fields), "lang_pred string", "score double"])
+def prediction(text: Column, profiles: Profiles) -> Column:
+    """A struct (lang_pred, score) of each text; only the texts go to Python."""
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [profiles.predict(t) for t in batch["__text"]]
-            yield batch.drop(columns="__text").assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
+    @F.pandas_udf("lang_pred string, score double")
+    def label(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return rows.mapInPandas(label, ddl)
+    return label(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,5 +132,5 @@ def identify(docs: DataFrame) -> DataFrame:
     null lang teach nothing; repeated rows count as often as they occur; further columns are ignored.
     """
     profiles = learn(docs.filter(~held_out(docs["doc_id"])))
-    rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")
-    return predict(rows, profiles, keep=["doc_id", "held_out"])
+    rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), prediction(docs["text"], profiles).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")

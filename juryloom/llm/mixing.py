@@ -33,11 +33,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPACE + "+"), lambda w: w != "")
 
 
-def buckets(text: Column) -> Column:
-    """The distinct hash buckets of the words and of their last characters."""
-    w = words(text)
-    whole = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_BUCKETS)).cast("int"))
-    last = F.transform(w, lambda x: (F.pmod(F.xxhash64(F.right(x, F.lit(1))), F.lit(SHAPE_BUCKETS)) + WORD_BUCKETS).cast("int"))
+def buckets(found: Column) -> Column:
+    """The distinct hash buckets of words and of their last characters."""
+    whole = F.transform(found, lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_BUCKETS)).cast("int"))
+    last = F.transform(found, lambda x: (F.pmod(F.xxhash64(F.right(x, F.lit(1))), F.lit(SHAPE_BUCKETS)) + WORD_BUCKETS).cast("int"))
     return F.array_distinct(F.concat(whole, last))
 
 
@@ -49,18 +48,23 @@ class Classifier:
     prior: tuple[float, ...]
     weights: tuple[tuple[float, ...], ...]
 
-    def posteriors(self, found: Column) -> list[Column]:
-        """Posterior of each domain, from a document's buckets."""
+    def with_posteriors(self, rows: DataFrame, found: str) -> DataFrame:
+        """rows, whose column found has a document's buckets, with p_<domain> in its place.
+
+        Each domain's weights stand once in the plan: the sums are columns before anything is made of them.
+        """
+        others = [c for c in rows.columns if c != found]
 
         def log_odds(prior: float, weights: tuple[float, ...]) -> Column:
             table = F.from_json(F.lit("[" + ",".join(f"{w:.6g}" for w in weights) + "]"), "array<double>")
             return F.aggregate(found, F.lit(prior), lambda s, i: s + F.get(table, i))
 
         logs = [F.lit(0.0), *map(log_odds, self.prior[1:], self.weights[1:])]
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        odds = [F.exp(x - top) for x in logs]
-        total = sum(odds[1:], odds[0])
-        return [o / total for o in odds]
+        rows = rows.select(*others, *(x.alias(f"l_{d}") for x, d in zip(logs, self.domains, strict=True)))
+        top = F.greatest(*(f"l_{d}" for d in self.domains)) if len(self.domains) > 1 else F.col(f"l_{self.domains[0]}")
+        rows = rows.select(*others, *(F.exp(F.col(f"l_{d}") - top).alias(f"o_{d}") for d in self.domains))
+        total = sum((F.col(f"o_{d}") for d in self.domains[1:]), F.col(f"o_{self.domains[0]}"))
+        return rows.select(*others, *((F.col(f"o_{d}") / total).alias(f"p_{d}") for d in self.domains))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = tuple(TARGETS), train_rows: int = TRAIN_ROWS) -> Classifier:
@@ -74,7 +78,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...]
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     sample = one.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(sample), "doc_id")  # train_rows rows of 12 bytes
-    seen = rows.select("kind", F.explode(F.concat(F.array(F.lit(-1)), buckets(F.col("text")))).alias("bucket"))
+    seen = rows.select("kind", F.explode(F.concat(F.array(F.lit(-1)), buckets(words(F.col("text"))))).alias("bucket"))
     counts = np.zeros((len(domains), WORD_BUCKETS + SHAPE_BUCKETS + 1))
     for r in seen.groupBy("kind", "bucket").count().collect():  # domains x buckets rows at most
         counts[r["kind"], r["bucket"]] = r["count"]
@@ -114,11 +118,11 @@ def fit_rates(scored: DataFrame, domains: tuple[str, ...], targets: dict[str, fl
     best: tuple[float, int] = (float("inf"), 0)
     want = None
     for _ in range(MAX_STEPS):
-        rate = Rates(tuple(steps), 0.0).of(p)
-        free = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
-        sums = [F.sum("n_tokens").alias("n"), *(F.sum(rate * F.col("n_tokens") * x).alias(f"m{i}") for i, x in enumerate(p))]
+        rated = scored.select("n_tokens", *p, Rates(tuple(steps), 0.0).of(p).alias("rate"))
+        free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0)
+        sums = [F.sum("n_tokens").alias("n"), *(F.sum(F.col("rate") * F.col("n_tokens") * x).alias(f"m{i}") for i, x in enumerate(p))]
         sums += [F.sum(free * p[i] * p[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
-        got = scored.agg(*sums).first()
+        got = rated.agg(*sums).first()
         total = got["n"] or 0
         if total == 0:
             return Rates((), 0.0)
@@ -144,40 +148,46 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mix:
+    """A fitted mix; scored is a written table of doc (a struct of kept columns), n_tokens and p_<domain>."""
+
     classifier: Classifier
     rates: Rates
     scored: DataFrame
 
-    def rate_of(self, text: Column) -> Column:
-        return self.rates.of(self.classifier.posteriors(buckets(text)))
+    def rated(self) -> DataFrame:
+        """scored with each document's rate and its whole copies."""
+        chances = [F.col(f"p_{d}") for d in self.classifier.domains]
+        out = self.scored.withColumn("rate", self.rates.of(chances))
+        return out.withColumn("copies", copies(F.col("rate"), F.col("doc.doc_id")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, train_rows: int = TRAIN_ROWS) -> Mix:
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> Mix:
+    """Fit classifier and rates. One pass over the texts writes the posteriors, with the columns keep (doc_id among
+    them) beside them, so that neither the fitting steps nor the mixing read the texts' words again."""
     folder = shared_dir(docs.sparkSession)
     domains = tuple(targets)
     classifier = fit_classifier(docs, labels, domains, train_rows)
-    text = text_of(docs)
-    found = docs.select("doc_id", F.size(words(text)).cast("long").alias("n_tokens"), buckets(text).alias("found"))
-    chances = classifier.posteriors(F.col("found"))
-    scored = found.select("doc_id", "n_tokens", *(p.alias(f"p_{d}") for p, d in zip(chances, domains, strict=True)))
-    scored = materialize(scored, folder, "scored")
+    rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("doc"), words(text_of(docs)).alias("words"))
+    rows = rows.select("doc", F.size("words").cast("long").alias("n_tokens"), buckets(F.col("words")).alias("found"))
+    scored = materialize(classifier.with_posteriors(rows, "found"), folder, "scored")
     return Mix(classifier, fit_rates(scored, domains, targets, budget), scored)
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """Rates of all documents: doc_id, n_tokens, p_<domain>, rate, copies.
+    """Rates of all documents: doc_id, n_tokens, p_<domain>, rate, copies, shortfall.
 
-    Null text is an empty text, without tokens, judged by the prior. Repeated rows are rows of their own; further
-    columns are ignored; empty tables give no rows. If the targets can't be met, the nearest rates found stand.
+    shortfall is the same in all rows: what the fitted rates leave of the targets, summed over the domains, by the
+    targets' sum. Null text is an empty text, without tokens, judged by the prior; a null doc_id is an id of its own.
+    Repeated rows are rows of their own, all with the same rate and copies; further columns are ignored; empty
+    tables give no rows. If the targets can't be met, the nearest rates found stand.
     """
     fitted = fit(docs, labels, targets, budget)
-    chances = [F.col(f"p_{d}") for d in fitted.classifier.domains]
-    out = fitted.scored.withColumn("rate", fitted.rates.of(chances))
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    chances = [f"p_{d}" for d in fitted.classifier.domains]
+    return fitted.rated().select("doc.doc_id", "n_tokens", *chances, "rate", "copies", F.lit(fitted.rates.shortfall).alias("shortfall"))
 
 
-def apply_mix(docs: DataFrame, fitted: Mix) -> DataFrame:
-    """Each document as often as its rate says, with the columns of docs."""
-    n = copies(fitted.rate_of(text_of(docs)), docs["doc_id"])
-    repeated = docs.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)))))
-    return repeated.filter(n > 0).drop("__copy")
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """Each document as often as its rate says, with the columns of docs, whatever their names; rows as mix_documents'."""
+    rated = fit(docs, labels, targets, budget, keep=tuple(docs.columns)).rated().filter("copies > 0")
+    repeated = rated.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return repeated.select("doc.*")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from juryloom.llm import bpe, components, exact_dedup, gru, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, suffix, token_count, topk
 
@@ -389,12 +391,48 @@ def test_mixing_meets_targets(spark):
     have = [(got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in mixing.TARGETS]
     assert np.allclose(have, want, rtol=1e-3)
     assert abs((got["copies"] * got["n_tokens"]).sum() / (got["rate"] * got["n_tokens"]).sum() - 1) < 0.1
-    mixed = mixing.apply_mix(docs, mixing.fit(docs, marks))
+    mixed = mixing.apply_mix(docs, marks)
     assert mixed.columns == docs.columns
     assert Counter(r["doc_id"] for r in mixed.collect()) == {i: n for i, n in zip(got["doc_id"], got["copies"], strict=True) if n}
     none = mixing.mix_documents(docs.limit(0), marks.limit(0))
     assert none.count() == 0
     assert mixing.mix_documents(docs, marks.limit(0)).count() == 602
+    assert (got["shortfall"] < 1e-3).all()
+    plain_posteriors(docs, marks, got)
+    # Each domain's weights are in the plan once, but for the first domain's, which are 0.
+    fitted = mixing.fit(docs, marks)
+    spelled = fitted.classifier.with_posteriors(docs.select("doc_id", mixing.buckets(mixing.words(docs["text"])).alias("found")), "found")
+    assert spelled._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == len(mixing.TARGETS) - 1
+
+
+def plain_posteriors(docs, marks, got):
+    """Naive Bayes by dictionaries; every labelled row is within the sample's bound here."""
+    marked: dict[int, list] = {}
+    for r in marks.collect():
+        if None not in (r["doc_id"], r["quality"], r["toxic"]):
+            marked.setdefault(r["doc_id"], []).append(r)
+    kinds = {i: 2 if any(r["toxic"] == 1 for r in rs) else 1 if any(r["quality"] == 0 for r in rs) else 0 for i, rs in marked.items()}
+    spark_hash = lambda x: (xxhash.xxh64(x.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    found = {}
+    for r in docs.collect():
+        w = [x for x in re.split("[\x20\x09-\x0D]+", (r["text"] or "").lower()) if x]
+        found[r["doc_id"]] = {spark_hash(x) % mixing.WORD_BUCKETS for x in w} | {mixing.WORD_BUCKETS + spark_hash(x[-1]) % mixing.SHAPE_BUCKETS for x in w}
+    n = [sum(k == d and i in found for i, k in kinds.items()) for d in range(3)]
+    seen = [Counter(b for i, k in kinds.items() if k == d and i in found for b in found[i]) for d in range(3)]
+    logs: list[dict] = [{}, {}, {}]
+    for b in set().union(*seen):
+        every = sum(s[b] for s in seen)
+        both = (every + 0.5) / (sum(n) + 1)
+        for d in range(3):
+            own, rest = (seen[d][b] + 0.5) / (n[d] + 1), (every - seen[d][b] + 0.5) / (sum(n) - n[d] + 1)
+            error = math.sqrt(both * (1 - both) * (1 / (n[d] + 1) + 1 / (sum(n) - n[d] + 1)))
+            logs[d][b] = math.log(own / rest) if abs(own - rest) >= mixing.LEAST_Z * error else 0.0
+    none = [0.5 / (n[d] + 1) for d in range(3)], [0.5 / (sum(n) - n[d] + 1) for d in range(3)]
+    assert all(abs(a - b) < mixing.LEAST_Z * 0.01 for a, b in zip(*none, strict=True))  # buckets that no label has count for nothing
+    for r in got.to_dict("records"):
+        s = [math.log((n[d] + 1) / (sum(n) + 3)) + sum(logs[d].get(b, 0.0) for b in found[r["doc_id"]]) for d in range(3)]
+        odds = [math.exp(x - max(s)) for x in s]
+        assert np.allclose([r["p_high"], r["p_low"], r["p_toxic"]], np.array(odds) / sum(odds), atol=1e-4)
 
 
 # --- language identification ----------------------------------------------------------------------------------
