@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from juryloom.llm import bpe, exact_dedup, langid, minhash, mixing
 from juryloom.llm.common import materialize, shared_dir, table
@@ -16,8 +17,9 @@ NEAR_PERCENT = 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, and those like no language's profile, go."""
     profiles = langid.learn(docs.filter(~langid.held_out(docs["doc_id"])))
-    labelled = langid.predict(docs, profiles)
-    return labelled.filter((labelled["lang_pred"] != "und") & (labelled["score"] >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), langid.prediction(docs["text"], profiles).alias("found"))
+    known = (F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)
+    return rows.filter(known).select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat or go by the rates that give the domains their target shares."""
-    fitted = mixing.fit(docs, table(spark, sf_dir, "labels"))
-    return mixing.apply_mix(docs, fitted)
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
