@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,21 +14,19 @@ from pyspark.sql import functions as F
 #: Character class of the word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Only used where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    The session's own setting is read; it is set here only where it is unset.
+    The session's own setting is read. Where it is unset, a local session gets a folder of its own; on a cluster
+    that is an error, since no other folder is known to be shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        base = found or LOCAL_CHECKPOINTS
-        if not found:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/juryloom-{uuid.uuid4().hex}"
 
 
@@ -52,71 +51,37 @@ def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-#: Bits of a membership filter: 1 MiB, whatever the number of keys.
-FILTER_BITS = 1 << 23
-
-
-def _filter_bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-
-
-def membership_filter(keys: DataFrame) -> bytes:
-    """A bitmap of fixed size that has the bit of every key of a one-column frame."""
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for page, bits in zip(batch["page"], batch["bits"], strict=True):
-                new = np.frombuffer(bits, np.uint8)
-                pages[page] = pages[page] | new if page in pages else new
-        if pages:
-            yield pd.DataFrame({"page": list(pages), "bits": [x.tobytes() for x in pages.values()]})
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS, np.uint8)
-        for batch in batches:
-            bits[batch["bit"].to_numpy()] = 1
-        packed = np.packbits(bits).reshape(-1, 4096)
-        used = np.flatnonzero(packed.any(axis=1))
-        if len(used):
-            yield pd.DataFrame({"page": used, "bits": [packed[i].tobytes() for i in used]})
-
-    key = keys.columns[0]
-    ddl = "page int, bits binary"
-    pages = keys.select(_filter_bit(F.col(key)).alias("bit")).mapInPandas(mark, ddl)
-    whole = np.zeros((FILTER_BITS // 8 // 4096, 4096), np.uint8)
-    for r in pages.repartition(8, "page").mapInPandas(merge, ddl).collect():  # FILTER_BITS / 8 / 4096 rows at most
-        whole[r["page"]] = np.frombuffer(r["bits"], np.uint8)
-    return whole.tobytes()
-
+#: Rows up to which a written table is broadcast; the tables concerned have rows of some hundred bytes at most.
+BROADCAST_ROWS = 50_000
+#: Parts over which the rows of one key are dealt in a salted join.
+SALTS = 128
 
-def bit_is_set(bit: Column, mask: bytes) -> Column:
-    """Whether a bitmap of fixed size has the bit; the bitmap goes to each executor once."""
-    held = SparkSession.getActiveSession().sparkContext.broadcast(mask)
 
-    @F.pandas_udf("boolean")
-    def test(bits: pd.Series) -> pd.Series:
-        at = bits.to_numpy()
-        return pd.Series((np.frombuffer(held.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+def bounded(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, broadcast if it is counted to have few rows; else a join with it shuffles."""
+    return F.broadcast(written) if written.count() <= rows else written
 
-    return test(bit)
 
+def hot_join(rows: DataFrame, written: DataFrame, key: str, by: str, how: str = "inner", few: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined (inner or left) with a written table that has one row at most for each key, though one key may
+    have any share of rows.
 
-def maybe_member(key: Column, mask: bytes) -> Column:
-    """True for every key of the filter, and for few others: thins rows out before they are shuffled for a join."""
-    return bit_is_set(_filter_bit(key), mask)
-
-
-def thinned_semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """rows whose key is among ids, a one-column frame: only rows that pass a filter of the ids are shuffled."""
-    mask = membership_filter(ids)
-    return rows.filter(maybe_member(F.col(key), mask)).join(ids, key, "left_semi")
+    A table of few rows is broadcast. Beyond that a key's rows are dealt over salts by the column by, and the
+    table's row goes to those salts alone that the key has.
+    """
+    if written.count() <= few:
+        return rows.join(F.broadcast(written), key, how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    wanted = salted.select(key, "__salt").distinct().join(written, key)
+    return salted.join(wanted, [key, "__salt"], how).drop("__salt")
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of a text that are hashed at once.
+PIECE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(4096, _BASE, dtype=np.uint64), dtype=np.uint64)
@@ -138,9 +103,7 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of UTF-8 data, A-Z lower-cased. Hashes depend on the bytes alone."""
-    buf = _LOWER[np.frombuffer(data, dtype=np.uint8)]
+def _piece_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = word_spans(buf)
     if not len(start):
         return np.zeros(0, np.uint64), start, end
@@ -159,6 +122,29 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(sums ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), start, end
 
 
+def word_hashes(data: bytes, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of UTF-8 data, A-Z lower-cased. Hashes depend on the bytes alone.
+
+    Long data is worked on in pieces that end between words, so that memory beside the result stays small.
+    """
+    buf = _LOWER[np.frombuffer(data, dtype=np.uint8)]
+    if len(buf) <= piece:
+        return _piece_hashes(buf)
+    found, begin = [], 0
+    while begin < len(buf):
+        end = min(begin + piece, len(buf))
+        while end < len(buf):  # on to the next separator
+            space = np.flatnonzero(_IS_SPACE[buf[end : end + piece]])
+            end += int(space[0]) if len(space) else piece
+            if len(space):
+                break
+        end = min(end, len(buf))
+        h, first, last = _piece_hashes(buf[begin:end])
+        found.append((h, first + begin, last + begin))
+        begin = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; with fewer words the whole sequence is one shingle."""
     words = word_hashes(data)[0]

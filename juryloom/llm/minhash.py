@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_member, membership_filter, mix64, shared_dir, shingle_set, text_of, thinned_semi_join
+from .common import bounded, hot_join, materialize, mix64, shared_dir, shingle_set, text_of
 from .components import connected_components
 
 #: 32 bands of 4 minima find a pair of similarity 0.85 with probability 1 - 6e-11, one of 0.8 with 1 - 5e-8.
@@ -24,6 +24,8 @@ MINIMA = BANDS * BAND_ROWS
 SIGNATURE_ERRORS = 5.0
 #: Signatures of a bucket that are compared with as many others in one task.
 BLOCK = 512
+#: Signatures or sets up to which a table of them is broadcast.
+FEW = 4_000
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,6 +70,12 @@ def sign(rows: DataFrame, key: str, text: Column, width: int) -> DataFrame:
     return rows.select(key, text.alias("text")).mapInPandas(one, ddl)
 
 
+def _with_both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with the value of each one's id; a may stand in any share of the pairs, b in a few."""
+    pairs = pairs.join(side.select(F.col("id").alias("b"), F.col(value).alias(f"{value}_b")), "b")
+    return hot_join(pairs, side.select(F.col("id").alias("a"), F.col(value).alias(f"{value}_a")), "a", "b", few=FEW)
+
+
 def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, size_a, size_b) on full sets."""
 
@@ -80,18 +88,19 @@ def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             size = [[len(x) // 8 for x in batch[c]] for c in ("set_a", "set_b")]
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": both, "size_a": size[0], "size_b": size[1]})
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    joined = _with_both(pairs, sets, "set")
     return joined.select("a", "b", "set_a", "set_b").mapInPandas(count, "a long, b long, both long, size_a long, size_b long")
 
 
 def _sets(rows: DataFrame, ids: DataFrame, key: str, text: Column, width: int) -> DataFrame:
+    """(id, set) of the rows whose key is among ids, a written table."""
+
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t.encode("utf-8"), width).tobytes() for t in batch["text"]]})
 
-    wanted = thinned_semi_join(rows.select(F.col(key).cast("long").alias("id"), text.alias("text")), ids, "id")
-    return wanted.mapInPandas(shingles, "id long, set binary")
+    wanted = rows.select(F.col(key).cast("long").alias("id"), text.alias("text")).join(bounded(ids), "id", "left_semi")
+    return wanted.mapInPandas(shingles, "id long, set binary").distinct()
 
 
 def agreement_floor(threshold: float) -> int:
@@ -103,12 +112,6 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def exact_links(pairs: DataFrame, rows: DataFrame, percent: int, width: int, key: str, text: Column) -> DataFrame:
-    """The pairs (a, b) of keys whose full shingle sets are similar."""
-    sets = _sets(rows, _ids(pairs), key, text, width)
-    return _intersections(pairs, sets).filter(f"100 * both >= {int(percent)} * (size_a + size_b - both)").select("a", "b")
-
-
 def _star_candidates(reps: DataFrame, floor: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """Members of the buckets that have several, and their signature-verified pairs with the bucket's first."""
     banded = reps.select("id", F.explode("bands").alias("bucket"))
@@ -116,9 +119,8 @@ def _star_candidates(reps: DataFrame, floor: int, folder: str) -> tuple[DataFram
     members = materialize(banded.join(several, "bucket"), folder, "members")
     pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = materialize(pairs, folder, "candidates")
-    sig = thinned_semi_join(reps.select("id", "sig"), _ids(pairs), "id")
-    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    ids = materialize(_ids(pairs), folder, "candidate-ids")
+    sig = materialize(reps.select("id", "sig").join(bounded(ids), "id", "left_semi"), folder, "candidate-signatures")
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,25 +130,25 @@ def _star_candidates(reps: DataFrame, floor: int, folder: str) -> tuple[DataFram
             ]
             yield batch.loc[np.array(equal, dtype=int) >= floor, ["a", "b"]]
 
-    return members, pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a long, b long")
+    return members, _with_both(pairs, sig, "sig").select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a long, b long")
 
 
-def _mixed_members(members: DataFrame, component: DataFrame) -> DataFrame:
+def _mixed_members(members: DataFrame, component: DataFrame, folder: str) -> DataFrame:
     """(bucket, pivot, size, id, component) of the buckets whose members are still in several components."""
     labelled = members.filter("size > 2").join(component, "id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
+    labelled = materialize(labelled.withColumn("component", F.coalesce("component", "id")), folder, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    return labelled.join(mixed.select("bucket"), "bucket", "left_semi")
+    return hot_join(labelled, materialize(mixed.select("bucket"), folder, "mixed-buckets"), "bucket", "id")
 
 
-def _rest_candidates(mixed: DataFrame, reps: DataFrame, sets: DataFrame, floor: int, percent: int) -> DataFrame:
+def _rest_candidates(mixed: DataFrame, ids: DataFrame, reps: DataFrame, sets: DataFrame, floor: int, percent: int) -> DataFrame:
     """Pairs within a bucket, of different components and not yet compared, whose signatures and sets agree.
 
     A bucket's members are dealt over blocks; a task compares two blocks. A pair that shares several buckets is
     taken in the first band in which its minima agree. Sets are compared by 32-bit halves of their hashes here,
     so that only what will be a link, but for a chance of about 1e-6, leaves the task.
     """
-    sig = thinned_semi_join(reps, mixed.select("id").distinct(), "id")
+    sig = reps.join(bounded(ids), "id", "left_semi")
     labelled = mixed.join(sig, "id")
     labelled = labelled.withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1).drop("bands")
 
@@ -197,41 +199,43 @@ def near_duplicates(rows: DataFrame, percent: int = 85, width: int = 5, key: str
 
     Returns per row: doc_id, n_shingles, component_id (least id reachable, itself included), kept. key is an
     integer column. Words are lower-cased in A-Z; a row with fewer words than width is one shingle; null text and
-    text without words have no shingle, link with nothing and are kept. Equal rows link with each other; an
-    empty table gives none; further columns are ignored.
+    text without words have no shingle, link with nothing and are kept. Rows of equal id are one node, which any of
+    their sets can link, and are kept together; rows of null id link with nothing, have no component and are kept; an empty table gives none; further columns
+    are ignored.
     """
     folder = shared_dir(rows.sparkSession)
     text = text if text is not None else text_of(rows)
     floor = agreement_floor(percent / 100)
     signed = materialize(sign(rows, key, text, width).withColumnRenamed(key, "id"), folder, "signed")
-    full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("set_key").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("size"))
-    classes = materialize(classes, folder, "classes")
-    shared = membership_filter(classes.filter("size > 1").select("set_key"))
-    repeated = maybe_member(F.col("set_key"), shared)
-    firsts = full.filter(repeated).join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    reps = full.filter(~repeated).unionByName(firsts)
-    reps = materialize(reps.select(F.col("id").cast("long").alias("id"), "sig", "bands"), folder, "reps")
+    kind = signed.schema["id"].dataType
+    signed = signed.withColumn("id", F.col("id").cast("long"))
+    full = signed.filter("n_shingles > 0 and id is not null")
+    repeated = full.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("size")).filter("size > 1")
+    repeated = materialize(repeated.select("set_key", "rep"), folder, "repeated")
+    known = hot_join(full, repeated, "set_key", "id", "left")
+    reps = known.filter("rep is null").unionByName(known.filter("id = rep").dropDuplicates(["set_key"]))
+    reps = materialize(reps.select("id", "sig", "bands"), folder, "reps")
 
     members, star = _star_candidates(reps, floor, folder)
     star = materialize(star, folder, "star")
     linked = f"100 * both >= {int(percent)} * (size_a + size_b - both)"
-    first = materialize(exact_links(star, rows, percent, width, key, text), folder, "links-1")
+    sets = materialize(_sets(rows, materialize(_ids(star), folder, "star-ids"), key, text, width), folder, "star-sets")
+    first = materialize(_intersections(star, sets).filter(linked).select("a", "b"), folder, "links-1")
     component = connected_components(first, folder, "first").select(F.col("node").alias("id"), "component")
-    mixed = materialize(_mixed_members(members, component), folder, "mixed")
+    mixed = materialize(_mixed_members(members, component, folder), folder, "mixed")
     final = component
     if not mixed.isEmpty():
-        sets = materialize(_sets(rows, mixed.select("id").distinct(), key, text, width), folder, "sets")
-        rest = materialize(_rest_candidates(mixed, reps, sets, floor, percent), folder, "rest")
+        ids = materialize(mixed.select("id").distinct(), folder, "mixed-ids")
+        sets = materialize(_sets(rows, ids, key, text, width), folder, "sets")
+        rest = materialize(_rest_candidates(mixed, ids, reps, sets, floor, percent), folder, "rest")
         second = materialize(_intersections(rest, sets).filter(linked).select("a", "b"), folder, "links-2")
         if not second.isEmpty():
             final = connected_components(first.unionByName(second), folder, "final").select(F.col("node").alias("id"), "component")
 
-    classes = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.filter("size > 1 or component is not null")
-    classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = full.select("id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    out = out.select("id", "n_shingles", F.coalesce("component_id", F.col("id").cast("long")).alias("component_id"))
-    empty = signed.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").cast("long").alias("component_id"))
-    out = out.unionByName(empty)
-    return out.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    final = materialize(final, folder, "components")
+    classes = repeated.join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = materialize(classes.select("set_key", F.coalesce("component", "rep").alias("of_class")), folder, "classes")
+    out = hot_join(signed.select("id", "n_shingles", "set_key"), classes, "set_key", "id", "left")
+    out = out.join(bounded(final), "id", "left")
+    found = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "component", "id"))
+    return out.select(F.col("id").cast(kind).alias(key), "n_shingles", found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
