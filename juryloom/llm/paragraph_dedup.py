@@ -5,20 +5,21 @@ paragraphs are cut by content: a word is a cut where the hash of it and its neig
 runs from each cut (and the text's start) to the first cut PARAGRAPH_WORDS further on, so that equal passages hold
 equal paragraphs wherever they stand. Paragraphs overlap and together cover the text.
 
-Every paragraph has MEETING minima of its word shingles. Which of these several documents have is found on packed
-arrays; only paragraphs with such a minimum go on. Equal ones are put together; different ones meet in buckets, one
-for each band of BAND_ROWS further minima, where their shingle sets are compared as 32-bit hashes. What agrees there is
-compared exactly, and linked ones form components. Of each component the paragraphs of the document with the smallest
-doc_id stay, all others are removed, with the words on either side that are also those beside the one that stays: a
-passage's edges lie outside its cuts. A bucket is dealt over blocks, and a task compares two blocks; within it only
-paragraphs that no links connect yet are compared.
+A paragraph that is similar to another one has most of its shingles in common with it. Which shingles occur several
+times is found on packed arrays; only paragraphs of which SHARED percent do so go on. Equal ones are put together, in a
+chunk of documents first, so that a passage that very many documents share is a row for each chunk. Every different one
+has BANDS keys of BAND_ROWS minima of its shingles; those that share a key meet in its bucket, where their whole shingle
+sets are compared; very long ones are compared as near-duplicate texts are. Linked ones form components. Of each component the paragraphs of the document with the smallest doc_id stay, all others are
+removed, with the words on either side that are also those beside the one that stays: a passage's edges lie outside its
+cuts. Only places, keys and the sets of paragraphs that share a key move between tasks; texts stay in their chunks, but
+for very long paragraphs that share a key.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,19 +27,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import materialize, mix64, shared_dir, word_hashes
+from .common import bounded, hot_join, materialize, mix64, shared_dir, word_hashes
 from .components import connected_components
-from .substring_dedup import by_chunk, chunked_keys, shared_keys
+from .substring_dedup import LAST_ID, are_shared, by_chunk, in_batches, key_buckets, shared_by_chunk, shared_codes
 
-#: Minima by which documents meet: 5 find a pair of similarity 0.8 with probability 1 - 3e-4, one of 0.9 with 1 - 1e-5.
-MEETING = 5
-#: Bands in which contents meet for comparison: 8 of 3 minima find a pair of 0.8 with probability 0.997, one of 0.9
-#: with 1 - 3e-5, and leave out most paragraphs that only overlap.
+#: Bands in which contents meet: 8 of 3 minima find a pair of similarity 0.8 with probability 0.997, one of 0.9 with
+#: 1 - 3e-5, and leave out most paragraphs that only overlap.
 BANDS, BAND_ROWS = 8, 3
+MINIMA = BANDS * BAND_ROWS
+#: Equal minima below which a pair is not compared: 5 standard errors below those of similarity 0.8.
+AGREE = 9
+#: Percent of a paragraph's shingles that occur several times in the corpus. Similar paragraphs of different places
+#: have 80 in common; the rest is for those that are similar to such a one by overlapping it in the same text.
+SHARED = 60
+#: Shingles up to which contents are compared in their buckets, and beyond which as texts. The ranges overlap, as a
+#: pair's sizes are at most 4 to 5.
+SMALL, LARGE = 400, 320
+#: Contents of a bucket that are compared with as many others in one task; members of a group from which on they are
+#: compared by tables; shingles up to which sets are compared many at once, and numbers in such a comparison.
+BLOCK, MANY, TINY, PAIRS = 512, 64, 16, 1 << 14
 #: Shingles whose band keys are found together.
 BATCH_SHINGLES = 1 << 18
-#: Paragraphs of a bucket that are compared with as many others in one task.
-BLOCK = 512
 #: Words on either side that a cut's hash must beat, and the least words of a paragraph.
 REACH, PARAGRAPH_WORDS = 2, 8
 #: Words on either side of a removed paragraph that are compared with those beside the one that stays.
@@ -46,60 +55,83 @@ AROUND = 24
 #: Words of the paragraph that stays, at either end, in which a removed one's shingles are looked for.
 EDGE = 12
 WIDTH, PERCENT = 5, 80
-#: Characters of the corpus for each bucket of keys.
-BUCKET_CHARS = 4_000_000
+#: Bits of a content's number within its chunk.
+NUMBER_BITS = 26
 
 _rng = np.random.Generator(np.random.PCG64(606))
-_A = _rng.integers(0, 2**63, MEETING + BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, MEETING + BANDS * BAND_ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
 
 
-def cuts(words: np.ndarray) -> np.ndarray:
-    """Places of words at which a paragraph may begin or end; they depend on the words around them alone."""
-    n = len(words)
-    if n < 2 * REACH + 3:
+@dataclass(frozen=True)
+class Paragraphs:
+    """Several texts' words (hash, first and last byte in the texts joined by line feeds), the place of each text's
+    first word and first byte, and the paragraphs' first words and ends, in order."""
+
+    words: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    bounds: np.ndarray
+    bytes_at: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    def text_of(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, words, side="right") - 1
+
+
+def cuts(words: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of words at which a paragraph may begin or end; they depend on the words around them alone. text: the
+    number of each word's text."""
+    if len(words) < 2 * REACH + 3:
         return np.zeros(0, np.int64)
     h = mix64(words[:-2] * np.uint64(3) ^ mix64(words[1:-1] * np.uint64(5) ^ mix64(words[2:])))
-    least = np.ones(len(h) - 2 * REACH, bool)
+    least = text[: -2 * REACH - 2] == text[2 * REACH + 2 :]
     mid = h[REACH : len(h) - REACH]
     for i in range(1, REACH + 1):
         least &= (mid < h[REACH - i : len(h) - REACH - i]) & (mid <= h[REACH + i : len(h) - REACH + i])
     return np.flatnonzero(least) + REACH + 1
 
 
-def natural(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def natural(buf: np.ndarray, first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(first word, end) of the lines and of the stretches between blank lines; first and last are the words' bytes."""
-    n = len(first)
-    buf = np.frombuffer(data, np.uint8)
     newline = buf == 10
     newline[:-1] |= (buf[:-1] == 13) & (buf[1:] != 10)
     before = np.append(0, np.cumsum(newline))
     gap = before[first[1:]] - before[last[:-1]]
     out = []
     for least in (1, 2):
-        at = np.concatenate([[0], np.flatnonzero(gap >= least) + 1, [n]])
+        at = np.unique(np.concatenate([bounds, np.flatnonzero(gap >= least) + 1]))
         out.append(np.stack([at[:-1], at[1:]], axis=1))
     return np.concatenate(out)
 
 
-def paragraphs(words: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First words and ends of the paragraphs, in order: own as natural gives them (by default the whole text) if they
-    have a shingle, and those between cuts; the text's start and end are cuts too."""
+def paragraphs(texts: list[bytes]) -> Paragraphs:
+    """The paragraphs of texts: lines and stretches that have a shingle, and those between cuts; a text's start and end
+    are cuts too."""
+    joined = b"\n".join(texts)
+    words, first, last = word_hashes(joined)
+    bytes_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    bounds = np.searchsorted(first, bytes_at)
     n = len(words)
     if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = cuts(words)
-    begin = np.unique(np.append(0, at))
-    ends = np.unique(np.append(at, n))
-    end = ends[np.minimum(np.searchsorted(ends, begin + PARAGRAPH_WORDS), len(ends) - 1)]
+        none = np.zeros(0, np.int64)
+        return Paragraphs(words, first, last, bounds, bytes_at, none, none)
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    at = cuts(words, text)
+    begin = np.unique(np.concatenate([at, bounds[:-1][np.diff(bounds) > 0]]))
+    ends = np.unique(np.concatenate([at, bounds[1:]]))
+    whole = bounds[text[begin] + 1]
+    end = np.minimum(ends[np.minimum(np.searchsorted(ends, begin + PARAGRAPH_WORDS), len(ends) - 1)], whole)
     # A paragraph cut short by the text's end is within the one before, but for the first.
-    last = np.flatnonzero(end == n)
+    last_ones = np.flatnonzero(end == whole)
     keep = np.ones(len(begin), bool)
-    keep[last[1:]] = False
-    own = np.array([[0, n]]) if own is None else own
+    of = text[begin[last_ones]]
+    keep[last_ones[1:][of[1:] == of[:-1]]] = False
+    own = natural(np.frombuffer(joined, np.uint8), first, last, bounds)
     own = own[own[:, 1] - own[:, 0] >= WIDTH]
     both = np.unique(np.concatenate([begin[keep], own[:, 0]]) * (n + 1) + np.concatenate([end[keep], own[:, 1]]))
-    return both // (n + 1), both % (n + 1)
+    return Paragraphs(words, first, last, bounds, bytes_at, both // (n + 1), both % (n + 1))
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -110,171 +142,331 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _minima(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray, which: range) -> Iterator[np.ndarray]:
-    """For each hash function the minima over the paragraphs, which have a shingle at least."""
-    # Over begin ... end - WIDTH, taken of both ends of each stretch by one reduceat.
-    edge = np.stack([begin, end - WIDTH + 1], axis=1).ravel()
-    padded = np.append(shingles, np.uint64(2**64 - 1))
-    for i in which:
-        yield np.minimum.reduceat((padded * _A[i] + _B[i]) >> np.uint64(16), edge)[::2]
+def _minima(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+    """For each hash function the minima over the stretches of shingles, none of which is empty."""
+    edge = np.stack([begin, end], axis=1).ravel()
+    padded = np.append((shingles >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    for a, b in zip(_A, _B, strict=True):
+        yield np.minimum.reduceat(padded * a + b, edge)[::2]
+
+
+def band_keys(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """stretches x BANDS keys."""
+    out = np.zeros((BANDS, len(begin)), np.uint64)
+    for i, least in enumerate(_minima(shingles, begin, end)):
+        band = i // BAND_ROWS
+        out[band] = mix64(out[band] + least + np.uint64(band + 1))
+    return out.T
+
+
+def text_shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """Every occurrence of a shingle."""
+    words = [word_hashes(t)[0] for t in texts]
+    found = [_shingles(w) for w in words]
+    return [np.concatenate(found)]
+
+
+_CANDIDATE = "chunk long, number long, digest binary, least long, most long, row long, first int, stop int, places binary, docs binary"
+
+
+def _candidates(buckets: int):
+    """A chunk's distinct contents of shared shingles, with the place of least doc_id; and, as number -1, where each
+    stands: places (document, number, first word, end) and docs (doc_id, words, paragraphs)."""
+    names = [c.split(" ")[0] for c in _CANDIDATE.split(", ")]
+
+    def collect(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs):
+            return pd.DataFrame([], columns=names)
+        docs = docs.sort_values("row", ignore_index=True)
+        chunk, ids, rows = int(docs["chunk"].iat[0]), docs["doc_id"].tolist(), docs["row"].tolist()
+        shared = shared_codes(info) if len(info) else np.zeros(0, np.uint64)
+        known: dict[bytes, int] = {}
+        contents: list[list] = []
+        places: list[np.ndarray] = []
+        of_docs: list[np.ndarray] = []
+        done = 0
+        for texts in in_batches(docs["text"]):
+            found = paragraphs(texts)
+            per_text = np.diff(np.searchsorted(found.begin, found.bounds))
+            of_docs.append(np.stack([ids[done : done + len(texts)], np.diff(found.bounds), per_text], axis=1).astype(np.int64))
+            some = np.flatnonzero(found.end - found.begin >= WIDTH)
+            begin, end = found.begin[some], found.end[some]
+            if len(shared) and len(some):
+                n = np.append(0, np.cumsum(are_shared(_shingles(found.words), shared, buckets)))
+                on = 100 * (n[end - WIDTH + 1] - n[begin]) >= SHARED * (end - WIDTH + 1 - begin)
+                begin, end = begin[on], end[on]
+            else:
+                begin, end = begin[:0], end[:0]
+            text = found.text_of(begin)
+            numbers = np.empty(len(begin), np.int64)
+            start = found.bounds[text]
+            for i, (a, b, t, s) in enumerate(zip(begin.tolist(), end.tolist(), text.tolist(), start.tolist(), strict=True)):
+                digest = hashlib.blake2b(found.words[a:b].tobytes(), digest_size=16).digest()
+                number = numbers[i] = known.setdefault(digest, len(known))
+                doc = ids[done + t]
+                if number == len(contents):
+                    contents.append([chunk, number, digest, doc, doc, rows[done + t], a - s, b - s, None, None])
+                    continue
+                own = contents[number]
+                own[4] = max(own[4], doc)
+                if doc < own[3]:
+                    own[3], own[5:8] = doc, (rows[done + t], a - s, b - s)
+            places.append(np.stack([text + done, numbers, begin - start, end - start], axis=1).astype(np.int32))
+            done += len(texts)
+        packed = [chunk, -1, *[None] * 6, np.concatenate(places).tobytes(), np.concatenate(of_docs).tobytes()]
+        out = pd.DataFrame([*contents, packed], columns=names, dtype=object)
+        return out.astype({c: "Int64" for c in ("chunk", "number", "least", "most", "row", "first", "stop")})
+
+    return collect
+
+
+def _at_places(docs: pd.DataFrame, places: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each document with places, which are in the order of row: their slice, first words and ends, the document's
+    bytes, and its words' hashes, first and last bytes."""
+    row, first, stop = (places[c].to_numpy(np.int64) for c in ("row", "first", "stop")) if len(places) else (np.zeros(0, np.int64),) * 3
+    at = np.searchsorted(row, docs["row"].to_numpy(np.int64)) if len(docs) else []
+    end = np.searchsorted(row, docs["row"].to_numpy(np.int64), side="right") if len(docs) else []
+    for a, b, text in zip(at, end, docs["text"], strict=True):
+        if a < b:
+            data = text.encode("utf-8")
+            yield slice(a, b), first[a:b], stop[a:b], data, *word_hashes(data)
+
+
+def _bands(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """(k, rep) for each band of the contents at places."""
+    places = places.sort_values("row", kind="stable")
+    keys: list[np.ndarray] = [np.zeros((0, BANDS), np.uint64)]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
 
+    def flush() -> None:
+        begin, end = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+        keys.append(band_keys(np.concatenate([x[0] for x in held]), begin, end))
+        held.clear()
 
-def meeting_keys(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """paragraphs x MEETING keys, never 0."""
-    found = _minima(shingles, begin, end, range(MEETING))
-    return np.stack([mix64(m + (np.uint64(i) << np.uint64(50))) | np.uint64(1) for i, m in enumerate(found)], axis=1)
+    for _, first, stop, _, words, _, _ in _at_places(docs, places):
+        shingles = _shingles(words)
+        held.append((shingles, first + size, stop + size - WIDTH + 1))
+        size += len(shingles)
+        if size >= BATCH_SHINGLES:
+            flush()
+            size = 0
+    if held:
+        flush()
+    reps = places["rep"].to_numpy(np.int64) if len(docs) else np.zeros(0, np.int64)
+    return pd.DataFrame({"k": np.concatenate(keys).ravel().astype(np.int64), "rep": np.repeat(reps, BANDS)})
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """paragraphs x BANDS keys, of the paragraphs' shingles."""
+def _sets(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """(rep, size, small, text): the shingle sets of the contents at places, and the texts of long ones."""
+    places = places.sort_values("row", kind="stable")
+    reps = places["rep"].to_numpy(np.int64)
+    out = []
+    for own, begin, end, data, words, first, last in _at_places(docs, places):
+        shingles = _shingles(words)
+        for rep, a, b in zip(reps[own].tolist(), begin.tolist(), end.tolist(), strict=True):
+            some = np.sort(shingles[a : b - WIDTH + 1])
+            if (some[1:] == some[:-1]).any():
+                some = np.unique(some)
+            text = data[first[a] : last[b - 1]].decode("utf-8") if len(some) > LARGE else None
+            out.append((rep, len(some), some.tobytes() if len(some) <= SMALL else None, text))
+    return pd.DataFrame(out, columns=["rep", "size", "small", "text"])
+
+
+def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (k, rep) in the order of k: those of a k that several have, with the number of their block of BLOCK rows."""
+    last, seen, held = None, 0, None
+    for batch in batches:
+        k, rep = batch["k"].to_numpy(), batch["rep"].to_numpy()
+        if not len(k):
+            continue
+        new = np.append(k[0] != last, k[1:] != k[:-1])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        at = np.arange(len(k)) - start + np.where(start == 0, 0 if new[0] else seen, 0)
+        several = (at > 0) | np.append(~new[1:], False)
+        if not new[0] and held is not None:
+            yield pd.DataFrame({"k": [last], "rep": [held], "block": [0]})
+        held = rep[-1] if at[-1] == 0 else None
+        last, seen = k[-1], at[-1] + 1
+        yield pd.DataFrame({"k": k[several], "rep": rep[several], "block": at[several] // BLOCK})
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """sets x MINIMA."""
     size = np.array([len(s) for s in sets])
-    together, start = np.concatenate(sets), np.cumsum(size) - size
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for i in range(BANDS * BAND_ROWS):
-        band, own = i // BAND_ROWS, MEETING + i
-        least = np.minimum.reduceat((together * _A[own] + _B[own]) >> np.uint64(16), start)
-        out[:, band] = mix64(out[:, band] + least + np.uint64(band + 1))
-    return out
+    end = np.cumsum(size)
+    return np.stack(list(_minima(np.concatenate(sets), end - size, end)), axis=1)
 
 
-def text_paragraphs(data: bytes) -> tuple[np.ndarray, ...]:
-    """Hashes, first and last bytes of the words; first words and ends of the paragraphs."""
-    words, first, last = word_hashes(data)
-    return words, first, last, *paragraphs(words, natural(data, first, last) if len(words) else None)
+def bucket_links(group: np.ndarray, second: np.ndarray, ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links within groups, whose members follow each other, that connect whatever the similar sets of a group connect.
 
+    Members with second are compared with those without alone, and these with them; a group without any has all its
+    members compared. Pairs whose minima differ too much are left out, and those that links already connect.
+    """
+    n = len(ids)
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    stops = np.append(edge[1:], n)
+    of = np.repeat(np.arange(len(edge)), stops - edge)
+    n_second = np.bincount(of, second, minlength=len(edge)).astype(np.int64)
+    sig, size = signatures(sets), np.array([len(s) for s in sets])
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    tiny = np.zeros((n, TINY), np.uint64)
+    for i in np.flatnonzero(size <= TINY).tolist():
+        tiny[i, : size[i]] = sets[i]
+        tiny[i, size[i] :] = np.arange(TINY - size[i])  # no shingle's hash, but for a chance of 2^-60
+    out = []
 
-def long_paragraphs(data: bytes) -> tuple[np.ndarray, ...]:
-    """As text_paragraphs, with the paragraphs that have a shingle."""
-    words, first, last, begin, end = text_paragraphs(data)
-    some = end - begin >= WIDTH
-    return words, first, last, begin[some], end[some]
+    def settle(left: np.ndarray, right: np.ndarray) -> None:
+        """Pairs whose minima agree: small sets are compared together, others one by one."""
+        for at in range(0, len(left), PAIRS // TINY):
+            i, j = left[at : at + PAIRS // TINY], right[at : at + PAIRS // TINY]
+            known = np.maximum(size[i], size[j]) <= TINY
+            pad = np.minimum(TINY - size[i], TINY - size[j])
+            both = (tiny[i][:, :, None] == tiny[j][:, None, :]).sum(axis=(1, 2)) - pad
+            on = ~known | (100 * both >= PERCENT * (size[i] + size[j] - both))
+            for x, y, sure in zip(i[on].tolist(), j[on].tolist(), known[on].tolist(), strict=True):
+                a, b = root(x), root(y)
+                if a == b:
+                    continue
+                if not sure:
+                    same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * same < PERCENT * (size[x] + size[y] - same):
+                        continue
+                out.append((ids[x], ids[y]))
+                parent[b] = a
+
+    # Groups of many members: whole tables of equal minima.
+    many = stops - edge > MANY
+    for g in np.flatnonzero(many).tolist():
+        a, b, c = edge[g], stops[g] - n_second[g], stops[g]
+        right = slice(b, c) if n_second[g] else slice(a, c)
+        for at in range(a, b, MANY):
+            left = slice(at, min(at + MANY, b))
+            equal = np.zeros((left.stop - at, right.stop - right.start), np.uint8)
+            for m in range(MINIMA):
+                equal += sig[left, m][:, None] == sig[right, m][None, :]
+            near = (equal >= AGREE) & (100 * np.minimum.outer(size[left], size[right]) >= PERCENT * np.maximum.outer(size[left], size[right]))
+            i, j = np.nonzero(near)
+            i, j = i + at, j + right.start
+            settle(i[i < j], j[i < j])
+    # All others: lists of pairs over many groups.
+    one = np.flatnonzero(~many[of] & ~second)
+    start = np.where(n_second[of] > 0, stops[of] - n_second[of], np.arange(n) + 1)[one]
+    total = np.append(0, np.cumsum(stops[of][one] - start))
+    for low in range(0, len(one), MANY * 8):
+        high = min(low + MANY * 8, len(one))
+        count = np.diff(total[low : high + 1])
+        left = np.repeat(one[low:high], count)
+        right = np.repeat(start[low:high], count) + np.arange(total[high] - total[low]) - np.repeat(total[low:high] - total[low], count)
+        near = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
+        left, right = left[near], right[near]
+        near = (sig[left] == sig[right]).sum(axis=1) >= AGREE
+        settle(left[near], right[near])
+    return out
 
 
-def text_keys(text: str) -> np.ndarray:
-    words, _, _, begin, end = long_paragraphs(text.encode("utf-8"))
-    return np.unique(meeting_keys(_shingles(words), begin, end)) if len(begin) else np.zeros(0, np.uint64)
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links within groups of equal (k, x, y), whose rows follow each other, those of block x first."""
 
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(s, np.uint64) for s in rows["small"]]
+        second = ((rows["x"] != rows["y"]) & (rows["block"] == rows["y"])).to_numpy()
+        found = bucket_links(rows["group"].to_numpy(), second, rows["rep"].to_numpy(), sets)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-_CANDIDATE = "chunk long, doc_id long, begin long, finish long, digest binary, par_id long, keys array<long>, small binary, text string"
+    held, before = None, 0
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        key = rows[["k", "x", "y"]].to_numpy()
+        rows["group"] = np.append(0, np.cumsum((key[1:] != key[:-1]).any(axis=1)))
+        last = rows["group"] == rows["group"].iat[-1]
+        if not last.all():
+            yield links(rows[~last])
+        held = rows[last].drop(columns="group")
+    if held is not None and len(held):
+        yield links(held.assign(group=0))
 
 
-def _candidates(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-    """Paragraphs of a chunk that have a shared key; par_id, keys and texts once for each chunk and content, else 0 and null."""
-    cols = [c.split(" ")[0] for c in _CANDIDATE.split(", ")]
-    if not len(docs) or not len(info):
-        return pd.DataFrame([], columns=cols)
-    shared = np.sort(np.concatenate([np.frombuffer(s, np.uint64) for s in info["shared"]]))
-    seen: set[bytes] = set()
-    ids, los, his, digests, numbers, smalls, texts = [], [], [], [], [], [], []
-    bands: list[np.ndarray | None] = []
-    pending: list[np.ndarray] = []
-    places: list[int] = []
-    n_pending = 0
+def similar_contents(members: DataFrame, small: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) of contents that share a bucket (members: k, rep, block) and whose shingle sets (small: rep, small)
+    are similar."""
+    hot = members.filter("block > 0").groupBy("k").agg((F.max("block") + 1).alias("blocks"))
+    hot = materialize(hot, folder, "hot")
+    dealt = hot_join(members, hot, "k", "rep", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("k", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep")
+    dealt = dealt.join(small, "rep").repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "block", "rep")
+    return dealt.select("k", "x", "y", "block", "rep", "small").mapInPandas(_compare, "a long, b long").distinct()
 
-    def flush() -> None:
-        for place, keys in zip(places, band_keys(pending).astype(np.int64), strict=True):
-            bands[place] = keys
-        pending.clear()
-        places.clear()
-
-    chunk = int(docs["chunk"].iat[0])
-    number = chunk << 24
-    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
-        data = text.encode("utf-8")
-        words, first, last, begin, end = long_paragraphs(data)
-        if not len(begin):
-            continue
-        shingles = _shingles(words)
-        keys = meeting_keys(shingles, begin, end)
-        at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
-        hit = (shared[at] == keys).any(axis=1)
-        begin, end = begin[hit], end[hit]
-        halves = (shingles >> np.uint64(32)).astype(np.uint32)
-        for a, b, lo, hi in zip(begin.tolist(), end.tolist(), first[begin].tolist(), last[end - 1].tolist(), strict=True):
-            digest = hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest()
-            fresh = digest not in seen
-            if fresh:
-                seen.add(digest)
-                number += 1
-                places.append(len(ids))
-                pending.append(shingles[a : b - WIDTH + 1])
-                n_pending += b - a
-            ids.append(doc_id)
-            los.append(lo)
-            his.append(hi)
-            digests.append(digest)
-            numbers.append(number if fresh else 0)
-            bands.append(None)
-            smalls.append(halves[a : b - WIDTH + 1].tobytes() if fresh else None)
-            texts.append(data[lo:hi].decode("utf-8") if fresh else None)
-        if n_pending >= BATCH_SHINGLES:
-            flush()
-            n_pending = 0
-    if pending:
-        flush()
-    if len(seen) >= 1 << 24:
-        raise ValueError("a chunk of documents has too many paragraphs; make CHUNK_DOCS smaller")
-    columns = (np.full(len(ids), chunk), ids, los, his, digests, numbers, bands, smalls, texts)
-    return pd.DataFrame(dict(zip(cols, columns, strict=True)))
 
+def large_links(large: DataFrame) -> DataFrame:
+    """(a, b) of long contents (rep, text): each with the least of its component of near-duplicate texts."""
+    near = minhash.near_duplicates(large, PERCENT, WIDTH, "rep", large["text"]).filter("not kept")
+    return near.select(F.col("rep").alias("a"), F.col("component_id").alias("b"))
 
-def bucket_links(ids: list[int], sets: list[frozenset[int]]) -> list[tuple[int, int]]:
-    """Links that connect whatever similar sets connect; a pair that links already connect is not compared."""
-    n = len(ids)
-    comp = list(range(n))
-    out = []
-    for i in range(n):
-        one, size = sets[i], len(sets[i])
-        for j in range(i + 1, n):
-            if comp[j] == comp[i]:
-                continue
-            both = len(one & sets[j])
-            if 100 * both >= PERCENT * (size + len(sets[j]) - both):
-                out.append((ids[i], ids[j]))
-                old, new = comp[j], comp[i]
-                comp = [new if c == old else c for c in comp]
-    return out
 
+_STRETCH = "chunk long, number long, like binary, spans binary, lefts binary, rights binary, docs binary"
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links within groups of equal (k, x, y), whose rows follow each other."""
-    group, ids, sets = None, [], []
-    for batch in batches:
-        out = []
-        for *key, i, small in zip(batch["k"], batch["x"], batch["y"], batch["par_id"], batch["small"], strict=True):
-            if key != group:
-                out += bucket_links(ids, sets)
-                group, ids, sets = key, [], []
-            ids.append(i)
-            sets.append(frozenset(np.frombuffer(small, np.uint32).tolist()))
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    yield pd.DataFrame(bucket_links(ids, sets), columns=["a", "b"], dtype="int64")
-
-
-def similar_contents(reps: DataFrame, folder: str) -> DataFrame:
-    """(a, b) of reps (par_id, keys, small) that share a bucket and whose 32-bit shingle sets are similar."""
-    keyed = reps.select("par_id", F.explode("keys").alias("k"))
-    several = keyed.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialize(keyed.join(several, "k"), folder, "members")
-    blocks = F.floor((F.col("size") - 1) / BLOCK) + 1
-    block = F.pmod(F.xxhash64("par_id"), blocks)
-    dealt = members.select("k", "par_id", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("k", "par_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    dealt = dealt.join(reps.select("par_id", "small"), "par_id").repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "par_id")
-    return dealt.select("k", "x", "y", "par_id", "small").mapInPandas(_compare, "a long, b long").distinct()
+
+def _stretches(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """What goes from each document of a chunk, as stretches of words, and whose surroundings are asked for.
+
+    As number -1: spans (document, first word, end), lefts and rights (document, first word, end, like), the paragraphs
+    at the spans' edges, and docs (paragraphs, removed ones, class); like rows: (number, like).
+    """
+    names = [c.split(" ")[0] for c in _STRETCH.split(", ")]
+    if not len(packed):
+        return pd.DataFrame([], columns=names)
+    chunk = int(packed["chunk"].iat[0])
+    docs = np.frombuffer(packed["docs"].iat[0], np.int64).reshape(-1, 3)
+    doc, number, a, b = np.frombuffer(packed["places"].iat[0], np.int32).reshape(-1, 4).astype(np.int64).T
+    gone = np.stack([docs[:, 2], np.zeros(len(docs), np.int64), docs[:, 0]], axis=1)
+    likes: dict[bytes, int] = {}
+    spans = np.zeros((0, 3), np.int64)
+    edges: list[np.ndarray] = [np.zeros((0, 4), np.int64)] * 2
+    if len(answers):
+        slot = np.full(max(int(number.max(initial=0)), int(answers["number"].max())) + 1, -1)
+        slot[answers["number"].to_numpy(np.int64)] = np.arange(len(answers))
+        least, own = answers["component_least"].to_numpy(np.int64), answers["own"].to_numpy(np.int64)
+        out = np.flatnonzero((slot[number] >= 0) & (docs[doc, 0] > least[slot[number]]))
+        out = out[np.lexsort((a[out], doc[out]))]
+        doc, a, b, answer = doc[out], a[out], b[out], slot[number[out]]
+        gone[:, 1] = np.bincount(doc, minlength=len(docs))
+        np.minimum.at(gone[:, 2], doc, least[answer])
+        if len(out):
+            reach = np.maximum.accumulate(doc << 32 | b)
+            new = np.append(True, (doc[1:] << 32 | a[1:]) > reach[:-1])
+            span = np.cumsum(new) - 1
+            last = np.append(np.flatnonzero(new)[1:], len(out)) - 1
+            spans = np.stack([doc[new], a[new], reach[last] & 0xFFFFFFFF], axis=1)
+            first_like, own_like = answers["first_digest"].to_numpy(object), answers["digest"].to_numpy(object)
+            for side, at in enumerate((np.flatnonzero((a == spans[span, 1]) & (a > 0)), np.flatnonzero((b == spans[span, 2]) & (b < docs[doc, 1])))):
+                found = []
+                for i in at.tolist():
+                    k = answer[i]
+                    like = own_like[k] if docs[doc[i], 0] > own[k] else first_like[k]
+                    found.append((doc[i], a[i], b[i], likes.setdefault(like, len(likes))))
+                edges[side] = np.array(found, np.int64).reshape(-1, 4)
+    rows = [(chunk, i, like, None, None, None, None) for like, i in likes.items()]
+    rows.append((chunk, -1, None, spans.astype(np.int64).tobytes(), *(e.tobytes() for e in edges), gone.tobytes()))
+    return pd.DataFrame(rows, columns=names)
 
 
 def _surroundings(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
     """The hashes of up to AROUND words before and after each of the places, with up to EDGE of its own beside them."""
+    places = places.sort_values("row", kind="stable")
+    likes = places["like"].to_numpy(object)
     out = []
-    of = {k: group for k, group in places.groupby("doc_id")} if len(docs) else {}
-    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
-        if doc_id not in of:
-            continue
-        words, first, last = word_hashes(text.encode("utf-8"))
-        own = of[doc_id]
-        begin, end = np.searchsorted(first, own["begin"].to_numpy()), np.searchsorted(last, own["finish"].to_numpy()) + 1
-        for like, a, b in zip(own["like"], begin.tolist(), end.tolist(), strict=True):
+    for own, begin, end, _, words, _, _ in _at_places(docs, places):
+        for like, a, b in zip(likes[own], begin.tolist(), end.tolist(), strict=True):
             out.append((like, words[max(0, a - AROUND) : min(b, a + EDGE)].tobytes(), words[max(a, b - EDGE) : b + AROUND].tobytes()))
     return pd.DataFrame(out, columns=["like", "before", "after"])
 
@@ -296,88 +488,105 @@ def _beyond(outside: np.ndarray, own: np.ndarray, stays: np.ndarray) -> int:
     return 0
 
 
-def _remove(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-    cols = ["doc_id", "n_bytes", "n_paragraphs", "n_repeated", "n_removed", "n_spans", "class_id", "kept_sha256"]
-    gone = gone.sort_values("doc_id", kind="stable")
-    owner, begins, finishes, leasts = (gone[c].to_numpy(np.int64) for c in ("doc_id", "begin", "finish", "least"))
-    befores, afters = gone["before"].to_numpy(object), gone["after"].to_numpy(object)
+def _remove(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+    names = ["doc_id", "n_bytes", "n_paragraphs", "n_repeated", "n_removed", "n_spans", "class_id", "kept_sha256"]
+    docs = docs.sort_values("row", ignore_index=True)
+    packed, around = info[info["number"] < 0], info[info["number"] >= 0]
+    spans = np.frombuffer(packed["spans"].iat[0], np.int64).reshape(-1, 3)
+    edges = [np.frombuffer(packed[c].iat[0], np.int64).reshape(-1, 4) for c in ("lefts", "rights")]
+    gone = np.frombuffer(packed["docs"].iat[0], np.int64).reshape(-1, 3)
+    sides = [dict(zip(around["number"], around[c], strict=True)) for c in ("before", "after")]
+    own = [np.searchsorted(x[:, 0], np.arange(len(docs) + 1)).tolist() for x in (spans, *edges)]
     out = []
-    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+    for d, (doc_id, text) in enumerate(zip(docs["doc_id"], docs["text"], strict=True)):
         data = text.encode("utf-8")
-        words, first, last, begin, _ = text_paragraphs(data)
-        n_removed = n_spans = n_repeated = 0
-        least, kept = doc_id, data
-        own = slice(*np.searchsorted(owner, [doc_id, doc_id + 1]).tolist())
-        if own.start < own.stop:
-            edge = np.zeros(len(data) + 1, np.int32)
-            np.add.at(edge, begins[own], 1)
-            np.add.at(edge, finishes[own], -1)
-            mask = np.cumsum(edge)[: len(data)] > 0
-            i, j = np.searchsorted(first, begins[own]), np.searchsorted(last, finishes[own]) + 1
-            for a, b, left, right in zip(i.tolist(), j.tolist(), befores[own], afters[own], strict=True):
-                if a and not mask[first[a - 1]]:
-                    same = _beyond(words[max(0, a - AROUND) : a][::-1], words[a:b][::-1], np.frombuffer(left, np.uint64)[::-1])
-                    mask[first[a - same] : first[a]] = True
-                if b < len(words) and not mask[first[b]]:
-                    same = _beyond(words[b : b + AROUND], words[a:b], np.frombuffer(right, np.uint64))
-                    mask[last[b - 1] : last[b + same - 1]] = True
+        n_removed = n_spans = 0
+        kept = data
+        if gone[d, 1]:
+            words, first, last = word_hashes(data)
+            mask = np.zeros(len(data), bool)
+            for _, a, b in spans[own[0][d] : own[0][d + 1]].tolist():
+                mask[first[a] : last[b - 1]] = True
+            for _, a, b, like in edges[0][own[1][d] : own[1][d + 1]].tolist():
+                stays = np.frombuffer(sides[0][like], np.uint64)
+                same = _beyond(words[max(0, a - AROUND) : a][::-1], words[a:b][::-1], stays[::-1])
+                mask[first[a - same] : first[a]] |= same > 0
+            for _, a, b, like in edges[1][own[2][d] : own[2][d + 1]].tolist():
+                same = _beyond(words[b : b + AROUND], words[a:b], np.frombuffer(sides[1][like], np.uint64))
+                mask[last[b - 1] : last[b + same - 1]] |= same > 0
             for k in np.flatnonzero(mask[first[:-1]] & mask[first[1:]] & ~mask[last[:-1]]).tolist():
                 mask[last[k] : first[k + 1]] = True
-            n_removed, n_repeated, least = int(mask.sum()), own.stop - own.start, int(leasts[own].min())
-            n_spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0])
+            n_removed, n_spans = int(mask.sum()), int((mask[1:] & ~mask[:-1]).sum() + mask[0])
             kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
-        out.append((doc_id, len(data), len(begin), n_repeated, n_removed, n_spans, least, hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(out, columns=cols)
+        out.append((doc_id, len(data), gone[d, 0], gone[d, 1], n_removed, n_spans, gone[d, 2], hashlib.sha256(kept).hexdigest()))
+    return pd.DataFrame(out, columns=names)
+
+
+def _beside(rows: DataFrame, places: DataFrame, make, ddl: str) -> DataFrame:
+    """What make finds in a chunk's documents at the chunk's places."""
+    return rows.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInPandas(make, ddl)
+
+
+def content_links(rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) between similar contents of classes (rep, place)."""
+    places = classes.select("rep", "place.chunk", "place.row", "place.first", "place.stop")
+    keyed = _beside(rows, places, _bands, "k long, rep long").repartition("k").sortWithinPartitions("k")
+    members = materialize(keyed.mapInPandas(_in_blocks, "k long, rep long, block long"), folder, "members")
+    met = places.join(bounded(materialize(members.select("rep").distinct(), folder, "met")), "rep", "left_semi")
+    sets = materialize(_beside(rows, met, _sets, "rep long, size int, small binary, text string"), folder, "sets")
+    links = similar_contents(members, sets.filter(F.col("size") <= SMALL).select("rep", "small"), folder)
+    large = sets.filter(F.col("size") > LARGE).select("rep", "text")
+    return links if large.isEmpty() else links.unionByName(large_links(large))
 
 
 def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
-    """(chunk, doc_id, begin, finish, least, before, after): byte ranges whose component has a document of smaller id, and
-    the words around the first equal one, or else the component's first; rows as by_chunk gives."""
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(chars / BUCKET_CHARS))
-    found = rows.select("chunk", "text").mapInPandas(chunked_keys(buckets, text_keys), "chunk long, bucket int, hashes binary, repeated binary")
-    shared = found.groupBy("bucket").applyInPandas(shared_keys, "chunk long, shared binary")
-    found = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_candidates, _CANDIDATE)
-    candidates = materialize(found, folder, "candidates")
-    classes = candidates.filter("par_id > 0").groupBy("digest").agg(F.min("par_id").alias("rep"))
-    least = candidates.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    classes = materialize(classes.join(least, "digest"), folder, "classes")
-    contents = candidates.filter("par_id > 0")
-    reps = contents.select("par_id", "keys", "small").join(classes.select(F.col("rep").alias("par_id")), "par_id", "left_semi")
-    reps = materialize(reps, folder, "reps")
-    links = materialize(similar_contents(reps, folder), folder, "similar")
-    links = materialize(minhash.exact_links(links, contents, PERCENT, WIDTH, "par_id", contents["text"]), folder, "links")
+    """For each chunk what _stretches finds, with before and after of the like rows; rows as by_chunk gives."""
+    buckets = key_buckets(rows)
+    shared = shared_by_chunk(rows, buckets, text_shingles)
+    candidates = materialize(_beside(rows, shared, _candidates(buckets), _CANDIDATE), folder, "candidates")
+    contents = candidates.filter("number >= 0").select("chunk", "number", "digest", "least", "most", "row", "first", "stop")
+
+    place = F.min(F.struct("least", "chunk", "row", "first", "stop")).alias("place")
+    rep = F.min(F.shiftleft("chunk", NUMBER_BITS).bitwiseOR(F.col("number"))).alias("rep")
+    classes = materialize(contents.groupBy("digest").agg(rep, place), folder, "classes")
+    links = materialize(content_links(rows, classes, folder), folder, "links")
+
     linked = connected_components(links, folder, "paragraphs").select(F.col("node").alias("rep"), "component")
-    known = classes.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = materialize(known.select("digest", "component", "least"), folder, "known")
-    first = known.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("first"))
-    known = known.withColumnRenamed("least", "own").join(first, "component")
-    known = known.select("digest", "own", F.col("first.least").alias("least"), F.col("first.digest").alias("first"))
-    placed = candidates.select("chunk", "doc_id", "begin", "finish", "digest").join(known, "digest")
-    like = F.when(F.col("doc_id") > F.col("own"), F.col("digest")).otherwise(F.col("first")).alias("like")
-    gone = placed.filter("doc_id > least").select("chunk", "doc_id", "begin", "finish", "least", like)
-    gone = materialize(gone, folder, "found")
-    stay = placed.filter("doc_id = own").join(gone.select(F.col("like").alias("digest")).distinct(), "digest", "left_semi")
-    stay = stay.groupBy(F.col("digest").alias("like")).agg(F.min(F.struct("doc_id", "begin", "finish", "chunk")).alias("at"))
-    stay = stay.select("like", "at.*")
-    around = rows.groupBy("chunk").cogroup(stay.groupBy("chunk")).applyInPandas(_surroundings, "like binary, before binary, after binary")
-    return gone.join(around, "like").select("chunk", "doc_id", "begin", "finish", "least", "before", "after")
+    linked = materialize(classes.select("rep", "digest", F.col("place.least").alias("own")).join(bounded(linked), "rep"), folder, "linked")
+    first = linked.groupBy("component").agg(F.min(F.struct("own", "digest")).alias("first"))
+    first = materialize(first.select("component", F.col("first.own").alias("component_least"), F.col("first.digest").alias("first_digest")), folder, "first")
+    others = materialize(hot_join(linked, first, "component", "rep").select("digest", "component_least", "first_digest"), folder, "others")
+
+    known = classes.select("digest", F.col("place.least").alias("own")).join(bounded(others), "digest", "left")
+    known = known.select("digest", "own", F.coalesce("component_least", "own").alias("component_least"), F.coalesce("first_digest", "digest").alias("first_digest"))
+    answers = contents.select("chunk", "number", "digest", "most").join(known, "digest").filter("most > component_least").drop("most")
+    packed = candidates.filter("number < 0").select(F.col("chunk").alias("of"), "places", "docs").withColumnRenamed("of", "chunk")
+    stretches = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_stretches, _STRETCH)
+    stretches = materialize(stretches, folder, "stretches")
+
+    likes = stretches.filter("number >= 0").select("chunk", "number", "like")
+    places = classes.select(F.col("digest").alias("like"), "place.chunk", "place.row", "place.first", "place.stop")
+    places = places.join(likes.select("like").distinct(), "like", "left_semi")
+    around = _beside(rows, places, _surroundings, "like binary, before binary, after binary")
+    return stretches.filter("number < 0").unionByName(likes.join(around, "like"), allowMissingColumns=True)
 
 
 def remove_paragraphs(docs: DataFrame) -> DataFrame:
     """Take out of each document the paragraphs that are near-duplicates of one in a document of smaller doc_id.
 
-    With a paragraph go the words beside it, up to AROUND on either side, that equal those beside the first equal
-    paragraph (else the component's first), and the separators between removed words.
+    With a paragraph at the edge of what is taken out go the words beside it, up to AROUND, that equal those beside the
+    first equal paragraph (else the component's first), and the separators between removed words.
     Two paragraphs are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; links
     form components. Returns per document: doc_id, n_bytes, n_paragraphs, n_repeated (paragraphs taken out),
     n_removed (bytes), n_spans (maximal removed stretches), class_id (the smallest doc_id that holds one of its
-    removed paragraphs, else its own), kept_sha256. Repeats within a document stay. Words are lower-cased in A-Z.
-    Null and empty texts have no paragraphs; paragraphs of fewer than five words link with nothing; an empty table
-    gives none; further columns are ignored; doc_id is unique and not null.
+    removed paragraphs, else its own), kept_sha256. Repeats within a document or between rows of equal doc_id stay; a
+    null doc_id is larger than all others. Words are lower-cased in A-Z. Null and empty texts have no paragraphs;
+    paragraphs of fewer than five words link with nothing; an empty table gives none; further columns are ignored.
     """
     folder = shared_dir(docs.sparkSession)
     rows = by_chunk(docs, folder)
-    gone = materialize(repeated_paragraphs(rows, folder), folder, "gone")
+    gone = repeated_paragraphs(rows, folder)
     ddl = "doc_id long, n_bytes long, n_paragraphs long, n_repeated long, n_removed long, n_spans long, class_id long, kept_sha256 string"
-    return rows.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInPandas(_remove, ddl)
+    out = _beside(rows, gone, _remove, ddl)
+    none = {c: F.when(F.col(c) != LAST_ID, F.col(c)) for c in ("doc_id", "class_id")}
+    return out.withColumns(none)

@@ -13,11 +13,13 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, shared_dir, text_of
@@ -26,8 +28,16 @@ from .suffix import common_prefixes, suffix_array
 WIDTH, ANCHOR = 50, 20
 #: Positions at which the anchor of a string can start.
 SPAN = WIDTH - ANCHOR + 1
-#: Documents of a chunk.
-CHUNK_DOCS = 4_096
+#: Bytes of a chunk of documents, each counted with DOC_BYTES more; a longer document is a chunk's only or last one.
+CHUNK_BYTES, DOC_BYTES = 16_000_000, 64
+#: Chunks of one partition that have numbers of their own; what follows goes to the last of them.
+PARTITION_CHUNKS = 4_096
+#: Stands for a null doc_id in comparisons: after all others.
+LAST_ID = 2**63 - 1
+#: Buckets of the table of chunks at most: each task that writes it makes a file for each bucket that it has.
+MOST_BUCKETS = 65_536
+#: Bytes of texts whose keys are found together.
+BATCH_BYTES = 1 << 20
 #: Characters of the corpus for each bucket.
 BUCKET_CHARS = 4_000_000
 #: Bytes of a shard.
@@ -90,10 +100,6 @@ def anchor_runs(x: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return np.maximum(at - back, 0), np.minimum(at - (SPAN - 1) + ahead, n - WIDTH)
 
 
-def _bytes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8"), np.uint8)
-
-
 def parts_by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its entries), for the buckets that occur."""
     order = np.argsort(bucket, kind="stable")
@@ -102,33 +108,61 @@ def parts_by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield b, own
 
 
-def anchor_keys(text: str) -> np.ndarray:
-    x, at = anchors(_bytes_of(text))
-    return np.unique(x[at])
+def anchor_keys(texts: list[bytes]) -> list[np.ndarray]:
+    found = (anchors(np.frombuffer(t, np.uint8)) for t in texts)
+    return [np.unique(x[at]) for x, at in found]
+
+
+def in_batches(texts: Iterable[str]) -> Iterator[list[bytes]]:
+    """Runs of texts, as bytes, of BATCH_BYTES or one text."""
+    batch, size = [], 0
+    for text in texts:
+        data = text.encode("utf-8")
+        batch.append(data)
+        size += len(data)
+        if size >= BATCH_BYTES:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
+def code_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys as they are compared: the bucket, and 32 bits within it, which tell a bucket's keys apart at any size of the
+    corpus, as buckets grow in number only. A chance agreement makes a needless candidate, no wrong result."""
+    return (keys % np.uint64(buckets)) << np.uint64(32) | keys >> np.uint64(32)
 
 
-def chunked_keys(buckets: int, keys_of: Callable[[str], np.ndarray]):
-    """Per chunk and bucket: the keys, and those that several documents of the chunk have."""
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Rising 32-bit numbers: their differences, byte by byte."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zstandard.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def chunked_keys(buckets: int, keys_of: Callable[[list[bytes]], list[np.ndarray]]):
+    """Per chunk and bucket: the keys, and those that several of keys_of's arrays, or one of them repeatedly, have."""
 
     def rows(chunk: int, found: list[np.ndarray]) -> pd.DataFrame:
-        every, n = np.unique(np.concatenate(found), return_counts=True)
-        out = [
-            (chunk, b, every[own].tobytes(), every[own][n[own] > 1].tobytes())
-            for b, own in parts_by_bucket((every % np.uint64(buckets)).astype(np.int64))
-        ]
+        every, n = np.unique(code_of(np.concatenate(found), buckets), return_counts=True)
+        bucket, short = (every >> np.uint64(32)).astype(np.int64), every.astype(np.uint32)
+        out = [(chunk, b, pack_sorted(short[own]), pack_sorted(short[own][n[own] > 1])) for b, own in parts_by_bucket(bucket)]
         return pd.DataFrame(out, columns=["chunk", "bucket", "hashes", "repeated"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, found = None, []
         for batch in batches:
-            for chunk, text in zip(batch["chunk"], batch["text"], strict=True):
+            for chunk, part in batch.groupby("chunk", sort=False):
                 if chunk != current and found:
                     yield rows(current, found)
                     found = []
                 current = chunk
-                keys = keys_of(text)
-                if len(keys):
-                    found.append(keys)
+                for texts in in_batches(part["text"]):
+                    found += [k for k in keys_of(texts) if len(k)]
         if found:
             yield rows(current, found)
 
@@ -136,18 +170,36 @@ def chunked_keys(buckets: int, keys_of: Callable[[str], np.ndarray]):
 
 
 def shared_keys(group: pd.DataFrame) -> pd.DataFrame:
-    """Which keys of a bucket several documents have, told to each chunk that has them."""
-    parts = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-    repeated = [np.frombuffer(h, np.uint64) for h in group["repeated"]]
+    """Which keys of a bucket occur several times, told to each chunk that has them."""
+    parts = [unpack_sorted(h) for h in group["hashes"]]
+    repeated = [unpack_sorted(h) for h in group["repeated"]]
     every, n = np.unique(np.concatenate([*parts, *repeated]), return_counts=True)
     shared = every[n > 1]
     out = []
-    for chunk, part in zip(group["chunk"], parts, strict=True):
+    for chunk, bucket, part in zip(group["chunk"], group["bucket"], parts, strict=True):
         at = np.minimum(np.searchsorted(shared, part), max(0, len(shared) - 1))
         mine = part[shared[at] == part] if len(shared) else part[:0]
         if len(mine):
-            out.append((chunk, mine.tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "shared"])
+            out.append((chunk, bucket, pack_sorted(mine)))
+    return pd.DataFrame(out, columns=["chunk", "bucket", "shared"])
+
+
+def shared_codes(info: pd.DataFrame) -> np.ndarray:
+    """The shared keys that a chunk was told, in order."""
+    parts = [np.uint64(b) << np.uint64(32) | unpack_sorted(s).astype(np.uint64) for b, s in zip(info["bucket"], info["shared"], strict=True)]
+    return np.sort(np.concatenate(parts))
+
+
+def are_shared(keys: np.ndarray, shared: np.ndarray, buckets: int) -> np.ndarray:
+    codes = code_of(keys, buckets)
+    return shared[np.minimum(np.searchsorted(shared, codes), len(shared) - 1)] == codes
+
+
+def shared_by_chunk(rows: DataFrame, buckets: int, keys_of: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+    """(chunk, bucket, shared): the keys of each chunk that occur several times; rows as by_chunk gives."""
+    ddl = "chunk long, bucket int, hashes binary, repeated binary"
+    found = rows.select("chunk", "text").mapInPandas(chunked_keys(buckets, keys_of), ddl)
+    return found.groupBy("bucket").applyInPandas(shared_keys, "chunk long, bucket int, shared binary")
 
 
 def _collect_runs(buckets: int):
@@ -158,7 +210,7 @@ def _collect_runs(buckets: int):
         if not len(docs) or not len(info):
             return pd.DataFrame([], columns=cols)
         docs = docs.sort_values("row", ignore_index=True)
-        shared = np.sort(np.concatenate([np.frombuffer(s, np.uint64) for s in info["shared"]]))
+        shared = shared_codes(info)
         known: dict[bytes, int] = {}
         least: list[int] = []
         bucket: list[int] = []
@@ -169,7 +221,7 @@ def _collect_runs(buckets: int):
             if not len(at):
                 continue
             h = x[at]
-            at = at[shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h]
+            at = at[are_shared(h, shared, buckets)]
             if not len(at):
                 continue
             lo, hi = anchor_runs(x, at, len(data))
@@ -358,33 +410,55 @@ def _remove(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=cols)
 
 
+def chunk_numbers(size: Column) -> Column:
+    """A chunk's number for each row of a partition, in order, from the bytes before it; texts stay out of Python."""
+
+    @F.pandas_udf("long")
+    def number(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        total, first = 0, TaskContext.get().partitionId() * PARTITION_CHUNKS
+        for some in sizes:
+            before = total + some.cumsum() - some
+            total += int(some.sum())
+            yield first + (before // CHUNK_BYTES).clip(upper=PARTITION_CHUNKS - 1)
+
+    return number(size)
+
+
 def by_chunk(docs: DataFrame, folder: str) -> DataFrame:
-    """Rows (chunk, row, doc_id, text) in a table bucketed by chunk, so that joins by chunk do not move texts."""
-    row = F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), row.alias("row"))
-    rows = rows.select(F.floor(F.col("row") / CHUNK_DOCS).cast("long").alias("chunk"), "row", "doc_id", "text")
+    """Rows (chunk, row, doc_id, text) in a table bucketed by chunk, so that joins by chunk do not move texts.
+
+    Null texts are empty ones; a null doc_id is LAST_ID. There are as many buckets as the texts have chunks, but for
+    the session's shuffle partitions at least. The table is in the shared folder.
+    """
+    text = text_of(docs)
+    doc_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(chunk_numbers(F.octet_length("text").cast("long") + DOC_BYTES).alias("chunk"), "row", "doc_id", "text")
     spark = docs.sparkSession
     name = f"juryloom_chunks_{uuid.uuid4().hex}"
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text) + F.lit(DOC_BYTES))).first()[0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, math.ceil(size / CHUNK_BYTES)))
     writer = rows.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{folder}/chunks").option("compression", "zstd")
     writer.saveAsTable(name)
     return spark.table(name)
 
 
+def key_buckets(rows: DataFrame) -> int:
+    return max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / BUCKET_CHARS))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Take from each document the bytes that a 50-byte string covers which starts in a document of smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256. Strings are those of the
-    input; repeats within a document or between rows of equal doc_id stay. Null and empty texts have no bytes;
-    texts under 50 bytes are kept whole; an empty table gives none; further columns are ignored; doc_id must not
-    be null.
+    input; repeats within a document or between rows of equal doc_id stay. A null doc_id is larger than all others.
+    Null and empty texts have no bytes; texts under 50 bytes are kept whole; an empty table gives none; further
+    columns are ignored.
     """
     folder = shared_dir(docs.sparkSession)
     rows = by_chunk(docs, folder)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(chars / BUCKET_CHARS))
-    found = rows.select("chunk", "text").mapInPandas(chunked_keys(buckets, anchor_keys), "chunk long, bucket int, hashes binary, repeated binary")
-    shared = found.groupBy("bucket").applyInPandas(shared_keys, "chunk long, shared binary")
+    buckets = key_buckets(rows)
+    shared = shared_by_chunk(rows, buckets, anchor_keys)
     ddl = "chunk long, bucket int, runs binary, sizes binary, least binary, row binary, at binary, run binary"
     runs = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(_collect_runs(buckets), ddl)
     runs = materialize(runs, folder, "runs")
@@ -394,4 +468,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     info = info.unionByName(runs.filter("bucket < 0").select("chunk", "bucket", "row", "at", "run"), allowMissingColumns=True)
     info = info.select("chunk", "bucket", "sizes", "pieces", "offsets", "docs", "row", "at", "run")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.groupBy("chunk").cogroup(info.groupBy("chunk")).applyInPandas(_remove, ddl)
+    out = rows.groupBy("chunk").cogroup(info.groupBy("chunk")).applyInPandas(_remove, ddl)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))

@@ -14,7 +14,9 @@ import xxhash
 
 from juryloom.llm import bpe, components, exact_dedup, gru, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, suffix, token_count, topk
 
-from .fixtures import DDL, components as plain_components, crc, frame, rows, shingles, texts, words
+from juryloom.llm.common import word_hashes
+
+from .fixtures import DDL, components as plain_components, crc, frame, rows, sentence, shingles, texts, words
 
 
 def by_id(df) -> dict:
@@ -95,9 +97,9 @@ def brute_repeats(docs: dict[int, str | None]) -> dict[int, tuple]:
     return out
 
 
-@pytest.mark.parametrize(("chunk", "bucket_chars", "shard"), [(4096, 16_000_000, 4_000_000), (8, 3_000, 500)])
+@pytest.mark.parametrize(("chunk", "bucket_chars", "shard"), [(16_000_000, 16_000_000, 4_000_000), (3_000, 3_000, 500)])
 def test_substring_removal_matches_brute_force(spark, monkeypatch, chunk, bucket_chars, shard):
-    monkeypatch.setattr(substring_dedup, "CHUNK_DOCS", chunk)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(substring_dedup, "BUCKET_CHARS", bucket_chars)
     some = [*texts(), "ab" * 90, "ab" * 80, "\x00" * 120, "\x00" * 60]
     random.Random(2).shuffle(some)
@@ -119,44 +121,134 @@ def test_substring_removal_of_nothing(spark):
 # --- paragraphs ------------------------------------------------------------------------------------------------
 
 
-def brute_paragraphs(docs: dict[int, str | None]) -> dict[int, tuple[int, int]]:
-    """(repeated paragraphs, smallest document) by comparing all paragraphs' exact shingle sets."""
-    from juryloom.llm.common import word_hashes
-
-    pars = []
-    for k, t in docs.items():
-        begin, end = paragraph_dedup.paragraphs(word_hashes((t or "").encode())[0])
-        w = words(t)
-        assert not w or (begin[0] == 0 and end[-1] == len(w) and (begin[1:] <= end[:-1]).all())
-        pars += [(k, {tuple(w[i : i + 5]) for i in range(a, b - 4)}) for a, b in zip(begin, end, strict=True)]
-    full = [i for i, p in enumerate(pars) if p[1]]
-    edges = [(i, j) for n, i in enumerate(full) for j in full[n + 1 :] if 100 * len(pars[i][1] & pars[j][1]) >= 80 * len(pars[i][1] | pars[j][1])]
+def mix(h: int) -> int:
+    """The finaliser that word hashes and cuts share."""
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * by % 2**64
+    return h ^ h >> 33
+
+
+def plain_paragraphs(text: str) -> list[tuple[int, int]]:
+    """Paragraphs by the rules of the module's head, word by word."""
+    h = [int(x) for x in word_hashes(text.encode())[0]]
+    n = len(h)
+    three = {i: mix(h[i - 1] * 3 % 2**64 ^ mix(h[i] * 5 % 2**64 ^ mix(h[i + 1]))) for i in range(1, n - 1)}
+    r = range(1, paragraph_dedup.REACH + 1)
+    at = [i for i in three if all(i - k in three and i + k in three and three[i] < three[i - k] and three[i] <= three[i + k] for k in r)]
+    out, cut_short = set(), False
+    for i in [0] * (n > 0) + at:
+        end = min([e for e in at if e >= i + paragraph_dedup.PARAGRAPH_WORDS], default=n)
+        if end < n or not cut_short:
+            out.add((i, end))
+        cut_short |= end == n
+    for breaks in ("\n|\r(?!\n)", "(?:\n|\r(?!\n))[\\x20\\x09-\\x0D]*?(?:\n|\r(?!\n))"):
+        i = 0
+        for part in re.split(breaks, text):
+            k = len(words(part))
+            if k >= 5:
+                out.add((i, i + k))
+            i += k
+    return sorted(out)
+
+
+def brute_paragraphs(docs: dict[int, str | None]) -> dict[int, tuple]:
+    """(repeated paragraphs, class, bytes and stretches removed, digest of the rest) by comparing all paragraphs' exact shingle sets."""
+    pars, of_doc, place = [], {}, {}
+    for k in sorted(docs):
+        w = words(docs[k])
+        hashes = word_hashes((docs[k] or "").encode())[0]
+        of_doc[k] = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in w], hashes
+        for a, b in plain_paragraphs(docs[k] or ""):
+            digest = hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest()
+            pars.append((k, a, b, digest, {tuple(w[i : i + 5]) for i in range(a, b - 4)}))
+            place.setdefault(digest, (k, a, b))
+    full = [i for i, p in enumerate(pars) if p[4]]
+    edges = [(i, j) for n, i in enumerate(full) for j in full[n + 1 :] if 100 * len(pars[i][4] & pars[j][4]) >= 80 * len(pars[i][4] | pars[j][4])]
     comp = plain_components(full, edges)
-    first: dict[int, int] = {}
+    first: dict[int, tuple] = {}
     for i in full:
-        first[comp[i]] = min(first.get(comp[i], pars[i][0]), pars[i][0])
-    out = {k: (0, k) for k in docs}
-    for i in full:
-        k, least = pars[i][0], first[comp[i]]
-        if least < k:
-            out[k] = (out[k][0] + 1, min(out[k][1], least))
+        first[comp[i]] = min(first.get(comp[i], (2**63, b"")), (place[pars[i][3]][0], pars[i][3]))
+    out = {}
+    for k in docs:
+        own = [(*pars[i][1:4], first[comp[i]]) for i in full if pars[i][0] == k and first[comp[i]][0] < k]
+        data = (docs[k] or "").encode()
+        _, begin, end = word_hashes(data)
+        gone = {i for a, b, *_ in own for i in range(a, b)}
+        more = set()
+        for a, b, digest, (_, other) in own:
+            x, i, j = place[digest if place[digest][0] < k else other]
+            here, there = of_doc[k][0], of_doc[x][0]
+            around, edge = paragraph_dedup.AROUND, paragraph_dedup.EDGE
+            if a and a - 1 not in gone:
+                n = beyond(here[max(0, a - around) : a][::-1], here[a:b][::-1], there[max(0, i - around) : min(j, i + edge)][::-1])
+                more |= set(range(a - n, a))
+            if b < len(here) and b not in gone:
+                more |= set(range(b, b + beyond(here[b : b + around], here[a:b], there[max(i, j - edge) : j + around])))
+        gone |= more
+        mask = [False] * len(data)
+        for i in gone:
+            to = begin[i + 1] if i + 1 in gone else end[i]
+            mask[begin[i] : to] = [True] * (to - begin[i])
+        rest = bytes(c for c, m in zip(data, mask, strict=True) if not m)
+        spans = sum(m and not p for m, p in zip(mask, [False, *mask], strict=False))
+        out[k] = (len(own), min([p[3][0] for p in own], default=k), sum(mask), spans, hashlib.sha256(rest).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("chunk", [4096, 8])
+def beyond(outside: list[str], own: list[str], stays: list[str]) -> int:
+    """Words of outside that go on as stays does after the last shingle that own, near its end, has in common with it."""
+    for t in range(len(own), max(5, len(own) - paragraph_dedup.EDGE + 5) - 1, -1):
+        for at in range(len(stays) - 4):
+            if stays[at : at + 5] == own[t - 5 : t]:
+                n = 0
+                for x, y in zip(own[t:] + outside, stays[at + 5 :], strict=False):
+                    if x != y:
+                        break
+                    n += 1
+                return max(0, n - (len(own) - t))
+    return 0
+
+
+@pytest.mark.parametrize("chunk", [16_000_000, 3_000])
 def test_paragraph_removal_matches_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(substring_dedup, "CHUNK_DOCS", chunk)
-    monkeypatch.setattr(paragraph_dedup, "BUCKET_CHARS", 4_000)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substring_dedup, "BUCKET_CHARS", 4_000)
     some = [t for t in texts() if len(t or "") < 10_000]
+    some += [f"{some[1]}\r\n\r\n{some[2]}\n{some[3]}", f"{some[2]}\r{some[1]}\n \n{some[3]}"]
     random.Random(3).shuffle(some)
     docs = plain(some)
     got = by_id(paragraph_dedup.remove_paragraphs(frame(spark, some)))
-    assert {k: (r["n_repeated"], r["class_id"]) for k, r in got.items()} == brute_paragraphs(docs)
-    for k, r in got.items():
-        data = (docs[k] or "").encode()
-        assert r["n_bytes"] == len(data) and (r["n_removed"] > 0) == (r["n_repeated"] > 0) == (r["n_spans"] > 0)
-        if not r["n_removed"]:
-            assert r["kept_sha256"] == hashlib.sha256(data).hexdigest()
+    want = brute_paragraphs(docs)
+    assert {k: (r["n_repeated"], r["class_id"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got.items()} == want
+    assert sum(w[2] > 0 for w in want.values()) > 15
+    assert {k: (r["n_bytes"], r["n_paragraphs"]) for k, r in got.items()} == {k: (len((t or "").encode()), len(plain_paragraphs(t or ""))) for k, t in docs.items()}
+
+
+def test_altered_long_paragraphs_and_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(paragraph_dedup, "BLOCK", 6)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    some, long = [], []
+    for i in range(60):
+        w = [word() for _ in range(rng.randrange(90, 200))]
+        some.append(" ".join(word() for _ in range(30)) + "\n" + " ".join(w))
+        w[len(w) // 3] = w[2 * len(w) // 3] = "altered"
+        some.append(" ".join(w) + "\n" + " ".join(word() for _ in range(30)))
+        long.append(len(" ".join(w)))
+    line = [word() for _ in range(40)]  # many variants of one line in the same buckets
+    some += [" ".join([*line[:i], f"v{i}", *line[i + 1 :]]) for i in range(40)]
+    got = by_id(paragraph_dedup.remove_paragraphs(frame(spark, some)))
+    hit = [got[(2 * i + 1) * 3 + 1]["n_removed"] >= n for i, n in enumerate(long)]
+    assert sum(hit) >= 0.9 * len(hit)
+    assert all(got[i * 3 + 1]["class_id"] == 121 * 3 - 2 for i in range(121, 160))
+
+
+def test_paragraphs_of_repeated_rows_and_null_ids(spark):
+    text = sentence(random.Random(2), 40)
+    docs = spark.createDataFrame([(4, text), (4, text), (None, text), (9, "x " + text), (1, None), (None, None)], "doc_id long, text string").repartition(3)
+    for of in (paragraph_dedup.remove_paragraphs, substring_dedup.remove_repeats):
+        got = sorted(((r["doc_id"], r["n_removed"] > 0) for r in of(docs).collect()), key=str)
+        assert got == sorted([(4, False), (4, False), (None, True), (9, True), (1, False), (None, False)], key=str)
 
 
 def test_planted_passages_are_found_wherever_they_stand(spark):
@@ -269,6 +361,18 @@ def test_exact_dedup_matches_brute_force(spark, digest_bytes):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
+def test_exact_dedup_of_repeated_rows_and_null_ids(spark):
+    data = [(5, "a  b"), (5, "a  b"), (7, "ab"), (None, "a   b"), (None, "c"), (None, "c"), (8, None), (8, None), (9, "d"), (5, "e"), (5, "e"), (3, "d")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, row int").repartition(4)
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()]
+    want = [(5, None, 4, False)] * 2 + [(7, None, 4, False), (None, None, 4, True), (None, None, 2, True), (None, None, 2, False)]
+    want += [(8, 8, 2, True), (8, 8, 2, False), (3, 3, 2, True), (9, 3, 2, False), (5, 5, 2, True), (5, 5, 2, False)]
+    assert Counter(got) == Counter(want)
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(None, "a   b"), (None, "c"), (8, None), (3, "d"), (5, "e")], key=str)
+
+
 def test_exact_dedup_compacts_many_runs(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 7)
     monkeypatch.setattr(exact_dedup, "SALT_ROWS", 3)
