@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juryloom.llm import bpe, exact_dedup, langid, minhash, mixing
-from juryloom.llm.common import materialize, shared_dir, table
+from juryloom.llm.common import bounded, materialize, shared_dir, table
 
 #: Below it a text's n-grams stand like those of no learned language.
 LEAST_LANGUAGE_SCORE = 0.05
@@ -15,7 +15,7 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those like no language's profile, go."""
+    """Null texts, those without letters, and those like no language's profile, go; equal rows go alike."""
     profiles = langid.learn(docs.filter(~langid.held_out(docs["doc_id"])))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), langid.prediction(docs["text"], profiles).alias("found"))
     known = (F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)
@@ -23,21 +23,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = exact_dedup.exact_dedup(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of texts that are equal without separators stays; null texts count as empty.
+
+    Also of rows that are equal in all columns just one stays. A null doc_id comes after all others.
+    """
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select("doc_id")
+    """The document of least doc_id of each component of near copies stays, with all rows of that doc_id.
+
+    Texts without words and rows of null doc_id link with nothing and stay.
+    """
+    near = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select("doc_id").distinct()
+    gone = bounded(materialize(near, shared_dir(spark), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat or go by the rates that give the domains their target shares."""
+    """Documents repeat or go by the rates that give the domains their target shares, equal rows alike.
+
+    Null text has no tokens and goes by the rate of an unknown text.
+    """
     return mixing.apply_mix(docs, table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each row: doc_id, n_tokens and digests; null text has no tokens."""
     return bpe.encode_digests(docs)
 
 
