@@ -539,6 +539,36 @@ def plain_posteriors(docs, marks, got):
         assert np.allclose([r["p_high"], r["p_low"], r["p_toxic"]], np.array(odds) / sum(odds), atol=1e-4)
 
 
+def test_top_k_of_repeated_rows_in_several_partitions(spark):
+    rng = random.Random(5)
+    data = [(i, [float(rng.randrange(-9, 9)) for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    twice = df.union(df.filter("vec_id % 20 <> 0")).union(df.filter("vec_id = 7"))
+    got = topk.top_k(twice, twice["vec_id"] % 20 == 0, scale=1.0, vector_block=16)
+    copies = {i: 1 + (i % 20 != 0) + (i == 7) for i, _ in data}
+    want = []
+    for q, x in data[::20]:
+        every = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in data if i != q for _ in range(copies[i]))[:5]
+        want += [(q, rank + 1, i, -int(s)) for rank, (s, i) in enumerate(every)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_threshold_stops_before_all_rows_are_scored():
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((4000, 2)) * 100).astype(np.int64)
+    lists = topk.SortedLists(np.arange(4000), x)
+    shares = []
+    for q in range(50):
+        ids, score, scored = lists.top(q, x[q], 5)
+        every = x @ x[q]
+        every[q] = np.iinfo(np.int64).min
+        order = np.lexsort((np.arange(4000), -every))[:5]
+        assert ids.tolist() == order.tolist() and score.tolist() == every[order].tolist()
+        assert len(lists.top(q, x[q], 5, least=int(every.max()) + 1)[0]) <= 5
+        shares.append(scored / 4000)
+    assert np.mean(shares) < 0.5
+
+
 # --- language identification ----------------------------------------------------------------------------------
 
 
