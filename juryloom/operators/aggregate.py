@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +134,18 @@ def overlay(scored_rows: DataFrame, resolutions: DataFrame) -> DataFrame:
     """
     fields = [c for c in ("final_score", "assertion", "confidence", "evidence", "rationale") if c in resolutions.columns]
     one = resolutions.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct(*fields)))).alias("judge_resolution"))
-    row = scored_rows.join(one, "file_id", "left")
+    return _judged(scored_rows.join(one, "file_id", "left"))
+
+
+def overlay_in_row(scored_rows: DataFrame, resolve: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """As overlay, by a judge that is an expression of an item's votes: without a join, as a row holds its votes."""
+    whole = F.array_contains("arbitration_items", F.lit(TOTAL))
+    asked = F.filter("items", lambda i: whole | F.array_contains("arbitration_items", i["item"]))
+    entries = F.transform(asked, lambda i: F.struct(i["item"].alias("item"), F.struct(*(c.alias(n) for n, c in resolve(i["votes"]).items()))))
+    return _judged(scored_rows.withColumn("judge_resolution", F.when(F.size("arbitration_items") > 0, F.map_from_entries(entries))))
+
+
+def _judged(row: DataFrame) -> DataFrame:
     took = lambda i: F.map_contains_key("judge_resolution", i["item"])
     final = F.transform(
         "items", lambda i: F.struct(F.when(F.col("judge_resolution").isNotNull() & took(i), F.element_at("judge_resolution", i["item"])["final_score"]).otherwise(i["consensus_score"]).alias("consensus_score"))

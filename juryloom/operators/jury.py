@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ITEMS, MAX_EVIDENCE_CHARS, MAX_EVIDENCE_SNIPPETS, MAX_EVIDENCE_WORDS, ScoringConfig
+from ..config import ITEMS, MAX_ERROR_CHARS, MAX_EVIDENCE_CHARS, MAX_EVIDENCE_SNIPPETS, MAX_EVIDENCE_WORDS, ScoringConfig
 from ..functions.hashing import hex_digit, sha256, sha_mod4
 from ..functions.text import first_words, strip, word_count
 
@@ -50,8 +50,8 @@ def external_votes(texts: DataFrame, score: Callable[[str], list[dict]], partiti
     """Votes of a pluggable juror: score(text) gives a dictionary of a vote's fields for each juror and item.
 
     Each document is asked for once in a task attempt; a failure becomes one row of null
-    fields with its text in error. Repeated attempts repeat paid calls: keep speculation off and write the
-    result before using it.
+    fields with its kind in error_code and its text in error_message. Repeated attempts repeat paid calls: keep
+    speculation off and write the result before using it.
     """
     names = [c.strip().split(" ")[0] for c in VOTE.split(", ")][1:]
 
@@ -60,13 +60,12 @@ def external_votes(texts: DataFrame, score: Callable[[str], list[dict]], partiti
             out = []
             for file_id, text in zip(batch["file_id"], batch["scoring_text"], strict=True):
                 try:
-                    out += [(file_id, *(v.get(n) for n in names), None) for v in score(text or "")]
+                    out += [(file_id, *(v.get(n) for n in names), None, None) for v in score(text or "")]
                 except Exception as e:  # noqa: BLE001  one document's failure is a row, not the job's end
-                    out.append((file_id, *(None for _ in names), f"{type(e).__name__}: {e}"[:500]))
-            frame = pd.DataFrame(out, columns=["file_id", *names, "error"], dtype=object)
-            yield frame
+                    out.append((file_id, *(None for _ in names), type(e).__name__, str(e)[:MAX_ERROR_CHARS]))
+            yield pd.DataFrame(out, columns=["file_id", *names, "error_code", "error_message"], dtype=object)
 
-    return texts.select("file_id", "scoring_text").repartition(partitions).mapInPandas(ask, f"{VOTE}, error string")
+    return texts.select("file_id", "scoring_text").repartition(partitions).mapInPandas(ask, f"{VOTE}, error_code string, error_message string")
 
 
 def vote_problem(discussed: Column, score: Column, assertion: Column, confidence: Column, evidence: Column) -> Column:
@@ -96,20 +95,23 @@ def vote_violations(votes: DataFrame) -> DataFrame:
     return votes.select("file_id", "model_id", "run_number", "item", problem.alias("problem")).filter("problem is not null")
 
 
-def fake_resolutions(item_agg: DataFrame) -> DataFrame:
-    """A judge's answers for contested items: the votes' mean, not-mentioned as 0, rounded half to even."""
-    votes = F.transform("votes", lambda v: F.coalesce(v["score"], F.lit(0)))
-    mean = F.aggregate(votes, F.lit(0.0), lambda s, v: s + v) / F.size(votes)
+def fake_resolution(votes: Column) -> dict[str, Column]:
+    """A judge's answer from an item's votes: their mean, not-mentioned as 0, rounded half to even."""
+    score = F.transform(votes, lambda v: F.coalesce(v["score"], F.lit(0)))
+    mean = F.aggregate(score, F.lit(0.0), lambda s, v: s + v) / F.size(score)
     final = F.greatest(F.lit(0), F.least(F.lit(3), F.bround(mean).cast("int")))
-    return item_agg.filter("contested").select(
-        "file_id",
-        "item",
-        final.alias("final_score"),
-        F.when(final == 0, "denied").otherwise("present").alias("assertion"),
-        F.lit(0.7).alias("confidence"),
-        F.slice(F.flatten(F.transform("votes", lambda v: v["evidence"])), 1, MAX_EVIDENCE_SNIPPETS).alias("evidence"),
-        F.lit("Mean of the jurors' votes.").alias("rationale"),
-    )
+    return {
+        "final_score": final,
+        "assertion": F.when(final == 0, "denied").otherwise("present"),
+        "confidence": F.lit(0.7),
+        "evidence": F.slice(F.flatten(F.transform(votes, lambda v: v["evidence"])), 1, MAX_EVIDENCE_SNIPPETS),
+        "rationale": F.lit("Mean of the jurors' votes."),
+    }
+
+
+def fake_resolutions(item_agg: DataFrame) -> DataFrame:
+    """The offline judge's answers for contested items, one row each."""
+    return item_agg.filter("contested").select("file_id", "item", *(c.alias(n) for n, c in fake_resolution(F.col("votes")).items()))
 
 
 #: Tokens that an offline juror and judge report for a call: input, output, reasoning, total.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MAX_ERROR_CHARS, ScoringConfig
+from ..config import ITEMS, MAX_ERROR_CHARS, ScoringConfig
 from ..operators import aggregate, corpus, dialogue, jury
 from ..sources import sinks
 from ..sources.corpus import latest_per_key, read_first
@@ -29,20 +31,37 @@ def item_table(seen: DataFrame, config: ScoringConfig, na_digits: tuple[int, ...
 def score(seen: DataFrame, config: ScoringConfig, na_digits: tuple[int, ...] = (), judge: bool = True) -> DataFrame:
     """Scored rows of text views; contested items go to the offline judge."""
     rows = aggregate.scored(item_table(seen, config, na_digits), config, KEEP)
-    if judge:
-        rows = aggregate.overlay(rows, jury.fake_resolutions(aggregate.contested(rows)))
-    return rows
+    return aggregate.overlay_in_row(rows, jury.fake_resolution) if judge else rows
+
+
+def score_votes(seen: DataFrame, votes: DataFrame, config: ScoringConfig, judge: Callable[[DataFrame], DataFrame] | None, folder: str) -> DataFrame:
+    """Scored rows from written votes of any jurors. judge gives resolutions of contested items; these are written to
+    folder before they are used, so that it is asked once. Without a judge the offline one decides."""
+    place = F.array_position(F.array(*map(F.lit, ITEMS)), F.col("item")).cast("int") - 1
+    whole = votes.withColumn("item_idx", place).join(seen.select("file_id", *KEEP), "file_id")
+    rows = aggregate.scored(aggregate.item_aggregates(aggregate.collect_votes(whole, KEEP), config), config, KEEP)
+    if judge is None:
+        return aggregate.overlay_in_row(rows, jury.fake_resolution)
+    judge(aggregate.contested(rows).filter("contested")).write.parquet(folder)
+    return aggregate.overlay(rows, seen.sparkSession.read.parquet(folder))
 
 
 @dataclass(frozen=True)
 class Run:
-    """A run's folder: events (append-only), rows (append-only), manifest.json, config.json."""
+    """A run's folder: events (append-only), a folder of rows for each attempt, manifest.json, config.json.
+
+    jurors(texts) gives votes (see jury.external_votes), judge(contested items) resolutions; by default the offline
+    ones. With fail_fast an attempt in which a dialogue failed ends with an error, after its events are written.
+    """
 
     spark: SparkSession
     folder: str
     config: ScoringConfig
+    jurors: Callable[[DataFrame], DataFrame] | None = None
+    judge: Callable[[DataFrame], DataFrame] | None = None
+    fail_fast: bool = False
 
-    EVENT = "file_id string, status string, attempt int, error_code string, error_message string, at timestamp, batch long, input_tokens long, output_tokens long, reasoning_tokens long, total_tokens long"
+    EVENT = "file_id string, status string, attempt int, error_code string, error_message string, at timestamp, batch long, part string, input_tokens long, output_tokens long, reasoning_tokens long, total_tokens long"
 
     def events(self) -> DataFrame:
         empty = self.spark.createDataFrame([], self.EVENT)
@@ -51,11 +70,21 @@ class Run:
         return self.spark.read.schema(empty.schema).parquet(f"{self.folder}/events") if there else empty
 
     def latest(self) -> DataFrame:
-        return latest_per_key(self.events(), "file_id", "attempt", "at")
+        """The last event of each dialogue; of one attempt's events that of its end."""
+        ended = self.events().withColumn("ended", F.col("status") != "running")
+        return latest_per_key(ended, "file_id", "attempt", "ended", "at").drop("ended")
+
+    def job(self, file_id: str) -> dict:
+        """Status, attempts and errors of one dialogue; an unknown id is an error."""
+        found = self.latest().filter(F.col("file_id") == file_id).first()
+        if found is None:
+            raise KeyError(file_id)
+        return found.asDict()
 
     def pending(self, dialogues: DataFrame) -> DataFrame:
-        """Dialogues that are not done; failed ones come again."""
-        return dialogues.join(self.events().filter("status = 'done'").select("file_id").distinct(), "file_id", "left_anti")
+        """Of the dialogues within the limit those that are not done; failed and unfinished ones come again."""
+        done = self.events().filter("status = 'done'").select("file_id").distinct()
+        return read_first(dialogues, self.config.limit).join(done, "file_id", "left_anti")
 
     def guard(self) -> None:
         """A folder holds one configuration: another one is an error."""
@@ -65,30 +94,61 @@ class Run:
         elif seen.strip() != own:
             raise ValueError("the folder holds another configuration's run")
 
+    def _write_events(self, rows: DataFrame, status: str, batch: int, part: str) -> None:
+        own = {"status": F.lit(status), "at": F.current_timestamp(), "batch": F.lit(batch), "part": F.lit(part)}
+        rows = rows.withColumns({k: v for k, v in own.items() if k not in rows.columns})
+        fields = [c.strip().split(" ") for c in self.EVENT.split(", ")]
+        some = [(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields]
+        rows.select(*some).write.mode("append").parquet(f"{self.folder}/events")
+
     def run_once(self, dialogues: DataFrame, batch: int = 0) -> int:
-        """Score what is pending; gives the number of dialogues. Rows are written before their events, and rows of
-        an unfinished attempt are replaced with their batch's folder, so that done rows exist exactly once."""
+        """Score what is pending; gives the number of dialogues that are done now.
+
+        Every call is an attempt with a folder of its own, which its events name; nothing is overwritten. Rows are
+        written before the events that make them count, so a call that breaks off leaves its dialogues pending and
+        one that is repeated after its events finds nothing to do.
+        """
         self.guard()
-        todo = self.pending(dialogues)
-        seen = texts(todo, self.config)
-        rows = score(seen, self.config).join(seen.select("file_id", "scoring_text"), "file_id")
-        path = f"{self.folder}/rows/batch={batch}"
-        rows.write.mode("overwrite").parquet(path)
-        done = self.spark.read.parquet(path)
+        part = f"attempt-{uuid.uuid4().hex}"
+        work = f"{self.folder}/work/{part}"
         before = self.latest().select("file_id", F.col("attempt").alias("before"))
+        todo = texts(self.pending(dialogues), self.config).join(before, "file_id", "left")
+        todo.withColumn("attempt", F.coalesce("before", F.lit(0)) + 1).drop("before").write.parquet(f"{work}/texts")
+        seen = self.spark.read.parquet(f"{work}/texts")
+        jobs = seen.select("file_id", "attempt")
+        self._write_events(jobs, "running", batch, part)
+        failed = None
+        if self.jurors is None and self.judge is None:
+            rows = score(seen, self.config)
+        else:
+            votes = jury.fake_votes(seen, self.config.jurors) if self.jurors is None else self.jurors(seen)
+            votes.write.parquet(f"{work}/votes")
+            votes = self.spark.read.parquet(f"{work}/votes")
+            if "error_code" in votes.columns:
+                failed = votes.filter("error_code is not null").groupBy("file_id").agg(F.min(F.struct("error_code", "error_message")).alias("e"))
+                failed = failed.select("file_id", "e.error_code", F.substring("e.error_message", 1, MAX_ERROR_CHARS).alias("error_message"))
+                votes = votes.join(failed.select("file_id"), "file_id", "left_anti").select(*(c.strip().split(" ")[0] for c in jury.VOTE.split(", ")))
+            rows = score_votes(seen, votes, self.config, self.judge, f"{work}/resolutions")
+        rows.join(seen.select("file_id", "scoring_text"), "file_id").write.parquet(f"{self.folder}/rows/part={part}")
+        done = self.spark.read.parquet(f"{self.folder}/rows/part={part}")
         usage = jury.token_usage(aggregate.contested(done), self.config)
-        events = done.select("file_id").join(before, "file_id", "left").join(usage, "file_id").select(
-            "file_id", F.lit("done").alias("status"), (F.coalesce("before", F.lit(0)) + 1).alias("attempt"), F.lit(None).cast("string").alias("error_code"),
-            F.substring(F.lit(None).cast("string"), 1, MAX_ERROR_CHARS).alias("error_message"), F.current_timestamp().alias("at"), F.lit(batch).cast("long").alias("batch"),
-            "input_tokens", "output_tokens", "reasoning_tokens", "total_tokens",
-        )
-        events.write.mode("append").parquet(f"{self.folder}/events")
-        return done.count()
+        self._write_events(jobs.join(usage, "file_id"), "done", batch, part)
+        lost = jobs.join(done.select("file_id"), "file_id", "left_anti")
+        if failed is not None:
+            lost = lost.join(failed, "file_id", "left")
+        else:
+            lost = lost.withColumns({"error_code": F.lit(None), "error_message": F.lit(None)})
+        lost = lost.withColumn("error_code", F.coalesce("error_code", F.lit("no_votes")))
+        self._write_events(lost, "failed", batch, part)
+        n = done.count()
+        if self.fail_fast and jobs.count() > n:
+            raise RuntimeError(f"{jobs.count() - n} dialogues failed in {part}")
+        return n
 
     def rows(self) -> DataFrame:
-        """Scored rows of done dialogues, each once."""
-        done = self.events().filter("status = 'done'").select("file_id", "batch").distinct()
-        return self.spark.read.parquet(f"{self.folder}/rows").join(done, ["file_id", "batch"], "left_semi").drop("batch")
+        """Scored rows of done dialogues, each once, from the attempt that its last done event names."""
+        done = self.events().filter("status = 'done'").groupBy("file_id").agg(F.max_by("part", F.struct("attempt", "at")).alias("part"))
+        return self.spark.read.parquet(f"{self.folder}/rows").join(done, ["file_id", "part"], "left_semi").drop("part")
 
     def finish(self, dialogues: DataFrame) -> dict:
         """Totals, counts and fingerprints to manifest.json; the fingerprint covers the whole corpus."""

@@ -36,7 +36,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
-    return aggregate.overlay(rows, jury.fake_resolutions(aggregate.contested(rows)))
+    return aggregate.overlay_in_row(rows, jury.fake_resolution)
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:

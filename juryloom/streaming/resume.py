@@ -12,8 +12,8 @@ from ..sources.corpus import DIALOGUE, dedupe, with_split
 def score_stream(spark: SparkSession, run: Run, source: str, max_files: int = 64) -> StreamingQuery:
     """Read new Parquet files of dialogues and score those that are not done yet; ends when all files are read.
 
-    A batch that is run again after a failure replaces its own rows, and done dialogues are left out of it, so each
-    dialogue is scored once. The stream's checkpoint is kept beside the run.
+    A batch that is run again after a failure is an attempt of its own, in which done dialogues are left out, so each
+    dialogue counts once. The stream's checkpoint is kept beside the run.
     """
 
     def batch(rows: DataFrame, number: int) -> None:

@@ -157,6 +157,52 @@ def test_run_resumes(spark, tmp_path):
         scoring.Run(spark, run.folder, ScoringConfig(alpha=1.0)).run_once(docs, 2)
 
 
+def test_a_repeated_batch_keeps_finished_rows(spark, tmp_path):
+    docs = talk(spark, *(f"Therapist: q\nClient: answer {i} {i}" for i in range(6)))
+    run = scoring.Run(spark, f"file://{tmp_path}/run", CONFIG)
+    assert run.run_once(docs.filter("file_id < 'f4'")) == 4
+    assert run.run_once(docs) == 2  # the same batch again, with more dialogues
+    assert run.run_once(docs) == 0  # and replayed after its events
+    assert run.rows().count() == run.rows().select("file_id").distinct().count() == 6
+    assert run.pending(docs).count() == 0
+
+
+def test_limit_is_of_the_corpus(spark, tmp_path):
+    docs = talk(spark, *(f"Client: answer {i}" for i in range(6)))
+    run = scoring.Run(spark, f"file://{tmp_path}/run", ScoringConfig(limit=3))
+    assert [run.run_once(docs), run.run_once(docs)] == [3, 0]
+
+
+def test_failing_juror_and_external_judge(spark, tmp_path):
+    docs = talk(spark, *(f"Client: answer {i}" for i in range(4)))
+    broken = tmp_path / "broken"
+    broken.write_text("x")
+
+    def ask(text):
+        if "answer 2" in text and broken.exists():
+            raise ConnectionError("no line " * 200)
+        field = {"discussed": True, "confidence": 0.9, "evidence": ["x"], "assertion": "present"}
+        return [{"model_id": "m", "run_number": r, "item": i, "score": 1 + r, **field} for r in (0, 1, 2) for i in ITEMS]
+
+    def judge(items):
+        return items.select("file_id", "item", F.lit(0).alias("final_score"), F.lit("denied").alias("assertion"))
+
+    run = scoring.Run(spark, f"file://{tmp_path}/run", CONFIG, lambda t: jury.external_votes(t, ask, 2), judge)
+    assert run.run_once(docs) == 3
+    bad = [r["file_id"] for r in run.latest().filter("status = 'failed'").collect()]
+    assert len(bad) == 1 and run.job(bad[0])["attempt"] == 1
+    assert run.job(bad[0])["error_code"] == "ConnectionError" and len(run.job(bad[0])["error_message"]) == 500
+    with pytest.raises(KeyError):
+        run.job("nobody")
+    with pytest.raises(RuntimeError, match="1 dialogues failed"):
+        scoring.Run(spark, run.folder, CONFIG, run.jurors, judge, fail_fast=True).run_once(docs)
+    broken.unlink()
+    assert run.run_once(docs) == 1 and run.job(bad[0])["attempt"] == 3
+    got = run.rows()
+    assert got.count() == 4 and got.filter("final_source = 'judge_override' and final_total = 0").count() == 4
+    assert scoring.ledger_totals(run.latest()).first()["failed"] == 0
+
+
 def test_stream_scores_each_dialogue_once(spark, tmp_path):
     run = scoring.Run(spark, f"file://{tmp_path}/run", CONFIG)
     for i in range(2):
