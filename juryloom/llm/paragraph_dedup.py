@@ -9,10 +9,11 @@ A paragraph that is similar to another one has most of its shingles in common wi
 times is found on packed arrays; only paragraphs of which SHARED percent do so go on. Equal ones are put together, in a
 chunk of documents first, so that a passage that very many documents share is a row for each chunk. Every different one
 has BANDS keys of BAND_ROWS minima of its shingles; those that share a key meet in its bucket, where their whole shingle
-sets are compared; very long ones are compared as near-duplicate texts are. Linked ones form components. Of each component the paragraphs of the document with the smallest doc_id stay, all others are
-removed, with the words on either side that are also those beside the one that stays: a passage's edges lie outside its
-cuts. Only places, keys and the sets of paragraphs that share a key move between tasks; texts stay in their chunks, but
-for very long paragraphs that share a key.
+sets are compared; very long ones are compared as near-duplicate texts are. Linked ones form components. Of each
+component the paragraphs of the document with the smallest doc_id stay, all others are removed, with the words on either
+side that are also those beside the one that stays: a passage's edges lie outside its cuts. Only places, keys and the
+sets of paragraphs that share a key move between tasks; texts stay in their chunks, but for very long paragraphs that
+share a key.
 """
 
 from __future__ import annotations
@@ -61,6 +62,8 @@ NUMBER_BITS = 26
 _rng = np.random.Generator(np.random.PCG64(606))
 _A = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
+#: Odd bases of the polynomials that tell contents apart.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 @dataclass(frozen=True)
@@ -166,6 +169,16 @@ def text_shingles(texts: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(found)]
 
 
+def stretch_digests(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each stretch of words, from two running polynomials over all words."""
+    out = np.empty((len(begin), 2), np.uint64)
+    for i, base in enumerate(_BASES):
+        up, down = (np.cumprod(np.full(len(words) + 1, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+        total = np.append(np.zeros(1, np.uint64), np.cumsum(mix64(words ^ np.uint64(base)) * up[:-1]))
+        out[:, i] = mix64((total[end] - total[begin]) * down[begin] ^ (end - begin).astype(np.uint64))
+    return out
+
+
 _CANDIDATE = "chunk long, number long, digest binary, least long, most long, row long, first int, stop int, places binary, docs binary"
 
 
@@ -180,9 +193,8 @@ def _candidates(buckets: int):
         docs = docs.sort_values("row", ignore_index=True)
         chunk, ids, rows = int(docs["chunk"].iat[0]), docs["doc_id"].tolist(), docs["row"].tolist()
         shared = shared_codes(info) if len(info) else np.zeros(0, np.uint64)
-        known: dict[bytes, int] = {}
-        contents: list[list] = []
-        places: list[np.ndarray] = []
+        digests = [np.zeros((0, 2), np.uint64)]
+        places = [np.zeros((0, 3), np.int64)]
         of_docs: list[np.ndarray] = []
         done = 0
         for texts in in_batches(docs["text"]):
@@ -190,32 +202,39 @@ def _candidates(buckets: int):
             per_text = np.diff(np.searchsorted(found.begin, found.bounds))
             of_docs.append(np.stack([ids[done : done + len(texts)], np.diff(found.bounds), per_text], axis=1).astype(np.int64))
             some = np.flatnonzero(found.end - found.begin >= WIDTH)
-            begin, end = found.begin[some], found.end[some]
             if len(shared) and len(some):
+                begin, end = found.begin[some], found.end[some]
                 n = np.append(0, np.cumsum(are_shared(_shingles(found.words), shared, buckets)))
                 on = 100 * (n[end - WIDTH + 1] - n[begin]) >= SHARED * (end - WIDTH + 1 - begin)
                 begin, end = begin[on], end[on]
-            else:
-                begin, end = begin[:0], end[:0]
-            text = found.text_of(begin)
-            numbers = np.empty(len(begin), np.int64)
-            start = found.bounds[text]
-            for i, (a, b, t, s) in enumerate(zip(begin.tolist(), end.tolist(), text.tolist(), start.tolist(), strict=True)):
-                digest = hashlib.blake2b(found.words[a:b].tobytes(), digest_size=16).digest()
-                number = numbers[i] = known.setdefault(digest, len(known))
-                doc = ids[done + t]
-                if number == len(contents):
-                    contents.append([chunk, number, digest, doc, doc, rows[done + t], a - s, b - s, None, None])
-                    continue
-                own = contents[number]
-                own[4] = max(own[4], doc)
-                if doc < own[3]:
-                    own[3], own[5:8] = doc, (rows[done + t], a - s, b - s)
-            places.append(np.stack([text + done, numbers, begin - start, end - start], axis=1).astype(np.int32))
+                text = found.text_of(begin)
+                start = found.bounds[text]
+                digests.append(stretch_digests(found.words, begin, end))
+                places.append(np.stack([text + done, begin - start, end - start], axis=1))
             done += len(texts)
-        packed = [chunk, -1, *[None] * 6, np.concatenate(places).tobytes(), np.concatenate(of_docs).tobytes()]
-        out = pd.DataFrame([*contents, packed], columns=names, dtype=object)
-        return out.astype({c: "Int64" for c in ("chunk", "number", "least", "most", "row", "first", "stop")})
+        digest, place = np.concatenate(digests), np.concatenate(places)
+        doc = np.array(ids, np.int64)[place[:, 0]]
+        order = np.lexsort((doc, digest[:, 1], digest[:, 0]))
+        new = np.append(True, (digest[order[1:]] != digest[order[:-1]]).any(axis=1))[: len(order)]
+        first, last = order[new], order[np.append(new[1:], True)[: len(order)]]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        packed = np.column_stack([place[:, 0], number, place[:, 1:]]).astype(np.int32)
+        n = len(first)
+        whole = {
+            "least": doc[first],
+            "most": doc[last],
+            "row": np.array(rows, np.int64)[place[first, 0]],
+            "first": place[first, 1],
+            "stop": place[first, 2],
+        }
+        mask = np.arange(n + 1) == n
+        out = pd.DataFrame({c: pd.arrays.IntegerArray(np.append(v, 0), mask) for c, v in whole.items()})
+        out["chunk"], out["number"] = chunk, np.append(np.arange(n), -1)
+        out["digest"] = [*(x.tobytes() for x in digest[first]), None]
+        for c, x in (("places", packed), ("docs", np.concatenate(of_docs))):
+            out[c] = [*[None] * n, x.tobytes()]
+        return out[names]
 
     return collect
 
@@ -318,10 +337,12 @@ def bucket_links(group: np.ndarray, second: np.ndarray, ids: np.ndarray, sets: l
             i = parent[i]
         return i
 
-    tiny = np.zeros((n, TINY), np.uint64)
-    for i in np.flatnonzero(size <= TINY).tolist():
-        tiny[i, : size[i]] = sets[i]
-        tiny[i, size[i] :] = np.arange(TINY - size[i])  # no shingle's hash, but for a chance of 2^-60
+    # Beyond a set's end stand small numbers, which are no shingle's hash but for a chance of 2^-60.
+    tiny = (np.arange(TINY) - size[:, None]).astype(np.uint64)
+    small = np.flatnonzero(size <= TINY)
+    if len(small):
+        at = np.arange(size[small].sum()) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
+        tiny[np.repeat(small, size[small]), at] = np.concatenate([sets[i] for i in small.tolist()])
     out = []
 
     def settle(left: np.ndarray, right: np.ndarray) -> None:
