@@ -82,6 +82,35 @@ def self_harm_recall(human: DataFrame, flagged: DataFrame) -> DataFrame:
     return got.withColumn("recall", F.when(F.col("positives") > 0, F.col("found") / F.col("positives")).otherwise(1.0))
 
 
+def evaluate(pairs: DataFrame, recall: DataFrame | None = None) -> dict:
+    """The whole comparison with people, as a dictionary: from joined labels (every line counts) and self_harm_recall's
+    row, whose recall is 1 where it is left out. Only fixed numbers of cells come to the driver. No labels: an error."""
+    cells = confusion(pairs).orderBy("t", "p").collect()  # 25 rows
+    if not sum(r["n"] for r in cells):
+        raise ValueError("no labels")
+    frame = pairs.sparkSession.createDataFrame(cells, "t int, p int, n long")
+    overall, side = agreement(frame).first(), bias(pairs).first()
+    return {
+        "sample_size": overall["n"],
+        "annotators": side["annotators"],
+        "accuracy": overall["accuracy"],
+        "kappa": overall["kappa"],
+        "weighted_kappa": overall["weighted_kappa"],
+        "confusion": [[r["n"] for r in cells if r["t"] == t] for t in range(len(NAMES))],
+        "classes": {r["bucket"]: {c: r[c] for c in ("precision", "recall", "f1", "support")} for r in class_metrics(frame).collect()},
+        "bias": side["bias"],
+        "self_harm_recall": 1.0 if recall is None else recall.first()["recall"],
+    }
+
+
+def report(evaluation: dict) -> tuple[str, bool]:
+    """The confusion table as lines of comma-separated text, and whether the evaluation passes: every self-harm
+    positive found."""
+    head = "true\\pred," + ",".join(NAMES)
+    rows = [f"{name}," + ",".join(map(str, row)) for name, row in zip(NAMES, evaluation["confusion"], strict=True)]
+    return "\n".join([head, *rows]) + "\n", evaluation["self_harm_recall"] >= 1.0
+
+
 def features(scored: DataFrame) -> DataFrame:
     """(file_id, triggered_arbitration, mean_entropy, max_range); items without votes have no entropy."""
     known = lambda f: F.filter(F.transform("items", lambda i: i[f]), lambda x: x.isNotNull())

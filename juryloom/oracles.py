@@ -187,7 +187,7 @@ ORACLES: dict[str, str] = {
     "corpus_stats": _with(_covered("source,"), "SELECT source, count(*) AS corpus_size, " + ", ".join(f"round(avg(({i} > 0)::INT::DOUBLE), 6) AS {i}_rate" for i in ITEMS) + ", round(avg(coverage), 6) AS avg_coverage, min(word_count) AS words_min, max(word_count) AS words_max, round(avg(word_count), 6) AS words_mean, list_sort(list(word_count))[len(list(word_count)) // 2 + 1] AS words_median FROM k GROUP BY source"),
     "corpus_comparison": _with(_covered("lang,"), "SELECT item, round(l, 6) AS left_rate, round(r, 6) AS right_rate, round(l - r, 6) AS delta, abs(l - r) > 0.15 AS flagged, CASE WHEN abs(l - r) < 0.1 THEN 'close' WHEN abs(l - r) < 0.2 THEN 'moderate' ELSE 'far' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT '{i}' AS item, avg(({i} > 0)::INT::DOUBLE) FILTER (lang = 'en') AS l, avg(({i} > 0)::INT::DOUBLE) FILTER (lang = 'de') AS r FROM k" for i in ITEMS) + ")"),
     "fake_votes": _with(VOTES, r"SELECT file_id, model_id, run_number, item, plain AS score, CASE WHEN plain = 0 THEN 'denied' ELSE 'present' END AS assertion, CASE WHEN text = '' THEN 'Client: (no snippet)' ELSE array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 20), ' ') END AS snippet FROM votes"),
-    "vote_violations": _with(VOTES, f"SELECT item, count(*) AS n FROM na WHERE model_id = '{_C.jurors[0][0]}' AND run_number = {_C.jurors[0][1]} AND ((item = 'sleep' AND (skipped OR plain <> 0)) OR (item = 'guilt' AND NOT skipped)) GROUP BY item"),
+    "vote_violations": _with(VOTES, f"SELECT item, count(*) AS n FROM na WHERE (item = 'sleep' AND (skipped OR plain <> 0)) OR (item = 'guilt' AND NOT skipped) GROUP BY item"),
     "item_posteriors_na": _with(_VA, "SELECT file_id, item, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, mode, round(expected, 6) AS expected, round(entropy, 6) AS entropy, round(clinical_prob, 6) AS clinical_prob, vote_range, CAST(na_count AS INTEGER) AS na_count, round(p_na, 6) AS p_not_mentioned, consensus AS consensus_score, said AS consensus_assertion, needs AS needs_arbitration FROM agg"),
     "trigger_reasons_na": _with(_VA, "SELECT reason, n FROM (SELECT 'high_na_count' AS reason, count(*) FILTER (r0) AS n FROM agg UNION ALL SELECT 'low_max_prob', count(*) FILTER (r1) FROM agg UNION ALL SELECT 'high_entropy', count(*) FILTER (r2) FROM agg UNION ALL SELECT 'clinical_ambiguity', count(*) FILTER (r3) FROM agg UNION ALL SELECT 'vote_range', count(*) FILTER (r4) FROM agg) WHERE n > 0"),
     "total_posterior_na": _with(_SC, "SELECT file_id, CAST(t AS INTEGER) AS total, round(p, 6) AS p FROM d7"),
@@ -215,6 +215,26 @@ ORACLES: dict[str, str] = {
     "nested_export_na": _with(_SC, "SELECT file_id AS dialogue_id, condition, computed_split AS split, " + ", ".join(f"max(final) FILTER (item = '{i}') AS {i}" for i in ITEMS) + ", CAST(sum(coalesce(final, 0)) AS INTEGER) AS total_imputed, 2 AS runs_per_model, CASE WHEN bool_or(contested) THEN 'judge' END AS judge_model FROM fi GROUP BY ALL"),
     "label_repair_na": _with(f"{_SC}, {_LABELS}", "SELECT file_id, " + ", ".join(f"coalesce({x}, lack)::INT AS {x}" for x in ITEMS) + ", total, \"binary\" FROM lp WHERE problem IS NULL"),
     "label_problems_na": _with(f"{_SC}, {_LABELS}", "SELECT file_id, problem FROM lp WHERE problem IS NOT NULL"),
+    "judge_violations_na": _with(_SC, "SELECT item, count(*) AS n FROM co WHERE contested AND (item = 'sleep' OR nn = 0) GROUP BY item"),
+    "judge_inputs_na": _with(
+        _SC,
+        "SELECT file_id, item, string_agg(coalesce(na.score::VARCHAR, 'not_mentioned'), ',' ORDER BY model_id, run_number) AS juror_votes, "
+        "string_agg(CASE WHEN na.score IS NULL THEN 'not_mentioned' WHEN na.score = 0 THEN 'denied' ELSE 'present' END, ',' ORDER BY model_id, run_number) AS juror_assertions, "
+        "CAST(count(*) - count(na.score) AS INTEGER) AS na_count, CAST(round_even(100.0 * (count(*) - count(na.score)) / count(*), 0) AS INTEGER) AS na_percent, "
+        "CAST(least(5, count(na.score)) AS INTEGER) AS snippets FROM na JOIN co USING (file_id, item) WHERE contested GROUP BY file_id, item",
+    ),
+    "self_harm": _with(
+        VOTES,
+        "SELECT file_id, bool_or(plain = 3) AS mentions_self_harm, "
+        "coalesce(string_agg(CASE WHEN plain = 3 THEN model_id || '/' || run_number END, ',' ORDER BY model_id, run_number), '') AS self_harm_evidence "
+        "FROM votes WHERE item = 'guilt' GROUP BY file_id",
+    ),
+    "view_violations": _with(DIALOGUES, "SELECT file_id, 'short_answer_count' AS problem FROM dialogues WHERE regexp_replace(file_id, 'conv', '')::INT % 4 = 0"),
+    "aggregate_violations_na": _with(
+        _SC,
+        "SELECT file_id, 'final total is not the sum; final total is not the imputed one' || CASE WHEN total = 24 THEN '; bucket does not match' ELSE '' END AS problem "
+        "FROM ft WHERE regexp_replace(file_id, 'conv', '')::INT % 5 = 0",
+    ),
     "pending_jobs": _with(DIALOGUES, "SELECT file_id FROM dialogues WHERE regexp_replace(file_id, 'conv', '')::INT % 3 <> 0"),
 }
 ORACLES = {k: v.replace(")\n, ", "), ").replace("\n, ", ", ") for k, v in ORACLES.items()}

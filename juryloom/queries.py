@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ITEMS, ScoringConfig
-from .operators import aggregate, calibration, corpus, diagnostics, dialogue, export, jury
+from .functions.numeric import bucket_of
+from .operators import aggregate, calibration, contracts, corpus, diagnostics, dialogue, export, jury
 from .plans import scoring
 from .sources.corpus import from_conversations, with_split
 
@@ -92,7 +93,7 @@ def fake_votes(spark, sf_dir):
 
 def vote_violations(spark, sf_dir):
     """Votes with one broken rule each, so that all checks speak."""
-    votes = jury.fake_votes(_texts(spark, sf_dir), CONFIG.jurors[:1], NA_DIGITS)
+    votes = jury.fake_votes(_texts(spark, sf_dir), CONFIG.jurors, NA_DIGITS)
     broken = votes.withColumn("score", F.when(F.col("item") == "sleep", 0).otherwise(F.col("score"))).withColumn("evidence", F.when(F.col("item") == "guilt", F.array().cast("array<string>")).otherwise(F.col("evidence")))
     return jury.vote_violations(broken).groupBy("item").agg(F.count("*").alias("n"))
 
@@ -242,10 +243,50 @@ def pending_jobs(spark, sf_dir):
     return d.select("file_id").join(events.filter("status = 'done'"), "file_id", "left_anti")
 
 
+def _number() -> Column:
+    return F.regexp_replace("file_id", "conv", "").cast("int")
+
+
+def judge_violations_na(spark, sf_dir):
+    """The offline judge's answers, without their score for one item; nobody's evidence is a problem of its own."""
+    rows = jury.fake_resolutions(aggregate.contested(_scored(spark, sf_dir))).withColumn("discussed", F.lit(True))
+    broken = rows.withColumn("final_score", F.when(F.col("item") != "sleep", F.col("final_score")))
+    return contracts.judge_violations(broken).groupBy("item").agg(F.count("*").alias("n"))
+
+
+def judge_inputs_na(spark, sf_dir):
+    rows = contracts.judge_inputs(aggregate.contested(_scored(spark, sf_dir)))
+    lists = [F.array_join(c, ",").alias(c) for c in ("juror_votes", "juror_assertions")]
+    return rows.select("file_id", "item", *lists, "na_count", "na_percent", F.size("juror_evidence").alias("snippets"))
+
+
+def self_harm(spark, sf_dir):
+    """Any juror's flag. The offline jurors have none: the greatest score of one item stands for it here."""
+    votes = jury.fake_votes(_texts(spark, sf_dir), CONFIG.jurors).filter("item = 'guilt'")
+    said = F.when(F.col("score") == 3, F.array(F.concat_ws("/", "model_id", "run_number")))
+    reports = votes.select("file_id", "model_id", "run_number", (F.col("score") == 3).alias("mentions_self_harm"), said.alias("self_harm_evidence"))
+    return contracts.self_harm(reports).withColumn("self_harm_evidence", F.array_join("self_harm_evidence", ","))
+
+
+def view_violations(spark, sf_dir):
+    """Views of which each fourth has a counter below 0."""
+    seen = dialogue.views(dialogues(spark, sf_dir))
+    broken = seen.withColumn("short_answer_count", F.when(_number() % 4 == 0, -1).otherwise(F.col("short_answer_count")))
+    return contracts.view_violations(broken)
+
+
+def aggregate_violations_na(spark, sf_dir):
+    """Judged rows of which each fifth has a wrong total; its bucket is that of the wrong one."""
+    rows = _judged(spark, sf_dir)
+    wrong = rows.withColumn("final_total", F.col("final_total") + F.when(_number() % 5 == 0, 1).otherwise(0))
+    return contracts.aggregate_violations(wrong.withColumn("final_bucket", bucket_of(F.col("final_total"))))
+
+
 NAMES = (
     "corpus_integrity split_counts content_groups document_splits utterances dialogue_views keyword_coverage corpus_stats corpus_comparison fake_votes vote_violations "
     "item_posteriors_na trigger_reasons_na total_posterior_na scored_na severity judged_totals_na token_usage_na krippendorff_na icc_sums_na cronbach_na item_total_na "
     "coverage_na coverage_histogram_na assertion_distribution_na separation_na arbitration_rates_na judge_agreement_na confusion_na agreement_na class_metrics_na bias_na "
-    "uncertain_na annotation_sample_na best_jurors_na flat_export_na nested_export_na label_repair_na label_problems_na pending_jobs"
+    "uncertain_na annotation_sample_na best_jurors_na flat_export_na nested_export_na label_repair_na label_problems_na pending_jobs "
+    "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in NAMES}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from juryloom.config import ITEMS, ScoringConfig
 from juryloom.functions import numeric as N
 from juryloom.functions.hashing import sha256, sha_mod4, sha_mod10
-from juryloom.operators import aggregate, calibration, corpus, diagnostics, dialogue, export, jury
+from juryloom.operators import aggregate, calibration, contracts, corpus, diagnostics, dialogue, export, jury
 from juryloom.plans import scoring
 from juryloom.sources import corpus as sources
 from juryloom.streaming.resume import score_stream
@@ -228,3 +228,44 @@ def test_label_repair(spark):
     fixed, problems = corpus.repair_labels(spark.createDataFrame(rows, ddl), ITEMS, "total", "binary", "id")
     assert {r["id"]: r[ITEMS[-1]] for r in fixed.collect()} == {"a": 3, "d": 1}
     assert {r["id"] for r in problems.collect()} == {"b", "c", "e"}
+
+
+def test_judge_contract(spark):
+    ddl = "file_id string, item string, discussed boolean, final_score int, assertion string, confidence double, evidence array<string>, rationale string"
+    good = [("f", "sleep", True, 1, "possible", 0.5, ["e"], "r"), ("g", "sleep", False, None, "not_mentioned", None, [], "r")]
+    bad = [("f", "x", True, 1, "present", 0.5, ["e"], "r"), ("f", "sleep", True, 2, "possible", 0.5, ["e"], "r"), ("f", "sleep", True, 2, "present", 0.5, [], "r"), ("f", "sleep", False, 0, "not_mentioned", None, [], " ")]
+    assert contracts.judge_violations(spark.createDataFrame(good, ddl)).count() == 0
+    assert contracts.judge_violations(spark.createDataFrame(bad, ddl)).count() == 4
+    assert [r["file_id"] for r in contracts.judge_violations(spark.createDataFrame(good, ddl), na_aware=False).collect()] == ["g"]
+
+
+def test_self_harm_reports(spark):
+    ddl = "file_id string, model_id string, run_number int, mentions_self_harm boolean, self_harm_evidence array<string>"
+    rows = [("f", "b", 1, True, ["second"]), ("f", "a", 2, False, None), ("f", "a", 1, None, ["first"]), ("g", "a", 1, None, None), ("h", "a", 1, True, ["a", "b", "c", "d"]), ("h", "b", 1, True, [" "])]
+    reports = spark.createDataFrame(rows, ddl)
+    got = {r["file_id"]: (r["mentions_self_harm"], r["self_harm_evidence"]) for r in contracts.self_harm(reports).collect()}
+    assert got["f"] == (True, ["first", "second"]) and got["g"] == (False, [])
+    assert {(r["file_id"], r["model_id"]) for r in contracts.self_harm_violations(reports).collect()} == {("h", "a"), ("h", "b")}
+
+
+def test_ranges_and_totals(spark):
+    docs = talk(spark, *(f"Therapist: q\nClient: answer {i}" for i in range(4)))
+    seen = scoring.texts(docs, CONFIG)
+    items = scoring.item_table(seen, CONFIG, (0, 1, 2))
+    assert contracts.view_violations(seen).count() == 0 and contracts.item_violations(items).count() == 0
+    assert contracts.item_violations(items.withColumn("p_not_mentioned", F.lit(1.5))).count() == items.count()
+    rows = scoring.score(seen, CONFIG, (0, 1, 2))
+    assert contracts.aggregate_violations(rows).count() == 0
+    assert contracts.aggregate_violations(rows.withColumn("final_bucket", F.lit("x"))).count() == 4
+    assert contracts.validation_report(4, contracts.aggregate_violations(rows)) == {"total": 4, "invalid": 0, "valid_lines": 4, "valid": True}
+
+
+def test_whole_evaluation(spark):
+    human = spark.createDataFrame([("a", "p", 3), ("b", "q", 12), ("b", "p", 8)], "file_id string, annotator_id string, phq8_total int")
+    own = spark.createDataFrame([("a", 4), ("b", 11)], "file_id string, final_total int")
+    got = calibration.evaluate(calibration.joined(human, own))
+    assert (got["sample_size"], got["annotators"], got["bias"]) == (3, ["p", "q"], (1 - 1 + 3) / 3)
+    table, passed = calibration.report(got)
+    assert passed and table.splitlines()[1] == "0-4,1,0,0,0,0"
+    with pytest.raises(ValueError, match="no labels"):
+        calibration.evaluate(calibration.joined(human.limit(0), own))
