@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,12 @@ from .common import crc_fold, materialize, shared_dir, text_of, word_hashes
 FREQUENT = 1 << 18
 #: Tokens that a task trains on or scores at once.
 CHUNK_TOKENS = 1_500_000
-#: Tokens of the first, common steps of training, before the partitions train on their own.
-WARM_TOKENS = 300_000
+#: Tokens and documents at most of the first, common steps of training, before the parts train on their own.
+WARM_TOKENS, WARM_DOCS = 300_000, 1_000
+#: Training tokens of a part. Rows are dealt over parts by their content, so scores do not hang on the input's layout.
+PART_TOKENS = 4_000_000
+#: Parts whose parameters are averaged in one group, before the groups are.
+MEAN_PARTS = 256
 #: Words counted at once.
 COUNT_CHUNK = 2_000_000
 END = np.uint64(0x0E0D)
@@ -164,24 +169,48 @@ def _chunks(batches: Iterator[pd.DataFrame], tokens: int = CHUNK_TOKENS) -> Iter
         yield rows, docs
 
 
-def train(indexed: DataFrame, shares: np.ndarray, warm_tokens: int = WARM_TOKENS) -> gru.Params:
-    """Train on every row: common first steps on a bounded part, then a pass of each partition, then their mean.
+def _mean(models: DataFrame, span: int) -> DataFrame:
+    """(block, source, weight, flat) averaged, by weight and in the order of source, over each span of sources."""
 
-    The mean, weighted by tokens, is formed by parts of the parameter vector; only that vector comes to the driver.
+    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, weight, total = None, 0.0, np.zeros(0)
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"block": [key[0]], "source": [key[1]], "weight": [weight], "flat": [(total / weight).tobytes()]})
+
+        for batch in batches:
+            for block, group, w, flat in zip(batch["block"], batch["group"], batch["weight"], batch["flat"], strict=True):
+                if (block, group) != key:
+                    if key is not None:
+                        yield done()
+                    key, weight, total = (block, group), 0.0, np.zeros(len(flat) // 8)
+                weight += w
+                total = total + w * np.frombuffer(flat)
+        if key is not None:
+            yield done()
+
+    grouped = models.withColumn("group", F.floor(F.col("source") / span))
+    ordered = grouped.repartition("block", "group").sortWithinPartitions("block", "group", "source")
+    return ordered.mapInPandas(mean, "block int, source long, weight double, flat binary")
+
+
+def train(indexed: DataFrame, shares: np.ndarray, tokens: int, part_tokens: int = PART_TOKENS) -> gru.Params:
+    """Train on every row: common first steps on a bounded part, then a pass of each part, then the parts' mean.
+
+    Rows are dealt over parts, and ordered within them, by a hash of id and tokens; tokens, the number of them, fixes
+    the number of parts. Means are formed by blocks of the parameter vector; only that vector comes to the driver.
     """
     start = gru.fresh(shares)
-    rows = indexed.select("row", "ids")
-    few = max(1, warm_tokens // 1000)
+    rows = indexed.select(F.xxhash64("doc_id", "ids").alias("row"), "ids")
 
     def warm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = gru.Trainer(start)
-        for _, docs in _chunks(batches):
-            for _ in range(2):
-                model.train(docs)
+        _, docs = next(_chunks(batches, WARM_TOKENS), ([], []))
+        for _ in range(2):
+            model.train(docs)
         yield pd.DataFrame({"flat": [gru.pack(model.p).tobytes()]})
 
-    sample = rows.orderBy(F.xxhash64("row"), "row").limit(few).coalesce(1)
-    first = sample.mapInPandas(warm, "flat binary").first()
+    first = rows.orderBy("row").limit(WARM_DOCS).coalesce(1).sortWithinPartitions("row").mapInPandas(warm, "flat binary").first()
     shared = gru.unpack(np.frombuffer(first["flat"], np.float32), start) if first else start
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,24 +218,15 @@ def train(indexed: DataFrame, shares: np.ndarray, warm_tokens: int = WARM_TOKENS
         for _, docs in _chunks(batches):
             model.train(docs)
         if model.tokens:
-            parts = np.array_split(gru.pack(model.p), _BLOCKS)
-            yield pd.DataFrame({"part": range(_BLOCKS), "weight": float(model.tokens), "flat": [x.astype(np.float64).tobytes() for x in parts]})
+            blocks = [x.astype(np.float64).tobytes() for x in np.array_split(gru.pack(model.p), _BLOCKS)]
+            yield pd.DataFrame({"block": range(_BLOCKS), "source": TaskContext.get().partitionId(), "weight": float(model.tokens), "flat": blocks})
 
-    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for part, weight, flat in zip(batch["part"], batch["weight"], batch["flat"], strict=True):
-                s = sums.setdefault(part, [0.0, 0.0])
-                s[0] += weight
-                s[1] = s[1] + weight * np.frombuffer(flat)
-        if sums:
-            yield pd.DataFrame({"part": list(sums), "weight": [w for w, _ in sums.values()], "flat": [(x / w).tobytes() for w, x in sums.values()]})
-
-    ddl = "part int, weight double, flat binary"
-    got = rows.mapInPandas(local, ddl).repartition(_BLOCKS, "part").mapInPandas(mean, ddl).collect()  # one vector
+    parts = max(1, -(-tokens // part_tokens))
+    models = rows.repartition(parts, "row").sortWithinPartitions("row").mapInPandas(local, "block int, source long, weight double, flat binary")
+    got = _mean(_mean(models, MEAN_PARTS), 1 << 40).collect()  # one vector
     if not got:
         return shared
-    return gru.unpack(np.concatenate([np.frombuffer(r["flat"]) for r in sorted(got, key=lambda r: r["part"])]), start)
+    return gru.unpack(np.concatenate([np.frombuffer(r["flat"]) for r in sorted(got, key=lambda r: r["block"])]), start)
 
 
 def score(indexed: DataFrame, params: gru.Params) -> DataFrame:
@@ -220,19 +240,22 @@ def score(indexed: DataFrame, params: gru.Params) -> DataFrame:
 
 
 def look_up(indexed: DataFrame, counts: DataFrame, least: int) -> DataFrame:
-    """(row, log_rare, n_rare_known) of the words beyond the frequent ones, joined with their counts."""
+    """(row, log_rare, n_rare_known) of the words beyond the frequent ones, joined with their counts; a word asks once
+    for each text, however often it occurs there."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [np.frombuffer(x, np.int64) for x in batch["rare"]]
-            size = [len(w) for w in words]
-            yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), size), "word": np.concatenate(words) if words else []})
+            found = [np.unique(np.frombuffer(x, np.int64), return_counts=True) for x in batch["rare"]]
+            for row, (words, times) in zip(batch["row"], found, strict=True):
+                yield pd.DataFrame({"row": row, "word": words, "times": times})
 
-    asked = indexed.filter(F.length("rare") > 0).select("row", "rare").mapInPandas(spread, "row long, word long")
+    asked = indexed.filter(F.length("rare") > 0).select("row", "rare").mapInPandas(spread, "row long, word long, times long")
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     rest = counts.filter(level < least).select("word", "n")
     met = asked.join(rest, "word", "left")
-    return met.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("log_rare"), F.count("n").alias("n_rare_known"))
+    log = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
+    known = F.sum(F.when(F.col("n").isNotNull(), F.col("times")))
+    return met.groupBy("row").agg(F.sum(log).alias("log_rare"), known.alias("n_rare_known"))
 
 
 def score_documents(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -240,7 +263,8 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Null text is an empty
     one, a single end token; repeated rows count and are scored as often as they occur; without training rows every
-    word is unknown; further columns are ignored; an empty table gives no rows.
+    word is unknown; further columns are ignored; an empty table gives no rows. Scores do not hang on the order or
+    the partitions of the input, but for rounding.
     """
     folder = shared_dir(docs.sparkSession)
     rows = docs.select(
@@ -249,7 +273,7 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     counts = materialize(count_words(rows.filter("not held_out")), folder, "counts")
     known, least = vocabulary(counts, frequent)
     indexed = materialize(index(rows, known), folder, "indexed")
-    params = train(indexed.filter("not held_out"), known.shares)
+    params = train(indexed.filter("not held_out"), known.shares, known.tokens)
     rare = look_up(indexed, counts, least)
     whole = indexed.drop("ids", "rare").join(score(indexed, params), "row").join(rare, "row", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from juryloom.llm import bpe, components, exact_dedup, gru, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, suffix, token_count, topk
 
@@ -343,6 +344,49 @@ def test_lm_gradients(monkeypatch):
         assert math.isclose((loss[0] - loss[1]) / 0.04, grads[k][at], rel_tol=0.03, abs_tol=2e-4), k
 
 
+def test_lm_likelihoods_match_a_plain_recurrent_model():
+    """Step by step in double precision, over texts of several windows and with the lanes' states carried."""
+    rng = np.random.default_rng(5)
+    p = gru.fresh(rng.dirichlet(np.ones(gru.TOKENS)))
+    p = {k: a + rng.normal(0, 0.3, a.shape) * (k in ("x", "u", "c", "w")) for k, a in p.items()}
+    docs = [rng.integers(0, gru.TOKENS, n).astype(np.int32) for n in (1, 31, 32, 33, 100, 150)]
+    size, words = gru.HIDDEN, gru.CLASS_WORDS
+
+    def log_softmax(logits):
+        return logits - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+
+    def plain_score(doc):
+        h, token, total = np.zeros(size), gru.START, 0.0
+        for y in doc:
+            gates, carried = p["x"][token], h @ p["u"]
+            r, z = (1 / (1 + np.exp(-(gates[i : i + size] + carried[i : i + size]))) for i in (0, size))
+            new = np.tanh(gates[2 * size :] + r * carried[2 * size :])
+            h = (1 - z) * new + z * h
+            kind = y // words if y < gru.SHORTLIST else gru.WORD_CLASSES + y - gru.SHORTLIST
+            total += log_softmax(h @ p["c"] + p["cb"])[kind]
+            if y < gru.SHORTLIST:
+                own = slice(kind * words, (kind + 1) * words)
+                total += log_softmax(p["w"][own] @ h + p["wb"][own])[y % words]
+            token = y
+        return total
+
+    got = gru.log_likelihoods({k: a.astype(np.float32) for k, a in p.items()}, docs)
+    assert np.allclose(got, [plain_score(d) for d in docs], rtol=1e-4)
+
+
+def test_lm_scores_do_not_hang_on_the_layout_and_beat_the_base(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(lm_score.train, "__defaults__", (20_000,))  # several parts
+    monkeypatch.setattr(lm_score, "MEAN_PARTS", 2)
+    one, other = (by_id(lm_score.score_documents(d)) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7)))
+    assert one.keys() == other.keys()
+    for k, r in one.items():
+        assert math.isclose(r["score"], other[k]["score"], rel_tol=1e-3)
+        assert (r["n_tokens"], r["n_known"]) == (other[k]["n_tokens"], other[k]["n_known"])
+    unseen = [r for r in one.values() if r["held_out"]]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
 # --- exact dedup ----------------------------------------------------------------------------------------------
 
 
