@@ -134,3 +134,50 @@ def identify(docs: DataFrame) -> DataFrame:
     profiles = learn(docs.filter(~held_out(docs["doc_id"])))
     rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), prediction(docs["text"], profiles).alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+ORACLE = r"""
+WITH
+bits AS (
+    SELECT doc_id, text, lang, flatten(list_transform(regexp_extract_all(doc_id::VARCHAR, '.'),
+        lambda d: list_transform(range(8), lambda k: (ascii(d) >> k) & 1))) AS b
+    FROM documents),
+folds AS (
+    SELECT doc_id, text, lang, xor(4294967295, list_reduce(b,
+        lambda c, x: xor(c >> 1, CASE WHEN xor(c & 1, x) = 1 THEN 3988292384 ELSE 0 END), 4294967295)) % 5 = 0 AS held_out
+    FROM bits),
+chars AS (
+    SELECT doc_id, list_concat([0::BIGINT], list_transform(regexp_extract_all(lower(text), '(?s).'),
+        lambda x: CASE WHEN regexp_full_match(x, '\pL') THEN unicode(x)::BIGINT ELSE 0 END), [0::BIGINT]) AS c
+    FROM documents WHERE text IS NOT NULL),
+grams AS (
+    SELECT doc_id, unnest(list_concat(
+        list_transform(list_filter(c, lambda x: x > 0), lambda x: (x << 42) + 4398046511103),
+        list_transform(list_filter(range(1, len(c)), lambda i: c[i] > 0 OR c[i + 1] > 0),
+            lambda i: (c[i] << 42) + (c[i + 1] << 21) + 2097151),
+        list_transform(list_filter(range(1, len(c) - 1), lambda i: c[i + 1] > 0),
+            lambda i: (c[i] << 42) + (c[i + 1] << 21) + c[i + 2]))) AS code
+    FROM chars),
+counted AS (SELECT doc_id, code, count(*) AS n FROM grams GROUP BY ALL),
+profiles AS (
+    SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS place
+    FROM counted QUALIFY place < 300),
+learned AS (
+    SELECT lang, code, sum(n) AS n FROM counted JOIN folds USING (doc_id)
+    WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+langs AS (
+    SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS place
+    FROM learned QUALIFY place < 300),
+sizes AS (SELECT doc_id, count(*) AS size FROM profiles GROUP BY doc_id),
+met AS (
+    SELECT p.doc_id, l.lang, sum(300 - abs(p.place - l.place)) AS gain
+    FROM profiles p JOIN langs l USING (code) GROUP BY ALL),
+distances AS (
+    SELECT s.doc_id, l.lang, size, 300 * size - coalesce(gain, 0) AS distance
+    FROM sizes s CROSS JOIN (SELECT DISTINCT lang FROM langs) l LEFT JOIN met m ON m.doc_id = s.doc_id AND m.lang = l.lang),
+best AS (
+    SELECT * FROM distances QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred,
+    coalesce(1 - distance::DOUBLE / (300 * size)::DOUBLE, 0.0) AS score
+FROM folds LEFT JOIN best b USING (doc_id)
+"""

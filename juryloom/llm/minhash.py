@@ -239,3 +239,32 @@ def near_duplicates(rows: DataFrame, percent: int = 85, width: int = 5, key: str
     out = out.join(bounded(final), "id", "left")
     found = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "component", "id"))
     return out.select(F.col("id").cast(kind).alias(key), "n_shingles", found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE
+words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+        lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+    FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+    WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+    SELECT a, b FROM near
+    UNION SELECT r.doc_id, n.b FROM reached r JOIN near n ON r.other = n.a),
+least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+    least(doc_id, coalesce(other, doc_id)) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

@@ -67,8 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": substring_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_topk_search": topk.ORACLE,
+    "op7_minhash": minhash.ORACLE,
+    "op10_language_id": langid.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -470,3 +470,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out = rows.groupBy("chunk").cogroup(info.groupBy("chunk")).applyInPandas(_remove, ddl)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
+
+
+ORACLE = r"""
+WITH
+bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+    SELECT doc_id, base, substr(h, 2 * base + 1, 1098) AS p
+    FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 500)) AS base FROM bytes)),
+starts AS (
+    SELECT doc_id, base + k AS i, substr(p, 2 * k + 1, 100) AS s
+    FROM (SELECT doc_id, base, p, unnest(range(0, len(p) // 2 - 49)) AS k FROM pieces)),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i FROM starts JOIN firsts USING (s) WHERE first < doc_id),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM hits),
+numbered AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS start, max(i) + 50 AS stop FROM numbered GROUP BY ALL),
+edges AS (
+    SELECT doc_id, sum(stop - start) AS removed, count(*) AS spans,
+        list_concat(list(start ORDER BY start), [1099511627776]) AS starts, list_concat([0], list(stop ORDER BY start)) AS stops
+    FROM spans GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, spans + 2),
+        lambda k: substr(h, 2 * stops[k] + 1, 2 * (least(starts[k], len(h) // 2) - stops[k]))), '') END)) AS kept_sha256
+FROM bytes LEFT JOIN edges USING (doc_id)
+"""

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +26,22 @@ SHARD_DOCS = 4_096
 
 
 def read_blocks(spark: SparkSession, path: str, itemsize: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (shard, block, tokens) of flat files, through Spark's binary reader; a file is at most 2 GiB."""
-    files = spark.read.format("binaryFile").load(path)
+    """Blocks (shard, block, tokens) of flat files of any size. Spark lists names and lengths alone; then each block is
+    a row, and tasks read its byte range (local, HDFS and object stores, as pyarrow.fs opens them)."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("shard"), "length")
     size = itemsize * block_tokens
     at = F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long")))
-    cut = files.select(F.col("path").alias("shard"), "content", at.alias("block", "start"))
-    return cut.select("shard", F.col("block").cast("long"), F.expr(f"substring(content, cast(start as int) + 1, {size})").alias("tokens"))
+    ranges = files.select("shard", at.alias("block", "start")).repartition("shard", "block")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, rows in batch.groupby("shard"):
+                store, name = FileSystem.from_uri(shard)
+                with store.open_input_file(name) as file:
+                    for block, start in zip(rows["block"], rows["start"], strict=True):
+                        yield pd.DataFrame({"shard": [shard], "block": [block], "tokens": [file.read_at(size, start)]})
+
+    return ranges.mapInPandas(read, "shard string, block long, tokens binary")
 
 
 def scan_separators(blocks: DataFrame, separator: int, itemsize: int = 2) -> DataFrame:
@@ -90,8 +101,8 @@ def token_counts(blocks: DataFrame, separator: int, itemsize: int = 2) -> DataFr
     return document_lengths(scan_separators(blocks, separator, itemsize))
 
 
-def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, shard_docs: int = SHARD_DOCS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Encode documents into flat shards of 16-bit ids; gives blocks (shard, block, tokens) and the order of the
+def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, shard_docs: int = SHARD_DOCS, block_tokens: int = BLOCK_TOKENS, itemsize: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Encode documents into flat shards of ids of itemsize bytes; gives blocks (shard, block, tokens) and the order of the
     documents in the shards (shard, doc_no, doc_id).
 
     A shard holds what one task has read, at most shard_docs documents. The ordinary text never makes the
@@ -101,7 +112,8 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, sh
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = bpe.load(vocabulary)
         pending, shard, n_docs, block = bytearray(), None, 0, 0
-        size = 2 * block_tokens
+        size = itemsize * block_tokens
+        kind = np.dtype(f"<u{itemsize}")
 
         def cut(whole: bool) -> list[tuple]:
             nonlocal block
@@ -124,7 +136,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, sh
                     # The first document of a task's part names the shard, alike in every attempt.
                     shard, n_docs, block = f"{part}-{doc_id}", 0, 0
                 ids = np.frombuffer(encoder.encode_ordinary(text), "<u4")
-                pending += ids.astype("<u2").tobytes() + np.array([separator], "<u2").tobytes()
+                pending += np.append(ids, np.uint32(separator)).astype(kind).tobytes()
                 rows.append((shard, None, None, n_docs, doc_id))
                 n_docs += 1
                 rows += cut(False)
@@ -152,7 +164,9 @@ def count_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
     """
     folder = shared_dir(docs.sparkSession)
     vocabulary = vocabulary or bpe.default_vocabulary()
-    separator = bpe.load(vocabulary).special["<|endoftext|>"]
-    blocks, order = write_flat(docs, folder, vocabulary, separator)
-    counted = token_counts(blocks, separator).filter("complete")
+    encoder = bpe.load(vocabulary)
+    separator = encoder.special["<|endoftext|>"]
+    itemsize = 2 if len(encoder.tokens) <= 1 << 16 else 4
+    blocks, order = write_flat(docs, folder, vocabulary, separator, itemsize=itemsize)
+    counted = token_counts(blocks, separator, itemsize).filter("complete")
     return order.join(counted, ["shard", "doc_no"]).select("doc_id", "n_tokens", "shard", "doc_no")

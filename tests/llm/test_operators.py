@@ -71,6 +71,23 @@ def test_flat_files_are_read_by_spark(spark, tmp_path):
     assert [(r["n_tokens"], r["complete"]) for r in got.collect()] == [(2, True), (0, True), (3, True), (1, False)]
 
 
+def test_large_flat_files_are_read_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    want = {}
+    for name, size in (("a", 300_000), ("b", 65_536), ("c", 1), ("none", 0)):
+        ids = rng.integers(0, 3000, size).astype("<u4")
+        (tmp_path / f"{name}.bin").write_bytes(ids.tobytes())
+        parts = np.split(ids, np.flatnonzero(ids == 7) + 1)
+        want[name] = [len(p) - (p[-1:] == 7).sum() for p in parts if len(p)]
+    blocks = token_count.read_blocks(spark, f"file://{tmp_path}/*.bin", itemsize=4, block_tokens=1000)
+    assert blocks.groupBy("shard").count().count() == 3  # Spark lists no empty file; it has no documents
+    got = token_count.token_counts(blocks, 7, itemsize=4).orderBy("shard", "doc_no").collect()
+    found = {k: [r["n_tokens"] for r in got if r["shard"].endswith(f"/{k}.bin")] for k in want}
+    assert found == want
+    wide = token_count.write_flat(frame(spark), f"{spark.conf.get('spark.checkpoint.dir')}/wide", bpe.default_vocabulary(), 0, itemsize=4)[0]
+    assert wide.agg(F.sum(F.length("tokens"))).first()[0] % 4 == 0
+
+
 # --- suffix arrays --------------------------------------------------------------------------------------------
 
 
