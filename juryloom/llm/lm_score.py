@@ -246,8 +246,9 @@ def look_up(indexed: DataFrame, counts: DataFrame, least: int) -> DataFrame:
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.unique(np.frombuffer(x, np.int64), return_counts=True) for x in batch["rare"]]
-            for row, (words, times) in zip(batch["row"], found, strict=True):
-                yield pd.DataFrame({"row": row, "word": words, "times": times})
+            size = [len(words) for words, _ in found]
+            words, times = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [])
+            yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), size), "word": words, "times": times})
 
     asked = indexed.filter(F.length("rare") > 0).select("row", "rare").mapInPandas(spread, "row long, word long, times long")
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
