@@ -27,8 +27,8 @@ CHUNK_TOKENS = 1_500_000
 WARM_TOKENS, WARM_DOCS = 300_000, 1_000
 #: Training tokens of a part. Rows are dealt over parts by their content, so scores do not hang on the input's layout.
 PART_TOKENS = 4_000_000
-#: Parts whose parameters are averaged in one group, before the groups are.
-MEAN_PARTS = 256
+#: Parts whose parameters are averaged in one group, before the groups are, level by level.
+MEAN_PARTS = 32
 #: Words counted at once.
 COUNT_CHUNK = 2_000_000
 END = np.uint64(0x0E0D)
@@ -223,7 +223,10 @@ def train(indexed: DataFrame, shares: np.ndarray, tokens: int, part_tokens: int
 
     parts = max(1, -(-tokens // part_tokens))
     models = rows.repartition(parts, "row").sortWithinPartitions("row").mapInPandas(local, "block int, source long, weight double, flat binary")
-    got = _mean(_mean(models, MEAN_PARTS), 1 << 40).collect()  # one vector
+    models = _mean(models, MEAN_PARTS)
+    while (parts := -(-parts // MEAN_PARTS)) > MEAN_PARTS:
+        models = _mean(models, MEAN_PARTS)
+    got = _mean(models, 1 << 40).collect()  # one vector
     if not got:
         return shared
     return gru.unpack(np.concatenate([np.frombuffer(r["flat"]) for r in sorted(got, key=lambda r: r["block"])]), start)
