@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, token_count, topk
+from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, paragraph_dedup, prefix_trie, substring_dedup, token_count, topk
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.grafted_trie(table(spark, sf_dir, "conversations")).drop("place", "end_place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -72,6 +77,7 @@ ORACLES: dict[str, str] = {
     "op5_topk_search": topk.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "op10_language_id": langid.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
