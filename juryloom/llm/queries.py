@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, paragraph_dedup, prefix_trie, substring_dedup, token_count, topk
+from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, paragraph_dedup, prefix_trie, substring_dedup, token_count, topk, url_filter
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.grafted_trie(table(spark, sf_dir, "conversations")).drop("place", "end_place")
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op12_url_filter": op12_url_filter,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
@@ -77,6 +82,7 @@ ORACLES: dict[str, str] = {
     "op5_topk_search": topk.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "op10_language_id": langid.ORACLE,
+    "op12_url_filter": url_filter.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
