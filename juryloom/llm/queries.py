@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, paragraph_dedup, prefix_trie, substring_dedup, token_count, topk, url_filter
+from . import bpe, exact_dedup, langid, lm_score, minhash, mixing, paragraph_dedup, prefix_trie, substring_dedup, token_align, token_count, topk, url_filter
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_token_align": op11_token_align,
     "op12_url_filter": op12_url_filter,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
