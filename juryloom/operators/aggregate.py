@@ -11,6 +11,15 @@ from ..config import BUCKETS, ITEMS, TOTAL, ScoringConfig
 from ..functions import numeric as N
 
 
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that are computed once for each row: no filter and no other expression takes a copy of them.
+
+    A generator of one row stands between; through plain projections the optimiser copies a column's whole expression
+    into each filter that refers to it.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def collect_votes(votes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, item, item_idx, votes): a juror's votes in the order of model and run. Groups have a jury's size."""
     cols = ("model_id", "run_number", "discussed", "score", "assertion", "confidence", "evidence")
@@ -134,30 +143,34 @@ def overlay(scored_rows: DataFrame, resolutions: DataFrame) -> DataFrame:
     """
     fields = [c for c in ("final_score", "assertion", "confidence", "evidence", "rationale") if c in resolutions.columns]
     one = resolutions.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct(*fields)))).alias("judge_resolution"))
-    return _judged(scored_rows.join(one, "file_id", "left"))
+    took = lambda i: F.map_contains_key("judge_resolution", i["item"])
+    score = lambda i: F.when(F.col("judge_resolution").isNotNull() & took(i), F.element_at("judge_resolution", i["item"])["final_score"]).otherwise(i["consensus_score"])
+    return _judged(scored_rows.join(one, "file_id", "left"), F.transform("items", lambda i: F.struct(score(i).alias("consensus_score"))))
 
 
 def overlay_in_row(scored_rows: DataFrame, resolve: Callable[[Column], dict[str, Column]]) -> DataFrame:
     """As overlay, by a judge that is an expression of an item's votes: without a join, as a row holds its votes."""
     whole = F.array_contains("arbitration_items", F.lit(TOTAL))
-    asked = F.filter("items", lambda i: whole | F.array_contains("arbitration_items", i["item"]))
-    entries = F.transform(asked, lambda i: F.struct(i["item"].alias("item"), F.struct(*(c.alias(n) for n, c in resolve(i["votes"]).items()))))
-    return _judged(scored_rows.withColumn("judge_resolution", F.when(F.size("arbitration_items") > 0, F.map_from_entries(entries))))
-
-
-def _judged(row: DataFrame) -> DataFrame:
-    took = lambda i: F.map_contains_key("judge_resolution", i["item"])
-    final = F.transform(
-        "items", lambda i: F.struct(F.when(F.col("judge_resolution").isNotNull() & took(i), F.element_at("judge_resolution", i["item"])["final_score"]).otherwise(i["consensus_score"]).alias("consensus_score"))
-    )
-    row = row.withColumn("__final", final)
+    answer = lambda i: F.struct(*(c.alias(n) for n, c in resolve(i["votes"]).items()))
+    answers = F.transform("items", lambda i: F.when(whole | F.array_contains("arbitration_items", i["item"]), answer(i)))
+    row = once(scored_rows, {"__answers": answers})
+    pairs = F.filter(F.arrays_zip(F.transform("items", lambda i: i["item"]).alias("item"), F.col("__answers").alias("answer")), lambda p: p["answer"].isNotNull())
+    row = row.withColumn("judge_resolution", F.when(F.size("arbitration_items") > 0, F.map_from_entries(pairs)))
+    final = F.zip_with("items", "__answers", lambda i, a: F.struct(F.when(a.isNotNull(), a["final_score"]).otherwise(i["consensus_score"]).alias("consensus_score")))
+    return _judged(row, final).drop("__answers")
+
+
+def _judged(row: DataFrame, final: Column) -> DataFrame:
+    """Totals, buckets and scores of rows with judge_resolution, from final: structs with consensus_score, by item."""
+    row = once(row, {"__final": final})
+    row = once(row, {"__scores": F.transform("__final", lambda i: F.coalesce(i["consensus_score"], F.lit(0)))})
     new = totals(F.col("__final"))
     judged = F.col("judge_resolution").isNotNull()
     row = row.withColumns({k: F.when(judged, v).otherwise(F.col(k)) for k, v in new.items()})
-    row = row.withColumn("final_item_scores", F.transform("__final", lambda i: F.coalesce(i["consensus_score"], F.lit(0))))
+    row = row.withColumn("final_item_scores", F.col("__scores"))
     row = row.withColumn("final_total", F.aggregate("final_item_scores", F.lit(0), lambda s, x: s + x))
     row = row.withColumn("final_bucket", N.bucket_of(F.col("final_total"))).withColumn("phq_like_bucket", N.bucket_of(F.col("total_prorated_rounded")))
-    return row.withColumn("final_source", F.when(judged, "judge_override").otherwise(F.col("final_source"))).drop("__final")
+    return row.withColumn("final_source", F.when(judged, "judge_override").otherwise(F.col("final_source"))).drop("__final", "__scores")
 
 
 def best_jurors(item_rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONDITIONS, ITEMS, SPLITS
 from ..functions.hashing import sha256
 from ..functions.text import word_count
+from .aggregate import once
 
 # Two patterns for each item that hint at its being talked about.
 KEYWORDS = {
@@ -104,9 +105,12 @@ def repair_labels(rows: DataFrame, items: tuple[str, ...], total: str, binary: s
 
     Rows with several missing items, a missing total, or sums that do not hold are problems and are not repaired.
     """
-    missing = sum((F.col(i).isNull().cast("int") for i in items[1:]), F.col(items[0]).isNull().cast("int"))
-    known = sum((F.coalesce(F.col(i), F.lit(0)) for i in items[1:]), F.coalesce(F.col(items[0]), F.lit(0)))
-    lack = F.col(total) - known
+    scores = F.array(*(F.col(i).cast("int") for i in items))
+    row = once(rows, {"__scores": scores})
+    missing = F.size(F.filter("__scores", lambda x: x.isNull()))
+    lack = F.col(total) - F.aggregate("__scores", F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    row = once(row, {"__missing": missing, "__lack": lack})
+    missing, lack = F.col("__missing"), F.col("__lack")
     problem = (
         F.when(missing > 1, "several items missing")
         .when(F.col(total).isNull(), "total missing")
@@ -114,7 +118,7 @@ def repair_labels(rows: DataFrame, items: tuple[str, ...], total: str, binary: s
         .when((missing == 0) & (lack != 0), "items do not sum to the total")
         .when(F.col(binary) != (F.col(total) >= 10).cast("int"), "binary label does not match")
     )
-    marked = rows.withColumn("__problem", problem).withColumn("__lack", lack)
+    marked = row.withColumn("__problem", problem)
     good = marked.filter("__problem is null")
-    fixed = good.select(*(F.coalesce(F.col(c), F.col("__lack")).cast("int").alias(c) if c in items else F.col(c) for c in rows.columns))
+    fixed = good.select(*(F.coalesce(F.col(c), lack).cast("int").alias(c) if c in items else F.col(c) for c in rows.columns))
     return fixed, marked.filter("__problem is not null").select(key, F.col("__problem").alias("problem"))
