@@ -18,10 +18,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import text_of, through_python
 
 #: Pieces whose ids a Python worker keeps; it starts anew beyond that.
 PIECE_CACHE = 800_000
+#: Pairs whose compatibility a Python worker keeps.
+PAIR_CACHE = 2_000_000
 #: Longer pieces are not kept.
 CACHED_PIECE_CHARS = 64
 
@@ -90,6 +92,8 @@ class BacktrackingBpe:
         """Whether no merge across the boundary comes before the merges that make the two tokens."""
         found = self.compatible.get((left, right))
         if found is None:
+            if len(self.compatible) >= PAIR_CACHE:
+                self.compatible.clear()
             found = self.compatible[left, right] = self._pair_fits(left, right)
         return found
 
@@ -232,6 +236,5 @@ def _encoded(docs: DataFrame, vocabulary: str, digests: bool) -> DataFrame:
             yield out
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
-    return rows.mapInPandas(encode, f"doc_id {kind}, n_tokens long, {rest}")
+    return through_python(rows, "doc_id", lambda r: r.mapInPandas(encode, f"doc_id string, n_tokens long, {rest}"))

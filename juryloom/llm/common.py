@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,13 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
+def through_python(rows: DataFrame, key: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(rows), a Python stage, with the column key as text on its way: pandas would round wide ids beside a null."""
+    kind = rows.schema[key].dataType
+    done = run(rows.withColumn(key, F.col(key).cast("string")))
+    return done.withColumn(key, F.col(key).cast(kind))
+
+
 def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id written as text, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_fold, materialize, shared_dir, text_of, word_hashes
+from .common import crc_fold, materialize, shared_dir, text_of, through_python, word_hashes
 
 #: Bound of the words whose counts every task holds (12 bytes each).
 FREQUENT = 1 << 18
@@ -148,9 +148,8 @@ def index(rows: DataFrame, known: Vocabulary) -> DataFrame:
             cols = ["n_tokens", "n_common", "log_common", "log_within", "ids", "rare"]
             yield pd.concat([batch.drop(columns="text"), pd.DataFrame(out, columns=cols, index=batch.index)], axis=1)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    ddl = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_common long, log_common double, log_within double, ids binary, rare binary"
-    return rows.select("row", "doc_id", "held_out", "text").mapInPandas(one, ddl)
+    ddl = "row long, doc_id string, held_out boolean, n_tokens long, n_common long, log_common double, log_within double, ids binary, rare binary"
+    return through_python(rows.select("row", "doc_id", "held_out", "text"), "doc_id", lambda r: r.mapInPandas(one, ddl))
 
 
 def _chunks(batches: Iterator[pd.DataFrame], tokens: int = CHUNK_TOKENS) -> Iterator[tuple[list, list[np.ndarray]]]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, hot_join, materialize, mix64, shared_dir, shingle_set, text_of
+from .common import bounded, hot_join, materialize, mix64, shared_dir, shingle_set, text_of, through_python
 from .components import connected_components
 
 #: 32 bands of 4 minima find a pair of similarity 0.85 with probability 1 - 6e-11, one of 0.8 with 1 - 5e-8.
@@ -65,9 +65,8 @@ def sign(rows: DataFrame, key: str, text: Column, width: int) -> DataFrame:
                 out.append((k, len(s), whole.tobytes(), sig.tobytes(), band_keys(sig)))
             yield pd.DataFrame(out, columns=[key, "n_shingles", "set_key", "sig", "bands"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    ddl = f"{key} {kind}, n_shingles long, set_key binary, sig binary, bands array<long>"
-    return rows.select(key, text.alias("text")).mapInPandas(one, ddl)
+    ddl = f"{key} string, n_shingles long, set_key binary, sig binary, bands array<long>"
+    return through_python(rows.select(key, text.alias("text")), key, lambda r: r.mapInPandas(one, ddl))
 
 
 def _with_both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:

@@ -111,7 +111,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, sh
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = bpe.load(vocabulary)
-        pending, shard, n_docs, block = bytearray(), None, 0, 0
+        pending, shard, n_docs, block, shards = bytearray(), None, 0, 0, 0
         size = itemsize * block_tokens
         kind = np.dtype(f"<u{itemsize}")
 
@@ -126,15 +126,15 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, sh
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=["shard", "block", "tokens", "doc_no", "doc_id"], dtype=object)
-            return out.astype({"block": "Int64", "doc_no": "Int64", "doc_id": "Int64"})
+            return out.astype({"block": "Int64", "doc_no": "Int64"})
 
         for batch in batches:
             rows = []
             for part, doc_id, text in zip(batch["part"], batch["doc_id"], batch["text"], strict=True):
                 if shard is None or n_docs == shard_docs:
                     rows += cut(True)
-                    # The first document of a task's part names the shard, alike in every attempt.
-                    shard, n_docs, block = f"{part}-{doc_id}", 0, 0
+                    # Part and counter name the shard, alike in every attempt.
+                    shard, n_docs, block, shards = f"{part}-{shards}", 0, 0, shards + 1
                 ids = np.frombuffer(encoder.encode_ordinary(text), "<u4")
                 pending += np.append(ids, np.uint32(separator)).astype(kind).tobytes()
                 rows.append((shard, None, None, n_docs, doc_id))
@@ -147,12 +147,12 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int, sh
         if shard is not None:
             yield frame(cut(True))
 
-    rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    ddl = "shard string, block long, tokens binary, doc_no long, doc_id long"
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of(docs).alias("text"))
+    ddl = "shard string, block long, tokens binary, doc_no long, doc_id string"
     written = materialize(rows.mapInPandas(encode, ddl), folder, "flat")
     return (
         written.filter("block is not null").select("shard", "block", "tokens"),
-        written.filter("doc_no is not null").select("shard", "doc_no", "doc_id"),
+        written.filter("doc_no is not null").select("shard", "doc_no", F.col("doc_id").cast("long").alias("doc_id")),
     )
 
 

@@ -337,3 +337,31 @@ def test_running_sums_over_ranges(spark):
         total += v
         want[i] = total
     assert {r["i"]: r["s"] for r in whole.collect()} == want
+
+
+# Ids of earlier operators
+
+
+def test_wide_ids_beside_null_ones(spark):
+    """Ids from 2^60 on stay what they are where a batch also holds a null id."""
+    from juryloom.llm import bpe, lm_score, minhash, token_count
+
+    big = 1 << 60
+    rows = [(big + i, f"text number {i} of some words {'x' * i}") for i in range(6)] + [(None, "text of no id"), (big + 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted((r[0] for r in rows), key=str)
+    for run in (token_count.count_documents, bpe.encode_digests, minhash.near_duplicates, lm_score.score_documents):
+        got = run(df)
+        assert dict(got.dtypes)["doc_id"] == "bigint"
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == want, run.__name__
+    near = minhash.near_duplicates(df).filter("doc_id is not null").collect()
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in near)
+
+
+def test_shards_of_equal_first_ids_stay_apart(spark):
+    from juryloom.llm import token_count
+
+    texts_of = ["one"] * 4096 + ["a b c d e f"] * 4904
+    df = spark.createDataFrame([(None, t) for t in texts_of], "doc_id long, text string").coalesce(1)
+    got = token_count.count_documents(df).groupBy("n_tokens").count().collect()
+    assert {r["n_tokens"]: r["count"] for r in got} == {1: 4096, 6: 4904}
