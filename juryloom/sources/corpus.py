@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import CONDITIONS
 from ..functions.hashing import sha256, split_of
+from .arrow_files import TASK_BYTES, read_batches
+from .lines import csv_records, numbered_lines
 
 DIALOGUE = "file_id string, condition string, client_model string, therapist_model string, dialogue string"
 COLUMNS = tuple(c.split()[0] for c in DIALOGUE.split(", "))
@@ -35,45 +35,74 @@ def sniff_format(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType = DIALOGUE) -> DataFrame:
-    """Header row, quoted fields of several lines; columns are taken by the header's names; a folder holds one file."""
+    """Header row, quoted fields of several lines; columns are taken by the header's names; a folder holds one file.
+
+    The file is read in byte ranges, whose number does not change the rows (see csv_records). Rows come in no
+    particular order; an empty line is no row.
+    """
     fs, p = _hadoop(spark, path)
     if fs.getFileStatus(p).isDirectory():
         found = [s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(".csv")]
         if len(found) != 1:
             raise ValueError(f"{path}: one .csv expected, {len(found)} found")
         path = found[0]
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     want = spark.createDataFrame([], schema).schema
+    raw = csv_rows(spark, path)
     missing = [f.name for f in want if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path}: columns missing: {missing}")
-    return raw.select(*(F.col(f.name).cast(f.dataType) for f in want))
+    typed = lambda f: F.col(f.name) if f.dataType.simpleString() == "string" else F.nullif(f.name, F.lit("")).cast(f.dataType).alias(f.name)
+    return raw.select(*map(typed, want))
+
 
+def csv_rows(spark: SparkSession, path: str, sep: str = ",", glob: str | None = None) -> DataFrame:
+    """The columns of a header that all files share, as text, with __file and __record (from 1): exact file order.
 
-def read_arrow(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "test"), schema: str = DIALOGUE) -> DataFrame:
-    """Saved Arrow streams, as one data set or a folder for each split; a file is decoded by one task."""
+    Fields that are empty or missing are empty text.
+    """
+    some = spark.read.option("recursiveFileLookup", True)
+    some = some.option("pathGlobFilter", glob) if glob else some
+    header = some.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep).csv(path).columns
+    kind = ", ".join(f"`{c}` string" for c in header)
+    records = csv_records(spark, path, glob=glob).filter("record > 0 and text <> ''")
+    parsed = F.from_csv("text", F.lit(kind), {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "nullValue": "\0"})
+    rows = records.select(F.col("file").alias("__file"), F.col("record").alias("__record"), parsed.alias("r"))
+    return rows.select("__file", "__record", *(F.coalesce(F.col("r")[c], F.lit("")).alias(c) for c in header))
+
+
+def _arrow_files(spark: SparkSession, path: str, splits: tuple[str, ...]) -> list[list[tuple[str, int]]]:
+    """(path, bytes) of the .arrow files of each split, or of the folder itself, by name."""
     fs, _ = _hadoop(spark, path)
     folders = [f"{path}/{s}" for s in splits if _exists(spark, f"{path}/{s}")] or [path]
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch["content"]:
-                try:
-                    reader = iter(pa.ipc.open_stream(content))
-                except pa.ArrowInvalid:
-                    whole = pa.ipc.open_file(content)
-                    reader = (whole.get_batch(i) for i in range(whole.num_record_batches))
-                for part in reader:
-                    yield part.to_pandas().reindex(columns=names)
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    parts = []
+    out = []
     for folder in folders:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder)
-        parts.append(files.select("content").mapInPandas(decode, schema))
-    return reduce(DataFrame.unionByName, parts)
+        found = [(s.getPath().toString(), int(s.getLen())) for s in fs.listStatus(_hadoop(spark, folder)[1])]
+        out.append(sorted(f for f in found if f[0].endswith(".arrow")))
+    return out
+
+
+def read_arrow(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "test"), schema: str | StructType = DIALOGUE, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Saved Arrow files, as one data set or a folder for each split, read by record batches (see read_batches).
+
+    The files are opened by tasks, so their store must be one that pyarrow.fs knows.
+    """
+    files = [f for split in _arrow_files(spark, path, splits) for f in split]
+    return read_batches(spark, files, spark.createDataFrame([], schema).schema, task_bytes)
+
+
+def read_splits(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "test"), schema: str | StructType = DIALOGUE, limit: int | None = None) -> DataFrame:
+    """As read_arrow, of train and test alone and with a limit that counts across the splits in the order given: the
+    first rows by split, file, batch and place. A split that is not there is an error."""
+    if set(splits) - {"train", "test"}:
+        raise ValueError(f"unknown splits {sorted(set(splits) - {'train', 'test'})}")
+    lacking = [s for s in splits if not _exists(spark, f"{path}/{s}")]
+    if lacking:
+        raise FileNotFoundError(f"{path}: no split {lacking}")
+    kind = spark.createDataFrame([], schema).schema
+    parts = [read_batches(spark, files, kind, place=True).withColumn("__split", F.lit(i)) for i, files in enumerate(_arrow_files(spark, path, splits))]
+    rows = reduce(DataFrame.unionByName, parts)
+    order = ("__split", "__path", "__batch", "__row")
+    return (rows if limit is None else rows.orderBy(*order).limit(limit)).drop(*order)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -159,11 +188,29 @@ def read_scored(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 
 
 def read_scored_permissive(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """As read_scored; a line that does not parse is kept in the column bad_line."""
+    """As read_scored; a line that does not parse, or is no object, is kept in the column bad_line."""
     wide = StructType([*schema.fields, *spark.createDataFrame([], "bad_line string").schema.fields])
     return spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").json(path)
 
 
+def read_last_lines(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
+    """JSON lines by key: of the lines with one key the last in file order stays (files by name, exact line numbers).
+
+    Blank lines count as none. A line that is no object of the schema, or has no key, is an error that names its place;
+    files without any line are an error too. One shuffle by key with partial aggregation: a key may be in any
+    share of the lines.
+    """
+    lines = numbered_lines(spark, path).filter("trim(value) <> ''")
+    parsed = lines.select("file", "line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row"), F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "string").alias("own"))
+    bad = F.col("row").isNull() | F.col("own").isNull() | F.col(f"row.{key}").isNull()
+    where = F.concat(F.lit("line without an object or a key: "), "file", F.lit(":"), F.col("line").cast("string"))
+    checked_row = F.when(bad, F.raise_error(where).cast(schema)).otherwise(F.col("row"))
+    rows = parsed.select(checked_row.alias("row"), F.struct("file", "line").alias("place"))
+    if lines.isEmpty():
+        raise ValueError(f"{path}: no lines")
+    return last_by(rows.select("row.*", "place"), key, F.col("place")).drop("place")
+
+
 def last_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The row of greatest order for each key."""
     cols = rows.columns
@@ -179,8 +226,11 @@ def parse_flag(x: Column) -> Column:
 
 
 def read_human_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(line, file_id, annotator_id, phq8_total, self_harm): a header with three required columns, no empty cells in them."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """(line, file_id, annotator_id, phq8_total, self_harm): a header with three required columns, no empty cells in them.
+
+    line is the record's exact number in its file, from 1.
+    """
+    raw = csv_rows(spark, path)
     missing = {"file_id", "annotator_id", "phq8_total"} - set(raw.columns)
     if missing:
         raise ValueError(f"{path}: columns missing: {sorted(missing)}")
@@ -188,17 +238,16 @@ def read_human_labels(spark: SparkSession, path: str) -> DataFrame:
     need = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("file_id", "annotator_id", "phq8_total")}
     raise_on(raw.select(*(v.alias(k) for k, v in need.items())).filter("file_id = '' or annotator_id = '' or phq8_total not rlike '^[0-9]+$'"))
     return raw.select(
-        F.monotonically_increasing_id().alias("line"), need["file_id"].alias("file_id"), need["annotator_id"].alias("annotator_id"), need["phq8_total"].cast("int").alias("phq8_total"), flag.alias("self_harm")
+        F.col("__record").alias("line"), need["file_id"].alias("file_id"), need["annotator_id"].alias("annotator_id"), need["phq8_total"].cast("int").alias("phq8_total"), flag.alias("self_harm")
     )
 
 
 def read_transcripts(spark: SparkSession, path: str, speaker: str = "Participant") -> DataFrame:
     """(id, text) of a tree with one *_TRANSCRIPT.csv a folder: tab-separated, one speaker's values in file order."""
-    schema = "start_time double, stop_time double, speaker string, value string"
-    raw = spark.read.schema(schema).option("header", True).option("sep", "\t").option("recursiveFileLookup", True).option("pathGlobFilter", "*_TRANSCRIPT.csv").csv(path)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    rows = raw.select(F.regexp_replace(folder, "_P$", "").alias("id"), "start_time", F.monotonically_increasing_id().alias("n"), "speaker", "value")
-    rows = rows.filter((F.col("speaker") == speaker) & F.col("value").isNotNull())
+    raw = csv_rows(spark, path, "\t", "*_TRANSCRIPT.csv")
+    folder = F.regexp_extract(F.col("__file"), r"([^/]+)/[^/]+$", 1)
+    rows = raw.select(F.regexp_replace(folder, "_P$", "").alias("id"), F.col("start_time").try_cast("double").alias("start_time"), F.col("__record").alias("n"), "speaker", "value")
+    rows = rows.filter((F.col("speaker") == speaker) & (F.col("value") != ""))
     said = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start_time", "n", "value"))).alias("said"))
     return said.select("id", F.array_join(F.transform("said", lambda s: s["value"]), " ").alias("text"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import canonical_json
+from .lines import numbered_lines
 
 
 def write_jsonl(rows: DataFrame, path: str, key: str) -> None:
@@ -54,5 +55,5 @@ def repaired(rows: DataFrame, problems: DataFrame, path: str) -> None:
 
 
 def by_line(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of text files; line numbers grow in file order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    """(file, line, value) of text files, with exact line numbers from 0 in each file."""
+    return numbered_lines(spark, path)
