@@ -141,7 +141,7 @@ def overlay(scored_rows: DataFrame, resolutions: DataFrame) -> DataFrame:
 
     Item-level consensus stays as the jury left it; totals, buckets and final scores are computed anew.
     """
-    fields = [c for c in ("final_score", "assertion", "confidence", "evidence", "rationale") if c in resolutions.columns]
+    fields = [c for c in ("final_score", "assertion", "confidence", "evidence", "rationale", "usage") if c in resolutions.columns]
     one = resolutions.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct(*fields)))).alias("judge_resolution"))
     took = lambda i: F.map_contains_key("judge_resolution", i["item"])
     score = lambda i: F.when(F.col("judge_resolution").isNotNull() & took(i), F.element_at("judge_resolution", i["item"])["final_score"]).otherwise(i["consensus_score"])

@@ -72,13 +72,15 @@ def bias(pairs: DataFrame) -> DataFrame:
 
 
 def self_harm_recall(human: DataFrame, flagged: DataFrame) -> DataFrame:
-    """One row: positives, found and recall (1 without positives); an id's last line decides.
+    """One row: positives, found and recall (1 without positives); an id's last line decides, and a positive that is not
+    scored is an error.
 
     human has line, file_id and self_harm; flagged has file_id and mentions_self_harm.
     """
     last = human.filter("self_harm is not null").groupBy("file_id").agg(F.max_by("self_harm", "line").alias("truth")).filter("truth")
     both = last.join(flagged.select("file_id", "mentions_self_harm"), "file_id", "left")
-    got = both.agg(F.count("*").alias("positives"), F.count_if("mentions_self_harm").alias("found"))
+    scored = F.when(F.col("mentions_self_harm").isNull(), F.raise_error(F.concat(F.lit("not scored: "), "file_id")).cast("boolean")).otherwise(F.col("mentions_self_harm"))
+    got = both.agg(F.count("*").alias("positives"), F.count_if(scored).alias("found"))
     return got.withColumn("recall", F.when(F.col("positives") > 0, F.col("found") / F.col("positives")).otherwise(1.0))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ITEMS, MAX_EVIDENCE_CHARS, MAX_EVIDENCE_SNIPPETS, MAX_EVIDENCE_WORDS
 from ..functions.numeric import bucket_of
 from ..functions.text import strip, word_count
-from .jury import vote_problem
+from .jury import REPORT, names_of, reports, vote_problem
 
 #: Snippets of the jurors' evidence that a judge is shown.
 JUDGE_SNIPPETS = 5
@@ -42,6 +42,50 @@ def judge_violations(resolutions: DataFrame, na_aware: bool = True) -> DataFrame
     return _found(resolutions, ("file_id", "item"), checks)
 
 
+def bad_dialogues(votes: DataFrame) -> DataFrame:
+    """(file_id, error_code, error_message) of dialogues whose votes cannot be scored, one row each.
+
+    Every vote must hold its contract and name a known item, every juror must answer each item once. Of several
+    problems the first in text order is told, so that a message never grows with the number of votes.
+    """
+    who = F.concat_ws("/", "model_id", F.col("run_number").cast("string"), "item")
+    unnamed = F.when(F.col("model_id").isNull() | F.coalesce(F.col("run_number") < 1, F.lit(True)), "juror without name or run")
+    unknown = F.when(~F.coalesce(F.col("item").isin(*ITEMS), F.lit(False)), "unknown item")
+    problem = F.concat_ws("; ", unnamed, unknown, vote_problem(*(F.col(c) for c in ("discussed", "score", "assertion", "confidence", "evidence"))))
+    single = votes.select("file_id", F.concat(who, F.lit(": "), problem).alias("problem"), (problem != "").alias("bad")).filter("bad")
+    counted = votes.filter(F.col("item").isin(*ITEMS)).groupBy("file_id", "model_id", "run_number").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items"))
+    lacking = F.format_string("%s/%d: %d of %d items answered, %d votes", "model_id", "run_number", "items", F.lit(len(ITEMS)), "n")
+    whole = counted.filter((F.col("n") != len(ITEMS)) | (F.col("items") != len(ITEMS))).select("file_id", lacking.alias("problem"))
+    found = single.select("file_id", "problem").unionByName(whole)
+    if set(names_of(REPORT)) & set(votes.columns):
+        flags = self_harm_violations(reports(votes))
+        found = found.unionByName(flags.select("file_id", F.concat_ws(": ", F.concat_ws("/", "model_id", F.col("run_number").cast("string")), "problem").alias("problem")))
+    return found.groupBy("file_id").agg(F.lit("contract").alias("error_code"), F.min("problem").alias("error_message"))
+
+
+def bad_judgements(asked: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """(file_id, error_code, error_message) of dialogues of which the judge left out an item, answered one that it was not
+    asked for, answered twice, or broke an answer's contract as far as its columns go. asked: file_id, item."""
+    columns = resolutions.columns
+    checks = [F.when(F.coalesce(~F.col("final_score").between(0, 3), F.lit(False)), "score out of range")]
+    if "assertion" in columns:
+        kind = F.col("assertion")
+        checks.append(F.when(~F.coalesce(kind.isin("present", "denied", "possible", "not_mentioned"), F.lit(False)), "unknown assertion"))
+        checks.append(F.when((kind == "not_mentioned") != F.col("final_score").isNull(), "score and assertion differ"))
+        checks.append(F.when((kind == "denied") & (F.col("final_score") != 0), "denied needs score 0"))
+        checks.append(F.when((kind == "possible") & (F.col("final_score") != 1), "possible needs score 1"))
+        checks.append(F.when((kind == "present") & (F.col("final_score") == 0), "present needs score 1 to 3"))
+    if "confidence" in columns:
+        checks.append(F.when(F.coalesce(~F.col("confidence").between(0, 1), F.lit(False)), "confidence out of range"))
+    own = resolutions.groupBy("file_id", "item").agg(F.count("*").alias("n"), F.min(F.concat_ws("; ", *checks)).alias("least"), F.max(F.concat_ws("; ", *checks)).alias("problem"))
+    both = asked.select("file_id", "item", F.lit(True).alias("asked")).join(own, ["file_id", "item"], "full_outer")
+    text = (
+        F.when(F.col("asked").isNull(), "not asked for").when(F.col("n").isNull(), "no answer").when(F.col("n") > 1, "several answers").when(F.col("problem") != "", F.col("problem"))
+    )
+    found = both.select("file_id", F.concat_ws(": ", F.coalesce("item", F.lit("no item")), text).alias("problem"), text.isNotNull().alias("bad")).filter("bad")
+    return found.groupBy("file_id").agg(F.lit("judge_contract").alias("error_code"), F.min("problem").alias("error_message"))
+
+
 def judge_inputs(contested: DataFrame) -> DataFrame:
     """What a judge is shown of each contested item: votes and assertions in juror order, the share of jurors that do
     not mention it, and the first snippets of their evidence. The votes are in the row: no shuffle."""

@@ -14,6 +14,28 @@ from ..functions.text import first_words, strip, word_count
 
 VOTE = "file_id string, model_id string, run_number int, item string, discussed boolean, score int, assertion string, confidence double, evidence array<string>"
 
+#: What a juror says of a whole dialogue, repeated in all of its votes: a self-harm flag with snippets, tokens of the call.
+REPORT = "mentions_self_harm boolean, self_harm_evidence array<string>, input_tokens long, output_tokens long, reasoning_tokens long, total_tokens long"
+TOKENS = ("input_tokens", "output_tokens", "reasoning_tokens", "total_tokens")
+_TYPES: dict[str, tuple[type, ...]] = {
+    "model_id": (str,), "run_number": (int,), "item": (str,), "discussed": (bool,), "score": (int,), "assertion": (str,), "confidence": (float, int), "evidence": (list,),
+    "mentions_self_harm": (bool,), "self_harm_evidence": (list,), **dict.fromkeys(TOKENS, (int,)),
+}
+
+
+def names_of(ddl: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in ddl.split(", ")]
+
+
+def ill_typed(vote: dict) -> str | None:
+    """The first field of a vote that has another type than it should; null is allowed, a boolean is no number."""
+    for name, kinds in _TYPES.items():
+        x = vote.get(name)
+        fits = x is None or (isinstance(x, kinds) and (bool in kinds or not isinstance(x, bool)))
+        if not fits or (isinstance(x, list) and not all(isinstance(e, str) for e in x)):
+            return f"{name} is {type(x).__name__}: {x!r}"
+    return None
+
 
 def fake_votes(texts: DataFrame, jurors: tuple[tuple[str, int], ...], na_digits: tuple[int, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each of (file_id, scoring_text), juror and item: the score is the hash of all of them modulo 4.
@@ -53,19 +75,57 @@ def external_votes(texts: DataFrame, score: Callable[[str], list[dict]], partiti
     fields with its kind in error_code and its text in error_message. Repeated attempts repeat paid calls: keep
     speculation off and write the result before using it.
     """
-    names = [c.strip().split(" ")[0] for c in VOTE.split(", ")][1:]
+    names = [*names_of(VOTE), *names_of(REPORT)][1:]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for file_id, text in zip(batch["file_id"], batch["scoring_text"], strict=True):
                 try:
-                    out += [(file_id, *(v.get(n) for n in names), None, None) for v in score(text or "")]
+                    votes = score(text or "")
+                    wrong = next((w for w in map(ill_typed, votes) if w), None)
+                    if wrong:
+                        raise TypeError(wrong)
+                    out += [(file_id, *(v.get(n) for n in names), None, None) for v in votes]
                 except Exception as e:  # noqa: BLE001  one document's failure is a row, not the job's end
                     out.append((file_id, *(None for _ in names), type(e).__name__, str(e)[:MAX_ERROR_CHARS]))
             yield pd.DataFrame(out, columns=["file_id", *names, "error_code", "error_message"], dtype=object)
 
-    return texts.select("file_id", "scoring_text").repartition(partitions).mapInPandas(ask, f"{VOTE}, error_code string, error_message string")
+    return texts.select("file_id", "scoring_text").repartition(partitions).mapInPandas(ask, f"{VOTE}, {REPORT}, error_code string, error_message string")
+
+
+def reports(votes: DataFrame) -> DataFrame:
+    """(file_id, model_id, run_number and REPORT's columns), one row for each juror, from votes that repeat them; a
+    column that the votes lack is null."""
+    kinds = dict(c.strip().split(" ") for c in REPORT.split(", "))
+    best = lambda n: F.bool_or(n) if n == "mentions_self_harm" else F.max(n)
+    said = [(best(n) if n in votes.columns else F.lit(None).cast(t)).alias(n) for n, t in kinds.items()]
+    return votes.groupBy("file_id", "model_id", "run_number").agg(*said)
+
+
+def dialogue_reports(said: DataFrame) -> DataFrame:
+    """(file_id, mentions_self_harm, self_harm_evidence, token_usage) over all jurors: any flag, snippets in juror order,
+    sums of tokens with null as 0."""
+    evidence = F.array_sort(F.collect_list(F.struct("model_id", "run_number", F.coalesce("self_harm_evidence", F.array().cast("array<string>")).alias("e"))))
+    sums = F.struct(*(F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in TOKENS))
+    found = said.groupBy("file_id").agg(F.coalesce(F.bool_or("mentions_self_harm"), F.lit(False)).alias("mentions_self_harm"), evidence.alias("s"), sums.alias("token_usage"))
+    return found.select("file_id", "mentions_self_harm", F.flatten(F.transform("s", lambda x: x["e"])).alias("self_harm_evidence"), "token_usage")
+
+
+def with_offline_reports(rows: DataFrame, jurors: int) -> DataFrame:
+    """rows with what offline jurors report: no flag, fixed tokens of each call."""
+    usage = F.struct(*(F.lit(jurors * a).cast("long").alias(n) for n, a in zip(TOKENS, JUROR_USAGE, strict=True)))
+    return rows.withColumns({"mentions_self_harm": F.lit(False), "self_harm_evidence": F.array().cast("array<string>"), "token_usage": usage})
+
+
+def with_judge_usage(rows: DataFrame) -> DataFrame:
+    """rows whose token_usage also counts the judge's calls: those that judge_resolution reports in usage, null as 0, or
+    the offline judge's for each resolved item where it has no such field."""
+    answers = F.map_values("judge_resolution")
+    fields = rows.schema["judge_resolution"].dataType.valueType.names
+    own = lambda n: F.aggregate(F.transform(answers, lambda r: F.coalesce(r["usage"][n].cast("long"), F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    more = {n: F.coalesce(own(n) if "usage" in fields else (F.size(answers) * b).cast("long"), F.lit(0)) for n, b in zip(TOKENS, JUDGE_USAGE, strict=True)}
+    return rows.withColumn("token_usage", F.struct(*((F.col(f"token_usage.{n}") + c).alias(n) for n, c in more.items())))
 
 
 def vote_problem(discussed: Column, score: Column, assertion: Column, confidence: Column, evidence: Column) -> Column:
@@ -114,13 +174,5 @@ def fake_resolutions(item_agg: DataFrame) -> DataFrame:
     return item_agg.filter("contested").select("file_id", "item", *(c.alias(n) for n, c in fake_resolution(F.col("votes")).items()))
 
 
-#: Tokens that an offline juror and judge report for a call: input, output, reasoning, total.
+# Tokens that an offline juror and judge report for a call: input, output, reasoning, total.
 JUROR_USAGE, JUDGE_USAGE = (100, 50, 10, 160), (50, 25, 5, 80)
-
-
-def token_usage(item_agg: DataFrame, config: ScoringConfig) -> DataFrame:
-    """Tokens of each dialogue: all jurors' calls and one judge's call for each contested item."""
-    calls = F.sum(F.col("contested").cast("long"))
-    names = ("input_tokens", "output_tokens", "reasoning_tokens", "total_tokens")
-    sums = [(F.lit(len(config.jurors) * a) + F.lit(b) * calls).cast("long").alias(n) for n, a, b in zip(names, JUROR_USAGE, JUDGE_USAGE, strict=True)]
-    return item_agg.groupBy("file_id").agg(*sums)

@@ -235,6 +235,20 @@ ORACLES: dict[str, str] = {
         "SELECT file_id, 'final total is not the sum; final total is not the imputed one' || CASE WHEN total = 24 THEN '; bucket does not match' ELSE '' END AS problem "
         "FROM ft WHERE regexp_replace(file_id, 'conv', '')::INT % 5 = 0",
     ),
+    "reported_na": _with(
+        _SC,
+        ", rp AS (SELECT file_id, sum(length(client_qa_text) * run_number) AS i, sum(CASE WHEN model_id <> 'model-b' THEN 7 END) AS o, sum(length(client_qa_text) + run_number) AS t, "
+        "string_agg(CASE WHEN model_id = 'model-a' AND length(client_qa_text) % 2 = 0 THEN model_id || '/' || run_number END, ',' ORDER BY model_id, run_number) AS e FROM views, jurors GROUP BY file_id), "
+        "jc AS (SELECT file_id, count(*) FILTER (contested) AS c FROM co GROUP BY file_id) "
+        "SELECT file_id, e IS NOT NULL AS mentions_self_harm, coalesce(e, '') AS self_harm_evidence, CAST(i + 50 * c AS BIGINT) AS input_tokens, CAST(o + 25 * c AS BIGINT) AS output_tokens, "
+        "CAST(5 * c AS BIGINT) AS reasoning_tokens, CAST(t + 80 * c AS BIGINT) AS total_tokens FROM rp JOIN jc USING (file_id)",
+    ),
+    "bad_dialogues_na": _with(
+        VOTES,
+        "SELECT file_id, 'contract' AS error_code, CASE regexp_replace(file_id, 'conv', '')::INT % 5 WHEN 0 THEN 'model-a/1/mood: unknown item' WHEN 1 THEN 'model-b/2: 7 of 8 items answered, 7 votes' "
+        "WHEN 2 THEN 'model-c/1: 8 of 8 items answered, 9 votes' ELSE 'model-a/2/guilt: unknown assertion' || CASE WHEN skipped THEN '; mentioned but not discussed; confidence missing or out of range; evidence missing' ELSE '' END END AS error_message "
+        "FROM na WHERE item = 'guilt' AND model_id = 'model-a' AND run_number = 2 AND regexp_replace(file_id, 'conv', '')::INT % 5 <> 4",
+    ),
     "pending_jobs": _with(DIALOGUES, "SELECT file_id FROM dialogues WHERE regexp_replace(file_id, 'conv', '')::INT % 3 <> 0"),
 }
 ORACLES = {k: v.replace(")\n, ", "), ").replace("\n, ", ", ") for k, v in ORACLES.items()}

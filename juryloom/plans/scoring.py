@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ITEMS, MAX_ERROR_CHARS, ScoringConfig
-from ..operators import aggregate, corpus, dialogue, jury
+from ..operators import aggregate, contracts, corpus, dialogue, jury
 from ..sources import sinks
-from ..sources.corpus import latest_per_key, read_first
+from ..sources.corpus import read_first
+from .ledger import Ledger, done_events
 
 KEEP = ("condition", "computed_split")
+_FAILURE = "file_id string, error_code string, error_message string"
 
 
 def texts(dialogues: DataFrame, config: ScoringConfig) -> DataFrame:
@@ -30,20 +32,30 @@ def item_table(seen: DataFrame, config: ScoringConfig, na_digits: tuple[int, ...
 
 def score(seen: DataFrame, config: ScoringConfig, na_digits: tuple[int, ...] = (), judge: bool = True) -> DataFrame:
     """Scored rows of text views; contested items go to the offline judge."""
-    rows = aggregate.scored(item_table(seen, config, na_digits), config, KEEP)
-    return aggregate.overlay_in_row(rows, jury.fake_resolution) if judge else rows
+    rows = jury.with_offline_reports(aggregate.scored(item_table(seen, config, na_digits), config, KEEP), len(config.jurors))
+    return jury.with_judge_usage(aggregate.overlay_in_row(rows, jury.fake_resolution)) if judge else rows
 
 
-def score_votes(seen: DataFrame, votes: DataFrame, config: ScoringConfig, judge: Callable[[DataFrame], DataFrame] | None, folder: str) -> DataFrame:
-    """Scored rows from written votes of any jurors. judge gives resolutions of contested items; these are written to
-    folder before they are used, so that it is asked once. Without a judge the offline one decides."""
+def score_votes(seen: DataFrame, votes: DataFrame, config: ScoringConfig, judge: Callable[[DataFrame], DataFrame] | None, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """(scored rows, failures) from written votes of any jurors that hold their contract.
+
+    judge gives resolutions of contested items; these are written to folder before they are used, so that it is asked
+    once; dialogues whose answers break their contract are failures (file_id, error_code, error_message). Without a
+    judge the offline one decides.
+    """
     place = F.array_position(F.array(*map(F.lit, ITEMS)), F.col("item")).cast("int") - 1
     whole = votes.withColumn("item_idx", place).join(seen.select("file_id", *KEEP), "file_id")
     rows = aggregate.scored(aggregate.item_aggregates(aggregate.collect_votes(whole, KEEP), config), config, KEEP)
+    rows = rows.join(jury.dialogue_reports(jury.reports(votes)), "file_id")
     if judge is None:
-        return aggregate.overlay_in_row(rows, jury.fake_resolution)
-    judge(aggregate.contested(rows).filter("contested")).write.parquet(folder)
-    return aggregate.overlay(rows, seen.sparkSession.read.parquet(folder))
+        return jury.with_judge_usage(aggregate.overlay_in_row(rows, jury.fake_resolution)), None
+    asked = aggregate.contested(rows).filter("contested")
+    judge(asked).write.parquet(folder)
+    resolutions = seen.sparkSession.read.parquet(folder)
+    contracts.bad_judgements(asked, resolutions).write.parquet(f"{folder}-broken")
+    bad = seen.sparkSession.read.parquet(f"{folder}-broken")
+    good, sound = (x.join(bad.select("file_id"), "file_id", "left_anti") for x in (rows, resolutions))
+    return jury.with_judge_usage(aggregate.overlay(good, sound)), bad
 
 
 @dataclass(frozen=True)
@@ -61,18 +73,16 @@ class Run:
     judge: Callable[[DataFrame], DataFrame] | None = None
     fail_fast: bool = False
 
-    EVENT = "file_id string, status string, attempt int, error_code string, error_message string, at timestamp, batch long, part string, input_tokens long, output_tokens long, reasoning_tokens long, total_tokens long"
+    @property
+    def ledger(self) -> Ledger:
+        return Ledger(self.spark, self.folder)
 
     def events(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], self.EVENT)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/events")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(empty.schema).parquet(f"{self.folder}/events") if there else empty
+        return self.ledger.events()
 
     def latest(self) -> DataFrame:
         """The last event of each dialogue; of one attempt's events that of its end."""
-        ended = self.events().withColumn("ended", F.col("status") != "running")
-        return latest_per_key(ended, "file_id", "attempt", "ended", "at").drop("ended")
+        return self.ledger.latest()
 
     def job(self, file_id: str) -> dict:
         """Status, attempts and errors of one dialogue; an unknown id is an error."""
@@ -94,12 +104,24 @@ class Run:
         elif seen.strip() != own:
             raise ValueError("the folder holds another configuration's run")
 
+    def reset(self) -> str | None:
+        """Start anew with this configuration: what the folder holds is moved aside to a folder within it, whose path is
+        given. The configuration moves first, so that a reset which breaks off is taken up by the next one."""
+        fs, aside = self.ledger._fs(f"{self.folder}/before-{uuid.uuid4().hex}")
+        moved = False
+        for name in ("config.json", "manifest.json", "events", "snapshots", "rows", "work", "stream"):
+            _, p = self.ledger._fs(f"{self.folder}/{name}")
+            if fs.exists(p):
+                fs.mkdirs(aside)
+                if not fs.rename(p, self.ledger._fs(f"{aside.toString()}/{name}")[1]):
+                    raise OSError(f"cannot move {name}")
+                moved = True
+        self.guard()
+        return aside.toString() if moved else None
+
     def _write_events(self, rows: DataFrame, status: str, batch: int, part: str) -> None:
         own = {"status": F.lit(status), "at": F.current_timestamp(), "batch": F.lit(batch), "part": F.lit(part)}
-        rows = rows.withColumns({k: v for k, v in own.items() if k not in rows.columns})
-        fields = [c.strip().split(" ") for c in self.EVENT.split(", ")]
-        some = [(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields]
-        rows.select(*some).write.mode("append").parquet(f"{self.folder}/events")
+        self.ledger.append(rows.withColumns({k: v for k, v in own.items() if k not in rows.columns}))
 
     def run_once(self, dialogues: DataFrame, batch: int = 0) -> int:
         """Score what is pending; gives the number of dialogues that are done now.
@@ -124,18 +146,21 @@ class Run:
             votes = jury.fake_votes(seen, self.config.jurors) if self.jurors is None else self.jurors(seen)
             votes.write.parquet(f"{work}/votes")
             votes = self.spark.read.parquet(f"{work}/votes")
+            failed = self.spark.createDataFrame([], _FAILURE)
             if "error_code" in votes.columns:
-                failed = votes.filter("error_code is not null").groupBy("file_id").agg(F.min(F.struct("error_code", "error_message")).alias("e"))
-                failed = failed.select("file_id", "e.error_code", F.substring("e.error_message", 1, MAX_ERROR_CHARS).alias("error_message"))
-                votes = votes.join(failed.select("file_id"), "file_id", "left_anti").select(*(c.strip().split(" ")[0] for c in jury.VOTE.split(", ")))
-            rows = score_votes(seen, votes, self.config, self.judge, f"{work}/resolutions")
+                errors = votes.filter("error_code is not null").groupBy("file_id").agg(F.min(F.struct("error_code", "error_message")).alias("e"))
+                failed = failed.unionByName(errors.select("file_id", "e.*"))
+                votes = votes.filter("error_code is null").drop("error_code", "error_message")
+            failed = failed.unionByName(contracts.bad_dialogues(votes))
+            rows, misjudged = score_votes(seen, votes.join(failed.select("file_id"), "file_id", "left_anti"), self.config, self.judge, f"{work}/resolutions")
+            failed = failed if misjudged is None else failed.unionByName(misjudged)
         rows.join(seen.select("file_id", "scoring_text"), "file_id").write.parquet(f"{self.folder}/rows/part={part}")
         done = self.spark.read.parquet(f"{self.folder}/rows/part={part}")
-        usage = jury.token_usage(aggregate.contested(done), self.config)
-        self._write_events(jobs.join(usage, "file_id"), "done", batch, part)
+        self._write_events(jobs.join(done.select("file_id", "token_usage.*"), "file_id"), "done", batch, part)
         lost = jobs.join(done.select("file_id"), "file_id", "left_anti")
         if failed is not None:
-            lost = lost.join(failed, "file_id", "left")
+            first = failed.groupBy("file_id").agg(F.min(F.struct("error_code", "error_message")).alias("e"))
+            lost = lost.join(first.select("file_id", "e.error_code", F.substring("e.error_message", 1, MAX_ERROR_CHARS).alias("error_message")), "file_id", "left")
         else:
             lost = lost.withColumns({"error_code": F.lit(None), "error_message": F.lit(None)})
         lost = lost.withColumn("error_code", F.coalesce("error_code", F.lit("no_votes")))
@@ -147,7 +172,7 @@ class Run:
 
     def rows(self) -> DataFrame:
         """Scored rows of done dialogues, each once, from the attempt that its last done event names."""
-        done = self.events().filter("status = 'done'").groupBy("file_id").agg(F.max_by("part", F.struct("attempt", "at")).alias("part"))
+        done = done_events(self.events()).select("file_id", "part")
         return self.spark.read.parquet(f"{self.folder}/rows").join(done, ["file_id", "part"], "left_semi").drop("part")
 
     def finish(self, dialogues: DataFrame) -> dict:

@@ -127,7 +127,37 @@ def judged_totals_na(spark, sf_dir):
 
 
 def token_usage_na(spark, sf_dir):
-    return jury.token_usage(aggregate.contested(_scored(spark, sf_dir)), CONFIG)
+    rows = jury.with_offline_reports(_scored(spark, sf_dir), len(CONFIG.jurors))
+    return jury.with_judge_usage(aggregate.overlay_in_row(rows, jury.fake_resolution)).select("file_id", "token_usage.*")
+
+
+def reported_na(spark, sf_dir):
+    """What jurors report of a dialogue, by made-up reports that differ from juror to juror, and the judge's calls."""
+    votes = jury.fake_votes(_texts(spark, sf_dir), CONFIG.jurors, NA_DIGITS, (*scoring.KEEP, "scoring_text"))
+    size, run = F.length("scoring_text").cast("long"), F.col("run_number")
+    flagged = (F.col("model_id") == "model-a") & (size % 2 == 0)
+    votes = votes.withColumns(
+        {
+            "input_tokens": size * run, "output_tokens": F.when(F.col("model_id") != "model-b", 7).cast("long"), "reasoning_tokens": F.lit(None).cast("long"), "total_tokens": size + run,
+            "mentions_self_harm": F.when(run == 2, flagged), "self_harm_evidence": F.when(flagged, F.array(F.concat_ws("/", "model_id", run.cast("string")))),
+        }
+    ).drop("scoring_text")
+    rows = aggregate.scored(aggregate.item_aggregates(aggregate.collect_votes(votes, scoring.KEEP), CONFIG), CONFIG, scoring.KEEP)
+    rows = rows.join(jury.dialogue_reports(jury.reports(votes)), "file_id")
+    done = jury.with_judge_usage(aggregate.overlay_in_row(rows, jury.fake_resolution))
+    return done.select("file_id", "mentions_self_harm", F.array_join("self_harm_evidence", ",").alias("self_harm_evidence"), "token_usage.*")
+
+
+def bad_dialogues_na(spark, sf_dir):
+    """Dialogues that a run sets aside: of five, one has an unknown item, one lacks an item, one has an item twice, and
+    one an unknown assertion."""
+    votes = jury.fake_votes(_texts(spark, sf_dir), CONFIG.jurors, NA_DIGITS)
+    kind, juror = _number() % 5, F.concat_ws("/", "model_id", F.col("run_number").cast("string"))
+    at = lambda k, who, item: (kind == k) & (juror == who) & (F.col("item") == item)
+    twice = votes.filter(at(2, "model-c/1", "sleep"))
+    votes = votes.filter(~at(1, "model-b/2", "guilt")).unionByName(twice)
+    votes = votes.withColumn("assertion", F.when(at(3, "model-a/2", "guilt"), "sure").otherwise(F.col("assertion")))
+    return contracts.bad_dialogues(votes.withColumn("item", F.when(at(0, "model-a/1", "sleep"), "mood").otherwise(F.col("item"))))
 
 
 def krippendorff_na(spark, sf_dir):
@@ -287,6 +317,6 @@ NAMES = (
     "item_posteriors_na trigger_reasons_na total_posterior_na scored_na severity judged_totals_na token_usage_na krippendorff_na icc_sums_na cronbach_na item_total_na "
     "coverage_na coverage_histogram_na assertion_distribution_na separation_na arbitration_rates_na judge_agreement_na confusion_na agreement_na class_metrics_na bias_na "
     "uncertain_na annotation_sample_na best_jurors_na flat_export_na nested_export_na label_repair_na label_problems_na pending_jobs "
-    "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na"
+    "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na reported_na bad_dialogues_na"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in NAMES}
