@@ -195,41 +195,3 @@ def judge_agreement(items: DataFrame, resolutions: DataFrame) -> DataFrame:
     both = both.filter("mode is not null and final_score is not null")
     got = both.agg(F.count("*").alias("comparable"), F.count_if(F.col("mode") == F.col("final_score")).alias("agreeing"))
     return got.withColumn("agreement", F.when(F.col("comparable") > 0, F.col("agreeing") / F.col("comparable")).otherwise(1.0))
-
-
-def report(item_agg: DataFrame, scored: DataFrame) -> dict:
-    """All diagnostics and gates. The frames are read several times: give written tables or cached ones."""
-    cov = coverage(scored).first().asDict()
-    sep = separation(scored)
-    alpha, cron = krippendorff(item_agg).first()["alpha"], cronbach(scored).first()["alpha"]
-    rates = {r["item"]: r["rate"] for r in arbitration_rates(scored).collect()}
-    share = cov["dialogues_with_min_coverage"] / cov["n_dialogues"] if cov["n_dialogues"] else 0.0
-    gates = {
-        "alpha": alpha is not None and alpha >= GATES["alpha"],
-        "cronbach": cron is not None and cron >= GATES["cronbach"],
-        "coverage": cov["min_item_coverage"] >= GATES["item_coverage"] and cov["corpus_na_rate"] <= GATES["na_rate"] and share >= GATES["min_coverage_rate"],
-        "separation": sep[sep["gate_basis"]]["is_valid"],
-        "arbitration": rates["overall"] < GATES["arbitration_rate"],
-    }
-    return {
-        "alpha": alpha,
-        "alpha_by_item": {r["item"]: r["alpha"] for r in krippendorff(item_agg, ("item",)).collect()},
-        "icc": icc(item_agg),
-        "cronbach": cron,
-        "item_total": {r["item"]: r["r"] for r in item_total_correlation(scored).collect()},
-        "coverage": cov,
-        "separation": sep,
-        "arbitration": rates,
-        "gates": gates,
-        "passes": all(gates.values()),
-    }
-
-
-def markdown(found: dict) -> str:
-    """The report for people: a line for each gate, then the figures."""
-    out = ["# Diagnostics", "", f"Overall: {'PASS' if found['passes'] else 'FAIL'}", ""]
-    out += [f"- {name}: {'PASS' if ok else 'FAIL'}" for name, ok in found["gates"].items()]
-    out += ["", "| figure | value |", "|---|---|"]
-    out += [f"| {k} | {found[k]} |" for k in ("alpha", "cronbach")]
-    out += [f"| {k} | {v} |" for k, v in [*found["icc"].items(), *found["coverage"].items()]]
-    return "\n".join(out) + "\n"

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import ASSERTIONS, BUCKETS, CONDITIONS, ITEMS, SPLITS, TOTAL
-from .aggregate import best_jurors
+from .aggregate import best_jurors, once
+from .jury import vote_problem
+from .strict import with_type_problem
 
 FLAT_CSV = ("dialogue_id", "condition", *(f"phq8_item_{i}" for i in range(1, 9)), "phq8_total", "severity_bucket", "client_qa_text", "run_id", "prompt_version")
 
@@ -96,25 +99,65 @@ def nested(scored: DataFrame, prompt_version: str, judge_model: str | None = Non
     )
 
 
+_RECORD = "struct<assertion:string,score:int,confidence:double,evidence:array<string>>"
+#: Types of a nested record: every key is there and no other; those in NULLABLE may be null.
+NESTED = (
+    "dialogue_id string, condition string, split string, "
+    f"items struct<{', '.join(f'{i}:{_RECORD}' for i in ITEMS)}>, "
+    "totals struct<total_imputed:int,total_prorated:double,total_prorated_rounded:int,discussed_count:int,item_coverage:double,meets_min_coverage:boolean,proration_valid:boolean>, "
+    "scoring_metadata struct<prompt_version:string,juror_models:array<string>,runs_per_model:int,arbitration_triggered:boolean,judge_model:string>"
+)
+NULLABLE = ("score", "confidence", "total_prorated", "total_prorated_rounded", "judge_model")
+
+
 def nested_problems(rows: DataFrame) -> DataFrame:
-    """(dialogue_id, problem) of nested records that break their contract."""
+    """(dialogue_id, problem) of nested records that break their contract: items' semantics with confidence and evidence,
+    totals that follow from the items, a prorated total exactly where it is valid, a judge only after arbitration."""
+    return once(rows, {"problem": _nested_problem()}).select("dialogue_id", "problem").filter("problem <> ''")
+
+
+def _nested_problem() -> Column:
+    t, m = F.col("totals"), F.col("scoring_metadata")
+    unless = lambda ok, text: F.when(~F.coalesce(ok, F.lit(False)), text)
+    scores = F.array(*(F.col("items")[i]["score"] for i in ITEMS))
+    known = F.filter(scores, lambda x: x.isNotNull())
+    n, total = F.size(known), F.aggregate(known, F.lit(0), lambda s, x: s + x)
+    set_ = t["total_prorated"].isNotNull() & t["total_prorated_rounded"].isNotNull()
+    unset = t["total_prorated"].isNull() & t["total_prorated_rounded"].isNull()
     checks = [
-        F.when(~F.coalesce(F.col("condition").isin(*CONDITIONS), F.lit(False)), "condition"),
-        F.when(~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)), "split"),
-        F.when(F.col("totals.proration_valid") & F.col("totals.total_prorated").isNull(), "prorated total missing"),
-        F.when(~F.col("totals.proration_valid") & F.col("totals.total_prorated").isNotNull(), "prorated total without coverage"),
-        F.when(~F.col("scoring_metadata.arbitration_triggered") & F.col("scoring_metadata.judge_model").isNotNull(), "judge without arbitration"),
+        unless(F.col("dialogue_id") != "", "dialogue_id empty"),
+        unless(F.col("condition").isin(*CONDITIONS), "condition"),
+        unless(F.col("split").isin(*SPLITS), "split"),
+        F.when(t["proration_valid"] & ~set_, "prorated total missing"),
+        F.when(~t["proration_valid"] & ~unset, "prorated total without coverage"),
+        F.when(~m["arbitration_triggered"] & m["judge_model"].isNotNull(), "judge without arbitration"),
+        unless(t["discussed_count"] == n, "discussed_count"),
+        unless(F.abs(t["item_coverage"] - t["discussed_count"] / F.lit(8.0)) <= 1e-9, "item_coverage"),
+        unless(t["meets_min_coverage"] == (t["discussed_count"] >= 4), "meets_min_coverage"),
+        unless(t["proration_valid"] == (t["discussed_count"] >= 7), "proration_valid"),
+        F.when(set_ & ~F.coalesce(t["total_prorated_rounded"].between(0, 24), F.lit(False)), "prorated total out of range"),
+        unless(m["prompt_version"] != "", "prompt_version empty"),
+        unless(F.size(m["juror_models"]) > 0, "no juror models"),
+        unless(m["runs_per_model"] >= 1, "runs_per_model"),
     ]
-    total = F.lit(0)
     for name in ITEMS:
         i = F.col("items")[name]
-        na = i["assertion"] == "not_mentioned"
-        total = total + F.coalesce(i["score"], F.lit(0))
-        checks.append(F.when(na != i["score"].isNull(), f"{name}: score and assertion"))
-        checks.append(F.when((i["assertion"] == "denied") & (i["score"] != 0), f"{name}: denied needs 0"))
-        checks.append(F.when(i["assertion"].isin("present", "possible") & ~i["score"].between(1, 3), f"{name}: score out of range"))
-    checks.append(F.when(total != F.col("totals.total_imputed"), "total is not the sum"))
-    return rows.select("dialogue_id", F.concat_ws("; ", *checks).alias("problem")).filter("problem <> ''")
+        problem = vote_problem(i["assertion"] != "not_mentioned", i["score"], i["assertion"], i["confidence"], i["evidence"])
+        checks.append(F.when(problem.isNotNull(), F.concat(F.lit(f"{name}: "), problem)))
+    checks.append(unless(total == t["total_imputed"], "total is not the sum"))
+    return F.concat_ws("; ", *checks)
+
+
+def nested_line_problems(lines: DataFrame) -> DataFrame:
+    """(file, line, problem) of lines (file, line, value) of a nested export: text that is no object, fields of the wrong
+    type, missing and unknown keys, and for records without such faults what nested_problems finds. Blank lines count as
+    none."""
+    some = lines.filter("trim(value) <> ''")
+    marked = with_type_problem(some, "value", NESTED, NULLABLE).withColumn("wrong", F.col("problem") != "")
+    parsed = once(marked, {"r": F.from_json(F.when(~F.col("wrong"), F.col("value")), NESTED)})
+    rows = once(parsed.select("file", "line", "problem", "r"), {c: F.col("r")[c] for c in StructType.fromDDL(NESTED).names})
+    told = F.when(F.col("problem") != "", F.col("problem")).otherwise(_nested_problem())
+    return once(rows, {"told": told}).filter("told <> ''").select("file", "line", F.col("told").alias("problem"))
 
 
 def inconsistent_runs(votes: DataFrame) -> DataFrame:

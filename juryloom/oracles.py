@@ -235,6 +235,29 @@ ORACLES: dict[str, str] = {
         "SELECT file_id, 'final total is not the sum; final total is not the imputed one' || CASE WHEN total = 24 THEN '; bucket does not match' ELSE '' END AS problem "
         "FROM ft WHERE regexp_replace(file_id, 'conv', '')::INT % 5 = 0",
     ),
+    "report_na": _with(
+        f"{_SC},{_alpha('')}",
+        ", xs AS (SELECT file_id || item AS u, model_id || run_number AS j, coalesce(score, 0)::DOUBLE AS x FROM na), zs AS (SELECT *, avg(x) OVER () AS g, avg(x) OVER (PARTITION BY u) AS r, avg(x) OVER (PARTITION BY j) AS c FROM xs), "
+        "ms AS (SELECT count(DISTINCT u) AS n, count(DISTINCT j) AS k, sum((r - g) * (r - g)) / (count(DISTINCT u) - 1) AS msr, sum((c - g) * (c - g)) / (count(DISTINCT j) - 1) AS msc, "
+        "sum((x - r - c + g) * (x - r - c + g)) / ((count(DISTINCT u) - 1) * (count(DISTINCT j) - 1)) AS mse FROM zs), "
+        "cb AS (SELECT 8.0 / 7 * (1 - (SELECT sum(v) FROM (SELECT var_samp(coalesce(final, 0)) AS v FROM fi GROUP BY item)) / (SELECT var_samp(total) FROM ft)) AS cronbach), "
+        "cv AS (SELECT avg(z) AS na_rate, min(1 - z) AS least FROM (SELECT item, avg((consensus IS NULL)::INT) AS z FROM agg GROUP BY item)), "
+        "sp AS (SELECT condition, count(*) AS n, avg(total) AS m, var_samp(total) AS v FROM ft GROUP BY condition), "
+        "ss AS (SELECT (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS d, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t FROM sp a, sp b WHERE a.condition = 'mdd' AND b.condition = 'control'), "
+        "ja AS (SELECT count(*) FILTER (mode = verdict) / count(*) AS agreed FROM co WHERE contested AND mode IS NOT NULL), ar AS (SELECT avg(triggered::INT) AS rate, (SELECT avg((nd >= 4)::INT) FROM ft) AS enough FROM sc), "
+        "it AS (SELECT string_agg(printf('%.4f', r), ',' ORDER BY item_idx) AS item_total FROM (SELECT item_idx, corr(coalesce(final, 0), ft.total) AS r FROM fi JOIN ft USING (file_id) GROUP BY item_idx)) "
+        "SELECT (SELECT count(*) FROM ft) AS n_dialogues, round(alpha, 6) AS alpha, round((msr - mse) / (msr + (k - 1) * mse), 6) AS icc3, round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) AS icc2, round(cronbach, 6) AS cronbach, "
+        "round(na_rate, 6) AS corpus_na_rate, round(least, 6) AS min_item_coverage, round(agreed, 6) AS judge_agreement, round(rate, 6) AS arbitration_rate, round(d, 6) AS cohens_d, round(t, 6) AS t_statistic, item_total, "
+        "alpha >= 0.67 AS gate_alpha, cronbach >= 0.7 AS gate_cronbach, least >= 0.5 AND na_rate <= 0.25 AND enough >= 0.9 AS gate_coverage, rate < 0.3 AS gate_arbitration FROM ax, ms, cb, cv, ss, ja, ar, it",
+    ),
+    "line_types_na": _with(
+        DIALOGUES,
+        "SELECT file_id AS dialogue_id, CASE regexp_replace(file_id, 'conv', '')::INT % 4 WHEN 1 THEN '$.scoring_metadata.runs_per_model is BOOLEAN, not int' WHEN 2 THEN '$.condition is BIGINT, not string; unknown keys at $: extra' "
+        "ELSE '$.totals.discussed_count is STRING, not int' END AS problem FROM dialogues WHERE regexp_replace(file_id, 'conv', '')::INT % 4 <> 0",
+    ),
+    "csv_corpus": _with(DIALOGUES, "SELECT file_id, condition, 'test' AS client_model, 'test' AS therapist_model, dialogue FROM dialogues"),
+    "numbered_turns": "SELECT row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS line_no, conv_id, turn, role, sha256(coalesce(text, '')) AS text_sha256 FROM conversations",
+    "last_lines": "SELECT conv_id || '/' || coalesce(role, 'none') AS key, turn, CAST(length(coalesce(text, '')) AS INTEGER) AS size FROM conversations WHERE conv_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1",
     "reported_na": _with(
         _SC,
         ", rp AS (SELECT file_id, sum(length(client_qa_text) * run_number) AS i, sum(CASE WHEN model_id <> 'model-b' THEN 7 END) AS o, sum(length(client_qa_text) + run_number) AS t, "

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import ITEMS, ScoringConfig
 from .functions.numeric import bucket_of
 from .operators import aggregate, calibration, contracts, corpus, diagnostics, dialogue, export, jury
+from .operators import report as whole_report
 from .plans import scoring
+from .sources import corpus as sources
+from .sources import lines, sinks
 from .sources.corpus import from_conversations, with_split
+from .sources.shared import scratch
 
 CONFIG = ScoringConfig()
 #: Values of the second-last hash digit at which the jurors of the `_na` queries do not mention an item: a variant of
@@ -312,11 +316,68 @@ def aggregate_violations_na(spark, sf_dir):
     return contracts.aggregate_violations(wrong.withColumn("final_bucket", bucket_of(F.col("final_total"))))
 
 
+def line_types_na(spark, sf_dir):
+    """Nested records as JSON lines of which three in four have a field of a wrong type, one of these a key too many."""
+    rows = export.nested(_judged(spark, sf_dir), CONFIG.prompt_version, "judge")
+    n, value = F.regexp_replace("dialogue_id", "conv", "").cast("int") % 4, F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    broken = (
+        F.when(n == 1, F.regexp_replace(value, '"runs_per_model":2', '"runs_per_model":true'))
+        .when(n == 2, F.regexp_replace(value, '"condition":"', '"condition":7,"extra":"'))
+        .when(n == 3, F.regexp_replace(value, '"discussed_count":([0-9])', '"discussed_count":"$1"'))
+        .otherwise(value)
+    )
+    path = f"{scratch(spark)}/nested"
+    rows.select("dialogue_id", broken.alias("value")).write.parquet(path)
+    written = spark.read.parquet(path).select(F.col("dialogue_id").alias("file"), F.lit(0).cast("long").alias("line"), "value")
+    return export.nested_line_problems(written).select(F.col("file").alias("dialogue_id"), "problem")
+
+
+def report_na(spark, sf_dir):
+    """The report's figures of judged rows; tails of t and F are held against known values in the tests."""
+    row = whole_report.report_row(_judged(spark, sf_dir))
+    return _rounded(
+        row.select(
+            "n_dialogues", "alpha", "icc.icc3", "icc.icc2", "cronbach", "coverage.corpus_na_rate", "coverage.min_item_coverage", "judge_agreement",
+            F.col("arbitration.overall").alias("arbitration_rate"), "separation.imputed.cohens_d", "separation.imputed.t_statistic", F.array_join(F.transform("item_total", lambda r: F.format_string("%.4f", r)), ",").alias("item_total"),
+            *(F.col(f"gates.{g}").alias(f"gate_{g}") for g in ("alpha", "cronbach", "coverage", "arbitration")),
+        )
+    )
+
+
+def csv_corpus(spark, sf_dir):
+    """All dialogues as CSV files with quoted fields of several lines, read back by byte ranges."""
+    path = f"{scratch(spark)}/corpus"
+    sinks.write_csv(dialogues(spark, sf_dir).select(*sources.COLUMNS), path, "file_id")
+    rows = sources.csv_rows(spark, path, glob="*.csv")
+    return rows.select(*sources.COLUMNS)
+
+
+def numbered_turns(spark, sf_dir):
+    """Turns as JSON lines over several files: a line's number from the first file's start is its place in the order."""
+    path = f"{scratch(spark)}/turns"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns.orderBy("conv_id", "turn", "role", "text").write.option("ignoreNullFields", False).json(path)
+    rows = lines.numbered_lines(spark, path, "*.json")
+    sizes = rows.groupBy("file").agg((F.max("line") + 1).alias("n"))
+    first = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row for each file
+    read = rows.join(F.broadcast(first), "file").select((F.col("first") + F.col("line")).alias("line_no"), F.from_json("value", "conv_id long, turn long, role string, text string").alias("r"))
+    return read.select("line_no", "r.conv_id", "r.turn", "r.role", F.sha2(F.coalesce("r.text", F.lit("")), 256).alias("text_sha256"))
+
+
+def last_lines(spark, sf_dir):
+    """Turns as JSON lines keyed by role and conversation: the last line of each key."""
+    path = f"{scratch(spark)}/turns"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("conv_id is not null")
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.coalesce("role", F.lit("none"))).alias("key")
+    turns.orderBy("conv_id", "turn", "role", "text").select(key, "turn", F.length(F.coalesce("text", F.lit(""))).alias("size")).write.option("ignoreNullFields", False).json(path)
+    return sources.read_last_lines(spark, path, spark.createDataFrame([], "key string, turn long, size int").schema, "key")
+
+
 NAMES = (
     "corpus_integrity split_counts content_groups document_splits utterances dialogue_views keyword_coverage corpus_stats corpus_comparison fake_votes vote_violations "
     "item_posteriors_na trigger_reasons_na total_posterior_na scored_na severity judged_totals_na token_usage_na krippendorff_na icc_sums_na cronbach_na item_total_na "
     "coverage_na coverage_histogram_na assertion_distribution_na separation_na arbitration_rates_na judge_agreement_na confusion_na agreement_na class_metrics_na bias_na "
     "uncertain_na annotation_sample_na best_jurors_na flat_export_na nested_export_na label_repair_na label_problems_na pending_jobs "
-    "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na reported_na bad_dialogues_na"
+    "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na reported_na bad_dialogues_na csv_corpus numbered_turns last_lines report_na line_types_na"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in NAMES}
