@@ -49,7 +49,7 @@ def bad_dialogues(votes: DataFrame) -> DataFrame:
     problems the first in text order is told, so that a message never grows with the number of votes.
     """
     who = F.concat_ws("/", "model_id", F.col("run_number").cast("string"), "item")
-    unnamed = F.when(F.col("model_id").isNull() | F.coalesce(F.col("run_number") < 1, F.lit(True)), "juror without name or run")
+    unnamed = F.when(F.col("model_id").isNull() | F.col("run_number").isNull(), "juror without name or run")
     unknown = F.when(~F.coalesce(F.col("item").isin(*ITEMS), F.lit(False)), "unknown item")
     problem = F.concat_ws("; ", unnamed, unknown, vote_problem(*(F.col(c) for c in ("discussed", "score", "assertion", "confidence", "evidence"))))
     single = votes.select("file_id", F.concat(who, F.lit(": "), problem).alias("problem"), (problem != "").alias("bad")).filter("bad")
