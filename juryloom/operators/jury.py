@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ITEMS, MAX_ERROR_CHARS, MAX_EVIDENCE_CHARS, MAX_EVIDENCE_SNIPPETS, MAX_EVIDENCE_WORDS, ScoringConfig
+from ..config import ITEMS, MAX_ERROR_CHARS, MAX_EVIDENCE_CHARS, MAX_EVIDENCE_SNIPPETS, MAX_EVIDENCE_WORDS
 from ..functions.hashing import hex_digit, sha256, sha_mod4
 from ..functions.text import first_words, strip, word_count
 
