@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..config import CONDITIONS, ITEMS, SPLITS
 from ..functions.hashing import sha256
 from ..functions.text import word_count
+from . import dialogue
 from .aggregate import once
+from .digests import digest_tree, root_digest
 
 # Two patterns for each item that hint at its being talked about.
 KEYWORDS = {
@@ -24,17 +26,20 @@ KEYWORDS = {
 
 
 def integrity(dialogues: DataFrame) -> DataFrame:
-    """One row: rows, distinct and repeated ids, counts by split and condition, ids in several splits, empty texts."""
-    by_id = dialogues.groupBy("file_id").agg(
+    """One row: rows, distinct and repeated ids, counts by split and condition, ids in several splits, empty texts,
+    dialogues with lines of unknown speakers or before any speaker."""
+    seen = dialogue.parsed(dialogues).withColumn("__unknown", F.col("unknown_speaker_count") + F.col("orphan_line_count") > 0)
+    by_id = seen.groupBy("file_id").agg(
         F.count("*").alias("rows"), F.min("computed_split").alias("lo"), F.max("computed_split").alias("hi"),
         *(F.count_if(F.col("computed_split") == s).alias(f"n_{s}") for s in SPLITS),
         *(F.count_if(F.col("condition") == c).alias(f"n_{c}") for c in CONDITIONS),
         F.count_if(F.trim(F.coalesce("dialogue", F.lit(""))) == "").alias("empty"),
+        F.count_if("__unknown").alias("unknown"),
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return by_id.agg(
         total("rows").alias("total"), F.count("*").alias("distinct_ids"), F.count_if(F.col("rows") > 1).alias("repeated_ids"), F.count_if(F.col("lo") != F.col("hi")).alias("leaking_ids"),
-        *(total(f"n_{x}").alias(f"n_{x}") for x in (*SPLITS, *CONDITIONS)), total("empty").alias("empty_dialogues"),
+        *(total(f"n_{x}").alias(f"n_{x}") for x in (*SPLITS, *CONDITIONS)), total("empty").alias("empty_dialogues"), total("unknown").alias("unknown_speaker_dialogues"),
     )
 
 
@@ -52,14 +57,8 @@ def content_groups(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def dataset_fingerprint(dialogues: DataFrame) -> str:
-    """A hash of all (id, text hash) pairs that does not depend on their order.
-
-    Sums of two hashes stand for the sorted list, which would have to pass through one task.
-    """
-    line = F.concat_ws(":", "file_id", sha256("dialogue"))
-    parts = [F.sum(F.xxhash64(F.lit(s), line).cast("decimal(38,0)")).cast("string").alias(f"s{s}") for s in range(4)]
-    r = dialogues.agg(F.count("*").cast("string").alias("n"), *parts).select(F.sha2(F.concat_ws("|", "n", *(F.coalesce(f"s{s}", F.lit("")) for s in range(4))), 256).alias("h")).first()
-    return r["h"]
+    """The root of the digest tree over ids and texts: the whole corpus, in any order."""
+    return root_digest(digest_tree(dialogues, "file_id", "dialogue"))
 
 
 def keyword_hits(text: Column) -> dict[str, Column]:

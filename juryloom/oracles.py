@@ -5,6 +5,7 @@ from __future__ import annotations
 from .config import BUCKETS, ITEMS, ScoringConfig
 from .functions.text import ARTIFACT, ASIDE, BRACKETED, META_PHRASES
 from .operators.corpus import KEYWORDS
+from .operators.digests import LEAF_LINES
 from .queries import CONFIG, NA_DIGITS
 
 _C: ScoringConfig = CONFIG
@@ -176,8 +177,43 @@ _LABELS = (
     + "lp AS (SELECT *, CASE WHEN missing > 1 THEN 'several items missing' WHEN missing = 1 AND lack NOT BETWEEN 0 AND 3 THEN 'missing item out of range' WHEN missing = 0 AND lack <> 0 THEN 'items do not sum to the total' WHEN \"binary\" <> (total >= 10)::INT THEN 'binary label does not match' END AS problem FROM lc2)"
 )
 
+# Each fourth dialogue again with other labels and blank lines, and one answer that each fifth id shares.
+_REPEATED = """more AS (
+  SELECT file_id, condition, dialogue FROM dialogues
+  UNION ALL SELECT file_id || '-b', condition, replace(dialogue, 'Client: ', chr(10) || 'CLIENT :  ') FROM dialogues WHERE right(file_id, 6)::INT % 4 = 0
+  UNION ALL SELECT file_id || '-h', condition, 'Client: yes' FROM dialogues WHERE right(file_id, 6)::INT % 5 = 0
+), dialogues_split AS ("""
+_REPEATED_VIEWS = VIEWS.replace("FROM dialogues)", "FROM more)").replace("dialogues_split AS (", _REPEATED, 1)
+
+
+def _pages(key: str, page: int) -> str:
+    """Members m(content_hash, key) as pages."""
+    return f"""
+r AS (SELECT *, count(*) OVER (PARTITION BY content_hash) AS members, (row_number() OVER (PARTITION BY content_hash ORDER BY {key}) - 1) // {page} AS page FROM m)
+SELECT content_hash, members, page, string_agg({key}::VARCHAR, ',' ORDER BY {key}) AS ids FROM r WHERE members > 1 GROUP BY ALL"""
+
+
+def _tree(source: str, leaf: int, levels: int = 6) -> str:
+    """Nodes of the digest tree over lines (key, text); levels above the leaves, as many as any test table needs."""
+    steps = [
+        f"WITH l AS (SELECT sha256(coalesce(key, '') || ':' || sha256(coalesce(text, ''))) AS line, count(*) AS n FROM ({source}) GROUP BY 1)",
+        f"d AS (SELECT CASE {' '.join(f'WHEN count(*) <= {leaf * 16**k} THEN {k}' for k in range(levels + 1))} END AS depth FROM l)",
+        "t0 AS (SELECT left(line, depth) AS prefix, sum(n)::BIGINT AS n_rows, sha256(string_agg(line || ':' || n, chr(10) ORDER BY line)) AS digest FROM l, d GROUP BY 1)",
+        *(f"t{k} AS (SELECT left(prefix, length(prefix) - 1) AS prefix, sum(n_rows)::BIGINT AS n_rows, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest FROM t{k - 1} WHERE prefix <> '' GROUP BY 1)" for k in range(1, levels + 1)),
+    ]
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(levels + 1))
+
+
 ORACLES: dict[str, str] = {
-    "corpus_integrity": _with(DIALOGUES, "SELECT count(*) AS total, count(DISTINCT file_id) AS distinct_ids, count(*) - count(DISTINCT file_id) AS repeated_ids, 0::BIGINT AS leaking_ids, count(*) FILTER (computed_split = 'train') AS n_train, count(*) FILTER (computed_split = 'dev') AS n_dev, count(*) FILTER (computed_split = 'test') AS n_test, count(*) FILTER (condition = 'control') AS n_control, count(*) FILTER (condition = 'mdd') AS n_mdd, count(*) FILTER (trim(dialogue) = '') AS empty_dialogues FROM dialogues_split"),
+    "digest_tree": _tree("SELECT doc_id::VARCHAR AS key, text FROM documents", LEAF_LINES),
+    "changed_ranges": f"""WITH a AS ({_tree("SELECT doc_id::VARCHAR AS key, text FROM documents", LEAF_LINES)}),
+b AS ({_tree("SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 97 = 5 THEN coalesce(text, '') || '.' ELSE text END AS text FROM documents UNION ALL SELECT 'new' || doc_id, text FROM documents WHERE doc_id % 89 = 7", LEAF_LINES)}),
+lv AS (SELECT least((SELECT max(length(prefix)) FROM a), (SELECT max(length(prefix)) FROM b)) AS depth)
+SELECT prefix, coalesce(a.n_rows, 0) AS left_rows, coalesce(b.n_rows, 0) AS right_rows
+FROM (SELECT a.* FROM a, lv WHERE length(prefix) = depth) a FULL JOIN (SELECT b.* FROM b, lv WHERE length(prefix) = depth) b USING (prefix) WHERE a.digest IS DISTINCT FROM b.digest""",
+    "content_pages": f"WITH m AS (SELECT DISTINCT sha256(coalesce(text, '')) AS content_hash, doc_id FROM documents WHERE doc_id IS NOT NULL), {_pages('doc_id', 4)}",
+    "dialogue_groups": f"WITH {_REPEATED_VIEWS.strip()}, m AS (SELECT DISTINCT sha256(dialogue_clean) AS content_hash, file_id FROM views), {_pages('file_id', 8)}",
+    "corpus_integrity": _with(VIEWS, "SELECT count(*) AS total, count(DISTINCT file_id) AS distinct_ids, count(*) - count(DISTINCT file_id) AS repeated_ids, 0::BIGINT AS leaking_ids, count(*) FILTER (computed_split = 'train') AS n_train, count(*) FILTER (computed_split = 'dev') AS n_dev, count(*) FILTER (computed_split = 'test') AS n_test, count(*) FILTER (condition = 'control') AS n_control, count(*) FILTER (condition = 'mdd') AS n_mdd, count(*) FILTER (trim(dialogue) = '') AS empty_dialogues, (SELECT count(*) FROM views WHERE unknown_speaker_count + orphan_line_count > 0) AS unknown_speaker_dialogues FROM dialogues_split"),
     "split_counts": _with(DIALOGUES, "SELECT c AS condition, s AS computed_split, count(file_id) AS n FROM (SELECT unnest(['control', 'mdd']) AS c) CROSS JOIN (SELECT unnest(['train', 'dev', 'test']) AS s) LEFT JOIN dialogues_split d ON d.condition = c AND d.computed_split = s GROUP BY ALL"),
     "content_groups": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS least_id, count(DISTINCT doc_id) AS ids FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
     "document_splits": f"SELECT {_split('doc_id::VARCHAR')} AS computed_split, count(*) AS n FROM documents GROUP BY 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import ITEMS, ScoringConfig
 from .functions.numeric import bucket_of
-from .operators import aggregate, calibration, contracts, corpus, diagnostics, dialogue, export, jury
+from .operators import aggregate, calibration, contracts, corpus, diagnostics, dialogue, digests, export, groups, jury
 from .operators import report as whole_report
 from .plans import scoring
 from .sources import corpus as sources
@@ -61,6 +61,37 @@ def content_groups(spark, sf_dir):
     return corpus.content_groups(docs, "doc_id", F.coalesce("text", F.lit("")))
 
 
+def _joined_pages(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+def content_pages(spark, sf_dir):
+    """Documents of equal text with all their ids, four to a page."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _joined_pages(groups.content_pages(docs, "doc_id", F.coalesce("text", F.lit("")), 4))
+
+
+def dialogue_groups(spark, sf_dir):
+    """Dialogues that are equal once cleaned, eight ids to a page: all of the table, each fourth again with other labels
+    and blank lines, and one answer that each fifth id shares."""
+    rows = dialogues(spark, sf_dir)
+    other = rows.filter(_number() % 4 == 0).withColumns({"file_id": F.concat("file_id", F.lit("-b")), "dialogue": F.replace("dialogue", F.lit("Client: "), F.lit("\nCLIENT :  "))})
+    hot = rows.filter(_number() % 5 == 0).withColumns({"file_id": F.concat("file_id", F.lit("-h")), "dialogue": F.lit("Client: yes")})
+    return _joined_pages(groups.dialogue_pages(rows.unionByName(other).unionByName(hot), 8))
+
+
+def digest_tree(spark, sf_dir):
+    return digests.digest_tree(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def changed_ranges(spark, sf_dir):
+    """Ranges of hashes in which the documents differ from a version of them with longer texts and new rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("key"), "doc_id", "text")
+    longer = F.when(F.col("doc_id") % 97 == 5, F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text"))
+    new = docs.filter("doc_id % 89 = 7").withColumn("key", F.concat(F.lit("new"), "key"))
+    return digests.differing(digests.digest_tree(docs, "key", "text"), digests.digest_tree(docs.withColumn("text", longer).unionByName(new), "key", "text"))
+
+
 def document_splits(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return with_split(docs.select(F.col("doc_id").cast("string").alias("file_id"))).groupBy("computed_split").agg(F.count("*").alias("n"))
@@ -378,6 +409,7 @@ NAMES = (
     "item_posteriors_na trigger_reasons_na total_posterior_na scored_na severity judged_totals_na token_usage_na krippendorff_na icc_sums_na cronbach_na item_total_na "
     "coverage_na coverage_histogram_na assertion_distribution_na separation_na arbitration_rates_na judge_agreement_na confusion_na agreement_na class_metrics_na bias_na "
     "uncertain_na annotation_sample_na best_jurors_na flat_export_na nested_export_na label_repair_na label_problems_na pending_jobs "
-    "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na reported_na bad_dialogues_na csv_corpus numbered_turns last_lines report_na line_types_na"
+    "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na reported_na bad_dialogues_na csv_corpus numbered_turns last_lines report_na line_types_na "
+    "content_pages dialogue_groups digest_tree changed_ranges"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in NAMES}
