@@ -211,6 +211,8 @@ b AS ({_tree("SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 97 = 5 THEN coal
 lv AS (SELECT least((SELECT max(length(prefix)) FROM a), (SELECT max(length(prefix)) FROM b)) AS depth)
 SELECT prefix, coalesce(a.n_rows, 0) AS left_rows, coalesce(b.n_rows, 0) AS right_rows
 FROM (SELECT a.* FROM a, lv WHERE length(prefix) = depth) a FULL JOIN (SELECT b.* FROM b, lv WHERE length(prefix) = depth) b USING (prefix) WHERE a.digest IS DISTINCT FROM b.digest""",
+    "line_rejects": """SELECT outcome, count(*) AS n, sum(CASE WHEN outcome = 'read' THEN turn END)::BIGINT AS turns, sum(CASE WHEN outcome = 'read' THEN length(coalesce(text, '')) END)::BIGINT AS chars
+FROM (SELECT *, CASE (coalesce(conv_id, 0) * 31 + coalesce(turn, 0)) % 11 WHEN 1 THEN 'not JSON' WHEN 3 THEN 'not an object: ARRAY' WHEN 5 THEN 'wrong type' WHEN 7 THEN 'not an object: BIGINT' ELSE 'read' END AS outcome FROM conversations) GROUP BY 1""",
     "content_pages": f"WITH m AS (SELECT DISTINCT sha256(coalesce(text, '')) AS content_hash, doc_id FROM documents WHERE doc_id IS NOT NULL), {_pages('doc_id', 4)}",
     "dialogue_groups": f"WITH {_REPEATED_VIEWS.strip()}, m AS (SELECT DISTINCT sha256(dialogue_clean) AS content_hash, file_id FROM views), {_pages('file_id', 8)}",
     "corpus_integrity": _with(VIEWS, "SELECT count(*) AS total, count(DISTINCT file_id) AS distinct_ids, count(*) - count(DISTINCT file_id) AS repeated_ids, 0::BIGINT AS leaking_ids, count(*) FILTER (computed_split = 'train') AS n_train, count(*) FILTER (computed_split = 'dev') AS n_dev, count(*) FILTER (computed_split = 'test') AS n_test, count(*) FILTER (condition = 'control') AS n_control, count(*) FILTER (condition = 'mdd') AS n_mdd, count(*) FILTER (trim(dialogue) = '') AS empty_dialogues, (SELECT count(*) FROM views WHERE unknown_speaker_count + orphan_line_count > 0) AS unknown_speaker_dialogues FROM dialogues_split"),

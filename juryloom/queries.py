@@ -13,7 +13,7 @@ from .operators import aggregate, calibration, contracts, corpus, diagnostics, d
 from .operators import report as whole_report
 from .plans import scoring
 from .sources import corpus as sources
-from .sources import lines, sinks
+from .sources import isolated, lines, sinks
 from .sources.corpus import from_conversations, with_split
 from .sources.shared import scratch
 
@@ -404,12 +404,25 @@ def last_lines(spark, sf_dir):
     return sources.read_last_lines(spark, path, spark.createDataFrame([], "key string, turn long, size int").schema, "key")
 
 
+def line_rejects(spark, sf_dir):
+    """Turns as JSON lines of which some are no JSON, no objects or of a wrong type: those set aside by error, and those
+    read on, with sums over what was read."""
+    path = f"{scratch(spark)}/turns"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    n, good = (F.coalesce("conv_id", F.lit(0)) * 31 + F.coalesce("turn", F.lit(0))) % 11, F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    line = F.when(n == 1, F.concat(F.lit("{"), good)).when(n == 3, F.concat(F.lit("["), good, F.lit("]"))).when(n == 5, F.to_json(F.struct("conv_id", F.lit("first").alias("turn"), "role"))).when(n == 7, "12").otherwise(good)
+    turns.select(line.alias("value")).write.text(path)
+    found = isolated.json_lines(spark, path, spark.createDataFrame([], "conv_id long, turn long, role string, text string").schema, "*.txt")
+    size = F.length(F.coalesce("row.text", F.lit(""))).cast("long")
+    return found.groupBy(F.coalesce("error", F.lit("read")).alias("outcome")).agg(F.count("*").alias("n"), F.sum("row.turn").alias("turns"), F.sum(F.when(F.col("error").isNull(), size)).alias("chars"))
+
+
 NAMES = (
     "corpus_integrity split_counts content_groups document_splits utterances dialogue_views keyword_coverage corpus_stats corpus_comparison fake_votes vote_violations "
     "item_posteriors_na trigger_reasons_na total_posterior_na scored_na severity judged_totals_na token_usage_na krippendorff_na icc_sums_na cronbach_na item_total_na "
     "coverage_na coverage_histogram_na assertion_distribution_na separation_na arbitration_rates_na judge_agreement_na confusion_na agreement_na class_metrics_na bias_na "
     "uncertain_na annotation_sample_na best_jurors_na flat_export_na nested_export_na label_repair_na label_problems_na pending_jobs "
     "judge_violations_na judge_inputs_na self_harm view_violations aggregate_violations_na reported_na bad_dialogues_na csv_corpus numbered_turns last_lines report_na line_types_na "
-    "content_pages dialogue_groups digest_tree changed_ranges"
+    "content_pages dialogue_groups digest_tree changed_ranges line_rejects"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in NAMES}

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from ..config import CONDITIONS
 from ..functions.hashing import sha256, split_of
 from .arrow_files import TASK_BYTES, read_batches
+from .isolated import transcripts
 from .lines import csv_records, numbered_lines
 
 DIALOGUE = "file_id string, condition string, client_model string, therapist_model string, dialogue string"
@@ -242,14 +243,9 @@ def read_human_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, path: str, speaker: str = "Participant") -> DataFrame:
-    """(id, text) of a tree with one *_TRANSCRIPT.csv a folder: tab-separated, one speaker's values in file order."""
-    raw = csv_rows(spark, path, "\t", "*_TRANSCRIPT.csv")
-    folder = F.regexp_extract(F.col("__file"), r"([^/]+)/[^/]+$", 1)
-    rows = raw.select(F.regexp_replace(folder, "_P$", "").alias("id"), F.col("start_time").try_cast("double").alias("start_time"), F.col("__record").alias("n"), "speaker", "value")
-    rows = rows.filter((F.col("speaker") == speaker) & (F.col("value") != ""))
-    said = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start_time", "n", "value"))).alias("said"))
-    return said.select("id", F.array_join(F.transform("said", lambda s: s["value"]), " ").alias("text"))
+def read_transcripts(spark: SparkSession, path: str, speaker: str | None = "Participant") -> DataFrame:
+    """(id, text) of the transcripts of a tree that can be read; see isolated.transcripts for those that cannot."""
+    return transcripts(spark, path, speaker).filter("error is null").select("id", "text")
 
 
 def read_first(dialogues: DataFrame, n: int | None) -> DataFrame:

@@ -21,11 +21,14 @@ BROADCAST_RANGES = 50_000
 _RANGE = ["file", "begin"]
 
 
-def _lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(value, file, begin, id): lines with their range; ids grow within a range in file order."""
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+def _lines(spark: SparkSession, path: str | list[str], glob: str | None = None, lenient: bool = False) -> DataFrame:
+    """(value, file, begin, id): lines with their range; ids grow within a range in file order.
+
+    lenient: a file that cannot be read ends where its first error is, and bytes that are no UTF-8 are replaced.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("ignoreCorruptFiles", lenient)
     raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
-    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"))
+    return raw.select(F.make_valid_utf8("value").alias("value") if lenient else F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"))
 
 
 def _with_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -39,14 +42,14 @@ def _before(column: str | Column, over: Window) -> Column:
     return F.coalesce(F.sum(column).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, lenient: bool = False) -> DataFrame:
     """(file, line, value): every line of the files with its number in its file, from 0. (file, line) is the order of a
     sequential read of the files by name. A carriage return before the end of a line goes; an empty file has no lines.
 
     The files are read twice, once to count the lines of each range. Should the second read cut them otherwise, it
-    ends with an error, not with wrong numbers.
+    ends with an error, not with wrong numbers. lenient: see _lines.
     """
-    lines = _lines(spark, path, glob)
+    lines = _lines(spark, path, glob, lenient)
     counts = lines.groupBy(*_RANGE).agg(F.min("id").alias("first"), F.count("*").alias("n"))
     ranges = counts.withColumn("seen", _before("n", Window.partitionBy("file").orderBy("begin")))
     at = F.col("id") - F.col("first")
@@ -93,14 +96,14 @@ def _edges(files: pa.Array, begin: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero((begin[1:] != begin[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(begin)]
 
 
-def csv_records(spark: SparkSession, path: str | list[str], quote: str = '"', glob: str | None = None) -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str], quote: str = '"', glob: str | None = None, lenient: bool = False) -> DataFrame:
     """(file, record, line, text): the records of CSV files, numbered from 0 in each file, with their first line.
 
     A record ends with the first line end outside quotes; a quote within a quoted field is written twice, so that
     the parity of quotes tells inside from outside, and no quote stands in a field that is not quoted. A carriage
-    return before a record's end goes. Empty lines are records of empty text.
+    return before a record's end goes. Empty lines are records of empty text. lenient: see _lines.
     """
-    lines = _lines(spark, path, glob)
+    lines = _lines(spark, path, glob, lenient)
     order = Window.partitionBy("file").orderBy("begin")
     ranges = _range_states(lines, quote).withColumn("open", _before("odd", order) % 2)
     ranges = ranges.withColumn("starts", F.when(F.col("open") == 0, F.col("starts0")).otherwise(F.col("starts1")))
