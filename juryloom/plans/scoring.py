@@ -109,7 +109,7 @@ class Run:
         given. The configuration moves first, so that a reset which breaks off is taken up by the next one."""
         fs, aside = self.ledger._fs(f"{self.folder}/before-{uuid.uuid4().hex}")
         moved = False
-        for name in ("config.json", "manifest.json", "events", "snapshots", "rows", "work", "stream"):
+        for name in ("config.json", "manifest.json", "events", "snapshots", "rows", "work", "stream", "claims"):
             _, p = self.ledger._fs(f"{self.folder}/{name}")
             if fs.exists(p):
                 fs.mkdirs(aside)
@@ -131,11 +131,34 @@ class Run:
         one that is repeated after its events finds nothing to do.
         """
         self.guard()
-        part = f"attempt-{uuid.uuid4().hex}"
-        work = f"{self.folder}/work/{part}"
         before = self.latest().select("file_id", F.col("attempt").alias("before"))
         todo = texts(self.pending(dialogues), self.config).join(before, "file_id", "left")
-        todo.withColumn("attempt", F.coalesce("before", F.lit(0)) + 1).drop("before").write.parquet(f"{work}/texts")
+        return self._attempt(todo.withColumn("attempt", F.coalesce("before", F.lit(0)) + 1).drop("before"), batch)
+
+    def run_claimed(self, claims: DataFrame, batch: int) -> int:
+        """Score what a batch of a stream claims (see streaming.claims); gives the number of dialogues that are done now.
+
+        A batch that is repeated leaves out what its events say is done; only events of its own number are read.
+        Claims that are not to be scored become failed events of attempt 0.
+        """
+        self.guard()
+        part = f"attempt-{uuid.uuid4().hex}"
+        path = f"{self.folder}/work/{part}-claims"
+        ended = self.events().filter((F.col("batch") == batch) & (F.col("status") != "running")).select("file_id", F.col("status").alias("own"), F.col("attempt").alias("was"))
+        mine = claims.join(ended.withColumn("attempt", F.col("was")), ["file_id", "attempt"], "left_anti")
+        mine.write.parquet(path)
+        rows = self.spark.read.parquet(path)
+        aside = rows.filter("reason in ('given up', 'conflict')").select("file_id", F.lit(0).alias("attempt"), F.lit("claim").alias("error_code"), F.col("reason").alias("error_message"))
+        self._write_events(aside.distinct(), "failed", batch, part)
+        todo = rows.filter("reason in ('new', 'failed', 'stuck')")
+        seen = texts(todo, self.config).join(todo.select("file_id", "attempt"), "file_id")
+        return self._attempt(seen, batch)
+
+    def _attempt(self, todo: DataFrame, batch: int) -> int:
+        """Score texts with their attempt, as an attempt with a folder of its own."""
+        part = f"attempt-{uuid.uuid4().hex}"
+        work = f"{self.folder}/work/{part}"
+        todo.write.parquet(f"{work}/texts")
         seen = self.spark.read.parquet(f"{work}/texts")
         jobs = seen.select("file_id", "attempt")
         self._write_events(jobs, "running", batch, part)
