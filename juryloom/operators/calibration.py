@@ -136,7 +136,7 @@ def sample(scored: DataFrame, n: int, seed: int = 42) -> DataFrame:
         raise ValueError("more dialogues asked for than there are")
     first = most_uncertain(scored, n // 2).select("file_id")
     rest = scored.select("file_id").join(first, "file_id", "left_anti")
-    more = rest.orderBy(F.xxhash64(F.lit(seed), "file_id"), "file_id").limit(n - first.count())
+    more = rest.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), "file_id"), 256), "file_id").limit(n - first.count())
     return first.unionByName(more).orderBy("file_id")
 
 

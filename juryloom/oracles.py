@@ -247,6 +247,12 @@ FROM (SELECT *, CASE (coalesce(conv_id, 0) * 31 + coalesce(turn, 0)) % 11 WHEN 1
     "agreement_na": _with(f"{_SC}, {_CELLS}", ", m AS (SELECT *, sum(n) OVER (PARTITION BY t) AS rt, sum(n) OVER (PARTITION BY p) AS cp, sum(n) OVER () AS tot FROM cell), s AS (SELECT max(tot) AS tot, sum(n) FILTER (t = p) / max(tot) AS po, sum(rt * cp / tot) FILTER (t = p) / max(tot) AS pe, sum(((t - p) / 4) ** 2 * n) AS seen, sum(((t - p) / 4) ** 2 * rt * cp / tot) AS chance FROM m) SELECT CAST(tot AS BIGINT) AS n, round(po, 6) AS accuracy, round((po - pe) / (1 - pe), 6) AS kappa, round(1 - seen / chance, 6) AS weighted_kappa FROM s"),
     "class_metrics_na": _with(f"{_SC}, {_CELLS}", ", r AS (SELECT t AS k, CAST(sum(n) AS BIGINT) AS support, sum(n) FILTER (t = p) AS hit FROM cell GROUP BY t), c2 AS (SELECT p AS k, sum(n) AS called FROM cell GROUP BY p), pr AS (SELECT k, support, CASE WHEN called > 0 THEN hit / called ELSE 0.0::DOUBLE END AS pre, CASE WHEN support > 0 THEN hit / support ELSE 0.0::DOUBLE END AS rec FROM r JOIN c2 USING (k)) SELECT [" + ", ".join(f"'{b}'" for b in _NAMES) + "][k + 1] AS bucket, round(pre, 6) AS precision, round(rec, 6) AS recall, round(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END, 6) AS f1, support FROM pr"),
     "bias_na": _with(f"{_SC}, {_HUMAN}", "SELECT round(avg(own - human), 6) AS bias, string_agg(DISTINCT annotator, ',' ORDER BY annotator) AS annotators FROM hu"),
+    "annotation_sample_na": _with(
+        _SC,
+        """, f10 AS (SELECT file_id FROM sc WHERE triggered OR mean_entropy > 1 OR max_range >= 2 ORDER BY triggered DESC, coalesce(mean_entropy, 0) DESC, max_range DESC, file_id DESC LIMIT 10),
+rest AS (SELECT file_id FROM sc WHERE file_id NOT IN (SELECT file_id FROM f10) ORDER BY sha256('42:' || file_id), file_id LIMIT 20 - (SELECT count(*) FROM f10))
+SELECT file_id FROM f10 UNION ALL SELECT file_id FROM rest""",
+    ),
     "uncertain_na": _with(_SC, "SELECT file_id, triggered AS triggered_arbitration, round(coalesce(mean_entropy, 0), 6) AS mean_entropy, CAST(coalesce(max_range, 0) AS INTEGER) AS max_range FROM sc WHERE triggered OR mean_entropy > 1 OR max_range >= 2 ORDER BY triggered DESC, mean_entropy DESC, max_range DESC, file_id DESC LIMIT 10"),
     "best_jurors_na": _with(_VA, "SELECT file_id, item, b.model_id, b.run_number, 0.7::DOUBLE AS confidence, consensus AS consensus_score FROM (SELECT agg.file_id, agg.item, agg.consensus, min(struct_pack(model_id := na.model_id, run_number := na.run_number)) AS b FROM agg JOIN na ON na.file_id = agg.file_id AND na.item = agg.item AND na.score = agg.consensus GROUP BY ALL)"),
     "flat_export_na": _with(_SC, "SELECT ft.file_id AS dialogue_id, ft.condition, " + ", ".join(f"string_split(scores, ',')[{i}]::INT AS phq8_item_{i}" for i in range(1, 9)) + f", total AS phq8_total, {_bucket('total')} AS severity_bucket, client_qa_text, 'run' AS run_id, '{_C.prompt_version}' AS prompt_version FROM ft JOIN views USING (file_id) WHERE client_qa_text <> ''"),
