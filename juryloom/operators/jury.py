@@ -23,6 +23,10 @@ _TYPES: dict[str, tuple[type, ...]] = {
 }
 
 
+#: Stands for the evidence of an answer that has no text to quote.
+NO_SNIPPET = "Client: (no snippet)"
+
+
 def names_of(ddl: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in ddl.split(", ")]
 
@@ -52,7 +56,7 @@ def fake_votes(texts: DataFrame, jurors: tuple[tuple[str, int], ...], na_digits:
     skipped = hex_digit(F.col("h"), -2).isin(*na_digits) if na_digits else F.lit(False)
     score = F.when(~skipped, sha_mod4(F.col("h")).cast("int"))
     head = strip(first_words(F.col("text"), 20))
-    snippet = F.when(head == "", "Client: (no snippet)").otherwise(head)
+    snippet = F.when(head == "", NO_SNIPPET).otherwise(head)
     return rows.select(
         "file_id",
         *keep,
@@ -155,16 +159,23 @@ def vote_violations(votes: DataFrame) -> DataFrame:
     return votes.select("file_id", "model_id", "run_number", "item", problem.alias("problem")).filter("problem is not null")
 
 
+def juror_evidence(votes: Column) -> Column:
+    """The first snippets of an item's votes."""
+    return F.slice(F.flatten(F.transform(votes, lambda v: v["evidence"])), 1, MAX_EVIDENCE_SNIPPETS)
+
+
 def fake_resolution(votes: Column) -> dict[str, Column]:
-    """A judge's answer from an item's votes: their mean, not-mentioned as 0, rounded half to even."""
+    """A judge's answer from an item's votes: their mean, not-mentioned as 0, rounded half to even. Where no juror has
+    evidence a fixed snippet stands for it, as an answer with a score needs some."""
     score = F.transform(votes, lambda v: F.coalesce(v["score"], F.lit(0)))
     mean = F.aggregate(score, F.lit(0.0), lambda s, v: s + v) / F.size(score)
     final = F.greatest(F.lit(0), F.least(F.lit(3), F.bround(mean).cast("int")))
+    said = juror_evidence(votes)
     return {
         "final_score": final,
         "assertion": F.when(final == 0, "denied").otherwise("present"),
         "confidence": F.lit(0.7),
-        "evidence": F.slice(F.flatten(F.transform(votes, lambda v: v["evidence"])), 1, MAX_EVIDENCE_SNIPPETS),
+        "evidence": F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(NO_SNIPPET))),
         "rationale": F.lit("Mean of the jurors' votes."),
     }
 
