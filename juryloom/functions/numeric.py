@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..config import BUCKETS
 
 
+#: More than sums of a few dozen masses are rounded by.
+ROUNDING = 1e-12
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
@@ -62,8 +66,12 @@ def cdf(p: Column) -> Column:
 
 
 def quantile_index(cumulated: Column, q: float) -> Column:
-    """First index whose cumulated mass reaches q, the last one if none does."""
-    reached = F.array_position(F.transform(cumulated, lambda x: x >= q), True)
+    """First index whose cumulated mass reaches q, the last one if none does.
+
+    A mass that equals q counts as reaching it, however its sum was rounded. Masses of eight items of six votes have
+    denominators of 2^32 at most, so others that come as near to 0.05 or 0.95 do not exist.
+    """
+    reached = F.array_position(F.transform(cumulated, lambda x: x >= q - ROUNDING), True)
     return F.when(reached > 0, reached - 1).otherwise(F.size(cumulated) - 1).cast("int")
 
 

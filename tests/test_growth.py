@@ -41,3 +41,27 @@ def test_nested_records_of_judged_rows_have_no_problem(spark):
     silent = judged.filter(F.size("judge_resolution") == len(ITEMS)).filter(F.exists("items", lambda i: F.forall(i["votes"], lambda v: v["score"].isNull())))
     assert silent.count() == len(SILENT)
     assert export.nested_problems(export.nested(judged, CONFIG.prompt_version, "judge")).count() == 0
+
+
+def _exact(text: str) -> tuple[int, int]:
+    """The interval in fractions."""
+    masses = [Fraction(1)]
+    for item in ITEMS:
+        last = [sha256(f"{m}|{r}|{item}|{text}".encode()).digest()[-1] for m, r in CONFIG.jurors]
+        scores = [b % 4 for b in last if b >> 4 not in NA_DIGITS]
+        if 2 * len(scores) < len(last):
+            continue
+        p = [Fraction(2 * scores.count(k) + 1, 2 * len(scores) + 4) for k in range(4)]
+        masses = [sum(masses[t - k] * p[k] for k in range(4) if 0 <= t - k < len(masses)) for t in range(len(masses) + 3)]
+    reached = lambda q: next(t for t in range(len(masses)) if sum(masses[: t + 1]) >= q)
+    return reached(Fraction(1, 20)), reached(Fraction(19, 20))
+
+
+#: Numbers of texts whose cumulated mass equals 0.05 or 0.95 at some total.
+TIED = (28783, 256848, 260050, 323836, 342235, 428905, 505545, 649478, 807901, 864642, 927272, 1035642, 1100881, 1193878, 1217149, 1235814, 1248661, 1288786, 1299224, 1301845, 1320431, 1388000, 1406117, 1493589)
+
+
+def test_interval_of_masses_that_equal_a_quantile(spark):
+    seen = texts(spark, [(str(n), f"Client: w{n}") for n in TIED])
+    rows = aggregate.scored(scoring.item_table(seen, CONFIG, NA_DIGITS), CONFIG, scoring.KEEP).select("file_id", "ci_low", "ci_high").collect()
+    assert {int(r[0]): (r[1], r[2]) for r in rows} == {n: _exact(f"Client: w{n}") for n in TIED}
