@@ -61,25 +61,25 @@ def first_words(x: Column, n: int) -> Column:
 
 
 def strip_artifacts(x: Column) -> Column:
-    """Without generation artifacts; gaps are closed only where something was taken out."""
+    """Without generation artifacts; gaps are closed only where something was taken out. All begin with a bracket."""
     cut = F.regexp_replace(x, f"(?iu){ARTIFACT}", "")
     tidy = cut
     for pattern, to in ((r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"(?U)\s+([,.;:!?])", "$1"), (r"(?U)\.\.(\s|$)", ".$1")):
         tidy = F.regexp_replace(tidy, pattern, to)
-    return F.when(cut == x, x).otherwise(strip(tidy))
+    return F.when(~x.contains("[") | (cut == x), x).otherwise(strip(tidy))
 
 
 def strip_bracketed(x: Column) -> Column:
-    return F.regexp_replace(x, f"(?iu){BRACKETED}", "")
+    return F.when(~x.contains("["), x).otherwise(F.regexp_replace(x, f"(?iu){BRACKETED}", ""))
 
 
 def cut_aside(x: Column) -> Column:
     cut = F.regexp_replace(x, f"(?isu){ASIDE}", "")
-    return F.when(cut == x, x).otherwise(F.regexp_replace(cut, r"(?U)\s+$", ""))
+    return F.when(~x.contains('""') | (cut == x), x).otherwise(F.regexp_replace(cut, r"(?U)\s+$", ""))
 
 
-def is_meta(x: Column) -> Column:
-    low = F.lower(strip(x))
+def is_meta(low: Column) -> Column:
+    """Of a stripped text in lower case."""
     found = low.startswith(",")
     for phrase in META_PHRASES:
         found = found | low.contains(phrase)
@@ -87,7 +87,8 @@ def is_meta(x: Column) -> Column:
 
 
 def is_long(x: Column) -> Column:
-    return (F.length(x) > MAX_UTTERANCE_CHARS) | (word_count(x) > MAX_UTTERANCE_WORDS)
+    """Words are counted only where there is room for too many: a character each, and one between two."""
+    return (F.length(x) > MAX_UTTERANCE_CHARS) | ((F.length(x) > 2 * MAX_UTTERANCE_WORDS) & (word_count(x) > MAX_UTTERANCE_WORDS))
 
 
 def truncate(x: Column, words: int = MAX_UTTERANCE_WORDS, chars: int = MAX_UTTERANCE_CHARS) -> Column:
@@ -104,12 +105,13 @@ def cleaned_utterances(utterances: Column) -> Column:
     step = F.transform(step, lambda u: F.struct(u["speaker"], u["raw"], strip_bracketed(u["text"]).alias("text")))
     step = F.transform(step, lambda u: F.struct(u["speaker"], u["raw"], cut_aside(u["text"]).alias("text")))
     step = F.transform(step, lambda u: F.struct(u["speaker"], (u["text"] != u["raw"]).alias("changed"), strip(u["text"]).alias("text")))
-    step = F.transform(step, lambda u: F.struct(u["speaker"], u["changed"], u["text"], (u["text"] != "") & is_meta(u["text"]), is_long(u["text"])))
+    step = F.transform(step, lambda u: F.struct(u["speaker"], u["changed"], u["text"], F.lower(u["text"]).alias("low")))
+    step = F.transform(step, lambda u: F.struct(u["speaker"], u["changed"], u["text"], (u["text"] != "") & is_meta(u["low"]), is_long(u["text"])))
     return F.transform(
         step,
         lambda u: F.struct(
             u["speaker"].alias("speaker"),
-            F.when((u["text"] != "") & ~u["col4"], truncate(u["text"])).alias("text"),
+            F.when((u["text"] != "") & ~u["col4"], F.when(u["col5"], truncate(u["text"])).otherwise(u["text"])).alias("text"),
             (u["changed"] | u["col4"]).alias("meta_removed"),
             (u["col5"] & ~u["col4"]).alias("truncated"),
         ),

@@ -48,28 +48,44 @@ def fake_votes(texts: DataFrame, jurors: tuple[tuple[str, int], ...], na_digits:
     jurors mention all items. Null text counts as empty. Rows are made in place, without a shuffle.
     """
     who = F.array(*(F.struct(F.lit(m).alias("model_id"), F.lit(r).alias("run_number")) for m, r in jurors))
+    rows = _asked(texts, keep).select("*", F.explode(who).alias("j"))
+    rows = rows.withColumn("h", _hash(F.col("j.model_id"), F.col("j.run_number").cast("string")))
+    return rows.select("file_id", *keep, "j.model_id", "j.run_number", "i.item", "i.item_idx", *_vote(F.col("h"), na_digits))
+
+
+def fake_collected(texts: DataFrame, jurors: tuple[tuple[str, int], ...], na_digits: tuple[int, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """fake_votes as aggregate.collect_votes would gather them, for texts of distinct ids: each item's votes are made in
+    one row, so nothing is shuffled."""
+    order = sorted(jurors)
+    rows = _asked(texts, keep).withColumn("h", F.array(*(_hash(F.lit(m), F.lit(str(r))) for m, r in order)))
+    votes = (F.struct(F.lit(m).alias("model_id"), F.lit(r).alias("run_number"), *_vote(F.get("h", F.lit(k)), na_digits)) for k, (m, r) in enumerate(order))
+    return rows.select("file_id", *keep, "i.item", "i.item_idx", F.array(*votes).alias("votes"))
+
+
+def _asked(texts: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """A row for each text and item i; the text's snippet is made once, before its row is repeated."""
     what = F.array(*(F.struct(F.lit(i).alias("item_idx"), F.lit(x).alias("item")) for i, x in enumerate(ITEMS)))
-    text = F.coalesce("scoring_text", F.lit(""))
-    rows = texts.select("file_id", *keep, text.alias("text"), F.explode(who).alias("j")).select("*", F.explode(what).alias("i"))
-    seed = F.concat_ws("|", F.col("j.model_id"), F.col("j.run_number").cast("string"), F.col("i.item"), F.col("text"))
-    rows = rows.withColumn("h", sha256(seed))
-    skipped = hex_digit(F.col("h"), -2).isin(*na_digits) if na_digits else F.lit(False)
-    score = F.when(~skipped, sha_mod4(F.col("h")).cast("int"))
-    head = strip(first_words(F.col("text"), 20))
-    snippet = F.when(head == "", NO_SNIPPET).otherwise(head)
-    return rows.select(
-        "file_id",
-        *keep,
-        F.col("j.model_id").alias("model_id"),
-        F.col("j.run_number").alias("run_number"),
-        F.col("i.item").alias("item"),
-        F.col("i.item_idx").alias("item_idx"),
+    seen = texts.select("file_id", *keep, F.coalesce("scoring_text", F.lit("")).alias("text"))
+    seen = seen.withColumn("head", strip(first_words(F.col("text"), 20)))
+    seen = seen.withColumn("snippet", F.when(F.col("head") == "", NO_SNIPPET).otherwise(F.col("head"))).drop("head")
+    return seen.select("*", F.explode(what).alias("i"))
+
+
+def _hash(model_id: Column, run_number: Column) -> Column:
+    return sha256(F.concat_ws("|", model_id, run_number, F.col("i.item"), F.col("text")))
+
+
+def _vote(h: Column, na_digits: tuple[int, ...]) -> list[Column]:
+    """What a juror says of an item, from its hash and the column snippet."""
+    skipped = hex_digit(h, -2).isin(*na_digits) if na_digits else F.lit(False)
+    score = F.when(~skipped, sha_mod4(h).cast("int"))
+    return [
         (~skipped).alias("discussed"),
         score.alias("score"),
         F.when(skipped, "not_mentioned").when(score == 0, "denied").otherwise("present").alias("assertion"),
         F.when(~skipped, F.lit(0.7)).alias("confidence"),
-        F.when(skipped, F.array().cast("array<string>")).otherwise(F.array(snippet)).alias("evidence"),
-    )
+        F.when(skipped, F.array().cast("array<string>")).otherwise(F.array("snippet")).alias("evidence"),
+    ]
 
 
 def external_votes(texts: DataFrame, score: Callable[[str], list[dict]], partitions: int) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from juryloom.config import ITEMS
+from juryloom.functions import text as T
 from juryloom.operators import aggregate, contracts, export, jury
 from juryloom.plans import scoring
 from juryloom.queries import CONFIG, NA_DIGITS, QUERIES
@@ -22,6 +23,13 @@ def texts(spark, rows):
     return spark.createDataFrame([(i, "mdd", "train", x) for i, x in rows], "file_id string, condition string, computed_split string, scoring_text string")
 
 
+def test_snippets_are_cut_before_votes_repeat_a_text(spark):
+    plan = optimised(QUERIES["fake_votes"](spark, SF))
+    above, below = plan.split("Generate explode", 1)
+    assert "regexp_extract_all" not in above
+    assert "regexp_extract_all" in below
+
+
 def test_answers_of_items_nobody_mentions_hold_their_contract(spark):
     vote = "struct<model_id:string,run_number:int,discussed:boolean,score:int,assertion:string,confidence:double,evidence:array<string>>"
     none = [("m", k, False, None, "not_mentioned", None, []) for k in (1, 2)]
@@ -65,3 +73,10 @@ def test_interval_of_masses_that_equal_a_quantile(spark):
     seen = texts(spark, [(str(n), f"Client: w{n}") for n in TIED])
     rows = aggregate.scored(scoring.item_table(seen, CONFIG, NA_DIGITS), CONFIG, scoring.KEEP).select("file_id", "ci_low", "ci_high").collect()
     assert {int(r[0]): (r[1], r[2]) for r in rows} == {n: _exact(f"Client: w{n}") for n in TIED}
+
+
+@pytest.mark.parametrize("n", [200, 201, 300])
+def test_long_texts_by_words_of_one_letter(spark, n):
+    row = spark.range(1).select(F.lit(" ".join("a" * n)).alias("x")).select(T.is_long(F.col("x")).alias("l"), T.truncate(F.col("x")).alias("t")).first()
+    assert row["l"] == (n > 200)
+    assert row["t"] == " ".join("a" * min(n, 200))
