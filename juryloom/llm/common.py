@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,29 +83,36 @@ def hot_join(rows: DataFrame, written: DataFrame, key: str, by: str, how: str =
     return salted.join(wanted, [key, "__salt"], how).drop("__salt")
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes of a text that are hashed at once.
-PIECE_BYTES = 1 << 20
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of a text that are hashed at once: what is made of them fits a core's cache.
+PIECE_BYTES = 1 << 16
+#: Words up to which a hash is one polynomial.
+_BLOCK = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.full(4096, _BASE, dtype=np.uint64), dtype=np.uint64)
+    _POWERS = np.cumprod(np.full(PIECE_BYTES + _BLOCK, _BASE, dtype=np.uint64), dtype=np.uint64)
+    _INVERSE = np.cumprod(np.append(np.uint64(1), np.full(PIECE_BYTES + _BLOCK, _BACK, dtype=np.uint64)), dtype=np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on all input bits."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def is_space(buf: np.ndarray) -> np.ndarray:
+    return ((buf - np.uint8(9)) < 5) | (buf == 32)
 
 
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of non-separator bytes."""
-    word = np.empty(len(buf) + 2, dtype=np.int8)
-    word[0] = word[-1] = 0
-    word[1:-1] = ~_IS_SPACE[buf]
+    word = np.zeros(len(buf) + 2, dtype=bool)
+    np.logical_not(is_space(buf), out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     return edge[0::2], edge[1::2]
 
@@ -115,18 +122,31 @@ def _piece_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(start):
         return np.zeros(0, np.uint64), start, end
     size = end - start
+    if size.max() > _BLOCK or len(buf) > len(_POWERS):
+        sums = _long_sums(buf, start)
+    else:  # a word's polynomial is the difference of two sums from the piece's start, moved to the word's
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.add(buf, np.uint64(1), out=total[1:], casting="unsafe", dtype=np.uint64)
+        total[1:] *= _POWERS[: len(buf)]
+        np.cumsum(total, out=total)
+        sums = (total[end] - total[start]) * _INVERSE[start]
+    return mix64(sums ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), start, end
+
+
+def _long_sums(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of words of any length: polynomials of blocks, with the block's number folded in from the second on, so that
+    very long words still differ by position."""
     at = np.arange(len(buf), dtype=np.int64)
     first = np.zeros(len(buf), dtype=np.int64)
     first[start] = start
-    offset = (at - np.maximum.accumulate(first)) & 4095
-    terms = (buf.astype(np.uint64) + np.uint64(1)) * _POWERS[offset]
-    terms[_IS_SPACE[buf]] = 0
-    if size.max() > 4096:  # fold the block number in, so that very long words still differ by position
-        block = ((at - np.maximum.accumulate(first)) >> 12).astype(np.uint64)
-        terms = np.where(block > 0, mix64(terms + block), terms)
-        terms[_IS_SPACE[buf]] = 0
-    sums = np.add.reduceat(terms, start)
-    return mix64(sums ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), start, end
+    offset = at - np.maximum.accumulate(first)
+    terms = (buf.astype(np.uint64) + np.uint64(1)) * _POWERS[offset & (_BLOCK - 1)]
+    space = is_space(buf)
+    terms[space] = 0
+    block = (offset >> 12).astype(np.uint64)
+    terms = np.where(block > 0, mix64(terms + block), terms)
+    terms[space] = 0
+    return np.add.reduceat(terms, start)
 
 
 def word_hashes(data: bytes, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +154,14 @@ def word_hashes(data: bytes, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.n
 
     Long data is worked on in pieces that end between words, so that memory beside the result stays small.
     """
-    buf = _LOWER[np.frombuffer(data, dtype=np.uint8)]
+    buf = np.frombuffer(data.translate(_LOWER), dtype=np.uint8)
     if len(buf) <= piece:
         return _piece_hashes(buf)
     found, begin = [], 0
     while begin < len(buf):
         end = min(begin + piece, len(buf))
         while end < len(buf):  # on to the next separator
-            space = np.flatnonzero(_IS_SPACE[buf[end : end + piece]])
+            space = np.flatnonzero(is_space(buf[end : end + piece]))
             end += int(space[0]) if len(space) else piece
             if len(space):
                 break
@@ -152,6 +172,39 @@ def word_hashes(data: bytes, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+#: Bytes of texts that are hashed together.
+TOGETHER_BYTES = 1 << 18
+
+
+def hashed_texts(texts: Iterable[bytes], more: Callable[[np.ndarray], np.ndarray] = lambda words: words) -> Iterator[tuple]:
+    """Each text with what word_hashes gives for it, and with what more makes, from all words on, of its words; short
+    texts are hashed together."""
+
+    def found(held: list[bytes]) -> Iterator[tuple]:
+        words, first, last = word_hashes(b"\n".join(held))
+        made = more(words)
+        at = np.cumsum([0, *(len(x) + 1 for x in held)])
+        edge = np.searchsorted(first, at).tolist()
+        for data, a, b, start in zip(held, edge, edge[1:], at.tolist(), strict=False):
+            yield data, words[a:b], first[a:b] - start, last[a:b] - start, made[a:b]
+
+    held, size = [], 0
+    for data in texts:
+        held.append(data)
+        size += len(data)
+        if size >= TOGETHER_BYTES:
+            yield from found(held)
+            held, size = [], 0
+    if held:
+        yield from found(held)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and distinct."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; with fewer words the whole sequence is one shingle."""
     words = word_hashes(data)[0]

@@ -190,7 +190,29 @@ def _rest_candidates(mixed: DataFrame, ids: DataFrame, reps: DataFrame, sets: Da
             out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """compare for rows of equal (bucket, x, y), which follow each other."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = batch[["bucket", "x", "y"]].to_numpy()
+            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            if held and (held[-1][["bucket", "x", "y"]].to_numpy()[-1] != key[0]).any():
+                yield compare(pd.concat(held, ignore_index=True))
+                held = []
+            if held and len(edge) > 2:
+                yield compare(pd.concat([*held, batch[: edge[1]]], ignore_index=True))
+                held, edge = [], edge[1:]
+            done = [compare(batch[a:b]) for a, b in zip(edge[:-2], edge[1:-1], strict=True)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            held.append(batch[edge[-2] :])
+        if held:
+            yield compare(pd.concat(held, ignore_index=True))
+
+    dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt.mapInPandas(groups, "a long, b long").distinct()
 
 
 def near_duplicates(rows: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: Column | None = None) -> DataFrame:

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import bounded, hot_join, materialize, mix64, shared_dir, word_hashes
+from .common import bounded, distinct, hashed_texts, hot_join, materialize, mix64, shared_dir, word_hashes
 from .components import connected_components
-from .substring_dedup import LAST_ID, are_shared, by_chunk, in_batches, key_buckets, shared_by_chunk, shared_codes
+from .substring_dedup import LAST_ID, are_shared, by_chunk, code_cells, in_batches, key_buckets, parts_by_bucket, shared_by_chunk, shared_codes
 
 #: Bands in which contents meet: 8 of 3 minima find a pair of similarity 0.8 with probability 0.997, one of 0.9 with
 #: 1 - 3e-5, and leave out most paragraphs that only overlap.
@@ -49,6 +49,8 @@ SMALL, LARGE = 400, 320
 BLOCK, MANY, TINY, PAIRS = 512, 64, 16, 1 << 14
 #: Shingles whose band keys are found together.
 BATCH_SHINGLES = 1 << 18
+#: Band keys of a part, in which those that are equal are found.
+PART_KEYS = 1 << 20
 #: Words on either side that a cut's hash must beat, and the least words of a paragraph.
 REACH, PARAGRAPH_WORDS = 2, 8
 #: Words on either side of a removed paragraph that are compared with those beside the one that stays.
@@ -96,15 +98,15 @@ def cuts(words: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least) + REACH + 1
 
 
-def natural(buf: np.ndarray, first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(first word, end) of the lines and of the stretches between blank lines; first and last are the words' bytes."""
+def natural(buf: np.ndarray, first: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(first word, end) of the lines and of the stretches between blank lines; first: the words' first bytes."""
     newline = buf == 10
     newline[:-1] |= (buf[:-1] == 13) & (buf[1:] != 10)
-    before = np.append(0, np.cumsum(newline))
-    gap = before[first[1:]] - before[last[:-1]]
+    after = np.searchsorted(first, np.flatnonzero(newline))  # the word after each line's end
+    after, n = np.unique(after[(after > 0) & (after < len(first))], return_counts=True)
     out = []
     for least in (1, 2):
-        at = np.unique(np.concatenate([bounds, np.flatnonzero(gap >= least) + 1]))
+        at = distinct(np.concatenate([bounds, after[n >= least]]))
         out.append(np.stack([at[:-1], at[1:]], axis=1))
     return np.concatenate(out)
 
@@ -122,8 +124,8 @@ def paragraphs(texts: list[bytes]) -> Paragraphs:
         return Paragraphs(words, first, last, bounds, bytes_at, none, none)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
     at = cuts(words, text)
-    begin = np.unique(np.concatenate([at, bounds[:-1][np.diff(bounds) > 0]]))
-    ends = np.unique(np.concatenate([at, bounds[1:]]))
+    begin = distinct(np.concatenate([at, bounds[:-1][np.diff(bounds) > 0]]))
+    ends = distinct(np.concatenate([at, bounds[1:]]))
     whole = bounds[text[begin] + 1]
     end = np.minimum(ends[np.minimum(np.searchsorted(ends, begin + PARAGRAPH_WORDS), len(ends) - 1)], whole)
     # A paragraph cut short by the text's end is within the one before, but for the first.
@@ -131,9 +133,9 @@ def paragraphs(texts: list[bytes]) -> Paragraphs:
     keep = np.ones(len(begin), bool)
     of = text[begin[last_ones]]
     keep[last_ones[1:][of[1:] == of[:-1]]] = False
-    own = natural(np.frombuffer(joined, np.uint8), first, last, bounds)
+    own = natural(np.frombuffer(joined, np.uint8), first, bounds)
     own = own[own[:, 1] - own[:, 0] >= WIDTH]
-    both = np.unique(np.concatenate([begin[keep], own[:, 0]]) * (n + 1) + np.concatenate([end[keep], own[:, 1]]))
+    both = distinct(np.concatenate([begin[keep], own[:, 0]]) * (n + 1) + np.concatenate([end[keep], own[:, 1]]))
     return Paragraphs(words, first, last, bounds, bytes_at, both // (n + 1), both % (n + 1))
 
 
@@ -164,9 +166,11 @@ def band_keys(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
 
 def text_shingles(texts: list[bytes]) -> list[np.ndarray]:
     """Every occurrence of a shingle."""
-    words = [word_hashes(t)[0] for t in texts]
-    found = [_shingles(w) for w in words]
-    return [np.concatenate(found)]
+    joined = b"\n".join(texts)
+    words, first, _ = word_hashes(joined)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+    within = text[: max(0, len(words) - WIDTH + 1)] == text[WIDTH - 1 :]
+    return [_shingles(words)[within]]
 
 
 def stretch_digests(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -193,6 +197,7 @@ def _candidates(buckets: int):
         docs = docs.sort_values("row", ignore_index=True)
         chunk, ids, rows = int(docs["chunk"].iat[0]), docs["doc_id"].tolist(), docs["row"].tolist()
         shared = shared_codes(info) if len(info) else np.zeros(0, np.uint64)
+        cells = code_cells(shared) if len(shared) else None
         digests = [np.zeros((0, 2), np.uint64)]
         places = [np.zeros((0, 3), np.int64)]
         of_docs: list[np.ndarray] = []
@@ -204,7 +209,7 @@ def _candidates(buckets: int):
             some = np.flatnonzero(found.end - found.begin >= WIDTH)
             if len(shared) and len(some):
                 begin, end = found.begin[some], found.end[some]
-                n = np.append(0, np.cumsum(are_shared(_shingles(found.words), shared, buckets)))
+                n = np.append(0, np.cumsum(are_shared(_shingles(found.words), shared, buckets, cells)))
                 on = 100 * (n[end - WIDTH + 1] - n[begin]) >= SHARED * (end - WIDTH + 1 - begin)
                 begin, end = begin[on], end[on]
                 text = found.text_of(begin)
@@ -231,7 +236,7 @@ def _candidates(buckets: int):
         mask = np.arange(n + 1) == n
         out = pd.DataFrame({c: pd.arrays.IntegerArray(np.append(v, 0), mask) for c, v in whole.items()})
         out["chunk"], out["number"] = chunk, np.append(np.arange(n), -1)
-        out["digest"] = [*(x.tobytes() for x in digest[first]), None]
+        out["digest"] = [*cut_up(digest[first].tobytes(), np.full(n, 16)), None]
         for c, x in (("places", packed), ("docs", np.concatenate(of_docs))):
             out[c] = [*[None] * n, x.tobytes()]
         return out[names]
@@ -239,20 +244,32 @@ def _candidates(buckets: int):
     return collect
 
 
-def _at_places(docs: pd.DataFrame, places: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def _at_places(docs: pd.DataFrame, places: pd.DataFrame) -> Iterator[tuple]:
     """For each document with places, which are in the order of row: their slice, first words and ends, the document's
-    bytes, and its words' hashes, first and last bytes."""
+    bytes, its words' hashes, first and last bytes, and its shingles, with some more at the end."""
     row, first, stop = (places[c].to_numpy(np.int64) for c in ("row", "first", "stop")) if len(places) else (np.zeros(0, np.int64),) * 3
     at = np.searchsorted(row, docs["row"].to_numpy(np.int64)) if len(docs) else []
     end = np.searchsorted(row, docs["row"].to_numpy(np.int64), side="right") if len(docs) else []
-    for a, b, text in zip(at, end, docs["text"], strict=True):
-        if a < b:
-            data = text.encode("utf-8")
-            yield slice(a, b), first[a:b], stop[a:b], data, *word_hashes(data)
+    own = [slice(a, b) for a, b in zip(at, end, strict=True) if a < b]
+    texts = (text.encode("utf-8") for a, b, text in zip(at, end, docs["text"], strict=True) if a < b)
+    for some, found in zip(own, hashed_texts(texts, _shingles), strict=True):
+        yield some, first[some], stop[some], *found
+
+
+def _bands(parts: int):
+    """(part, keys, reps) for each band of the contents at places: those whose key modulo parts is part, packed."""
+
+    def found(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        k, rep = _keys_at(docs, places)
+        dealt = parts_by_bucket((k % np.uint64(parts)).astype(np.int32)) if len(k) else ()
+        out = [(part, k[own].tobytes(), rep[own].tobytes()) for part, own in dealt]
+        return pd.DataFrame(out, columns=["part", "keys", "reps"])
 
+    return found
 
-def _bands(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-    """(k, rep) for each band of the contents at places."""
+
+def _keys_at(docs: pd.DataFrame, places: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(key, rep) for each band of the contents at places."""
     places = places.sort_values("row", kind="stable")
     keys: list[np.ndarray] = [np.zeros((0, BANDS), np.uint64)]
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -263,8 +280,7 @@ def _bands(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
         keys.append(band_keys(np.concatenate([x[0] for x in held]), begin, end))
         held.clear()
 
-    for _, first, stop, _, words, _, _ in _at_places(docs, places):
-        shingles = _shingles(words)
+    for _, first, stop, _, _, _, _, shingles in _at_places(docs, places):
         held.append((shingles, first + size, stop + size - WIDTH + 1))
         size += len(shingles)
         if size >= BATCH_SHINGLES:
@@ -273,41 +289,104 @@ def _bands(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
     if held:
         flush()
     reps = places["rep"].to_numpy(np.int64) if len(docs) else np.zeros(0, np.int64)
-    return pd.DataFrame({"k": np.concatenate(keys).ravel().astype(np.int64), "rep": np.repeat(reps, BANDS)})
+    return np.concatenate(keys).ravel(), np.repeat(reps, BANDS)
 
 
 def _sets(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
     """(rep, size, small, text): the shingle sets of the contents at places, and the texts of long ones."""
     places = places.sort_values("row", kind="stable")
     reps = places["rep"].to_numpy(np.int64)
-    out = []
-    for own, begin, end, data, words, first, last in _at_places(docs, places):
-        shingles = _shingles(words)
-        for rep, a, b in zip(reps[own].tolist(), begin.tolist(), end.tolist(), strict=True):
-            some = np.sort(shingles[a : b - WIDTH + 1])
-            if (some[1:] == some[:-1]).any():
-                some = np.unique(some)
-            text = data[first[a] : last[b - 1]].decode("utf-8") if len(some) > LARGE else None
-            out.append((rep, len(some), some.tobytes() if len(some) <= SMALL else None, text))
-    return pd.DataFrame(out, columns=["rep", "size", "small", "text"])
-
-
-def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (k, rep) in the order of k: those of a k that several have, with the number of their block of BLOCK rows."""
-    last, seen, held = None, 0, None
+    out = [pd.DataFrame([], columns=["rep", "size", "small", "text"])]
+    held: list[tuple] = []
+
+    def flush() -> None:
+        at = np.cumsum([0, *(len(h[1]) for h in held)]).tolist()
+        begin, end = (np.concatenate([h[i] + a for h, a in zip(held, at, strict=False)]) for i in (2, 3))
+        found, size = distinct_sets(np.concatenate([h[1] for h in held]), begin, end - WIDTH + 1)
+        small: list[bytes | None] = cut_up(found.tobytes(), 8 * size)
+        texts: list[str | None] = [None] * len(size)
+        for i in np.flatnonzero(size > SMALL).tolist():
+            small[i] = None
+        of = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+        for i in np.flatnonzero(size > LARGE).tolist():
+            data, first, last = held[of[i]][4:]
+            texts[i] = data[first[begin[i] - at[of[i]]] : last[end[i] - at[of[i]] - 1]].decode("utf-8")
+        out.append(pd.DataFrame({"rep": np.concatenate([h[0] for h in held]), "size": size, "small": small, "text": pd.Series(texts, dtype=object)}))
+        held.clear()
+
+    n = 0
+    for own, begin, end, data, _, first, last, shingles in _at_places(docs, places):
+        held.append((reps[own], shingles, begin, end, data, first, last))
+        n += int((end - begin).sum())
+        if n >= BATCH_SHINGLES:
+            flush()
+            n = 0
+    if held:
+        flush()
+    return pd.concat(out, ignore_index=True)
+
+
+def cut_up(data: bytes, size: np.ndarray) -> list[bytes]:
+    end = np.cumsum(size)
+    return [data[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True)]
+
+
+def distinct_sets(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each stretch's shingles sorted and distinct, one after the other, and how many. Stretches of one length are sorted
+    together."""
+    size = end - begin
+    start = np.cumsum(size) - size
+    every = shingles[np.arange(size.sum()) + np.repeat(begin - start, size)]
+    new = np.ones(len(every), bool)
+    order = np.argsort(size, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        at = start[own][:, None] + np.arange(size[own[0]])
+        some = np.sort(every[at], axis=1)
+        every[at] = some
+        new[at[:, 1:]] = some[:, 1:] != some[:, :-1]
+    return every[new], np.add.reduceat(new.astype(np.int64), start)
+
+
+def _groups(part: pd.DataFrame) -> pd.DataFrame:
+    """Of a part's (keys, reps): each group of reps that have a key in common, with two hashes of its members. Groups of
+    up to BLOCK members are rows of their own; of larger ones each block is."""
+    k, rep = (np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in (("keys", np.uint64), ("reps", np.int64)))
+    order = np.argsort(k, kind="stable")
+    several = np.empty(len(k), bool)
+    same = k[order[1:]] == k[order[:-1]]
+    several[1:], several[0] = same, False
+    several[:-1] |= same
+    order = order[several]
+    order = order[np.lexsort((rep[order], k[order]))]
+    k, rep = k[order], rep[order]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+    size = np.diff(np.append(start, len(k)))
+    at = np.arange(len(k)) - np.repeat(start, size)
+    cut = np.flatnonzero(at % BLOCK == 0)
+    ends = np.append(cut[1:], len(k))
+    first, second = (np.add.reduceat(mix64(rep.astype(np.uint64) ^ np.uint64(b)), cut) if len(cut) else np.zeros(0, np.uint64) for b in _BASES)
+    whole = np.repeat(size <= BLOCK, -(-size // BLOCK))
+    # A block of a larger group is told from all others by the group's key.
+    first, second = np.where(whole, first, k[cut]), np.where(whole, second, (at[cut] // BLOCK).astype(np.uint64))
+    reps = cut_up(rep.tobytes(), 8 * (ends - cut))
+    cols = {"first": first.astype(np.int64), "second": second.astype(np.int64), "whole": whole, "k": k[cut].astype(np.int64), "block": at[cut] // BLOCK}
+    return pd.DataFrame(cols | {"reps": pd.Series(reps, dtype=object)})
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(k, rep, block) of groups in the order of their hashes; of groups with equal members, one."""
+    last = None
     for batch in batches:
-        k, rep = batch["k"].to_numpy(), batch["rep"].to_numpy()
-        if not len(k):
+        if not len(batch):
             continue
-        new = np.append(k[0] != last, k[1:] != k[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        at = np.arange(len(k)) - start + np.where(start == 0, 0 if new[0] else seen, 0)
-        several = (at > 0) | np.append(~new[1:], False)
-        if not new[0] and held is not None:
-            yield pd.DataFrame({"k": [last], "rep": [held], "block": [0]})
-        held = rep[-1] if at[-1] == 0 else None
-        last, seen = k[-1], at[-1] + 1
-        yield pd.DataFrame({"k": k[several], "rep": rep[several], "block": at[several] // BLOCK})
+        key = batch[["whole", "first", "second"]].to_numpy(np.int64)
+        new = np.append(last is None or bool((key[0] != last).any()), (key[1:] != key[:-1]).any(axis=1))
+        last = key[-1]
+        some = batch[new]
+        reps = some["reps"].tolist()
+        n = np.array([len(r) // 8 for r in reps], np.int64)
+        rep = np.frombuffer(b"".join(reps), np.int64)
+        yield pd.DataFrame({"k": np.repeat(some["k"].to_numpy(), n), "rep": rep, "block": np.repeat(some["block"].to_numpy(), n)})
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -398,7 +477,10 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links within groups of equal (k, x, y), whose rows follow each other, those of block x first."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in rows["small"]]
+        small = rows["small"].tolist()
+        ends = np.cumsum([len(s) // 8 for s in small]).tolist()
+        every = np.frombuffer(b"".join(small), np.uint64)
+        sets = [every[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         second = ((rows["x"] != rows["y"]) & (rows["block"] == rows["y"])).to_numpy()
         found = bucket_links(rows["group"].to_numpy(), second, rows["rep"].to_numpy(), sets)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -486,7 +568,7 @@ def _surroundings(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
     places = places.sort_values("row", kind="stable")
     likes = places["like"].to_numpy(object)
     out = []
-    for own, begin, end, _, words, _, _ in _at_places(docs, places):
+    for own, begin, end, _, words, _, _, _ in _at_places(docs, places):
         for like, a, b in zip(likes[own], begin.tolist(), end.tolist(), strict=True):
             out.append((like, words[max(0, a - AROUND) : min(b, a + EDGE)].tobytes(), words[max(a, b - EDGE) : b + AROUND].tobytes()))
     return pd.DataFrame(out, columns=["like", "before", "after"])
@@ -519,12 +601,13 @@ def _remove(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
     sides = [dict(zip(around["number"], around[c], strict=True)) for c in ("before", "after")]
     own = [np.searchsorted(x[:, 0], np.arange(len(docs) + 1)).tolist() for x in (spans, *edges)]
     out = []
+    changed = hashed_texts(text.encode("utf-8") for text, n in zip(docs["text"], gone[:, 1].tolist(), strict=True) if n)
     for d, (doc_id, text) in enumerate(zip(docs["doc_id"], docs["text"], strict=True)):
         data = text.encode("utf-8")
         n_removed = n_spans = 0
         kept = data
         if gone[d, 1]:
-            words, first, last = word_hashes(data)
+            _, words, first, last, _ = next(changed)
             mask = np.zeros(len(data), bool)
             for _, a, b in spans[own[0][d] : own[0][d + 1]].tolist():
                 mask[first[a] : last[b - 1]] = True
@@ -551,8 +634,11 @@ def _beside(rows: DataFrame, places: DataFrame, make, ddl: str) -> DataFrame:
 def content_links(rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """Links (a, b) between similar contents of classes (rep, place)."""
     places = classes.select("rep", "place.chunk", "place.row", "place.first", "place.stop")
-    keyed = _beside(rows, places, _bands, "k long, rep long").repartition("k").sortWithinPartitions("k")
-    members = materialize(keyed.mapInPandas(_in_blocks, "k long, rep long, block long"), folder, "members")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * classes.count() // PART_KEYS))
+    keyed = _beside(rows, places, _bands(parts), "part int, keys binary, reps binary")
+    groups = keyed.groupBy("part").applyInPandas(_groups, "first long, second long, whole boolean, k long, block long, reps binary")
+    groups = groups.repartition("first", "second").sortWithinPartitions("whole", "first", "second", "k")
+    members = materialize(groups.mapInPandas(_members, "k long, rep long, block long"), folder, "members")
     met = places.join(bounded(materialize(members.select("rep").distinct(), folder, "met")), "rep", "left_semi")
     sets = materialize(_beside(rows, met, _sets, "rep long, size int, small binary, text string"), folder, "sets")
     links = similar_contents(members, sets.filter(F.col("size") <= SMALL).select("rep", "small"), folder)
@@ -569,7 +655,7 @@ def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
 
     place = F.min(F.struct("least", "chunk", "row", "first", "stop")).alias("place")
     rep = F.min(F.shiftleft("chunk", NUMBER_BITS).bitwiseOR(F.col("number"))).alias("rep")
-    classes = materialize(contents.groupBy("digest").agg(rep, place), folder, "classes")
+    classes = materialize(contents.repartition("digest").groupBy("digest").agg(rep, place), folder, "classes")
     links = materialize(content_links(rows, classes, folder), folder, "links")
 
     linked = connected_components(links, folder, "paragraphs").select(F.col("node").alias("rep"), "component")

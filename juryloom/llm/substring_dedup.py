@@ -130,7 +130,8 @@ def in_batches(texts: Iterable[str]) -> Iterator[list[bytes]]:
 def code_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Keys as they are compared: the bucket, and 32 bits within it, which tell a bucket's keys apart at any size of the
     corpus, as buckets grow in number only. A chance agreement makes a needless candidate, no wrong result."""
-    return (keys % np.uint64(buckets)) << np.uint64(32) | keys >> np.uint64(32)
+    rest = keys - keys // np.uint64(buckets) * np.uint64(buckets)  # faster than %
+    return rest << np.uint64(32) | keys >> np.uint64(32)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -190,9 +191,28 @@ def shared_codes(info: pd.DataFrame) -> np.ndarray:
     return np.sort(np.concatenate(parts))
 
 
-def are_shared(keys: np.ndarray, shared: np.ndarray, buckets: int) -> np.ndarray:
+def code_cells(shared: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """A shift, and for each value of shifted codes the place in shared of the first code that is not below it."""
+    shift = max(0, int(shared[-1]).bit_length() - len(shared).bit_length() - 1)
+    cell = (shared >> np.uint64(shift)).astype(np.int64)
+    return np.uint64(shift), np.append(0, np.cumsum(np.bincount(cell)))
+
+
+def are_shared(keys: np.ndarray, shared: np.ndarray, buckets: int, cells: tuple[np.uint64, np.ndarray] | None = None) -> np.ndarray:
     codes = code_of(keys, buckets)
-    return shared[np.minimum(np.searchsorted(shared, codes), len(shared) - 1)] == codes
+    if cells is None:
+        return shared[np.minimum(np.searchsorted(shared, codes), len(shared) - 1)] == codes
+    shift, start = cells
+    last = len(shared) - 1
+    at = np.minimum(start[np.minimum((codes >> shift).astype(np.int64), len(start) - 1)], last)
+    found = shared[at]
+    below = np.flatnonzero(found < codes)
+    while len(below):  # on to the next code of the cell
+        step = np.minimum(at[below] + 1, last)
+        at[below] = step
+        found[below] = shared[step]
+        below = below[(shared[step] < codes[below]) & (step < last)]
+    return found == codes
 
 
 def shared_by_chunk(rows: DataFrame, buckets: int, keys_of: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:

@@ -9,11 +9,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from juryloom.llm import bpe, components, exact_dedup, gru, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, suffix, token_count, topk
+from juryloom.llm import bpe, common, components, exact_dedup, gru, langid, lm_score, minhash, mixing, paragraph_dedup, substring_dedup, suffix, token_count, topk
 
 from juryloom.llm.common import word_hashes
 
@@ -672,3 +673,27 @@ def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
     assert got.filter("lang = lang_pred").count() >= 0.95 * got.count()
+
+
+def test_paragraph_groups_of_equal_members_are_kept_once():
+    """Groups of equal members come from several band keys; blocks of large groups are told apart by their key."""
+    big = paragraph_dedup.BLOCK + 3
+    keys = np.array([5, 5, 9, 9, 7, 7, 7, 1] + [11] * big + [12] * big, np.uint64)
+    reps = np.array([1, 2, 2, 1, 1, 2, 3, 4] + list(range(big)) * 2, np.int64)
+    part = pd.DataFrame({"part": 0, "keys": [keys[:3].tobytes(), keys[3:].tobytes()], "reps": [reps[:3].tobytes(), reps[3:].tobytes()]})
+    groups = paragraph_dedup._groups(part).sort_values(["whole", "first", "second", "k"], ignore_index=True)
+    halves = [groups[:2].reset_index(drop=True), groups[2:].reset_index(drop=True)]
+    got = pd.concat(paragraph_dedup._members(iter(halves)))
+    assert {k: sorted(own["rep"]) for k, own in got.groupby("k")} == {5: [1, 2], 7: [1, 2, 3], 11: list(range(big)), 12: list(range(big))}
+    assert sorted(got[got["k"] == 11]["block"].unique()) == [0, 1]
+
+
+def test_texts_hashed_together_have_their_own_hashes(monkeypatch):
+    monkeypatch.setattr(common, "TOGETHER_BYTES", 40)
+    texts = [b"", b"One two", b" \n ", b"x" * 50, b"three\r\nFour five six seven eight", b"end"]
+    got = list(common.hashed_texts(texts, lambda words: words + np.uint64(1)))
+    assert [g[0] for g in got] == texts
+    for data, words, first, last, made in got:
+        for x, y in zip((words, first, last), common.word_hashes(data), strict=True):
+            assert x.tolist() == y.tolist()
+        assert made.tolist() == (words + np.uint64(1)).tolist()
