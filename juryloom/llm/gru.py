@@ -117,6 +117,27 @@ def _classes(targets: np.ndarray) -> np.ndarray:
     return np.where(targets < SHORTLIST, targets // CLASS_WORDS, targets - SHORTLIST + WORD_CLASSES)
 
 
+def _states(p: Params, inputs: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The states of _forward, but for rounding, gate by gate on contiguous arrays."""
+    states = np.empty((*inputs.shape, HIDDEN), np.float32)
+    x, u = ([np.ascontiguousarray(part) for part in np.split(p[k], 3, axis=1)] for k in ("x", "u"))
+    goes_on = (inputs != START)[:, :, None]
+    for t in range(len(inputs)):
+        h = h * goes_on[t]
+        r, z = (_sigmoid(x[i][inputs[t]] + h @ u[i]) for i in (0, 1))
+        n = np.tanh(x[2][inputs[t]] + r * (h @ u[2]))
+        h = n + z * (h - n)
+        states[t] = h
+    return states
+
+
+def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probability of the chosen row; logits: classes x tokens, so that reductions run along contiguous tokens."""
+    logits -= logits.max(axis=0)
+    own = logits[chosen, np.arange(logits.shape[1])]
+    return np.maximum(own - np.log(np.exp(logits, out=logits).sum(axis=0)), np.float32(np.log(1e-30)))
+
+
 def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each document's tokens, tail words counting as their class."""
     total = np.zeros(len(docs))
@@ -125,14 +146,14 @@ def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     inputs, targets, number = lanes(docs)
     h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
     for t in range(0, len(inputs), WINDOW):
-        states, _ = _forward(p, inputs[t : t + WINDOW], h, False)
+        states = _states(p, inputs[t : t + WINDOW], h)
         h = states[-1]
         on = targets[t : t + WINDOW] >= 0
         s, y, d = states[on], targets[t : t + WINDOW][on], number[t : t + WINDOW][on]
-        logs = _softmax(s @ p["c"] + p["cb"], _classes(y))[0].astype(np.float64)
+        logs = _log_softmax(p["c"].T @ s.T + p["cb"][:, None], _classes(y)).astype(np.float64)
         for c, rows in _by_class(y):
             own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            logs[rows] += _softmax(s[rows] @ p["w"][own].T + p["wb"][own], y[rows] - c * CLASS_WORDS)[0]
+            logs[rows] += _log_softmax(p["w"][own] @ s[rows].T + p["wb"][own, None], y[rows] - c * CLASS_WORDS)
         total += np.bincount(d, logs, minlength=len(docs))
     return total
 

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_fold, materialize, shared_dir, text_of, through_python, word_hashes
+from .common import crc_fold, cut_up, materialize, shared_dir, text_of, through_python, word_hashes
+from .substring_dedup import in_batches
 
 #: Bound of the words whose counts every task holds (12 bytes each).
 FREQUENT = 1 << 18
@@ -39,15 +40,15 @@ def held_out(doc_id: Column) -> Column:
     return crc_fold(doc_id) == 1
 
 
-def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and tail classes of a text's words and of its end."""
-    data = text.encode("utf-8")
-    words, _, end = word_hashes(data)
-    buf = np.frombuffer(data, np.uint8)
-    last = buf[end - 1].astype(np.int64) if len(end) else np.zeros(0, np.int64)
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and tail classes of the words of texts, with an end after each text's, and how many each text has."""
+    joined = b"\n".join(texts)
+    words, first, end = word_hashes(joined)
+    last = np.frombuffer(joined, np.uint8)[end - 1].astype(np.int64)
     low = np.where((last >= 65) & (last <= 90), last + 32, last)
     mixed = (low * 2654435761 >> 7) % gru.TAIL_CLASSES
-    return np.append(words, END), np.append(mixed, 0).astype(np.uint8)
+    stop = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+    return np.insert(words, stop, END), np.insert(mixed, stop, 0).astype(np.uint8), np.diff(stop, prepend=0) + 1
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -63,8 +64,8 @@ def count_words(rows: DataFrame) -> DataFrame:
             return pd.DataFrame({"word": word.astype(np.int64), "tail": tails[first].astype(np.int32), "n": n})
 
         for batch in batches:
-            for text in batch["text"]:
-                held.append(hashed(text))
+            for texts in in_batches(batch["text"]):
+                held.append(hashed(texts)[:2])
                 size += len(held[-1][0])
                 if size >= COUNT_CHUNK:
                     yield summed()
@@ -137,14 +138,16 @@ def index(rows: DataFrame, known: Vocabulary) -> DataFrame:
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                words, tails = hashed(text)
+            for texts in in_batches(batch["text"]):
+                words, tails, size = hashed(texts)
                 ids, n, tail = known.split(words, tails)
                 common = n >= 0
-                log = np.log10(np.where(common, n, 0) + 0.5)
-                within = -np.log10(known.tail_weight[tails[tail]]).sum() + log[tail & common].sum()
-                rare = words[~common].astype(np.int64)
-                out.append((len(words), int(common.sum()), float(log[common].sum()), float(within), ids.tobytes(), rare.tobytes()))
+                log = np.where(common, np.log10(np.where(common, n, 0) + 0.5), 0.0)
+                within = np.where(tail, log - np.log10(known.tail_weight)[tails], 0.0)
+                begin = np.cumsum(size) - size
+                sums = [np.add.reduceat(x, begin).tolist() for x in (common.astype(np.int64), log, within)]
+                rare, n_rare = words[~common].astype(np.int64), size - np.add.reduceat(common.astype(np.int64), begin)
+                out += zip(size.tolist(), *sums, cut_up(ids.tobytes(), 2 * size), cut_up(rare.tobytes(), 8 * n_rare), strict=True)
             cols = ["n_tokens", "n_common", "log_common", "log_within", "ids", "rare"]
             yield pd.concat([batch.drop(columns="text"), pd.DataFrame(out, columns=cols, index=batch.index)], axis=1)
 

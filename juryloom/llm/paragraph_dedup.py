@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import bounded, distinct, hashed_texts, hot_join, materialize, mix64, shared_dir, word_hashes
+from .common import bounded, cut_up, distinct, hashed_texts, hot_join, materialize, mix64, shared_dir, word_hashes
 from .components import connected_components
 from .substring_dedup import LAST_ID, are_shared, by_chunk, code_cells, in_batches, key_buckets, parts_by_bucket, shared_by_chunk, shared_codes
 
@@ -326,11 +326,6 @@ def _sets(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def cut_up(data: bytes, size: np.ndarray) -> list[bytes]:
-    end = np.cumsum(size)
-    return [data[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True)]
-
-
 def distinct_sets(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each stretch's shingles sorted and distinct, one after the other, and how many. Stretches of one length are sorted
     together."""

@@ -697,3 +697,23 @@ def test_texts_hashed_together_have_their_own_hashes(monkeypatch):
         for x, y in zip((words, first, last), common.word_hashes(data), strict=True):
             assert x.tolist() == y.tolist()
         assert made.tolist() == (words + np.uint64(1)).tolist()
+
+
+def test_lm_words_of_texts_hashed_together():
+    some = [b"", b"One two", b" \n ", b"three\r\nFour!", b"end"]
+    words, tails, size = lm_score.hashed(some)
+    assert size.tolist() == [1, 3, 1, 3, 2]
+    alone = [lm_score.hashed([t]) for t in some]
+    assert words.tolist() == [w for x in alone for w in x[0].tolist()] and tails.tolist() == [w for x in alone for w in x[1].tolist()]
+    assert (words[np.cumsum(size) - 1] == lm_score.END).all() and words[1] == word_hashes(b"one")[0][0]
+
+
+def test_lm_scoring_states_are_those_of_training():
+    rng = np.random.default_rng(3)
+    params = gru.fresh(np.full(gru.TOKENS, 1 / gru.TOKENS))
+    inputs = rng.integers(0, gru.TOKENS + 1, (gru.WINDOW, 5)).astype(np.int32)
+    h = rng.standard_normal((5, gru.HIDDEN)).astype(np.float32)
+    assert np.allclose(gru._states(params, inputs, h), gru._forward(params, inputs, h, False)[0], atol=1e-6)
+    logits = rng.standard_normal((40, 9)).astype(np.float32) * 50
+    chosen = rng.integers(0, 40, 9)
+    assert np.allclose(gru._log_softmax(logits.copy(), chosen), gru._softmax(logits.T, chosen)[0], atol=1e-4)
