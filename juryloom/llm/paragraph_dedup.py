@@ -7,8 +7,8 @@ equal paragraphs wherever they stand. Paragraphs overlap and together cover the
 
 A paragraph that is similar to another one has most of its shingles in common with it. Which shingles occur several
 times is found on packed arrays; only paragraphs of which SHARED percent do so go on. Equal ones are put together, in a
-chunk of documents first, so that a passage that very many documents share is a row for each chunk. Every different one
-has BANDS keys of BAND_ROWS minima of its shingles; those that share a key meet in its bucket, where their whole shingle
+chunk of documents first, then by parts of their digests; a chunk sends each part one row with all of its contents, and
+gets one with what becomes of them, so that rows do not grow with what is repeated. Every different one has BANDS keys of BAND_ROWS minima of its shingles; those that share a key meet in its bucket, where their whole shingle
 sets are compared; very long ones are compared as near-duplicate texts are. Linked ones form components. Of each
 component the paragraphs of the document with the smallest doc_id stay, all others are removed, with the words on either
 side that are also those beside the one that stays: a passage's edges lie outside its cuts. Only places, keys and the
@@ -19,7 +19,7 @@ share a key.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,12 +45,15 @@ SHARED = 60
 #: pair's sizes are at most 4 to 5.
 SMALL, LARGE = 400, 320
 #: Contents of a bucket that are compared with as many others in one task; members of a group from which on they are
-#: compared by tables; shingles up to which sets are compared many at once, and numbers in such a comparison.
-BLOCK, MANY, TINY, PAIRS = 512, 64, 16, 1 << 14
+#: compared by tables; pairs that are compared together.
+BLOCK, MANY, PAIRS = 512, 64, 1 << 11
 #: Shingles whose band keys are found together.
 BATCH_SHINGLES = 1 << 18
 #: Band keys of a part, in which those that are equal are found.
 PART_KEYS = 1 << 20
+#: Buckets of shingles from which on they grow rather than become more, as a chunk sends a row to each of them and these
+#: rows would grow with the square of the corpus; and times their usual size up to which they grow.
+BUCKETS, GROWN = 512, 8
 #: Words on either side that a cut's hash must beat, and the least words of a paragraph.
 REACH, PARAGRAPH_WORDS = 2, 8
 #: Words on either side of a removed paragraph that are compared with those beside the one that stays.
@@ -183,19 +186,49 @@ def stretch_digests(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np
     return out
 
 
-_CANDIDATE = "chunk long, number long, digest binary, least long, most long, row long, first int, stop int, places binary, docs binary"
+#: What is packed field by field, with numbers for each entry: a chunk's contents of a part (spread: from the least to
+#: the greatest doc_id), the classes whose place is in a chunk, and what a chunk is told of its contents.
+_CONTENT = (("digest", "u8", 2), ("least", "i8", 1), ("spread", "i8", 1), ("doc", "i4", 1), ("first", "i4", 1), ("words", "i4", 1))
+_CLASS = (("digest", "u8", 2), ("own", "i8", 1), ("number", "i4", 1), ("doc", "i4", 1), ("first", "i4", 1), ("words", "i4", 1))
+_ANSWER = (("number", "i4", 1), ("rep", "i8", 1), ("own", "i8", 1), ("component_least", "i8", 1), ("first_rep", "i8", 1))
 
 
-def _candidates(buckets: int):
-    """A chunk's distinct contents of shared shingles, with the place of least doc_id; and, as number -1, where each
-    stands: places (document, number, first word, end) and docs (doc_id, words, paragraphs)."""
+def _pack(fields: tuple, columns: dict[str, np.ndarray], some: np.ndarray | slice) -> bytes:
+    return b"".join(columns[c][some].astype(kind).tobytes() for c, kind, _ in fields)
+
+
+def _unpack(fields: tuple, packed: Iterable[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of all packed rows, and how many entries each row has."""
+    packed = list(packed)
+    n = np.array([len(x) for x in packed], np.int64) // sum(np.dtype(kind).itemsize * m for _, kind, m in fields)
+    at, out = np.zeros(len(packed), np.int64), {}
+    for c, kind, m in fields:
+        some = [np.frombuffer(x, kind, k * m, a) for x, k, a in zip(packed, n.tolist(), at.tolist(), strict=True)]
+        every = np.concatenate([np.zeros(0, kind), *some])
+        out[c] = every.reshape(-1, m) if m > 1 else every
+        at += n * m * np.dtype(kind).itemsize
+    return out, n
+
+
+_CANDIDATE = "chunk long, part int, base long, contents binary, places binary, docs binary"
+
+
+def part_of(digest: np.ndarray, parts: int) -> np.ndarray:
+    """The part of digests; it rises with them."""
+    return ((digest[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _candidates(buckets: int, parts: int):
+    """A chunk's distinct contents of shared shingles, by parts of their digests, with the place of least doc_id; they have
+    numbers from base on. And, as part -1, where each stands: places (document, number, first word, end) and docs (doc_id,
+    words, paragraphs)."""
     names = [c.split(" ")[0] for c in _CANDIDATE.split(", ")]
 
     def collect(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame([], columns=names)
         docs = docs.sort_values("row", ignore_index=True)
-        chunk, ids, rows = int(docs["chunk"].iat[0]), docs["doc_id"].tolist(), docs["row"].tolist()
+        chunk, ids = int(docs["chunk"].iat[0]), docs["doc_id"].tolist()
         shared = shared_codes(info) if len(info) else np.zeros(0, np.uint64)
         cells = code_cells(shared) if len(shared) else None
         digests = [np.zeros((0, 2), np.uint64)]
@@ -220,47 +253,118 @@ def _candidates(buckets: int):
         digest, place = np.concatenate(digests), np.concatenate(places)
         doc = np.array(ids, np.int64)[place[:, 0]]
         order = np.lexsort((doc, digest[:, 1], digest[:, 0]))
-        new = np.append(True, (digest[order[1:]] != digest[order[:-1]]).any(axis=1))[: len(order)]
+        new = _changes(digest[order])
         first, last = order[new], order[np.append(new[1:], True)[: len(order)]]
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        packed = np.column_stack([place[:, 0], number, place[:, 1:]]).astype(np.int32)
-        n = len(first)
         whole = {
+            "digest": digest[first],
             "least": doc[first],
-            "most": doc[last],
-            "row": np.array(rows, np.int64)[place[first, 0]],
+            "spread": doc[last] - doc[first],
+            "doc": place[first, 0],
             "first": place[first, 1],
-            "stop": place[first, 2],
+            "words": place[first, 2] - place[first, 1],
         }
-        mask = np.arange(n + 1) == n
-        out = pd.DataFrame({c: pd.arrays.IntegerArray(np.append(v, 0), mask) for c, v in whole.items()})
-        out["chunk"], out["number"] = chunk, np.append(np.arange(n), -1)
-        out["digest"] = [*cut_up(digest[first].tobytes(), np.full(n, 16)), None]
-        for c, x in (("places", packed), ("docs", np.concatenate(of_docs))):
-            out[c] = [*[None] * n, x.tobytes()]
-        return out[names]
+        part = part_of(whole["digest"], parts)
+        edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
+        out = [(chunk, part[a], a, _pack(_CONTENT, whole, slice(a, b)), None, None) for a, b in zip(edge, [*edge[1:], len(part)], strict=False)]
+        stands = np.column_stack([place[:, 0], number, place[:, 1:]]).astype(np.int32)
+        out.append((chunk, -1, 0, None, stands.tobytes(), np.concatenate(of_docs).tobytes()))
+        return pd.DataFrame(out, columns=names)
 
     return collect
 
 
-def _at_places(docs: pd.DataFrame, places: pd.DataFrame) -> Iterator[tuple]:
-    """For each document with places, which are in the order of row: their slice, first words and ends, the document's
+def _changes(digest: np.ndarray) -> np.ndarray:
+    """Which of digests in order differ from the one before."""
+    return np.append(True, (digest[1:] != digest[:-1]).any(axis=1))[: len(digest)]
+
+
+@dataclass(frozen=True)
+class Classes:
+    """A part's contents (columns, chunk, number) in the order of digest, doc_id and chunk, the class of each, and the
+    places of the classes' first contents. A class is named by the chunk and number of its first content."""
+
+    columns: dict[str, np.ndarray]
+    chunk: np.ndarray
+    number: np.ndarray
+    of: np.ndarray
+    head: np.ndarray
+
+    @property
+    def reps(self) -> np.ndarray:
+        return self.chunk[self.head] << NUMBER_BITS | self.number[self.head]
+
+
+def _in_classes(part: pd.DataFrame) -> Classes:
+    part = part.sort_values("chunk")
+    columns, n = _unpack(_CONTENT, part["contents"])
+    chunk = np.repeat(part["chunk"].to_numpy(np.int64), n)
+    number = np.arange(n.sum()) + np.repeat(part["base"].to_numpy(np.int64) - (np.cumsum(n) - n), n)
+    order = np.lexsort((columns["least"], columns["digest"][:, 1], columns["digest"][:, 0]))
+    columns = {c: x[order] for c, x in columns.items()}
+    new = _changes(columns["digest"])
+    return Classes(columns, chunk[order], number[order], np.cumsum(new) - 1, np.flatnonzero(new))
+
+
+def _classes(part: pd.DataFrame) -> pd.DataFrame:
+    """(chunk, part, n, classes): the classes of equal contents, at the place of least doc_id, by its chunk."""
+    found = _in_classes(part)
+    columns = {c: found.columns[c][found.head] for c in ("digest", "doc", "first", "words")}
+    columns |= {"own": found.columns["least"][found.head], "number": found.number[found.head]}
+    own_part = part["part"].iat[0]
+    out = [(chunk, own_part, len(own), _pack(_CLASS, columns, own)) for chunk, own in parts_by_bucket(found.chunk[found.head])]
+    return pd.DataFrame(out, columns=["chunk", "part", "n", "classes"])
+
+
+def _answers(part: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """(chunk, answers): for the contents that stand in a document beyond the least of their component, which this is. Of
+    others (rep, component_least, first_rep) are the classes that are similar to others."""
+    found = _in_classes(part)
+    reps, own = found.reps, found.columns["least"][found.head]
+    least, first = own.copy(), reps.copy()
+    if len(others):
+        order = np.argsort(reps)
+        at = order[np.searchsorted(reps, others["rep"].to_numpy(np.int64), sorter=order)]
+        least[at], first[at] = others["component_least"].to_numpy(np.int64), others["first_rep"].to_numpy(np.int64)
+    some = np.flatnonzero(found.columns["least"] + found.columns["spread"] > least[found.of])
+    of = found.of[some]
+    columns = {"number": found.number[some], "rep": reps[of], "own": own[of], "component_least": least[of], "first_rep": first[of]}
+    out = [(chunk, _pack(_ANSWER, columns, own)) for chunk, own in parts_by_bucket(found.chunk[some])] if len(some) else []
+    return pd.DataFrame(out, columns=["chunk", "answers"])
+
+
+def _places(info: pd.DataFrame, wanted: bool) -> dict[str, np.ndarray]:
+    """The classes that a chunk's rows hold, in the order of their documents, with rep and part; of these those alone whose
+    rep is wanted by other rows, if so."""
+    held = info[info["classes"].notna()]
+    columns, n = _unpack(_CLASS, held["classes"])
+    columns["part"] = np.repeat(held["part"].to_numpy(np.int64), n)
+    columns["rep"] = np.repeat(held["chunk"].to_numpy(np.int64), n) << NUMBER_BITS | columns["number"]
+    order = np.argsort(columns["doc"], kind="stable")
+    if wanted:
+        asked = info.loc[info["classes"].isna(), "rep"].to_numpy(np.int64)
+        order = order[np.isin(columns["rep"][order], asked)]
+    return {c: x[order] for c, x in columns.items()}
+
+
+def _at_places(docs: pd.DataFrame, places: dict[str, np.ndarray]) -> Iterator[tuple]:
+    """For each document with places, which are in the order of documents: their slice, first words and ends, the document's
     bytes, its words' hashes, first and last bytes, and its shingles, with some more at the end."""
-    row, first, stop = (places[c].to_numpy(np.int64) for c in ("row", "first", "stop")) if len(places) else (np.zeros(0, np.int64),) * 3
-    at = np.searchsorted(row, docs["row"].to_numpy(np.int64)) if len(docs) else []
-    end = np.searchsorted(row, docs["row"].to_numpy(np.int64), side="right") if len(docs) else []
-    own = [slice(a, b) for a, b in zip(at, end, strict=True) if a < b]
-    texts = (text.encode("utf-8") for a, b, text in zip(at, end, docs["text"], strict=True) if a < b)
-    for some, found in zip(own, hashed_texts(texts, _shingles), strict=True):
+    texts = docs.sort_values("row")["text"].tolist()
+    first, stop = places["first"].astype(np.int64), places["first"].astype(np.int64) + places["words"]
+    edge = np.searchsorted(places["doc"], np.arange(len(texts) + 1)).tolist()
+    own = [slice(a, b) for a, b in zip(edge, edge[1:], strict=False) if a < b]
+    wanted = (text.encode("utf-8") for a, b, text in zip(edge, edge[1:], texts, strict=False) if a < b)
+    for some, found in zip(own, hashed_texts(wanted, _shingles), strict=True):
         yield some, first[some], stop[some], *found
 
 
 def _bands(parts: int):
-    """(part, keys, reps) for each band of the contents at places: those whose key modulo parts is part, packed."""
+    """(part, keys, reps) for each band of the classes at their places: those whose key modulo parts is part, packed."""
 
-    def found(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        k, rep = _keys_at(docs, places)
+    def found(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+        k, rep = _keys_at(docs, _places(info, False))
         dealt = parts_by_bucket((k % np.uint64(parts)).astype(np.int32)) if len(k) else ()
         out = [(part, k[own].tobytes(), rep[own].tobytes()) for part, own in dealt]
         return pd.DataFrame(out, columns=["part", "keys", "reps"])
@@ -268,9 +372,8 @@ def _bands(parts: int):
     return found
 
 
-def _keys_at(docs: pd.DataFrame, places: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _keys_at(docs: pd.DataFrame, places: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(key, rep) for each band of the contents at places."""
-    places = places.sort_values("row", kind="stable")
     keys: list[np.ndarray] = [np.zeros((0, BANDS), np.uint64)]
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
@@ -288,14 +391,16 @@ def _keys_at(docs: pd.DataFrame, places: pd.DataFrame) -> tuple[np.ndarray, np.n
             size = 0
     if held:
         flush()
-    reps = places["rep"].to_numpy(np.int64) if len(docs) else np.zeros(0, np.int64)
-    return np.concatenate(keys).ravel(), np.repeat(reps, BANDS)
+    return np.concatenate(keys).ravel(), np.repeat(places["rep"], BANDS)
+
+
+_SET = "rep long, size int, small binary, text string, part int, own long, digest binary"
 
 
-def _sets(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-    """(rep, size, small, text): the shingle sets of the contents at places, and the texts of long ones."""
-    places = places.sort_values("row", kind="stable")
-    reps = places["rep"].to_numpy(np.int64)
+def _sets(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+    """The shingle sets of the wanted classes, and the texts of long ones, with what tells the class."""
+    places = _places(info, True)
+    reps = places["rep"]
     out = [pd.DataFrame([], columns=["rep", "size", "small", "text"])]
     held: list[tuple] = []
 
@@ -323,7 +428,9 @@ def _sets(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
             n = 0
     if held:
         flush()
-    return pd.concat(out, ignore_index=True)
+    sets = pd.concat(out, ignore_index=True)
+    digest = cut_up(places["digest"].tobytes(), np.full(len(reps), 16))
+    return sets.assign(part=places["part"], own=places["own"], digest=pd.Series(digest, dtype=object))
 
 
 def distinct_sets(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,32 +518,30 @@ def bucket_links(group: np.ndarray, second: np.ndarray, ids: np.ndarray, sets: l
             i = parent[i]
         return i
 
-    # Beyond a set's end stand small numbers, which are no shingle's hash but for a chance of 2^-60.
-    tiny = (np.arange(TINY) - size[:, None]).astype(np.uint64)
-    small = np.flatnonzero(size <= TINY)
-    if len(small):
-        at = np.arange(size[small].sum()) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
-        tiny[np.repeat(small, size[small]), at] = np.concatenate([sets[i] for i in small.tolist()])
+    # Shingles as numbers, with the number of the set before them: these rise from set to set and within each.
+    start = np.cumsum(size) - size
+    value = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    place = np.repeat(np.arange(n) << 32, size) | value
     out = []
 
     def settle(left: np.ndarray, right: np.ndarray) -> None:
-        """Pairs whose minima agree: small sets are compared together, others one by one."""
-        for at in range(0, len(left), PAIRS // TINY):
-            i, j = left[at : at + PAIRS // TINY], right[at : at + PAIRS // TINY]
-            known = np.maximum(size[i], size[j]) <= TINY
-            pad = np.minimum(TINY - size[i], TINY - size[j])
-            both = (tiny[i][:, :, None] == tiny[j][:, None, :]).sum(axis=(1, 2)) - pad
-            on = ~known | (100 * both >= PERCENT * (size[i] + size[j] - both))
-            for x, y, sure in zip(i[on].tolist(), j[on].tolist(), known[on].tolist(), strict=True):
+        """Links of pairs whose minima agree. Many pairs are compared together: the values of each one's smaller set are
+        looked up among those of the other."""
+        for at in range(0, len(left), PAIRS):
+            i, j = left[at : at + PAIRS], right[at : at + PAIRS]
+            swap = size[i] > size[j]
+            x, y = np.where(swap, j, i), np.where(swap, i, j)
+            many = size[x]
+            first = np.cumsum(many) - many
+            wanted = np.repeat(y << 32, many) | value[np.arange(many.sum()) + np.repeat(start[x] - first, many)]
+            found = place[np.minimum(np.searchsorted(place, wanted), len(place) - 1)] == wanted
+            both = np.add.reduceat(found.astype(np.int64), first)
+            on = 100 * both >= PERCENT * (size[i] + size[j] - both)
+            for x, y in zip(i[on].tolist(), j[on].tolist(), strict=True):
                 a, b = root(x), root(y)
-                if a == b:
-                    continue
-                if not sure:
-                    same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if 100 * same < PERCENT * (size[x] + size[y] - same):
-                        continue
-                out.append((ids[x], ids[y]))
-                parent[b] = a
+                if a != b:
+                    out.append((ids[x], ids[y]))
+                    parent[b] = a
 
     # Groups of many members: whole tables of equal minima.
     many = stops - edge > MANY
@@ -454,13 +559,13 @@ def bucket_links(group: np.ndarray, second: np.ndarray, ids: np.ndarray, sets: l
             settle(i[i < j], j[i < j])
     # All others: lists of pairs over many groups.
     one = np.flatnonzero(~many[of] & ~second)
-    start = np.where(n_second[of] > 0, stops[of] - n_second[of], np.arange(n) + 1)[one]
-    total = np.append(0, np.cumsum(stops[of][one] - start))
+    follow = np.where(n_second[of] > 0, stops[of] - n_second[of], np.arange(n) + 1)[one]
+    total = np.append(0, np.cumsum(stops[of][one] - follow))
     for low in range(0, len(one), MANY * 8):
         high = min(low + MANY * 8, len(one))
         count = np.diff(total[low : high + 1])
         left = np.repeat(one[low:high], count)
-        right = np.repeat(start[low:high], count) + np.arange(total[high] - total[low]) - np.repeat(total[low:high] - total[low], count)
+        right = np.repeat(follow[low:high], count) + np.arange(total[high] - total[low]) - np.repeat(total[low:high] - total[low], count)
         near = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
         left, right = left[near], right[near]
         near = (sig[left] == sig[right]).sum(axis=1) >= AGREE
@@ -511,7 +616,7 @@ def large_links(large: DataFrame) -> DataFrame:
     return near.select(F.col("rep").alias("a"), F.col("component_id").alias("b"))
 
 
-_STRETCH = "chunk long, number long, like binary, spans binary, lefts binary, rights binary, docs binary"
+_STRETCH = "chunk long, number long, like long, spans binary, lefts binary, rights binary, docs binary"
 
 
 def _stretches(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -527,13 +632,14 @@ def _stretches(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     docs = np.frombuffer(packed["docs"].iat[0], np.int64).reshape(-1, 3)
     doc, number, a, b = np.frombuffer(packed["places"].iat[0], np.int32).reshape(-1, 4).astype(np.int64).T
     gone = np.stack([docs[:, 2], np.zeros(len(docs), np.int64), docs[:, 0]], axis=1)
-    likes: dict[bytes, int] = {}
+    likes: dict[int, int] = {}
     spans = np.zeros((0, 3), np.int64)
     edges: list[np.ndarray] = [np.zeros((0, 4), np.int64)] * 2
     if len(answers):
-        slot = np.full(max(int(number.max(initial=0)), int(answers["number"].max())) + 1, -1)
-        slot[answers["number"].to_numpy(np.int64)] = np.arange(len(answers))
-        least, own = answers["component_least"].to_numpy(np.int64), answers["own"].to_numpy(np.int64)
+        told, _ = _unpack(_ANSWER, answers["answers"])
+        slot = np.full(int(number.max()) + 1, -1)
+        slot[told["number"]] = np.arange(len(told["number"]))
+        least, own = told["component_least"], told["own"]
         out = np.flatnonzero((slot[number] >= 0) & (docs[doc, 0] > least[slot[number]]))
         out = out[np.lexsort((a[out], doc[out]))]
         doc, a, b, answer = doc[out], a[out], b[out], slot[number[out]]
@@ -545,26 +651,24 @@ def _stretches(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
             span = np.cumsum(new) - 1
             last = np.append(np.flatnonzero(new)[1:], len(out)) - 1
             spans = np.stack([doc[new], a[new], reach[last] & 0xFFFFFFFF], axis=1)
-            first_like, own_like = answers["first_digest"].to_numpy(object), answers["digest"].to_numpy(object)
             for side, at in enumerate((np.flatnonzero((a == spans[span, 1]) & (a > 0)), np.flatnonzero((b == spans[span, 2]) & (b < docs[doc, 1])))):
                 found = []
                 for i in at.tolist():
                     k = answer[i]
-                    like = own_like[k] if docs[doc[i], 0] > own[k] else first_like[k]
-                    found.append((doc[i], a[i], b[i], likes.setdefault(like, len(likes))))
+                    like = told["rep" if docs[doc[i], 0] > own[k] else "first_rep"][k]
+                    found.append((doc[i], a[i], b[i], likes.setdefault(int(like), len(likes))))
                 edges[side] = np.array(found, np.int64).reshape(-1, 4)
     rows = [(chunk, i, like, None, None, None, None) for like, i in likes.items()]
     rows.append((chunk, -1, None, spans.astype(np.int64).tobytes(), *(e.tobytes() for e in edges), gone.tobytes()))
     return pd.DataFrame(rows, columns=names)
 
 
-def _surroundings(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-    """The hashes of up to AROUND words before and after each of the places, with up to EDGE of its own beside them."""
-    places = places.sort_values("row", kind="stable")
-    likes = places["like"].to_numpy(object)
+def _surroundings(docs: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+    """The hashes of up to AROUND words before and after each wanted class's place, with up to EDGE of its own beside them."""
+    places = _places(info, True)
     out = []
     for own, begin, end, _, words, _, _, _ in _at_places(docs, places):
-        for like, a, b in zip(likes[own], begin.tolist(), end.tolist(), strict=True):
+        for like, a, b in zip(places["rep"][own].tolist(), begin.tolist(), end.tolist(), strict=True):
             out.append((like, words[max(0, a - AROUND) : min(b, a + EDGE)].tobytes(), words[max(a, b - EDGE) : b + AROUND].tobytes()))
     return pd.DataFrame(out, columns=["like", "before", "after"])
 
@@ -626,50 +730,59 @@ def _beside(rows: DataFrame, places: DataFrame, make, ddl: str) -> DataFrame:
     return rows.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInPandas(make, ddl)
 
 
-def content_links(rows: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """Links (a, b) between similar contents of classes (rep, place)."""
-    places = classes.select("rep", "place.chunk", "place.row", "place.first", "place.stop")
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * classes.count() // PART_KEYS))
-    keyed = _beside(rows, places, _bands(parts), "part int, keys binary, reps binary")
+def _wanted(classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """classes, and the wanted reps as rows of the chunk that has their place."""
+    none = F.lit(-1).cast("long").alias("rep")  # no null, beside which pandas would round
+    asked = reps.select(F.shiftright("rep", NUMBER_BITS).alias("chunk"), F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("classes"), "rep")
+    return classes.select("chunk", "part", "classes", none).unionByName(asked)
+
+
+def content_links(rows: DataFrame, classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between similar contents of classes, and (rep, part, own, digest) of those that can have one."""
+    count = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * count // PART_KEYS))
+    keyed = _beside(rows, classes, _bands(parts), "part int, keys binary, reps binary")
     groups = keyed.groupBy("part").applyInPandas(_groups, "first long, second long, whole boolean, k long, block long, reps binary")
     groups = groups.repartition("first", "second").sortWithinPartitions("whole", "first", "second", "k")
     members = materialize(groups.mapInPandas(_members, "k long, rep long, block long"), folder, "members")
-    met = places.join(bounded(materialize(members.select("rep").distinct(), folder, "met")), "rep", "left_semi")
-    sets = materialize(_beside(rows, met, _sets, "rep long, size int, small binary, text string"), folder, "sets")
+    met = _wanted(classes, members.select("rep").distinct())
+    sets = materialize(_beside(rows, met, _sets, _SET), folder, "sets")
     links = similar_contents(members, sets.filter(F.col("size") <= SMALL).select("rep", "small"), folder)
-    large = sets.filter(F.col("size") > LARGE).select("rep", "text")
-    return links if large.isEmpty() else links.unionByName(large_links(large))
+    large = materialize(sets.filter(F.col("size") > LARGE).select("rep", "text"), folder, "large")
+    links = links if large.isEmpty() else links.unionByName(large_links(large))
+    return links, sets.select("rep", "part", "own", "digest")
+
+
+def shingle_buckets(buckets: int) -> int:
+    """How many buckets of shingles a corpus has that would have so many of the usual size."""
+    return max(min(buckets, BUCKETS), -(-buckets // GROWN))
 
 
 def repeated_paragraphs(rows: DataFrame, folder: str) -> DataFrame:
     """For each chunk what _stretches finds, with before and after of the like rows; rows as by_chunk gives."""
-    buckets = key_buckets(rows)
+    buckets = shingle_buckets(key_buckets(rows))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
     shared = shared_by_chunk(rows, buckets, text_shingles)
-    candidates = materialize(_beside(rows, shared, _candidates(buckets), _CANDIDATE), folder, "candidates")
-    contents = candidates.filter("number >= 0").select("chunk", "number", "digest", "least", "most", "row", "first", "stop")
-
-    place = F.min(F.struct("least", "chunk", "row", "first", "stop")).alias("place")
-    rep = F.min(F.shiftleft("chunk", NUMBER_BITS).bitwiseOR(F.col("number"))).alias("rep")
-    classes = materialize(contents.repartition("digest").groupBy("digest").agg(rep, place), folder, "classes")
-    links = materialize(content_links(rows, classes, folder), folder, "links")
+    candidates = materialize(_beside(rows, shared, _candidates(buckets, parts), _CANDIDATE), folder, "candidates")
+    contents = candidates.filter("part >= 0").select("chunk", "part", "base", "contents")
+    classes = materialize(contents.groupBy("part").applyInPandas(_classes, "chunk long, part int, n long, classes binary"), folder, "classes")
+    links, known = content_links(rows, classes, folder)
+    links = materialize(links, folder, "links")
 
     linked = connected_components(links, folder, "paragraphs").select(F.col("node").alias("rep"), "component")
-    linked = materialize(classes.select("rep", "digest", F.col("place.least").alias("own")).join(bounded(linked), "rep"), folder, "linked")
-    first = linked.groupBy("component").agg(F.min(F.struct("own", "digest")).alias("first"))
-    first = materialize(first.select("component", F.col("first.own").alias("component_least"), F.col("first.digest").alias("first_digest")), folder, "first")
-    others = materialize(hot_join(linked, first, "component", "rep").select("digest", "component_least", "first_digest"), folder, "others")
-
-    known = classes.select("digest", F.col("place.least").alias("own")).join(bounded(others), "digest", "left")
-    known = known.select("digest", "own", F.coalesce("component_least", "own").alias("component_least"), F.coalesce("first_digest", "digest").alias("first_digest"))
-    answers = contents.select("chunk", "number", "digest", "most").join(known, "digest").filter("most > component_least").drop("most")
-    packed = candidates.filter("number < 0").select(F.col("chunk").alias("of"), "places", "docs").withColumnRenamed("of", "chunk")
+    linked = materialize(known.join(bounded(linked), "rep"), folder, "linked")
+    first = linked.groupBy("component").agg(F.min(F.struct("own", "digest", "rep")).alias("first"))
+    first = materialize(first.select("component", F.col("first.own").alias("component_least"), F.col("first.rep").alias("first_rep")), folder, "first")
+    others = materialize(hot_join(linked, first, "component", "rep").select("part", "rep", "component_least", "first_rep"), folder, "others")
+
+    answers = contents.groupBy("part").cogroup(others.groupBy("part")).applyInPandas(_answers, "chunk long, answers binary")
+    packed = candidates.filter("part < 0").select("chunk", "places", "docs")
     stretches = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_stretches, _STRETCH)
     stretches = materialize(stretches, folder, "stretches")
 
     likes = stretches.filter("number >= 0").select("chunk", "number", "like")
-    places = classes.select(F.col("digest").alias("like"), "place.chunk", "place.row", "place.first", "place.stop")
-    places = places.join(likes.select("like").distinct(), "like", "left_semi")
-    around = _beside(rows, places, _surroundings, "like binary, before binary, after binary")
+    wanted = _wanted(classes, likes.select(F.col("like").alias("rep")).distinct())
+    around = _beside(rows, wanted, _surroundings, "like long, before binary, after binary")
     return stretches.filter("number < 0").unionByName(likes.join(around, "like"), allowMissingColumns=True)
 
 

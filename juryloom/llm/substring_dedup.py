@@ -129,19 +129,22 @@ def in_batches(texts: Iterable[str]) -> Iterator[list[bytes]]:
 
 def code_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Keys as they are compared: the bucket, and 32 bits within it, which tell a bucket's keys apart at any size of the
-    corpus, as buckets grow in number only. A chance agreement makes a needless candidate, no wrong result."""
+    corpus, as buckets are bounded. A chance agreement makes a needless candidate, no wrong result."""
     rest = keys - keys // np.uint64(buckets) * np.uint64(buckets)  # faster than %
     return rest << np.uint64(32) | keys >> np.uint64(32)
 
 
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Rising 32-bit numbers: their differences, byte by byte."""
     steps = np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
+    return _PACK.compress(np.ascontiguousarray(steps.T).tobytes())
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    steps = np.frombuffer(_UNPACK.decompress(data), np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(steps.T).view("<u4").ravel(), dtype=np.uint32)
 
 

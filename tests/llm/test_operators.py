@@ -688,6 +688,87 @@ def test_paragraph_groups_of_equal_members_are_kept_once():
     assert sorted(got[got["k"] == 11]["block"].unique()) == [0, 1]
 
 
+def test_repeated_paragraphs_move_packed(spark, monkeypatch, tmp_path):
+    """Contents go as a row for each chunk and part, also where every paragraph of a corpus is repeated."""
+    rng = random.Random(5)
+    lines = ["\n".join(sentence(rng, 12) for _ in range(40)) for _ in range(6)]
+    monkeypatch.setattr(paragraph_dedup, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    got = by_id(paragraph_dedup.remove_paragraphs(frame(spark, lines * 3)))
+    assert sum(r["n_repeated"] for r in got.values()) > 500
+    written = {t: spark.read.parquet(str(tmp_path / "shared" / t)) for t in ("candidates", "classes")}
+    chunks = written["candidates"].select("chunk").distinct().count()
+    assert all(t.count() <= chunks * (8 + 1) for t in written.values())
+
+
+def test_paragraph_buckets_grow_in_size_at_last():
+    assert [paragraph_dedup.shingle_buckets(n) for n in (1, 512, 2_700, 4_096, 40_000)] == [1, 512, 512, 512, 5_000]
+
+
+def test_classes_of_contents_and_answers_match_plain_ones():
+    rng = np.random.default_rng(9)
+    digests = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    digests[1:4, 0] = digests[0, 0]  # told apart by the second half alone
+    digests = digests[np.lexsort((digests[:, 1], digests[:, 0]))]
+    ids = np.array([-(2**63), -5, 3, 7, 2**61, substring_dedup.LAST_ID])
+    rows, held = [], {}
+    for chunk in (9, 2, 5):
+        some = np.flatnonzero(rng.random(40) < 0.6)
+        two = np.sort(rng.choice(ids, (len(some), 2)), axis=1)
+        with np.errstate(over="ignore"):
+            columns = {"digest": digests[some], "least": two[:, 0], "spread": two[:, 1] - two[:, 0]}
+        columns |= {"doc": some * 2, "first": some * 3, "words": some + 8}
+        cut = len(some) // 2
+        rows += [(chunk, 4, a, paragraph_dedup._pack(paragraph_dedup._CONTENT, columns, slice(a, b))) for a, b in ((cut, len(some)), (0, cut))]
+        for number, (d, (least, most)) in enumerate(zip(some.tolist(), two.tolist(), strict=True)):
+            held.setdefault(d, []).append((least, chunk, number, most))
+    part = pd.DataFrame(rows, columns=["chunk", "part", "base", "contents"])
+    rep = {d: min(x)[1] << paragraph_dedup.NUMBER_BITS | min(x)[2] for d, x in held.items()}
+
+    classes = paragraph_dedup._classes(part)
+    found = paragraph_dedup._places(classes.assign(rep=-1), False)
+    assert dict(zip(map(tuple, found["digest"].tolist()), zip(found["rep"], found["own"], found["doc"], found["first"], found["words"], strict=True), strict=True)) == {
+        tuple(digests[d].tolist()): (rep[d], min(x)[0], 2 * d, 3 * d, d + 8) for d, x in held.items()
+    }
+    assert classes["n"].sum() == len(held)
+
+    others = {d: (-(2**63), 77) for d in list(held)[::3]}
+    asked = pd.DataFrame([(4, rep[d], *x) for d, x in others.items()], columns=["part", "rep", "component_least", "first_rep"])
+    for given in (asked, asked[:0]):
+        want = set()
+        for d, x in held.items():
+            least, first = others[d] if len(given) and d in others else (min(x)[0], rep[d])
+            want |= {(chunk, number, rep[d], min(x)[0], least, first) for _, chunk, number, most in x if most > least}
+        got = set()
+        for r in paragraph_dedup._answers(part, given).itertuples():
+            told, n = paragraph_dedup._unpack(paragraph_dedup._ANSWER, [r.answers])
+            got |= set(zip([r.chunk] * n[0], *(told[c].tolist() for c in ("number", "rep", "own", "component_least", "first_rep")), strict=True))
+        assert got == want and want
+
+
+def test_bucket_links_connect_what_similar_sets_connect():
+    rng = np.random.default_rng(4)
+    sets, group, second = [], [], []
+    for g in range(30):
+        size = int(rng.choice([1, 9, 40, 300]))
+        base = rng.integers(1, 2**64, size, dtype=np.uint64)
+        for k in range(int(rng.choice([2, 5, 90]))):
+            own = base.copy()
+            own[: int(size * rng.choice([0, 0.05, 0.3]))] += np.uint64(k)
+            sets.append(np.unique(own))
+            group.append(g)
+            second.append(g % 3 == 0 and k >= 1)
+    group, second, ids = np.array(group), np.array(second), np.arange(len(sets)) * 5
+    found = paragraph_dedup.bucket_links(group, second, ids, sets)
+    near = []
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if group[i] == group[j] and (group[i] % 3 or second[i] != second[j]):
+                both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                near += [(ids[i], ids[j])] * (100 * both >= paragraph_dedup.PERCENT * (len(sets[i]) + len(sets[j]) - both))
+    assert set(found) <= set(near)
+    assert plain_components(ids.tolist(), found) == plain_components(ids.tolist(), near)
+
+
 def test_texts_hashed_together_have_their_own_hashes(monkeypatch):
     monkeypatch.setattr(common, "TOGETHER_BYTES", 40)
     texts = [b"", b"One two", b" \n ", b"x" * 50, b"three\r\nFour five six seven eight", b"end"]
