@@ -8,12 +8,12 @@ equal paragraphs wherever they stand. Paragraphs overlap and together cover the
 A paragraph that is similar to another one has most of its shingles in common with it. Which shingles occur several
 times is found on packed arrays; only paragraphs of which SHARED percent do so go on. Equal ones are put together, in a
 chunk of documents first, then by parts of their digests; a chunk sends each part one row with all of its contents, and
-gets one with what becomes of them, so that rows do not grow with what is repeated. Every different one has BANDS keys of BAND_ROWS minima of its shingles; those that share a key meet in its bucket, where their whole shingle
-sets are compared; very long ones are compared as near-duplicate texts are. Linked ones form components. Of each
-component the paragraphs of the document with the smallest doc_id stay, all others are removed, with the words on either
-side that are also those beside the one that stays: a passage's edges lie outside its cuts. Only places, keys and the
-sets of paragraphs that share a key move between tasks; texts stay in their chunks, but for very long paragraphs that
-share a key.
+gets one with what becomes of them, so that rows do not grow with what is repeated. Every different one has BANDS keys
+of BAND_ROWS minima of its shingles; those that share a key meet in its bucket, where their whole shingle sets are
+compared; very long ones are compared as near-duplicate texts are. Linked ones form components. Of each component the
+paragraphs of the document with the smallest doc_id stay, all others are removed, with the words on either side that are
+also those beside the one that stays: a passage's edges lie outside its cuts. Only places, keys and the sets of paragraphs
+that share a key move between tasks; texts stay in their chunks, but for very long paragraphs that share a key.
 """
 
 from __future__ import annotations
